@@ -1,0 +1,4 @@
+"""No streaming operators: the workload reads finite tables only (no stream
+source, watermark, window or state anywhere in it), so there is nothing to
+run under Structured Streaming.  Batch jobs in ``plans`` cover every query.
+"""
