@@ -33,10 +33,28 @@ def default_buckets(spark) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
-def quantile_edges(df: DataFrame, col: str, n_buckets: int, rel_err: float | None = None) -> list[float]:
-    """Distinct, sorted interior edges for ``n_buckets`` equi-depth ranges."""
+def _is_numeric(df: DataFrame, col: str) -> bool:
+    from pyspark.sql import types as T
+    return isinstance(df.schema[col].dataType, T.NumericType)
+
+
+def quantile_edges(df: DataFrame, col: str, n_buckets: int, rel_err: float | None = None) -> list:
+    """Distinct, sorted interior edges for ``n_buckets`` equi-depth ranges.
+
+    Numeric keys use ``approxQuantile``; other orderable keys (strings) use
+    the sorted values of a bounded sample (about 64 rows per range).
+    """
     if n_buckets <= 1:
         return []
+    if not _is_numeric(df, col):
+        n = df.count()
+        want = 64 * n_buckets
+        frac = min(1.0, want / max(n, 1))
+        vals = sorted(r[0] for r in df.select(col).sample(False, frac, 7).where(F.col(col).isNotNull()).collect())
+        if not vals:
+            return []
+        picks = [vals[min(len(vals) - 1, (i * len(vals)) // n_buckets)] for i in range(1, n_buckets)]
+        return sorted(set(picks))
     rel_err = rel_err if rel_err is not None else 1.0 / (4 * n_buckets)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     qs = df.select(F.col(col).cast("double").alias(col)).approxQuantile(col, probs, rel_err)
@@ -50,6 +68,11 @@ def assign_bucket(df: DataFrame, col: str, edges: list[float], out: str) -> Data
     """
     if not edges:
         return df.withColumn(out, F.lit(0))
+    if not isinstance(edges[0], (int, float)):
+        expr = F.lit(0)
+        for e in edges:
+            expr = expr + (F.col(col) >= F.lit(e)).cast("int")
+        return df.withColumn(out, expr.cast("int"))
     tmp = f"__bk_in_{out}"
     b = Bucketizer(splits=[-math.inf] + list(edges) + [math.inf], inputCol=tmp, outputCol=f"__bk_out_{out}",
                    handleInvalid="keep")
@@ -102,11 +125,11 @@ def rank01(df: DataFrame, score_col: str, out: str = "rank01", partition_cols=()
     counts = df.groupBy(*partition_cols, score_col).agg(F.count(F.lit(1)).alias("__n"))
     ranked = prefix_sums(counts, [score_col], ["__n"], partition_cols, inclusive=False, prefix="__before_",
                          n_buckets=n_buckets)
-    totals = df.groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("__N"))
+    totals = df.groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("__total"))
     ranked = attach(ranked, totals, partition_cols)
     ranked = ranked.withColumn(
-        out, F.when(F.col("__N") <= 1, F.lit(0.0)).otherwise(
-            (F.col("__before___n") + (F.col("__n") + 1) / 2.0 - 1.0) / (F.col("__N") - 1.0)))
+        out, F.when(F.col("__total") <= 1, F.lit(0.0)).otherwise(
+            (F.col("__before___n") + (F.col("__n") + 1) / 2.0 - 1.0) / (F.col("__total") - 1.0)))
     return df.join(ranked.select(*partition_cols, score_col, out), on=[*partition_cols, score_col], how="left")
 
 
@@ -134,10 +157,10 @@ def exact_quantiles(df: DataFrame, col: str, probs, partition_cols=(), n_buckets
     ranked = prefix_sums(vals, [col], ["__n"], partition_cols, inclusive=False, prefix="__lo_",
                          n_buckets=n_buckets)
     ranked = ranked.withColumn("__hi", F.col("__lo___n") + F.col("__n"))  # rows [lo, hi) hold this value
-    n = vals.groupBy(*partition_cols).agg(F.sum("__n").alias("__N"))
+    n = vals.groupBy(*partition_cols).agg(F.sum("__n").alias("__total"))
     pt = spark.createDataFrame([(float(p),) for p in probs], "p double")
     targets = attach(n, pt)  # (#partitions x #probs) rows
-    targets = targets.withColumn("__pos", F.col("p") * (F.col("__N") - 1)) \
+    targets = targets.withColumn("__pos", F.col("p") * (F.col("__total") - 1)) \
         .withColumn("__i0", F.floor("__pos").cast("long")).withColumn("__i1", F.ceil("__pos").cast("long"))
     # targets: (#partitions × #probs) rows; ranked rows are matched by range
     t0 = targets.select(*partition_cols, "p", "__pos", "__i0", "__i1")
