@@ -20,11 +20,13 @@ def char_ngrams(df: DataFrame, id_col: str, text_col: str, n_min=3, n_max=6, low
     if lowercase:
         s = F.lower(s)
     d = df.select(F.col(id_col).alias("__id"), s.alias("__s")).where(F.col("__s").isNotNull())
+    def gram_of(n):
+        return lambda i: F.substring(F.col("__s"), i + 1, F.lit(n))
+
     grams = []
     for n in range(n_min, n_max + 1):
         # sequence(0, -1) is not empty, so lengths below n are filtered first
-        grams.append(F.when(F.length("__s") >= n, F.transform(F.sequence(F.lit(0), F.length("__s") - n),
-                                                             lambda i, n=n: F.substring("__s", i + 1, n)))
+        grams.append(F.when(F.length("__s") >= n, F.transform(F.sequence(F.lit(0), F.length("__s") - n), gram_of(n)))
                      .otherwise(F.array().cast("array<string>")))
     ex = d.select("__id", F.explode(F.flatten(F.array(*grams))).alias("term"))
     return ex.groupBy("__id", "term").agg(F.count(F.lit(1)).alias("tf")).withColumnRenamed("__id", id_col)
