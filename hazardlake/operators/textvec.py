@@ -1,4 +1,4 @@
-"""Character n-gram TF-IDF (M6-M8) and truncated SVD (M9), relational.
+"""Character n-gram TF-IDF (M6-M8) relational (M9 lives in ``pipeline``).
 
 Documents stay in long form (doc, term, tf) from the n-gram explode on; the
 vocabulary cap keeps the ``max_features`` most frequent terms (ties by
@@ -46,37 +46,3 @@ def tfidf(tf: DataFrame, docs: DataFrame, id_col: str, max_features: int | None
     w = tf.join(idf, on="term").withColumn("__w", F.col("tf") * F.col("__idf"))
     norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__norm"))
     return w.join(norm, on=id_col).select(id_col, "term", (F.col("__w") / F.col("__norm")).alias("weight"))
-
-
-def svd_project(weights: DataFrame, id_col: str, k: int, seed: int = 42):
-    """M9: truncated SVD (no centring) of the sparse doc x term matrix.
-
-    Terms are indexed, rows become SparseVectors, ``RowMatrix.computeSVD``
-    gives V; each document's component scores are X·V.  Returns
-    (scores DataFrame (id, svd array<double>), singular values).
-    """
-    from pyspark.ml.linalg import SparseVector, Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.linalg import Vectors as MVectors
-
-    spark = weights.sparkSession
-    terms = weights.select("term").distinct().orderBy("term")
-    idx = {r["term"]: i for i, r in enumerate(terms.collect())}  # vocabulary: capped by max_features
-    dim = len(idx)
-    bidx = spark.sparkContext.broadcast(idx)
-    rows = weights.groupBy(id_col).agg(F.collect_list(F.struct("term", "weight")).alias("__tw"))
-
-    def to_vec(r):
-        d = bidx.value
-        pairs = sorted((d[x["term"]], x["weight"]) for x in r["__tw"])
-        return r[id_col], MVectors.sparse(dim, [p[0] for p in pairs], [p[1] for p in pairs])
-
-    vec_rdd = rows.rdd.map(to_vec).cache()
-    k = min(k, dim)
-    svd = RowMatrix(vec_rdd.map(lambda x: x[1])).computeSVD(k, computeU=False)
-    V = svd.V.toArray()
-    bV = spark.sparkContext.broadcast(V)
-    scores = vec_rdd.map(lambda x: (x[0], [float(v) for v in x[1].dot(bV.value)]))
-    del SparseVector, Vectors
-    return spark.createDataFrame(scores, f"{id_col} {dict(weights.dtypes)[id_col]}, svd array<double>"), \
-        list(svd.s.toArray())

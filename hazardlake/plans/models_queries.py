@@ -1 +1,191 @@
-"""Registered model queries (rows-only checks); filled in by the model modules."""
+"""Registered model queries (rows-only checks: no SQL oracle exists for a model fit).
+
+All of them read the fixture tables through the training-table plan, fit on
+the training part of the hold-out split and score the evaluation part.
+"""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import cluster as C
+from ..operators import linear as Lm
+from ..operators import survival as S
+from ..operators import tables as P
+from ..operators import trees as Tr
+from ..operators.ordered import rank01
+from ..operators.pipeline import fit_preprocessor
+from ..session import cut_lineage
+from . import select as Sel
+from . import train_table as N
+from .context import TAU, TOP_EFFECTS, TOP_GENES
+from .queries import query
+
+# Fixed parameters of the registered model queries.
+TFIDF_MAX, SVD_K = 5000, 120
+RIDGE_ALPHA = 1.0
+GBT_ITERS = 100
+KMEANS_K, KMEANS_CANDIDATES = 4, (2, 3, 4, 5)
+BOOST_ROUNDS, BOOST_LR = 30, 0.1
+COXNET_L1 = 0.9
+CV_FOLDS = 3
+
+
+def _design(c, with_text=True):
+    t, genes, effects = N.train_table(c.clinical_train, c.molecular_train, c.target, TOP_GENES, TOP_EFFECTS)
+    t = cut_lineage(P.to_survival(t).withColumn("is_test", c.is_test()))
+    num = [f.name for f in t.schema.fields if f.name not in ("ID", "OS_YEARS", "OS_STATUS", "time", "is_test")
+           and f.dataType.typeName() in ("integer", "long", "double")]
+    tr, te = t.where(~F.col("is_test")), t.where(F.col("is_test"))
+    fp = fit_preprocessor(tr, num, ["CENTER"], "CYTOGENETICS" if with_text else None, TFIDF_MAX,
+                          SVD_K if with_text else 0)
+    keep = ["ID", "features", "time", "event"]
+    return tr, te, fp, cut_lineage(fp.transform(tr).select(*keep)), cut_lineage(fp.transform(te).select(*keep))
+
+
+def _scored(tr, te_pred):
+    return S.ipcw_cindex(tr, te_pred, "risk", TAU, "time", "event").select("cindex")
+
+
+@query("svd_text")
+def q_svd(c):
+    """M1 / M9: fitted preprocessing; output the text components of the evaluation rows."""
+    _, _, fp, _, Xte = _design(c)
+    from pyspark.ml.functions import vector_to_array
+    k = fp.k
+    return Xte.select("ID", vector_to_array("features").alias("__a")).select(
+        "ID", *[F.col("__a")[len(fp.output_cols) - k + i].alias(f"svd_{i}") for i in range(k)])
+
+
+@query("ridge_risk")
+def q_ridge(c):
+    """G1: ridge on time, risk = -prediction."""
+    _, _, _, Xtr, Xte = _design(c)
+    m = Lm.fit_ridge_time(Xtr, alpha=RIDGE_ALPHA)
+    return Lm.ridge_risk(m, Xte).select("ID", "risk")
+
+
+@query("gbt_time_risk")
+def q_gbt(c):
+    """Boosted regression trees on time (depth 3, lr 0.05), risk = -prediction."""
+    _, _, _, Xtr, Xte = _design(c)
+    m = Tr.fit_gbt_time(Xtr, max_iter=GBT_ITERS)
+    return Tr.gbt_time_risk(m, Xte).select("ID", "risk")
+
+
+@query("kmeans_risk")
+def q_kmeans(c):
+    """Cluster risk = -median time of the cluster."""
+    _, _, _, Xtr, Xte = _design(c)
+    model, rmap = C.fit_kmeans_risk(Xtr, KMEANS_K)
+    return C.kmeans_risk(model, rmap, Xte).select("ID", "cluster", "risk")
+
+
+@query("kmeans_tune")
+def q_kmeans_tune(c):
+    """Silhouette per candidate k (squared Euclidean), best flagged."""
+    _, _, _, Xtr, _ = _design(c)
+    rows, best = C.tune_k(Xtr, KMEANS_CANDIDATES)
+    return c.spark.createDataFrame([(k, s, k == best) for k, s in rows], "k int, silhouette double, best boolean")
+
+
+@query("cox_ph")
+def q_cox(c):
+    """Cox proportional hazards (ridge 1e-4 for separable columns), risk = linear predictor."""
+    _, _, _, Xtr, Xte = _design(c, with_text=False)
+    beta = Lm.fit_cox(Xtr, alpha=1e-4)
+    return Lm.linear_risk(Xte, beta).select("ID", "risk")
+
+
+@query("coxnet")
+def q_coxnet(c):
+    """Elastic-net Cox (l1_ratio 0.9, last alpha of a 100-alpha path at ratio 0.01)."""
+    _, _, _, Xtr, Xte = _design(c, with_text=False)
+    beta, _, _ = Lm.fit_coxnet(Xtr, l1_ratio=COXNET_L1)
+    return Lm.linear_risk(Xte, beta).select("ID", "risk")
+
+
+@query("boosted_survival")
+def q_boost(c):
+    """Cox-loss gradient boosting (depth 3, leaf >= 5, lr 0.1)."""
+    _, _, _, Xtr, Xte = _design(c)
+    m = Tr.fit_boosted_cox(Xtr, n_estimators=BOOST_ROUNDS, learning_rate=BOOST_LR)
+    return m.predict(Xte).select("ID", "risk")
+
+
+@query("model_comparison")
+def q_models(c):
+    """Hold-out IPCW C of several models and of their rank mean, one grouped job."""
+    tr, te, _, Xtr, Xte = _design(c, with_text=False)
+    preds = []
+    m1 = Lm.fit_ridge_time(Xtr, alpha=RIDGE_ALPHA)
+    preds.append(Lm.ridge_risk(m1, Xte).withColumn("model", F.lit("ridge")))
+    beta = Lm.fit_cox(Xtr, alpha=1e-4)
+    preds.append(Lm.linear_risk(Xte, beta).withColumn("model", F.lit("cox")))
+    bm = Tr.fit_boosted_cox(Xtr, n_estimators=BOOST_ROUNDS // 3, learning_rate=BOOST_LR)
+    preds.append(bm.predict(Xte).withColumn("model", F.lit("boost")))
+    allp = None
+    for p in preds:
+        p = p.select("ID", "time", "event", "risk", "model")
+        allp = p if allp is None else allp.unionByName(p)
+    r = rank01(allp, "risk", "r", partition_cols=["model"])
+    ens = r.groupBy("ID", "time", "event").agg(F.avg("r").alias("risk")).withColumn("model", F.lit("rank_mean"))
+    scored = allp.unionByName(ens.select("ID", "time", "event", "risk", "model"))
+    return S.ipcw_cindex(tr, scored, "risk", TAU, "time", "event", group_cols=["model"]).select("model", "cindex")
+
+
+@query("cross_validate")
+def q_cv(c):
+    """Stratified 3-fold IPCW C of the ridge-on-time model (preprocessing refitted per fold)."""
+    t, _, _ = N.train_table(c.clinical_train, c.molecular_train, c.target, TOP_GENES, TOP_EFFECTS)
+    t = cut_lineage(P.to_survival(t))
+    num = [f.name for f in t.schema.fields if f.name not in ("ID", "OS_YEARS", "OS_STATUS", "time")
+           and f.dataType.typeName() in ("integer", "long", "double")]
+
+    def fit_predict(a, b):
+        fp = fit_preprocessor(a, num, ["CENTER"], None, 0, 0)
+        m = Lm.fit_ridge_time(fp.transform(a), alpha=RIDGE_ALPHA)
+        return Lm.ridge_risk(m, fp.transform(b))
+    return Sel.cross_validate(t, fit_predict, CV_FOLDS, TAU, strata="OS_STATUS")
+
+
+@query("grid_search")
+def q_grid(c):
+    """Grid over ridge alpha x 3 folds; mean and std per configuration."""
+    t, _, _ = N.train_table(c.clinical_train, c.molecular_train, c.target, TOP_GENES, TOP_EFFECTS)
+    t = cut_lineage(P.to_survival(t))
+    num = [f.name for f in t.schema.fields if f.name not in ("ID", "OS_YEARS", "OS_STATUS", "time")
+           and f.dataType.typeName() in ("integer", "long", "double")]
+
+    def make(cfg):
+        def fit_predict(a, b):
+            fp = fit_preprocessor(a, num, ["CENTER"], None, 0, 0)
+            m = Lm.fit_ridge_time(fp.transform(a), alpha=cfg["alpha"])
+            return Lm.ridge_risk(m, fp.transform(b))
+        return fit_predict
+    _, summ, best = Sel.grid_search(t, make, {"alpha": [0.1, 1.0, 10.0]}, CV_FOLDS, TAU)
+    return summ.withColumn("best", F.col("config") == F.lit(__import__("json").dumps(best, sort_keys=True)))
+
+
+@query("risk_table")
+def q_risk_table(c):
+    """Fit on all labeled rows, score the unlabeled entities, rank-average three models."""
+    t, genes, effects = N.train_table(c.clinical_train, c.molecular_train, c.target, TOP_GENES, TOP_EFFECTS)
+    cols = P.feature_columns(t)
+    t = cut_lineage(P.to_survival(t))
+    test = cut_lineage(N.scoring_table(c.clinical_unlabeled, c.molecular_unlabeled, cols, genes, effects))
+    num = [f.name for f in t.schema.fields if f.name not in ("ID", "OS_YEARS", "OS_STATUS", "time")
+           and f.dataType.typeName() in ("integer", "long", "double")]
+    fp = fit_preprocessor(t, num, ["CENTER"], "CYTOGENETICS", TFIDF_MAX, SVD_K)
+    Xtr = cut_lineage(fp.transform(t).select("ID", "features", "time", "event"))
+    Xte = cut_lineage(fp.transform(test).select("ID", "features"))
+    beta, _, _ = Lm.fit_coxnet(Xtr, l1_ratio=COXNET_L1)
+    bm = Tr.fit_boosted_cox(Xtr, n_estimators=BOOST_ROUNDS // 3, learning_rate=BOOST_LR)
+    m1 = Lm.fit_ridge_time(Xtr, alpha=RIDGE_ALPHA)
+    parts = [Lm.linear_risk(Xte, beta).withColumn("model", F.lit("coxnet")),
+             bm.predict(Xte).withColumn("model", F.lit("boost")),
+             Lm.ridge_risk(m1, Xte).withColumn("model", F.lit("ridge"))]
+    allp = parts[0].select("ID", "risk", "model")
+    for p in parts[1:]:
+        allp = allp.unionByName(p.select("ID", "risk", "model"))
+    r = rank01(allp, "risk", "r", partition_cols=["model"])
+    return r.groupBy("ID").agg(F.avg("r").alias("risk_score"))
