@@ -416,5 +416,39 @@ nrm AS (SELECT ID, sqrt(sum(w * w)) AS nrm FROM w GROUP BY ID)
 SELECT ID, term, round(w / nrm, 6) AS weight FROM w JOIN nrm USING (ID)"""
 
 
+SQL["mae"] = f"""WITH {FX},
+l2 AS (SELECT l.ID, l.OS_YEARS, c.CENTER, {TEST('l.ID')} AS is_test FROM lab l JOIN fx_clinical c USING (ID)),
+g AS (SELECT avg(OS_YEARS) AS gm FROM l2 WHERE NOT is_test),
+m AS (SELECT CENTER, avg(OS_YEARS) AS mm FROM l2 WHERE NOT is_test GROUP BY CENTER)
+SELECT round(avg(abs(OS_YEARS - coalesce(m.mm, g.gm))), 6) AS mae FROM l2 LEFT JOIN m USING (CENTER), g WHERE is_test"""
+
+SQL["score_range"] = f"""WITH {FX},
+l2 AS (SELECT l.ID, c.HB, {TEST('l.ID')} AS is_test FROM lab l JOIN fx_clinical c USING (ID))
+SELECT count(*) AS n_labeled, count(*) FILTER (WHERE is_test) AS n_test, count(*) FILTER (WHERE NOT is_test) AS n_train,
+  round(min(HB), 6) AS min_score, round(max(HB), 6) AS max_score FROM l2"""
+
+SQL["top_results"] = f"""WITH {FX} SELECT c.CENTER, round(avg(CAST(l.OS_STATUS AS DOUBLE)), 6) AS event_rate, count(*) AS n
+FROM lab l JOIN fx_clinical c USING (ID) GROUP BY c.CENTER
+ORDER BY avg(CAST(l.OS_STATUS AS DOUBLE)) DESC, c.CENTER ASC LIMIT 5"""
+
+SQL["score_gap"] = f"""WITH {FX}, {HOLDOUT}, {CINDEX_SQL('ts', 'HB')}
+SELECT round(cindex, 6) AS cindex, round(cindex - 0.7744, 6) AS gap FROM cidx"""
+
+SQL["preview"] = f"""WITH {FX} SELECT ID, CENTER, round(HB, 6) AS HB FROM fx_clinical ORDER BY ID LIMIT 5"""
+
+SQL["gene_column_sums"] = f"""WITH {FX}, {TOPLISTS}
+SELECT CAST(sum(COLUMNS(lambda x: starts_with(x, 'GENE__'))) AS BIGINT) FROM {PIVOT_SQL('mt', True)}"""
+
+SQL["minmax_pair_sweep"] = f"""WITH {FX}, {HOLDOUT},
+mm AS (SELECT ts.*, coalesce(PLT, 0.0) AS pl FROM ts),
+st AS (SELECT min(HB) AS a0, max(HB) AS a1, min(pl) AS b0, max(pl) AS b1 FROM mm),
+sc AS (SELECT mm.*, CASE WHEN a1 - a0 = 0 THEN 0.0 ELSE (HB - a0) / (a1 - a0) END AS mm_a,
+              CASE WHEN b1 - b0 = 0 THEN 0.0 ELSE (pl - b0) / (b1 - b0) END AS mm_b FROM mm, st),
+sw AS (SELECT sc.*, w.weight, w.weight * mm_a + (1 - w.weight) * mm_b AS ens
+       FROM sc CROSS JOIN (SELECT unnest([0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]::DOUBLE[]) AS weight) w),
+{CINDEX_SQL('sw', 'te.ens', (), ['weight'])}
+SELECT round(weight, 6) AS weight, round(cindex, 6) AS cindex FROM cidx"""
+
+
 def oracle_sql() -> dict:
     return dict(SQL)

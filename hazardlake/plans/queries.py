@@ -388,3 +388,68 @@ def q_tfidf(c):
 def registry() -> dict:
     from . import models_queries  # noqa: F401  (registers the model queries)
     return dict(REGISTRY)
+
+
+# --------------------------------------------------------------------------- small report operators
+# Fixed value: the challenge winner's score, the reference point of the score-gap report.
+REFERENCE_SCORE = 0.7744
+PAIR_WEIGHTS = [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
+
+
+@query("mae")
+def q_mae(c):
+    """Mean absolute error of the centre mean time (fitted on train) as a time prediction."""
+    lab = _labeled_with_clinical(c).withColumn("is_test", c.is_test())
+    means = lab.where(~F.col("is_test")).groupBy("CENTER").agg(F.avg("OS_YEARS").alias("__pred"))
+    glob = lab.where(~F.col("is_test")).agg(F.avg("OS_YEARS").alias("__g"))
+    te = lab.where(F.col("is_test")).join(F.broadcast(glob), how="cross")  # one-row global mean
+    te = P.lookup_with_default(te, means, "CENTER", "__pred", F.col("__g"), "__p")
+    return te.agg(F.avg(F.abs(F.col("OS_YEARS") - F.col("__p"))).alias("mae"))
+
+
+@query("score_range")
+def q_score_range(c):
+    """Row counts of the tables and splits, and the range of a score."""
+    lab = _labeled_with_clinical(c).withColumn("is_test", c.is_test())
+    return lab.agg(F.count(F.lit(1)).alias("n_labeled"), F.count_if(F.col("is_test")).alias("n_test"),
+                   F.count_if(~F.col("is_test")).alias("n_train"), F.min("HB").alias("min_score"),
+                   F.max("HB").alias("max_score"))
+
+
+@query("top_results")
+def q_top_results(c):
+    """Centres sorted by event rate (then name), first five."""
+    s = A.cluster_summary(_labeled_with_clinical(c), "CENTER")
+    return s.orderBy(F.col("event_rate").desc(), F.col("CENTER").asc()).limit(5).select("CENTER", "event_rate", "n")
+
+
+@query("score_gap")
+def q_score_gap(c):
+    """Hold-out IPCW C and its gap to the reference score."""
+    tr, te = _holdout_frames(c)
+    s = S.ipcw_cindex(tr, te, "HB", TAU, "time", "event")
+    return s.select("cindex", (F.col("cindex") - F.lit(REFERENCE_SCORE)).alias("gap"))
+
+
+@query("preview")
+def q_preview(c):
+    """First rows with an explicit order."""
+    return c.clinical.orderBy("ID").limit(5).select("ID", "CENTER", "HB")
+
+
+@query("gene_column_sums")
+def q_gene_sums(c):
+    """Sums of the GENE__ indicator columns of the training pivot."""
+    return P.prefix_column_sums(_pivot(c, True), "GENE__")
+
+
+@query("minmax_pair_sweep")
+def q_minmax_sweep(c):
+    """IPCW C of w*mm(HB) + (1-w)*mm(PLT) per weight, one grouped job."""
+    tr, te = _holdout_frames(c)
+    t = O.minmax_scale(O.minmax_scale(te.withColumn("__pl", F.coalesce("PLT", F.lit(0.0))), "HB", "mm_a"),
+                       "__pl", "mm_b")
+    ws = c.spark.createDataFrame([(float(w),) for w in PAIR_WEIGHTS], "weight double")
+    sw = t.join(F.broadcast(ws), how="cross")  # one copy per weight (7 rows)
+    sw = sw.withColumn("ens", F.col("weight") * F.col("mm_a") + (1 - F.col("weight")) * F.col("mm_b"))
+    return S.ipcw_cindex(tr, sw, "ens", TAU, "time", "event", group_cols=["weight"]).select("weight", "cindex")
