@@ -18,6 +18,7 @@ from ..operators import survival as S
 from ..operators import tables as P
 from ..operators import textvec as X
 from . import train_table as N
+from ..session import ensure_checkpoint_dir, ship_package
 from .context import SEED, TAU, TOP_EFFECTS, TOP_GENES, make_ctx, round_doubles
 
 REGISTRY: dict = {}
@@ -26,6 +27,8 @@ REGISTRY: dict = {}
 def query(name):
     def deco(fn):
         def run(spark, sf_dir):
+            ensure_checkpoint_dir(spark)
+            ship_package(spark)
             return round_doubles(fn(make_ctx(spark, sf_dir)))
         run.__name__ = name
         run.__doc__ = fn.__doc__
