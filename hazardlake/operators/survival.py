@@ -36,7 +36,7 @@ TIED_TOL = 1e-8
 # Kaplan-Meier estimate of the censoring distribution
 # ---------------------------------------------------------------------------
 def km_censoring(train: DataFrame, time_col="time", event_col="event", partition_cols=(),
-                 n_buckets=None) -> DataFrame:
+                 n_buckets=None, edges=None) -> DataFrame:
     """G(t) = prod_{s <= t} (1 - c_s / (r_s - d_s)); events precede censorings at ties.
 
     Returns (partition_cols..., time, n_at_risk, n_events, n_censored, G), one
@@ -47,7 +47,8 @@ def km_censoring(train: DataFrame, time_col="time", event_col="event", partition
          .groupBy(*partition_cols, F.col(time_col).cast("double").alias("time"))
          .agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(event_col).cast("int")).alias("n_events")))
     g = g.withColumn("n_censored", F.col("__n") - F.col("n_events"))
-    edges = quantile_edges(g, "time", n_buckets or default_buckets(train.sparkSession))
+    if edges is None:
+        edges = quantile_edges(g, "time", n_buckets or default_buckets(train.sparkSession))
     r = prefix_sums(g, ["time"], ["__n"], partition_cols, descending=True, edges=edges, prefix="__risk")
     r = r.withColumn("n_at_risk", F.col("__risk__n"))
     ratio = F.when(F.col("n_censored") == 0, F.lit(0.0)).otherwise(
@@ -66,7 +67,7 @@ def km_censoring(train: DataFrame, time_col="time", event_col="event", partition
 # As-of lookup of a step function
 # ---------------------------------------------------------------------------
 def asof_lookup(keys: DataFrame, curve: DataFrame, key: str, value: str, default: float,
-                partition_cols=(), n_buckets=None, out: str | None = None) -> DataFrame:
+                partition_cols=(), n_buckets=None, out: str | None = None, edges=None) -> DataFrame:
     """For each (partition, key) row of ``keys`` the curve value at the largest
     curve key <= key (``default`` before the first point).
 
@@ -77,7 +78,8 @@ def asof_lookup(keys: DataFrame, curve: DataFrame, key: str, value: str, default
     """
     out = out or value
     partition_cols = list(partition_cols)
-    edges = quantile_edges(curve, key, n_buckets or default_buckets(curve.sparkSession))
+    if edges is None:
+        edges = quantile_edges(curve, key, n_buckets or default_buckets(curve.sparkSession))
     kq = keys.select(*partition_cols, F.col(key).cast("double").alias("__k"),
                      F.lit(None).cast("double").alias("__v"), F.lit(1).alias("__q"))
     kc = curve.select(*partition_cols, F.col(key).cast("double").alias("__k"),
@@ -108,10 +110,12 @@ def ipcw_weights(train: DataFrame, test: DataFrame, tau: float | None, time_col=
     """
     group_cols = list(group_cols)
     tg = [c for c in group_cols if c in train.columns]
-    curve = km_censoring(train, time_col, event_col, tg, n_buckets)
+    edges = quantile_edges(train.select(F.col(time_col).cast("double").alias("__t")), "__t",
+                           n_buckets or default_buckets(train.sparkSession))
+    curve = km_censoring(train, time_col, event_col, tg, n_buckets, edges=edges)
     weighted = F.col(event_col) & (F.lit(True) if tau is None else (F.col(time_col) < F.lit(float(tau))))
     ev_times = test.where(weighted).select(*tg, F.col(time_col).cast("double").alias("time")).distinct()
-    g = asof_lookup(ev_times, curve, "time", "G", 1.0, tg, n_buckets)
+    g = asof_lookup(ev_times, curve, "time", "G", 1.0, tg, n_buckets, edges=edges)
     t = test.withColumn("__t", F.col(time_col).cast("double"))
     j = t.join(g.withColumnRenamed("time", "__t"), on=[*tg, "__t"], how="left").drop("__t")
     ipcw = F.when(weighted, F.lit(1.0) / F.col("G")).otherwise(F.lit(0.0))
@@ -207,11 +211,19 @@ def concordance_sums(rows: DataFrame, group_cols=(), tol: float = TIED_TOL, cens
                        F.col("risk").cast("double").alias("risk"), F.col("w").cast("double").alias("w"))
     pts = base.groupBy(*g, "time", cflag.alias("cflag"), "risk").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
     pts = pts.persist()
+    # one pass: point count and fine quantiles of both axes; the grid edges are picked from them
+    fine = 1024
+    probs = [i / fine for i in range(1, fine)]
+    st = pts.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("time", probs, 4 * fine).alias("qt"),
+                 F.percentile_approx("risk", probs, 4 * fine).alias("qr")).collect()[0]
     if n_buckets is None:
-        n = pts.count()
-        n_buckets = int(min(1024, max(4, math.ceil(n / 500_000))))
-    t_edges = quantile_edges(pts, "time", n_buckets)
-    e_edges = quantile_edges(pts, "risk", n_buckets)
+        n_buckets = int(min(fine, max(4, math.ceil((st["n"] or 0) / 500_000))))
+
+    def pick(qs):
+        if not qs:
+            return []
+        return sorted({float(qs[min(len(qs) - 1, (i * fine) // n_buckets - 1)]) for i in range(1, n_buckets)})
+    t_edges, e_edges = pick(st["qt"]), pick(st["qr"])
     P, R = len(t_edges) + 1, len(e_edges) + 1
     pts = assign_bucket(assign_bucket(pts, "time", t_edges, "tb"), "risk", e_edges, "eb")
 
