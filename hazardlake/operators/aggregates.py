@@ -17,6 +17,16 @@ ENTITY_NUMERIC = ["n_mut", "n_unique_genes", "n_unique_effects", "vaf_mean", "va
                   "vaf_sum", "n_vaf_gt_30", "n_vaf_lt_10", "depth_mean", "depth_max"]
 
 
+def _numeric(df: DataFrame, col: str):
+    """Lenient coercion only for text columns; numeric columns just lose NaN."""
+    from pyspark.sql import types as T
+    dt = df.schema[col].dataType
+    if isinstance(dt, T.NumericType):
+        c = F.col(col).cast("double")
+        return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
+    return to_number(col)
+
+
 def top_values(df: DataFrame, col: str, k: int) -> DataFrame:
     """O1: the k most frequent non-NULL values, ordered by (count desc, value asc)."""
     return (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
@@ -47,7 +57,7 @@ def entity_features(mol: DataFrame, id_col="ID", gene_col="GENE", effect_col="EF
     ``vaf_std`` is the sample deviation, 0 for one-row entities; ``vaf_p90``
     is exact with linear interpolation unless ``approx_p90``.
     """
-    m = mol.withColumns({"__vaf": to_number(vaf_col), "__depth": to_number(depth_col)})
+    m = mol.withColumns({"__vaf": _numeric(mol, vaf_col), "__depth": _numeric(mol, depth_col)})
     p90 = (F.percentile_approx("__vaf", 0.9, 10000) if approx_p90 else F.percentile("__vaf", F.lit(0.9)))
     aggs = [
         F.count(F.lit(1)).alias("n_mut"),
@@ -96,7 +106,7 @@ def group_count(df: DataFrame, key: str, keys: DataFrame | None = None, out="cou
 
 def group_stats(df: DataFrame, key: str, value: str, keys: DataFrame | None = None) -> DataFrame:
     """Mean / sample std / max per key, NULL/NaN skipped, 0 when nothing is left."""
-    v = to_number(value)
+    v = _numeric(df, value)
     s = df.groupBy(key).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.max(v).alias("max"))
     if keys is not None:
         s = keys.select(key).distinct().join(s, on=key, how="left")

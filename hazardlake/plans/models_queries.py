@@ -151,11 +151,14 @@ def q_cv(c):
     num = [f.name for f in t.schema.fields if f.name not in ("ID", "OS_YEARS", "OS_STATUS", "time")
            and f.dataType.typeName() in ("integer", "long", "double")]
 
-    def fit_predict(a, b):
+    def prepare(a, b):
         fp = fit_preprocessor(a, num, ["CENTER"], None, 0, 0)
-        m = Lm.fit_ridge_time(fp.transform(a), alpha=RIDGE_ALPHA)
-        return Lm.ridge_risk(m, fp.transform(b))
-    return Sel.cross_validate(t, fit_predict, CV_FOLDS, TAU, strata="OS_STATUS")
+        keep = ["ID", "features", "time", "event"]
+        return fp.transform(a).select(*keep), fp.transform(b).select(*keep)
+
+    def fit_predict(a, b):
+        return Lm.ridge_risk(Lm.fit_ridge_time(a, alpha=RIDGE_ALPHA), b)
+    return Sel.cross_validate(t, fit_predict, CV_FOLDS, TAU, strata="OS_STATUS", prepare=prepare)
 
 
 @query("grid_search")
@@ -166,13 +169,14 @@ def q_grid(c):
     num = [f.name for f in t.schema.fields if f.name not in ("ID", "OS_YEARS", "OS_STATUS", "time")
            and f.dataType.typeName() in ("integer", "long", "double")]
 
+    def prepare(a, b):
+        fp = fit_preprocessor(a, num, ["CENTER"], None, 0, 0)
+        keep = ["ID", "features", "time", "event"]
+        return fp.transform(a).select(*keep), fp.transform(b).select(*keep)
+
     def make(cfg):
-        def fit_predict(a, b):
-            fp = fit_preprocessor(a, num, ["CENTER"], None, 0, 0)
-            m = Lm.fit_ridge_time(fp.transform(a), alpha=cfg["alpha"])
-            return Lm.ridge_risk(m, fp.transform(b))
-        return fit_predict
-    _, summ, best = Sel.grid_search(t, make, {"alpha": [0.1, 1.0, 10.0]}, CV_FOLDS, TAU)
+        return lambda a, b: Lm.ridge_risk(Lm.fit_ridge_time(a, alpha=cfg["alpha"]), b)
+    _, summ, best = Sel.grid_search(t, make, {"alpha": [0.1, 1.0, 10.0]}, CV_FOLDS, TAU, prepare=prepare)
     return summ.withColumn("best", F.col("config") == F.lit(__import__("json").dumps(best, sort_keys=True)))
 
 

@@ -41,37 +41,60 @@ def permuted_copies(df: DataFrame, id_col: str, cols, repeats: int, seed: int =
                           for c in cols}).drop("__pos", "__perm", "__v", "__h", "__one")
 
 
-def cross_validate(df: DataFrame, fit_predict, n_splits=3, tau=7.0, seed=42, strata=(), id_col="ID",
-                   time_col="time", event_col="event") -> DataFrame:
-    """K-fold scores.  ``fit_predict(train_df, test_df) -> test_df with 'risk'``.
+def prepare_folds(df: DataFrame, prepare, n_splits=3, seed=42, strata=(), id_col="ID"):
+    """Fold ids on one table and, per fold, ``prepare(train_df, test_df) -> (train_X, test_X)``.
 
-    Each fold's model is fitted by a Spark job on the fold's training rows;
-    the out-of-fold risks of all folds are scored by ONE grouped IPCW job,
-    with the censoring curve estimated per fold on that fold's training rows.
-    Returns (fold, cindex).
+    The per-fold preprocessing is fitted on that fold's training rows only
+    and materialised once, so every model / configuration reuses it.
+    Returns (fold table, list of (train_X, test_X)).
     """
     from ..operators.splits import kfold
+    from ..session import cut_lineage
+
+    f = cut_lineage(kfold(df, n_splits, id_col=id_col, seed=seed, strata=strata, out="__fold"))
+    prepared = []
+    for k in range(n_splits):
+        a, b = prepare(f.where(F.col("__fold") != k), f.where(F.col("__fold") == k))
+        prepared.append((cut_lineage(a), cut_lineage(b)))
+    return f, prepared
+
+
+def score_folds(f: DataFrame, prepared, fit_predict, tau=7.0, id_col="ID", time_col="time",
+                event_col="event") -> DataFrame:
+    """Fit per fold, then score all out-of-fold risks in ONE grouped IPCW job -> (fold, cindex).
+
+    The censoring curve of fold k is estimated on fold k's training rows.
+    """
     from ..operators.survival import ipcw_cindex
 
-    f = kfold(df, n_splits, id_col=id_col, seed=seed, strata=strata, out="__fold").persist()
     preds = None
-    for k in range(n_splits):
-        p = fit_predict(f.where(F.col("__fold") != k), f.where(F.col("__fold") == k))
-        p = p.select(id_col, time_col, event_col, "risk").withColumn("fold", F.lit(k))
+    for k, (a, b) in enumerate(prepared):
+        p = fit_predict(a, b).select(id_col, time_col, event_col, "risk").withColumn("fold", F.lit(k))
         preds = p if preds is None else preds.unionByName(p)
-    spark = df.sparkSession
-    folds = spark.createDataFrame([(k,) for k in range(n_splits)], "fold int")
+    spark = f.sparkSession
+    folds = spark.createDataFrame([(k,) for k in range(len(prepared))], "fold int")
     train_rows = f.join(F.broadcast(folds), F.col("__fold") != F.col("fold"))  # each row trains k-1 folds
-    res = ipcw_cindex(train_rows.select("fold", time_col, event_col), preds, "risk", tau, time_col, event_col,
-                      group_cols=["fold"]).select("fold", "cindex")
-    f.unpersist()
-    return res
+    return ipcw_cindex(train_rows.select("fold", time_col, event_col), preds, "risk", tau, time_col, event_col,
+                       group_cols=["fold"]).select("fold", "cindex")
+
+
+def cross_validate(df: DataFrame, fit_predict, n_splits=3, tau=7.0, seed=42, strata=(), id_col="ID",
+                   time_col="time", event_col="event", prepare=None) -> DataFrame:
+    """K-fold IPCW C.  ``prepare(train, test)`` (optional) builds per-fold designs,
+    ``fit_predict(train_X, test_X)`` returns the test rows with 'risk'.  Returns (fold, cindex).
+    """
+    prep = prepare or (lambda a, b: (a, b))
+    f, prepared = prepare_folds(df, prep, n_splits, seed, strata, id_col)
+    return score_folds(f, prepared, fit_predict, tau, id_col, time_col, event_col)
 
 
-def grid_search(df: DataFrame, make_fit_predict, grid: dict, n_splits=3, tau=7.0, seed=42, strata=()):
+def grid_search(df: DataFrame, make_fit_predict, grid: dict, n_splits=3, tau=7.0, seed=42, strata=(),
+                prepare=None):
     """Cartesian product of the grid (J11) x folds; mean C per config; first best wins (O3).
 
-    Returns (results DataFrame(config, fold, cindex), summary DataFrame(config, mean, std), best config dict).
+    Folds and their preprocessing are built once and shared by all
+    configurations.  Returns (results (position, config, fold, cindex),
+    summary (config, mean, std), best config dict).
     """
     import itertools
     import json
@@ -79,9 +102,10 @@ def grid_search(df: DataFrame, make_fit_predict, grid: dict, n_splits=3, tau=7.0
     keys = list(grid)
     configs = [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
     spark = df.sparkSession
+    f, prepared = prepare_folds(df, prepare or (lambda a, b: (a, b)), n_splits, seed, strata)
     rows = []
     for i, cfg in enumerate(configs):
-        r = cross_validate(df, make_fit_predict(cfg), n_splits, tau, seed, strata).collect()
+        r = score_folds(f, prepared, make_fit_predict(cfg), tau).collect()
         rows += [(i, json.dumps(cfg, sort_keys=True), int(x["fold"]), x["cindex"]) for x in r]
     res = spark.createDataFrame(rows, "position int, config string, fold int, cindex double")
     summ = res.groupBy("position", "config").agg(F.avg("cindex").alias("mean"), F.stddev_samp("cindex").alias("std"))
