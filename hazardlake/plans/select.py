@@ -111,3 +111,94 @@ def grid_search(df: DataFrame, make_fit_predict, grid: dict, n_splits=3, tau=7.0
     summ = res.groupBy("position", "config").agg(F.avg("cindex").alias("mean"), F.stddev_samp("cindex").alias("std"))
     best = summ.orderBy(F.col("mean").desc(), F.col("position").asc()).limit(1).collect()[0]
     return res, summ.drop("position"), json.loads(best["config"])
+
+
+def select_l1_ratio(train_X: DataFrame, valid_X: DataFrame, ratios=(0.1, 0.3, 0.5, 0.7, 0.9), tau=7.0,
+                    **coxnet_kw):
+    """One Coxnet per l1_ratio; all validation risks scored by one grouped IPCW job; first best wins.
+
+    Returns (results DataFrame (l1_ratio, cindex), best ratio, its coefficients).
+    """
+    from ..operators.linear import fit_coxnet, linear_risk
+    from ..operators.survival import ipcw_cindex
+
+    preds, betas = None, {}
+    for r in ratios:
+        beta, _, _ = fit_coxnet(train_X, l1_ratio=r, **coxnet_kw)
+        betas[r] = beta
+        p = linear_risk(valid_X, beta).select("time", "event", "risk").withColumn("l1_ratio", F.lit(float(r)))
+        preds = p if preds is None else preds.unionByName(p)
+    res = ipcw_cindex(train_X, preds, "risk", tau, group_cols=["l1_ratio"]).select("l1_ratio", "cindex")
+    got = {r["l1_ratio"]: r["cindex"] for r in res.collect()}
+    best = None
+    for r in ratios:                        # strict > : the first of equal scores wins
+        if got.get(float(r)) is not None and (best is None or got[float(r)] > got[float(best)]):
+            best = r
+    return res, best, betas.get(best)
+
+
+def cox_stacking(oof: DataFrame, other: DataFrame, score_cols, alpha=1e-4):
+    """Cox model on out-of-fold model scores.
+
+    ``oof`` holds (time, event, scores) predicted out of fold for the
+    training rows; the scores are standardised with the training mean and
+    population std, and the same transform is applied to ``other``.
+    """
+    from pyspark.ml.feature import VectorAssembler
+
+    from ..operators.encode import fit_scaler, impute_scale
+    from ..operators.linear import fit_cox, linear_risk
+
+    cols = list(score_cols)
+    stats = fit_scaler(oof, cols)
+    va = VectorAssembler(inputCols=[f"{c}__z" for c in cols], outputCol="features")
+    tr = va.transform(impute_scale(oof, cols, {}, stats, "__z"))
+    beta = fit_cox(tr, alpha=alpha)
+    te = va.transform(impute_scale(other, cols, {}, stats, "__z"))
+    return linear_risk(te, beta).drop("features"), beta
+
+
+def fit_eval_all(train_X: DataFrame, valid_X: DataFrame, tau=7.0, n_trees=20, boost_rounds=30, seed=42):
+    """Forest + Cox boosting + their rank mean, scored on the validation rows in one grouped job."""
+    from ..operators.forest import fit_survival_forest
+    from ..operators.ordered import rank01
+    from ..operators.survival import ipcw_cindex
+    from ..operators.trees import fit_boosted_cox
+
+    rf = fit_survival_forest(train_X, n_trees=n_trees, seed=seed)
+    gb = fit_boosted_cox(train_X, n_estimators=boost_rounds, seed=seed)
+    a = rf.predict(valid_X).select("ID", "time", "event", "risk").withColumn("model", F.lit("forest"))
+    b = gb.predict(valid_X).select("ID", "time", "event", "risk").withColumn("model", F.lit("boost"))
+    both = a.unionByName(b)
+    r = rank01(both, "risk", "r", partition_cols=["model"])
+    ens = r.groupBy("ID", "time", "event").agg(F.avg("r").alias("risk")).withColumn("model", F.lit("rank_mean"))
+    allp = both.unionByName(ens.select("ID", "time", "event", "risk", "model"))
+    return ipcw_cindex(train_X, allp, "risk", tau, group_cols=["model"]).select("model", "cindex")
+
+
+def preprocessing_sweep(train: DataFrame, valid: DataFrame, num_cols, grid: dict, cat_cols=("CENTER",),
+                        text_col="CYTOGENETICS", tau=7.0, evaluate=fit_eval_all):
+    """Cartesian product of preprocessing parameters (tfidf_max, svd_k, target encoding) ->
+    one row per configuration and model with its IPCW C (long form, ready for ``write_results``)."""
+    import itertools
+
+    from ..operators.encode import target_encode
+    from ..operators.pipeline import fit_preprocessor
+    from ..session import cut_lineage
+
+    keys = list(grid)
+    out = None
+    for vals in itertools.product(*[grid[k] for k in keys]):
+        cfg = dict(zip(keys, vals))
+        tr, va = train, valid
+        nums = list(num_cols)
+        if cfg.get("center_te"):
+            tr, va = target_encode(tr, va, "CENTER", "OS_STATUS", "CENTER_TE")
+            nums.append("CENTER_TE")
+        fp = fit_preprocessor(tr, nums, list(cat_cols), text_col, cfg.get("tfidf_max", 5000), cfg.get("svd_k", 120))
+        keep = ["ID", "features", "time", "event"]
+        res = evaluate(cut_lineage(fp.transform(tr).select(*keep)), cut_lineage(fp.transform(va).select(*keep)), tau)
+        for k, v in cfg.items():
+            res = res.withColumn(k, F.lit(v))
+        out = res if out is None else out.unionByName(res)
+    return out

@@ -102,3 +102,14 @@ def test_forest_learns_signal(spark):
     f = fit_survival_forest(df, n_trees=4, max_depth=3, min_samples_leaf=10, n_bins=16, n_time_bins=16)
     c = harrell_pairs(f.predict(df), "risk").collect()[0]["cindex"]
     assert c > 0.65
+
+
+def test_stacking_and_l1_selection(spark):
+    import pandas as pd
+    from hazardlake.plans.select import cox_stacking, select_l1_ratio
+    df, X, t, e = _data(spark, n=200, seed=21)
+    res, best, beta = select_l1_ratio(df, df, ratios=(0.5, 0.9), tau=None, path_steps=2, max_iter=10)
+    assert best in (0.5, 0.9) and res.count() == 2 and beta is not None
+    sc = spark.createDataFrame(pd.DataFrame({"time": t, "event": e, "s1": X[:, 0], "s2": X[:, 1] + 1.0}))
+    out, b = cox_stacking(sc, sc, ["s1", "s2"])
+    assert out.count() == 200 and b[0] > 0 and b[1] < 0
