@@ -61,8 +61,9 @@ def entity_features(mol: DataFrame, id_col="ID", gene_col="GENE", effect_col="EF
     p90 = (F.percentile_approx("__vaf", 0.9, 10000) if approx_p90 else F.percentile("__vaf", F.lit(0.9)))
     aggs = [
         F.count(F.lit(1)).alias("n_mut"),
-        F.countDistinct(gene_col).alias("n_unique_genes"),
-        F.countDistinct(effect_col).alias("n_unique_effects"),
+        # distinct values per entity are few (a gene / effect vocabulary): a set per group, no Expand
+        F.size(F.collect_set(gene_col)).cast("long").alias("n_unique_genes"),
+        F.size(F.collect_set(effect_col)).cast("long").alias("n_unique_effects"),
         F.avg("__vaf").alias("vaf_mean"),
         F.stddev_samp("__vaf").alias("vaf_std"),
         F.max("__vaf").alias("vaf_max"),
