@@ -260,14 +260,13 @@ def concordance_sums(rows: DataFrame, group_cols=(), tol: float = TIED_TOL, cens
         heavy_t = d["tmin"] == d["tmax"]
         heavy_e = np.concatenate([d["emin"] == d["emax"], [False]])
         ev = np.concatenate([np.where(np.isfinite(d["emin"]), d["emin"], 0.0), [0.0]])
-        for a in range(P):
-            ht_rows.append(list(key) + [a, bool(heavy_t[a])])
-            for b in range(R + 1):
-                if G1[a, b] or (heavy_e[b] and RS[a, b]) or (heavy_t[a] and CS[a, b]):
-                    look_rows.append(list(key) + [a, b, float(G1[a, b]), float(RS[a, b]), bool(heavy_e[b]),
-                                                  float(ev[b]), float(CS[a, b]), bool(heavy_t[a])])
-        for b in range(R):
-            he_rows.append(list(key) + [b, bool(heavy_e[b])])
+        A, B = np.meshgrid(np.arange(P), np.arange(R + 1), indexing="ij")
+        keep = (G1 != 0) | (heavy_e[None, :] & (RS != 0)) | (heavy_t[:, None] & (CS != 0))
+        for a, b in zip(A[keep].tolist(), B[keep].tolist()):
+            look_rows.append(list(key) + [a, b, float(G1[a, b]), float(RS[a, b]), bool(heavy_e[b]),
+                                          float(ev[b]), float(CS[a, b]), bool(heavy_t[a])])
+        ht_rows += [list(key) + [a, bool(heavy_t[a])] for a in range(P)]
+        he_rows += [list(key) + [b, bool(heavy_e[b])] for b in range(R)]
     gfields = [f for f in rows.schema.fields if f.name in g]
     gschema = [T.StructField(f.name, f.dataType) for f in gfields]
     look_schema = T.StructType(gschema + [T.StructField("tb", T.IntegerType()), T.StructField("ebx", T.IntegerType()),

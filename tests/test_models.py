@@ -99,7 +99,8 @@ def test_forest_learns_signal(spark):
     e = rng.random(n) < 0.8
     df = spark.createDataFrame([(i, Vectors.dense(X[i].tolist()), float(t[i]), bool(e[i])) for i in range(n)],
                                ["ID", "features", "time", "event"])
-    f = fit_survival_forest(df, n_trees=4, max_depth=3, min_samples_leaf=10, n_bins=16, n_time_bins=16)
+    f = fit_survival_forest(df, n_trees=4, max_depth=3, min_samples_leaf=10, n_bins=16, n_time_bins=16,
+                             tree_batch=2)
     c = harrell_pairs(f.predict(df), "risk").collect()[0]["cindex"]
     assert c > 0.65
 
