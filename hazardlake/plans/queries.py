@@ -18,7 +18,7 @@ from ..operators import survival as S
 from ..operators import tables as P
 from ..operators import textvec as X
 from . import train_table as N
-from ..session import ensure_checkpoint_dir, ship_package
+from ..session import cut_lineage, ensure_checkpoint_dir, ship_package
 from .context import SEED, TAU, TOP_EFFECTS, TOP_GENES, make_ctx, round_doubles
 
 REGISTRY: dict = {}
@@ -270,9 +270,14 @@ def q_random(c):
 
 
 # --------------------------------------------------------------------------- survival metrics
-def _holdout_frames(c, risk_cols=("HB",)):
+def _holdout_frames(c):
+    """Train / evaluation parts of the labeled rows.
+
+    The metric jobs run several small actions over these rows, so the
+    lineage (fixture scans and joins) is cut once with a reliable checkpoint.
+    """
     lab = _labeled_with_clinical(c).withColumn("is_test", c.is_test())
-    s = P.to_survival(lab)
+    s = cut_lineage(P.to_survival(lab))
     return s.where(~F.col("is_test")), s.where(F.col("is_test"))
 
 
