@@ -46,3 +46,28 @@ def tfidf(tf: DataFrame, docs: DataFrame, id_col: str, max_features: int | None
     w = tf.join(idf, on="term").withColumn("__w", F.col("tf") * F.col("__idf"))
     norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__norm"))
     return w.join(norm, on=id_col).select(id_col, "term", (F.col("__w") / F.col("__norm")).alias("weight"))
+
+
+def tfidf_by_text(docs: DataFrame, id_col: str, text_col: str, max_features: int | None = None,
+                  n_min=3, n_max=6) -> DataFrame:
+    """M6-M8 for text columns with many repeated values: (id, term, weight).
+
+    N-grams, corpus term frequencies, document frequencies and the L2 rows
+    are computed once per distinct text, weighted by how many documents
+    carry it; the rows are joined back to the document ids on the text
+    (a hot text is split by AQE's skew join).  Same result as ``tfidf``.
+    """
+    texts = docs.groupBy(text_col).agg(F.count(F.lit(1)).alias("__cnt"))
+    tf = char_ngrams(texts, text_col, text_col, n_min, n_max).join(texts, on=text_col)
+    n_docs = texts.agg(F.sum("__cnt").alias("__N"))
+    if max_features:
+        vocab = (tf.groupBy("term").agg(F.sum(F.col("tf") * F.col("__cnt")).alias("__ctf"))
+                 .orderBy(F.col("__ctf").desc(), F.col("term").asc()).limit(max_features).select("term"))
+        tf = tf.join(F.broadcast(vocab), on="term", how="left_semi")  # at most max_features rows
+    dfreq = tf.groupBy("term").agg(F.sum("__cnt").alias("__df"))
+    idf = dfreq.join(F.broadcast(n_docs), how="cross") \
+        .select("term", (F.log((1.0 + F.col("__N")) / (1.0 + F.col("__df"))) + 1.0).alias("__idf"))
+    w = tf.join(idf, on="term").withColumn("__w", F.col("tf") * F.col("__idf"))
+    norm = w.groupBy(text_col).agg(F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__norm"))
+    per_text = w.join(norm, on=text_col).select(text_col, "term", (F.col("__w") / F.col("__norm")).alias("weight"))
+    return docs.select(id_col, text_col).join(per_text, on=text_col).select(id_col, "term", "weight")

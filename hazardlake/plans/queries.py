@@ -389,8 +389,7 @@ def q_onehot(c):
 def q_tfidf(c):
     """M6-M8: char 3-6-gram TF-IDF of the karyotype text (NULL -> "0"), 50-term vocabulary."""
     docs = c.clinical_train.select("ID", F.coalesce("CYTOGENETICS", F.lit("0")).alias("txt"))
-    tf = X.char_ngrams(docs, "ID", "txt")
-    return X.tfidf(tf, docs, "ID", TFIDF_VOCAB)
+    return X.tfidf_by_text(docs, "ID", "txt", TFIDF_VOCAB)
 
 
 def registry() -> dict:

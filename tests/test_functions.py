@@ -37,3 +37,12 @@ def test_fill_all_fills_strings_with_zero_text(spark):
     df = spark.createDataFrame([(1, None, None, float("nan"))], "ID int, s string, x double, y double")
     r = fill_all(df).collect()[0]
     assert r["s"] == "0" and r["x"] == 0.0 and r["y"] == 0.0
+
+
+def test_tfidf_by_text_equals_per_document(spark):
+    from hazardlake.operators.textvec import char_ngrams, tfidf, tfidf_by_text
+    rows = [(1, "46,XX"), (2, "46,XX"), (3, "45,xy,-7  del(5q)"), (4, "complex"), (5, "46,XX"), (6, "ab")]
+    docs = spark.createDataFrame(rows, "ID int, txt string")
+    a = {(r["ID"], r["term"]): r["weight"] for r in tfidf(char_ngrams(docs, "ID", "txt"), docs, "ID", 20).collect()}
+    b = {(r["ID"], r["term"]): r["weight"] for r in tfidf_by_text(docs, "ID", "txt", 20).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
