@@ -202,3 +202,28 @@ def preprocessing_sweep(train: DataFrame, valid: DataFrame, num_cols, grid: dict
             res = res.withColumn(k, F.lit(v))
         out = res if out is None else out.unionByName(res)
     return out
+
+
+def cross_validate_models(df: DataFrame, models: dict, n_splits=3, tau=7.0, seed=42, strata=(), prepare=None,
+                          id_col="ID", time_col="time", event_col="event"):
+    """Every model of ``models`` (name -> fit_predict) on the same folds.
+
+    All (fold, model) out-of-fold risks are scored by ONE IPCW job grouped
+    by (fold, model), with the censoring curve of each fold estimated on its
+    training rows.  Returns (per-fold (fold, model, cindex), summary (model, mean, std)).
+    """
+    from ..operators.survival import ipcw_cindex
+
+    f, prepared = prepare_folds(df, prepare or (lambda a, b: (a, b)), n_splits, seed, strata, id_col)
+    preds = None
+    for k, (a, b) in enumerate(prepared):
+        for name, fit_predict in models.items():
+            p = fit_predict(a, b).select(id_col, time_col, event_col, "risk") \
+                .withColumn("fold", F.lit(k)).withColumn("model", F.lit(name))
+            preds = p if preds is None else preds.unionByName(p)
+    folds = df.sparkSession.createDataFrame([(k,) for k in range(n_splits)], "fold int")
+    train_rows = f.join(F.broadcast(folds), F.col("__fold") != F.col("fold"))  # each row trains k-1 folds
+    per_fold = ipcw_cindex(train_rows.select("fold", time_col, event_col), preds, "risk", tau, time_col, event_col,
+                           group_cols=["fold", "model"]).select("fold", "model", "cindex")
+    summary = per_fold.groupBy("model").agg(F.avg("cindex").alias("mean"), F.stddev_samp("cindex").alias("std"))
+    return per_fold, summary
