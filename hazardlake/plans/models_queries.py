@@ -32,7 +32,22 @@ CV_FOLDS = 3
 FOREST_TREES, FOREST_DEPTH, FOREST_LEAF = 20, 6, 10
 
 
+_DESIGNS: dict = {}
+
+
 def _design(c, with_text=True):
+    """Hold-out design matrices, fitted preprocessing on the training part.
+
+    The checkpointed result is reused by the model queries of the same
+    Spark application (same inputs, same parameters).
+    """
+    key = (c.spark.sparkContext.applicationId, c.sf_dir, with_text)
+    if key not in _DESIGNS:
+        _DESIGNS[key] = _build_design(c, with_text)
+    return _DESIGNS[key]
+
+
+def _build_design(c, with_text=True):
     t, genes, effects = N.train_table(c.clinical_train, c.molecular_train, c.target, TOP_GENES, TOP_EFFECTS)
     t = cut_lineage(P.to_survival(t).withColumn("is_test", c.is_test()))
     num = [f.name for f in t.schema.fields if f.name not in ("ID", "OS_YEARS", "OS_STATUS", "time", "is_test")
