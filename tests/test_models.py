@@ -114,3 +114,17 @@ def test_stacking_and_l1_selection(spark):
     sc = spark.createDataFrame(pd.DataFrame({"time": t, "event": e, "s1": X[:, 0], "s2": X[:, 1] + 1.0}))
     out, b = cox_stacking(sc, sc, ["s1", "s2"])
     assert out.count() == 200 and b[0] > 0 and b[1] < 0
+
+
+def test_ridge_matches_closed_form(spark):
+    from pyspark.sql import functions as F
+    from hazardlake.operators.linear import fit_ridge_time, ridge_risk
+    df, X, t, _ = _data(spark, n=150, seed=31)
+    X2 = np.c_[X, X[:, 0]]                                 # a collinear column: alpha keeps it solvable
+    df2 = spark.createDataFrame([(Vectors.dense(X2[i].tolist()), float(t[i])) for i in range(150)], ["features", "time"])
+    w, b = fit_ridge_time(df2, alpha=1.0)
+    Xc, yc = X2 - X2.mean(0), t - t.mean()
+    w_np = np.linalg.solve(Xc.T @ Xc + np.eye(4), Xc.T @ yc)
+    assert np.allclose(w, w_np) and abs(b - (t.mean() - X2.mean(0) @ w_np)) < 1e-9
+    r = ridge_risk((w, b), df2).select(F.col("risk")).toPandas()["risk"].to_numpy()
+    assert np.allclose(r, -(X2 @ w_np + b))
