@@ -339,9 +339,15 @@ def concordance_sums_pairs(rows: DataFrame, group_cols=(), tol: float = TIED_TOL
 
 
 def _sums(rows, group_cols, tol, censored_ties, method, n_buckets):
+    """Sums for every group of ``rows``; a group without comparable pairs gets zeros."""
+    g = list(group_cols)
     if method == "pairs":
-        return concordance_sums_pairs(rows, group_cols, tol, censored_ties)
-    return concordance_sums(rows, group_cols, tol, censored_ties, n_buckets)
+        s = concordance_sums_pairs(rows, g, tol, censored_ties)
+    else:
+        s = concordance_sums(rows, g, tol, censored_ties, n_buckets)
+    keys = rows.select(*g).distinct() if g else rows.sparkSession.range(1).select()
+    out = keys.join(s, on=g, how="left") if g else keys.join(s, how="left")
+    return out.fillna(0.0, subset=["lt", "le", "all"])
 
 
 # ---------------------------------------------------------------------------

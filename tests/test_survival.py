@@ -88,3 +88,12 @@ def test_harrell_counts(spark):
     # i=0: j=1..4 all lower risk -> 4 conc; i=1 (t=2): j=3,4 lower -> 2; i=3 (t=3): j=4 tie -> 1 tied
     assert (r["concordant"], r["discordant"], r["tied"]) == (6, 0, 1)
     assert abs(r["cindex"] - 6.5 / 7) < 1e-12
+
+
+def test_no_events_edge_case(spark):
+    pdf = pd.DataFrame({"time": [1.0, 2.0, 3.0], "event": [False, False, False], "risk": [1.0, 2.0, 3.0]})
+    df = spark.createDataFrame(pdf)
+    r = harrell_pairs(df, "risk").collect()
+    assert len(r) == 1 and r[0]["cindex"] == 0.5 and r[0]["concordant"] == 0
+    c = ipcw_cindex(df, df, "risk", 5.0).collect()
+    assert len(c) == 1 and c[0]["cindex"] is None
