@@ -46,3 +46,31 @@ def test_tfidf_by_text_equals_per_document(spark):
     a = {(r["ID"], r["term"]): r["weight"] for r in tfidf(char_ngrams(docs, "ID", "txt"), docs, "ID", 20).collect()}
     b = {(r["ID"], r["term"]): r["weight"] for r in tfidf_by_text(docs, "ID", "txt", 20).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+def test_csv_loaders_schema_and_nulls(spark, tmp_path):
+    import pandas as pd
+
+    from hazardlake.operators.aggregates import entity_features
+    from hazardlake.sources import load_all
+
+    d = tmp_path
+    pd.DataFrame({"ID": ["P1", "P2"], "CENTER": ["A", None], "BM_BLAST": [1.0, float("nan")], "WBC": [2.0, 3.0],
+                  "ANC": [1.0, 1.0], "MONOCYTES": [0.1, 0.2], "HB": [9.0, 10.0], "PLT": [100.0, None],
+                  "CYTOGENETICS": ["46,XX", None]}).to_csv(d / "clinical_train.csv", index=False)
+    pd.DataFrame({"ID": ["P3"], "CENTER": ["B"], "BM_BLAST": [0.5], "WBC": [1.0], "ANC": [1.0], "MONOCYTES": [0.1],
+                  "HB": [11.0], "PLT": [90.0], "CYTOGENETICS": ["complex"]}).to_csv(d / "clinical_test.csv", index=False)
+    mol = pd.DataFrame({"ID": ["P1", "P1", "P2"], "CHR": ["1", "2", "3"], "START": [1, 2, 3], "END": [2, 3, 4],
+                        "REF": ["A", "C", "G"], "ALT": ["T", "G", "A"], "GENE": ["TP53", "TET2", "TP53"],
+                        "PROTEIN_CHANGE": ["x", "y", "z"], "EFFECT": ["stop", "missense", "stop"],
+                        "VAF": ["0.4", "abc", "0.05"], "DEPTH": ["100", "200", ""]})
+    mol.to_csv(d / "molecular_train.csv", index=False)
+    mol.iloc[:0].to_csv(d / "molecular_test.csv", index=False)
+    pd.DataFrame({"ID": ["P1", "P2"], "OS_YEARS": [1.5, None], "OS_STATUS": [1.0, 0.0]}).to_csv(
+        d / "target_train.csv", index=False)
+    t = load_all(spark, str(d))
+    clin = {r["ID"]: r for r in t["clinical_train"].collect()}
+    assert clin["P2"]["BM_BLAST"] is None and clin["P2"]["PLT"] is None and clin["P1"]["HB"] == 9.0
+    assert t["clinical_test"].count() == 1 and t["target_train"].count() == 2
+    f = {r["ID"]: r for r in entity_features(t["molecular_train"], gene_list=["TP53"], effect_list=[]).collect()}
+    assert f["P1"]["vaf_mean"] == 0.4 and f["P1"]["n_mut"] == 2 and f["P2"]["depth_max"] == 0.0
