@@ -450,5 +450,16 @@ sw AS (SELECT sc.*, w.weight, w.weight * mm_a + (1 - w.weight) * mm_b AS ens
 SELECT round(weight, 6) AS weight, round(cindex, 6) AS cindex FROM cidx"""
 
 
+SQL["cv_fixed_scores"] = f"""WITH {FX},
+j AS (SELECT l.ID, l.OS_YEARS AS time, l.OS_STATUS = 1 AS event, c.HB, c.PLT,
+        CAST(({POS('l.OS_STATUS', H('l.ID') + ', l.ID')} - 1) % 3 AS INTEGER) AS fold
+      FROM lab l JOIN fx_clinical c USING (ID)),
+tr AS (SELECT f.k AS fold, j.time, j.event FROM j, (SELECT unnest([0, 1, 2]) AS k) f WHERE j.fold <> f.k),
+te AS (SELECT ID, time, event, fold, 'HB' AS model, HB AS rsk FROM j
+       UNION ALL SELECT ID, time, event, fold, 'neg_PLT' AS model, -coalesce(PLT, 0.0) AS rsk FROM j),
+{CINDEX_SQL('te', 'te.rsk', ['fold'], ['fold', 'model'])}
+SELECT fold, model, round(cindex, 6) AS cindex FROM cidx"""
+
+
 def oracle_sql() -> dict:
     return dict(SQL)

@@ -460,3 +460,14 @@ def q_minmax_sweep(c):
     sw = t.join(F.broadcast(ws), how="cross")  # one copy per weight (7 rows)
     sw = sw.withColumn("ens", F.col("weight") * F.col("mm_a") + (1 - F.col("weight")) * F.col("mm_b"))
     return S.ipcw_cindex(tr, sw, "ens", TAU, "time", "event", group_cols=["weight"]).select("weight", "cindex")
+
+
+@query("cv_fixed_scores")
+def q_cv_fixed(c):
+    """Stratified 3-fold IPCW C of two fixed scores, censoring curve per training fold."""
+    from . import select as Sel
+    lab = cut_lineage(P.to_survival(_labeled_with_clinical(c)))
+    models = {"HB": lambda a, b: b.withColumn("risk", F.col("HB")),
+              "neg_PLT": lambda a, b: b.withColumn("risk", -F.coalesce(F.col("PLT"), F.lit(0.0)))}
+    per_fold, _ = Sel.cross_validate_models(lab, models, 3, TAU, SEED, strata="OS_STATUS")
+    return per_fold
