@@ -1,18 +1,57 @@
-"""Corpus pipeline over ``documents``: see STAGES."""
+"""Corpus pipeline over ``documents``: toxicity, line dedup, near-duplicates, benchmark passages, token ids.
+
+Each stage reads all rows that the one before kept.  Empty tables, NULL texts
+and NULL ids pass every stage; see the operators for what each does with them.
+"""
 from __future__ import annotations
 
-from hazardlake.llm import bpe
+from pyspark.sql import functions as F
+
+from hazardlake.llm import bpe, decontaminate, linededup, neardup, toxicity
 from hazardlake.llm.common import materialise, table
 from hazardlake.llm.op2 import vocab_path
 
+COPIED_SHARE = 0.8      # a document that loses this share of its words to passages that stand elsewhere is a copy
+
+
+def toxicity_stage(spark, docs, sf_dir):
+    """Documents that the toxicity model rejects go; it is fitted on a bounded sample of all labelled rows."""
+    return toxicity.reject_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def line_dedup_stage(spark, docs, sf_dir):
+    """Repeated passages go; documents that consist of them (``COPIED_SHARE`` of the words) go whole."""
+    cut = linededup.dedup_lines(docs)
+    left = linededup.n_words(F.col("text"))
+    keep = (F.col("removed_words") == 0) | (F.col("removed_words") < COPIED_SHARE * (F.col("removed_words") + left))
+    return cut.where(keep).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup_stage(spark, docs, sf_dir):
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return neardup.keep_one(docs).select(*docs.columns)
+
+
+def decontamination_stage(spark, docs, sf_dir):
+    """Documents that hold benchmark passages beyond the limit go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def bpe_stage(spark, docs, sf_dir):
+    """Token ids of every document that remains."""
+    return bpe.encode(docs.drop("ids"), vocab_path()).select(
+        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
-def encode_stage(spark, docs, sf_dir):
-    """Token ids of every remaining document."""
-    return bpe.encode(docs.drop("ids"), vocab_path()).selectExpr(
-        "doc_id", "lang", "source", "size(ids) as n_tokens", "ids")
 
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_dedup_stage),
+    ("minhash_near_dedup", near_dedup_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("bpe_encoding", bpe_stage),
+]
 
-STAGES = [("bpe", encode_stage)]
+#: None: models, suffix automata and merges have no SQL form; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 

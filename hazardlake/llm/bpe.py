@@ -34,7 +34,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from hazardlake.llm.common import add_columns
+from hazardlake.llm.common import add_columns, materialise, most_frequent
 from hazardlake.session import ship_package
 
 LEXICON_WORDS = 50_000       # frequent pieces compiled into the automaton
@@ -329,7 +329,8 @@ def _counted(counts):
 def build_lexicon(texts: DataFrame, vocab_path: str, column: str = "text", words: int = LEXICON_WORDS) -> str:
     """Compile the frequent words of ``texts``; returns the name of the file that tasks map into memory."""
     spark = texts.sparkSession
-    top = piece_counts(texts, vocab_path, column).orderBy(F.desc("n"), "piece").limit(words).collect()
+    counts = materialise(piece_counts(texts, vocab_path, column), "pieces")
+    top = most_frequent(counts, "n", words).select("piece").collect()
     return ship_lexicon(spark, compile_lexicon(vocabulary(vocab_path), [r.piece for r in top]))
 
 

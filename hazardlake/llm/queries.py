@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from hazardlake.llm.op1 import op1_line_dedup
 from hazardlake.llm.op2 import op2_bpe
 from hazardlake.llm.op4 import op4_toxicity
 from hazardlake.llm.op9 import op9_decontamination
@@ -10,7 +11,7 @@ from hazardlake.llm.op10 import op10_minhash
 
 
 def registry() -> dict[str, Callable]:
-    return {"op2_bpe": op2_bpe, "op4_toxicity": op4_toxicity, "op9_decontamination": op9_decontamination,
+    return {"op1_line_dedup": op1_line_dedup, "op2_bpe": op2_bpe, "op4_toxicity": op4_toxicity, "op9_decontamination": op9_decontamination,
             "op10_minhash": op10_minhash}
 
 

@@ -9,8 +9,8 @@ log-likelihood ratio (mean over all words) and that of its most toxic stretch
 of ``STRETCH`` words; a logistic function fitted on labelled rows kept out of
 the counts turns them into a score from 0 to 1.
 
-Fitting uses at most ``SAMPLE`` labelled training documents of each class
-(those with the smallest hash of the id) and keeps the ``MAX_GRAMS`` most
+Fitting uses ``SAMPLE`` labelled training documents of each class
+(at most about that many, picked by a hash of the id) and keeps the ``MAX_GRAMS`` most
 frequent grams, so the broadcast model is bounded (about 100 MB at that limit).
 Scoring reads every whole text.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from hazardlake.llm.common import add_columns
+from hazardlake.llm.common import add_columns, materialise, most_frequent
 from hazardlake.session import ship_package
 
 ORDER = 6                 # characters of a gram
@@ -202,11 +202,13 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(text, toxic, calibrate): at most ``sample`` labelled documents of each class, whole texts."""
+    """(text, toxic, calibrate): about ``sample`` labelled documents of each class at most, whole texts."""
     known = (labels.where("doc_id is not null and toxic is not null").groupBy("doc_id")
              .agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
-    some = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
-    picked = some[0].unionAll(some[1])
+    known = materialise(known, "labels")
+    have = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = F.coalesce(*[F.when(F.col("toxic") == y, F.lit(sample / n)) for y, n in have.items()], F.lit(0.0))
+    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**32)) < share * 2**32)
     return (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")      # 2 * sample ids at most
             .select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).alias("calibrate")))
 
@@ -214,8 +216,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFram
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_grams: int = MAX_GRAMS) -> Model:
     """Learn from the labelled rows of ``docs``; the caller leaves held-out rows out of ``labels``."""
     rows = labelled_sample(docs, labels, sample)
-    counts = gram_counts(rows.where("not calibrate"))
-    top = counts.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "gram").limit(max_grams).toArrow()
+    counts = gram_counts(rows.where("not calibrate")).withColumn("n", F.col("toxic") + F.col("ordinary"))
+    top = most_frequent(materialise(counts, "grams"), "n", max_grams).select("gram", "toxic", "ordinary").toArrow()
     grams, toxic, ordinary = (top.column(i).to_numpy() for i in range(3))
     if not toxic.sum() or not ordinary.sum():
         return Model(None, None)
