@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from hazardlake.llm import bpe, decontaminate, linededup, neardup, toxicity
 from hazardlake.llm.common import materialise, table
 from hazardlake.llm.op2 import vocab_path
+from hazardlake.llm.op4 import fitted
 
 COPIED_SHARE = 0.8      # a document that loses this share of its words to passages that stand elsewhere is a copy
 
 
 def toxicity_stage(spark, docs, sf_dir):
-    """Documents that the toxicity model rejects go; it is fitted on a bounded sample of all labelled rows."""
-    return toxicity.reject_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    """Documents that the toxicity model rejects go; it is fitted on labelled rows that are not held out."""
+    return toxicity.reject_toxic(docs, fitted(spark, docs, sf_dir))
 
 
 def line_dedup_stage(spark, docs, sf_dir):
