@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hazardlake.llm.common import materialise
+from hazardlake.llm.common import let, materialise
 
 LINE_END = r"(?<=[.!?,;:a-e] |\n)"
 WINDOW = 2
@@ -37,11 +37,6 @@ MIN_CHUNK_CHARS = 24         # shorter chunks are too common to start a match; a
 BROADCAST_ROWS = 200_000     # edited documents; beyond it the edits are joined by shuffling
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def lines(text: Column) -> Column:
     return F.split(text, LINE_END)
 

@@ -3,17 +3,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from hazardlake.llm import op7
 from hazardlake.llm.op1 import op1_line_dedup
 from hazardlake.llm.op2 import op2_bpe
 from hazardlake.llm.op4 import op4_toxicity
+from hazardlake.llm.op6 import op6_sharding
+from hazardlake.llm.op7 import op7_quality_rules
 from hazardlake.llm.op9 import op9_decontamination
 from hazardlake.llm.op10 import op10_minhash
 
 
 def registry() -> dict[str, Callable]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_bpe": op2_bpe, "op4_toxicity": op4_toxicity, "op9_decontamination": op9_decontamination,
-            "op10_minhash": op10_minhash}
+    found = [op1_line_dedup, op2_bpe, op4_toxicity, op6_sharding, op7_quality_rules, op9_decontamination, op10_minhash]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL for the queries whose rows SQL can express."""
+    return {"op7_quality_rules": op7.ORACLE}
