@@ -33,7 +33,8 @@ LINE_END = r"(?<=[.!?,;:a-e] |\n)"
 WINDOW = 2
 REACH = 4                    # chunks on either side into which a match is followed
 MIN_WORDS = 50
-MIN_CHUNK_CHARS = 24         # shorter chunks are too common to start a match; a match still runs through them
+BLOCK = 128                  # elements of a block of prefix sums
+MIN_CHUNK_BYTES = 24         # shorter chunks are too common to start a match; a match still runs through them
 BROADCAST_ROWS = 200_000     # edited documents; beyond it the edits are joined by shuffling
 
 
@@ -45,22 +46,43 @@ def bare(line: Column) -> Column:
     return F.rtrim(line, F.lit(" \n"))
 
 
+def offsets(sizes: Column) -> Column:
+    """Sums of the elements before each element, in blocks so that long arrays are not copied for each."""
+    def append(acc, x):
+        return F.concat(acc, F.array(F.element_at(acc, -1) + x))
+
+    def part(b):
+        return F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK))
+
+    def inside(starts):
+        return F.flatten(F.transform(starts, lambda s, b: let(
+            F.aggregate(part(b), F.array(s), append), lambda sums: F.slice(sums, 1, F.size(sums) - 1))))
+
+    totals = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")),
+                         lambda b: F.aggregate(part(b), F.lit(0), lambda x, y: x + y))
+    return let(F.aggregate(totals, F.array(F.lit(0)), append), lambda t: inside(F.slice(t, 1, F.size(t) - 1)))
+
+
 def chunk_array(text: Column, window: int) -> Column:
-    """Array of (start, end, before, after, hash, chars); positions count lines, end exclusive.
+    """Array of (hash, at, len, back, ahead) in bytes; back and ahead reach over the ``REACH`` chunks on either side."""
+    def of_sizes(units, h, ends, sizes, at):
+        n = F.size(ends)
 
-    ``before`` and ``after`` bound the lines of the ``REACH`` chunks on either side.
-    """
-    def of_ends(units, h, ends):
         def chunk(e, j):
             start = F.coalesce(F.get(ends, j - 1) + 1, F.lit(0))
+            far = F.least(j + REACH, n - 1)
             return F.struct(
-                start.alias("start"), (e + 1).alias("end"),
-                F.coalesce(F.get(ends, j - 1 - REACH) + 1, F.lit(0)).alias("before"),
-                (F.coalesce(F.get(ends, j + REACH), F.get(ends, F.size(ends) - 1)) + 1).alias("after"),
-                F.xxhash64(F.slice(h, start + 1, e + 1 - start)).alias("hash"),
-                F.aggregate(F.slice(units, start + 1, e + 1 - start), F.lit(0), lambda a, u: a + F.length(u)).alias("chars"))
+                F.xxhash64(F.slice(h, start + 1, e + 1 - start)).alias("hash"), F.get(at, j).alias("at"), F.get(sizes, j).alias("len"),
+                (F.get(at, j) - F.get(at, F.greatest(j - REACH, F.lit(0)))).alias("back"),
+                (F.get(at, far) + F.get(sizes, far) - F.get(at, j) - F.get(sizes, j)).alias("ahead"))
         return F.transform(ends, chunk)
 
+    def of_ends(units, h, ends):
+        def size(e, j):
+            start = F.coalesce(F.get(ends, j - 1) + 1, F.lit(0))
+            return F.aggregate(F.slice(units, start + 1, e + 1 - start), F.lit(0), lambda a, u: a + F.octet_length(u))
+        return let(F.transform(ends, size), lambda z: let(offsets(z), lambda at: of_sizes(units, h, ends, z, at)))
+
     def of_rolling(units, h, r):
         last = F.size(h) - 1
         ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (
@@ -74,8 +96,9 @@ def chunk_array(text: Column, window: int) -> Column:
     return let(lines(text), lambda u: let(F.transform(u, lambda x: F.xxhash64(bare(x))), lambda h: of_hashes(u, h)))
 
 
-def _joined(units: Column, start: Column, end: Column) -> Column:
-    return F.array_join(F.slice(units, start + 1, F.greatest(end - start, F.lit(0))), "")
+def _piece(raw: Column, at: Column, size: Column) -> Column:
+    """Bytes of a text as a string on one line."""
+    return F.translate(F.substring(raw, at + 1, size).cast("string"), "\n", " ")
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -85,27 +108,44 @@ def _common(a: Column, b: Column) -> Column:
                lambda r: F.when(r["p"] == 0, r["n"]).otherwise(r["p"] - 1))
 
 
-def _shared_chars(a: Column, b: Column, backward: bool) -> Column:
-    """Characters of ``a`` in the words that its end (start) has in common with that of ``b``."""
+def _shared_bytes(a: Column, b: Column, backward: bool) -> Column:
+    """Bytes of ``a`` in the words that its end (start) has in common with that of ``b``."""
     def words(t):
-        w = F.split(F.translate(t, "\n", " "), " ")
+        w = F.split(t, " ")
         return F.reverse(w) if backward else w
 
-    return let(words(a), lambda w: let(_common(w, words(b)), lambda k: F.length(F.array_join(F.slice(w, 1, k), " "))))
+    return let(words(a), lambda w: let(_common(w, words(b)), lambda k: F.octet_length(F.array_join(F.slice(w, 1, k), " "))))
+
 
+MATCH = "struct<at:int,len:int,back:int,ahead:int,f_at:int,f_len:int,f_back:int,f_ahead:int>"
 
-def matches(units: Column, other: Column, found: Column) -> Column:
-    """Character intervals of the chunks in ``found`` that equal their first occurrence, followed to both sides."""
+
+def chained(found: Column, raw: Column, other: Column) -> Column:
+    """Matches of neighbouring chunks with the same neighbours in the other text, joined; so are those with an equal gap."""
+    def add(acc, x):
+        def joined(last):
+            gap = x["at"] - last["at"] - last["len"]
+            f_gap = x["f_at"] - last["f_at"] - last["f_len"]
+            follows = (gap == f_gap) & (gap >= 0) & (gap <= 4 * MIN_CHUNK_BYTES) & (
+                (gap == 0) | (F.substring(raw, last["at"] + last["len"] + 1, gap) == F.substring(other, last["f_at"] + last["f_len"] + 1, gap)))
+            both = F.struct(last["at"].alias("at"), (x["at"] + x["len"] - last["at"]).alias("len"), last["back"].alias("back"),
+                            x["ahead"].alias("ahead"), last["f_at"].alias("f_at"), (x["f_at"] + x["f_len"] - last["f_at"]).alias("f_len"),
+                            last["f_back"].alias("f_back"), x["f_ahead"].alias("f_ahead"))
+            return F.when(follows, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both))).otherwise(F.concat(acc, F.array(x)))
+        return let(F.get(acc, F.size(acc) - 1), joined)
+
+    return F.aggregate(found, F.array().cast(f"array<{MATCH}>"), add)
+
+
+def matches(raw: Column, other: Column, found: Column) -> Column:
+    """Byte intervals of the matches that equal their first occurrence, followed to both sides."""
     def interval(x):
-        own, first = F.slice(units, x["start"] + 1, x["end"] - x["start"]), F.slice(other, x["f_start"] + 1, x["f_end"] - x["f_start"])
-        equal = F.transform(own, bare) == F.transform(first, bare)
-        begin = F.length(_joined(units, F.lit(0), x["start"]))
-        chars = F.length(F.array_join(own, ""))
-        back = _shared_chars(_joined(units, x["before"], x["start"]), _joined(other, x["f_before"], x["f_start"]), True)
-        ahead = _shared_chars(_joined(units, x["end"], x["after"]), _joined(other, x["f_end"], x["f_after"]), False)
-        return F.when(equal, F.struct((begin - back).alias("s"), (begin + chars + ahead).alias("e")))
+        equal = F.rtrim(_piece(raw, x["at"], x["len"])) == F.rtrim(_piece(other, x["f_at"], x["f_len"]))
+        back = _shared_bytes(_piece(raw, x["at"] - x["back"], x["back"]), _piece(other, x["f_at"] - x["f_back"], x["f_back"]), True)
+        ahead = _shared_bytes(_piece(raw, x["at"] + x["len"], x["ahead"]), _piece(other, x["f_at"] + x["f_len"], x["f_ahead"]), False)
+        return F.when(equal, F.struct((x["at"] - back).alias("s"), (x["at"] + x["len"] + ahead).alias("e")))
 
-    return F.filter(F.transform(found, interval), lambda i: i.isNotNull())
+    return F.filter(F.transform(chained(found, raw, other), interval), lambda i: i.isNotNull())
 
 
 def runs(intervals: Column) -> Column:
@@ -125,33 +165,35 @@ def n_words(text: Column) -> Column:
     return F.size(F.filter(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != ""))
 
 
-def _cut(text: Column, cuts: Column) -> Column:
-    """The text outside the cuts."""
-    state = F.aggregate(
-        cuts, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda a, r: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, r["s"] - a["at"])).alias("out"), r["e"].alias("at")))
-    return let(state, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+def _cut(raw: Column, cuts: Column) -> Column:
+    """The bytes outside the cuts."""
+    def before(r, k):
+        start = F.coalesce(F.get(cuts, k - 1)["e"], F.lit(0))
+        return F.substring(raw, start + 1, r["s"] - start).cast("string")
+
+    rest = let(F.get(cuts, F.size(cuts) - 1)["e"], lambda e: F.substring(raw, e + 1, F.octet_length(raw)).cast("string"))
+    return F.concat(F.array_join(F.transform(cuts, before), ""), rest)
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-                window: int = WINDOW, min_chunk_chars: int = MIN_CHUNK_CHARS) -> DataFrame:
-    """``df`` with repeated passages cut from the text, plus ``removed_spans`` (character spans of the
-    original text) and ``removed_words``.
+                window: int = WINDOW, min_chunk_bytes: int = MIN_CHUNK_BYTES) -> DataFrame:
+    """``df`` with repeated passages cut from the text, plus ``removed_spans`` (byte spans of the original
+    text in UTF-8) and ``removed_words``.
     """
     keyed = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).where("text <> ''")
-    place = ["id", "h", "start", "end", "before", "after"]
+    place = ["id", "h", "at", "len", "back", "ahead"]
 
     # 1. chunks, and those whose hash occurs more than once
     chunks = materialise(
-        keyed.select("id", "h", F.explode(chunk_array(F.col("text"), window)).alias("c")).select("id", "h", "c.*")
-        .where(F.col("chars") >= min_chunk_chars).select("hash", *place), "chunks")
+        keyed.select("id", "h", F.explode(chunk_array(F.col("text"), window)).alias("c")).select("c.hash", "id", "h", "c.at", "c.len", "c.back", "c.ahead")
+        .where(F.col("len") >= min_chunk_bytes), "chunks")
     often = chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     again = materialise(chunks.join(often, "hash"), "repeated")
 
     # 2. all but the first occurrence, by document and document of the first occurrence
     first = again.groupBy("hash").agg(F.min(F.struct(*place)).alias("f")).select("hash", *[F.col(f"f.{c}").alias(f"f_{c}") for c in place])
-    later = again.join(first, "hash").where(~(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")) & (F.col("start") == F.col("f_start"))))
-    spans = ["start", "end", "before", "after", "f_start", "f_end", "f_before", "f_after"]
+    later = again.join(first, "hash").where(~(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")) & (F.col("at") == F.col("f_at"))))
+    spans = ["at", "len", "back", "ahead", "f_at", "f_len", "f_back", "f_ahead"]
     pairs = materialise(later.groupBy("id", "h", "f_id", "f_h").agg(F.sort_array(F.collect_set(F.struct(*spans))).alias("found")), "pairs")
 
     # 3. texts of these documents, once each; byte comparison
@@ -160,28 +202,27 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     keys = wanted.select(F.col("id").alias("w_id"), F.col("h").alias("w_h"))
     texts = keyed.join(F.broadcast(keys) if n <= 5 * BROADCAST_ROWS else keys,
                        F.col("id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h")), "left_semi")
-    texts = materialise(texts.dropDuplicates(["id", "h"]), "texts")
+    texts = materialise(texts.dropDuplicates(["id", "h"]).withColumn("text", F.col("text").cast("binary")), "texts")
     own = texts.select(F.col("id").alias("t_id"), F.col("h").alias("t_h"), F.col("text").alias("own"))
     other = texts.select(F.col("id").alias("o_id"), F.col("h").alias("o_h"), F.col("text").alias("other"))
     both = (pairs.join(own, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")))
             .join(other, F.col("f_id").eqNullSafe(F.col("o_id")) & (F.col("f_h") == F.col("o_h"))))
-    found = let(lines(F.col("own")), lambda u: let(lines(F.col("other")), lambda o: matches(u, o, F.col("found"))))
-    edits = (both.select("id", "h", found.alias("found")).where("size(found) > 0").groupBy("id", "h")
-             .agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    edits = (both.select("id", "h", matches(F.col("own"), F.col("other"), F.col("found")).alias("found")).where("size(found) > 0")
+             .groupBy("id", "h").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
              .select(F.col("id").alias("e_id"), F.col("h").alias("e_h"), runs(F.col("found")).alias("runs"))
              .where(F.exists("runs", lambda r: r["e"] - r["s"] >= 2 * min_words - 1)))
     edits = materialise(edits, "edits")
 
     # 4. cut the runs that are long enough
     n = edits.count()
-    text = F.col(text_col)
+    text, raw = F.col(text_col), F.col(text_col).cast("binary")
     cuts = F.filter(F.coalesce(F.col("runs"), F.array().cast("array<struct<s:int,e:int>>")),
-                    lambda r: n_words(F.substring(text, r["s"] + 1, r["e"] - r["s"])) >= min_words)
+                    lambda r: n_words(_piece(raw, r["s"], r["e"] - r["s"])) >= min_words)
     keep = [F.col(c) for c in df.columns if c not in (text_col, "removed_spans", "removed_words")]
     joined = df.join(F.broadcast(edits) if n <= BROADCAST_ROWS else edits,
                      F.col(id_col).eqNullSafe(F.col("e_id")) & (F.xxhash64(text_col) == F.col("e_h")), "left")
     out = joined.select(*keep, let(cuts, lambda r: F.struct(
-        F.when(F.size(r) > 0, _cut(text, r)).otherwise(text).alias("text"), r.alias("spans"),
-        F.aggregate(r, F.lit(0), lambda a, x: a + n_words(F.substring(text, x["s"] + 1, x["e"] - x["s"]))).alias("words"))).alias("__cut"))
+        F.when(F.size(r) > 0, _cut(raw, r)).otherwise(text).alias("text"), r.alias("spans"),
+        F.aggregate(r, F.lit(0), lambda a, x: a + n_words(_piece(raw, x["s"], x["e"] - x["s"]))).alias("words"))).alias("__cut"))
     return out.select(*keep, F.col("__cut.text").alias(text_col), F.col("__cut.spans").alias("removed_spans"),
                       F.col("__cut.words").alias("removed_words"))
