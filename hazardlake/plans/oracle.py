@@ -84,46 +84,41 @@ def AGG_SQL(rel: str, rounded: bool) -> str:
 FROM {rel} GROUP BY ID"""
 
 
-def PIVOT_SQL(rel: str, binary: bool) -> str:
-    """Wide GENE__/EFFECT__ indicators of ``rel`` for the train lists tg / te."""
-    agg = "max(v)" if binary else "sum(v)"
-    return f"""(PIVOT (SELECT m.ID, 'GENE__' || tg.GENE AS feat, (m.GENE IS NOT DISTINCT FROM tg.GENE)::INTEGER AS v
-               FROM {rel} m CROSS JOIN tg
-               UNION ALL
-               SELECT m.ID, 'EFFECT__' || te.EFFECT AS feat, (m.EFFECT IS NOT DISTINCT FROM te.EFFECT)::INTEGER AS v
-               FROM {rel} m CROSS JOIN te)
-        ON feat USING {agg} GROUP BY ID)"""
+def FEATS_SQL(rel: str, ents: str, binary: bool, value_type: str, genes_only: bool = False) -> str:
+    """CTEs feats / cnt / ind: (ID, feature, value) for every entity of ``ents`` and every listed gene and effect."""
+    value = "CASE WHEN x.n > 0 THEN 1 ELSE 0 END" if binary else "coalesce(x.n, 0)"
+    effects = "" if genes_only else " UNION ALL SELECT 'EFFECT__' || EFFECT FROM te"
+    return f"""feats AS (SELECT 'GENE__' || GENE AS feature FROM tg{effects}),
+cnt AS (SELECT ID, 'GENE__' || GENE AS feature, count(*) AS n FROM {rel} GROUP BY 1, 2
+        UNION ALL SELECT ID, 'EFFECT__' || EFFECT AS feature, count(*) AS n FROM {rel} GROUP BY 1, 2),
+ind AS (SELECT e.ID, f.feature, CAST({value} AS {value_type}) AS value FROM (SELECT DISTINCT ID FROM {ents}) e CROSS JOIN feats f
+        LEFT JOIN cnt x ON x.ID = e.ID AND x.feature = f.feature)"""
 
 
 TOPLISTS = """mt AS (SELECT * FROM fx_molecular WHERE ID IN (SELECT ID FROM fx_target)),
 tg AS (SELECT GENE FROM mt WHERE GENE IS NOT NULL GROUP BY GENE ORDER BY count(*) DESC, GENE ASC LIMIT 10),
 te AS (SELECT EFFECT FROM mt WHERE EFFECT IS NOT NULL GROUP BY EFFECT ORDER BY count(*) DESC, EFFECT ASC LIMIT 25)"""
 
-IND = "COLUMNS(lambda x: starts_with(x, 'GENE__') OR starts_with(x, 'EFFECT__'))"
-
-
 def WIDE_SQL(clin: str, mol: str, with_target: bool) -> str:
+    """The numeric columns of the train / scoring table as (ID, feature, value)."""
     tgt = "JOIN fx_target t USING (ID)" if with_target else ""
     where = "WHERE t.OS_YEARS IS NOT NULL AND t.OS_STATUS IS NOT NULL" if with_target else ""
-    tcols = ", round(t.OS_YEARS, 6) AS OS_YEARS, CAST(t.OS_STATUS AS INTEGER) AS OS_STATUS" if with_target else ""
+    tcols = ", t.OS_YEARS, t.OS_STATUS" if with_target else ""
     return f"""
 agg AS ({AGG_SQL(mol, False)}),
 fl AS (SELECT ID, {CYTO_SQL.strip()}, {RULE_SQL.strip()}
-       FROM (SELECT ID, CYTOGENETICS, {S_EXPR} AS s, {T_EXPR} AS t FROM {clin}))
-SELECT c.ID, coalesce(c.CENTER, '0') AS CENTER, round(coalesce(c.BM_BLAST, 0), 6) AS BM_BLAST,
-  round(coalesce(c.HB, 0), 6) AS HB, round(coalesce(c.PLT, 0), 6) AS PLT,
-  coalesce(c.CYTOGENETICS, '0') AS CYTOGENETICS,
-  COLUMNS(lambda x: starts_with(x, 'cyto_')),
+       FROM (SELECT ID, CYTOGENETICS, {S_EXPR} AS s, {T_EXPR} AS t FROM {clin})),
+base AS (SELECT c.ID, coalesce(c.BM_BLAST, 0) AS BM_BLAST, coalesce(c.HB, 0) AS HB, coalesce(c.PLT, 0) AS PLT, fl.* EXCLUDE (ID),
   coalesce(a.n_mut, 0) AS n_mut, coalesce(a.n_unique_genes, 0) AS n_unique_genes,
-  coalesce(a.n_unique_effects, 0) AS n_unique_effects,
-  round(coalesce(a.vaf_mean, 0), 6) AS vaf_mean, round(coalesce(a.vaf_std, 0), 6) AS vaf_std,
-  round(coalesce(a.vaf_max, 0), 6) AS vaf_max, round(coalesce(a.vaf_p90, 0), 6) AS vaf_p90,
-  round(coalesce(a.vaf_sum, 0), 6) AS vaf_sum, coalesce(a.n_vaf_gt_30, 0) AS n_vaf_gt_30,
-  coalesce(a.n_vaf_lt_10, 0) AS n_vaf_lt_10, round(coalesce(a.depth_mean, 0), 6) AS depth_mean,
-  round(coalesce(a.depth_max, 0), 6) AS depth_max,
-  coalesce({IND}, 0)::INTEGER {tcols}
-FROM {clin} c JOIN fl USING (ID) LEFT JOIN agg a USING (ID) LEFT JOIN {PIVOT_SQL(mol, True)} p USING (ID)
-{tgt} {where}"""
+  coalesce(a.n_unique_effects, 0) AS n_unique_effects, coalesce(a.vaf_mean, 0) AS vaf_mean, coalesce(a.vaf_std, 0) AS vaf_std,
+  coalesce(a.vaf_max, 0) AS vaf_max, coalesce(a.vaf_p90, 0) AS vaf_p90, coalesce(a.vaf_sum, 0) AS vaf_sum,
+  coalesce(a.n_vaf_gt_30, 0) AS n_vaf_gt_30, coalesce(a.n_vaf_lt_10, 0) AS n_vaf_lt_10,
+  coalesce(a.depth_mean, 0) AS depth_mean, coalesce(a.depth_max, 0) AS depth_max {tcols}
+  FROM {clin} c JOIN fl USING (ID) LEFT JOIN agg a USING (ID) {tgt} {where}),
+{FEATS_SQL(mol, 'base', True, 'DOUBLE')},
+stat AS (SELECT ID, feature, value FROM (SELECT ID, CAST(COLUMNS(* EXCLUDE (ID)) AS DOUBLE) FROM base)
+         UNPIVOT (value FOR feature IN (COLUMNS(* EXCLUDE (ID)))))
+SELECT ID, feature, round(value, 6) AS value FROM stat UNION ALL SELECT ID, feature, value FROM ind"""
 
 
 def CINDEX_SQL(test_rel: str, risk: str, train_groups=(), test_groups=(), tau=TAU) -> str:
@@ -205,11 +200,11 @@ SQL["entity_features"] = f"WITH {FX} {AGG_SQL('fx_molecular', True)}"
 SQL["top_values"] = f"""WITH {FX} SELECT GENE, count(*) AS count FROM fx_molecular
 WHERE ID IN (SELECT ID FROM fx_target) AND GENE IS NOT NULL GROUP BY GENE ORDER BY count DESC, GENE ASC LIMIT 10"""
 
-SQL["indicator_pivot_binary"] = f"""WITH {FX}, {TOPLISTS}
-SELECT ID, coalesce({IND}, 0)::INTEGER FROM {PIVOT_SQL('mt', True)}"""
+SQL["indicator_pivot_binary"] = f"""WITH {FX}, {TOPLISTS},
+{FEATS_SQL('mt', 'mt', True, 'BIGINT')} SELECT ID, feature, value FROM ind"""
 
-SQL["indicator_pivot_count"] = f"""WITH {FX}, {TOPLISTS}
-SELECT ID, coalesce({IND}, 0)::BIGINT FROM {PIVOT_SQL('mt', False)}"""
+SQL["indicator_pivot_count"] = f"""WITH {FX}, {TOPLISTS},
+{FEATS_SQL('mt', 'mt', False, 'BIGINT')} SELECT ID, feature, value FROM ind"""
 
 SQL["group_sum"] = f"""WITH {FX} SELECT c.ID, round(coalesce(s.vaf_sum, 0), 6) AS vaf_sum
 FROM (SELECT DISTINCT ID FROM fx_clinical) c
@@ -397,9 +392,7 @@ cats AS (SELECT DISTINCT CENTER FROM tr WHERE CENTER IS NOT NULL),
 md AS (SELECT CENTER AS mode FROM tr WHERE CENTER IS NOT NULL GROUP BY CENTER ORDER BY count(*) DESC, CENTER LIMIT 1),
 u AS (SELECT ID, coalesce(CENTER, (SELECT mode FROM md)) AS CENTER FROM fx_clinical c
       WHERE NOT EXISTS (SELECT 1 FROM fx_target t WHERE t.ID = c.ID))
-SELECT ID, coalesce(COLUMNS(lambda x: starts_with(x, 'CENTER_')), 0)::INTEGER FROM (
-  PIVOT (SELECT u.ID, 'CENTER_' || cats.CENTER AS feat, (u.CENTER = cats.CENTER)::INTEGER AS v FROM u CROSS JOIN cats)
-  ON feat USING max(v) GROUP BY ID)"""
+SELECT u.ID, 'CENTER_' || cats.CENTER AS feature, CAST(u.CENTER = cats.CENTER AS INTEGER) AS value FROM u CROSS JOIN cats"""
 
 SQL["char_ngram_tfidf"] = f"""WITH {FX},
 docs AS (SELECT ID, lower(regexp_replace(coalesce(CYTOGENETICS, '0'), '\\s\\s+', ' ', 'g')) AS s FROM fx_clinical
@@ -436,8 +429,24 @@ SELECT round(cindex, 6) AS cindex, round(cindex - 0.7744, 6) AS gap FROM cidx"""
 
 SQL["preview"] = f"""WITH {FX} SELECT ID, CENTER, round(HB, 6) AS HB FROM fx_clinical ORDER BY ID LIMIT 5"""
 
-SQL["gene_column_sums"] = f"""WITH {FX}, {TOPLISTS}
-SELECT CAST(sum(COLUMNS(lambda x: starts_with(x, 'GENE__'))) AS BIGINT) FROM {PIVOT_SQL('mt', True)}"""
+SQL["gene_column_sums"] = f"""WITH {FX}, {TOPLISTS}, {FEATS_SQL('mt', 'mt', True, 'BIGINT', genes_only=True)}
+SELECT feature, CAST(sum(value) AS BIGINT) AS total FROM ind GROUP BY feature"""
+
+SQL["train_table_text"] = f"""WITH {FX} SELECT c.ID, coalesce(c.CENTER, '0') AS CENTER, coalesce(c.CYTOGENETICS, '0') AS CYTOGENETICS
+FROM fx_clinical c JOIN lab l USING (ID)"""
+
+SQL["csv_roundtrip"] = f"""WITH {FX},
+un AS (SELECT * FROM fx_clinical c WHERE NOT EXISTS (SELECT 1 FROM fx_target t WHERE t.ID = c.ID)),
+mu AS (SELECT * FROM fx_molecular m WHERE NOT EXISTS (SELECT 1 FROM fx_target t WHERE t.ID = m.ID)),
+v AS (SELECT 'clinical_train' AS part, CAST(BM_BLAST AS DOUBLE) AS x FROM fx_clinical WHERE ID IN (SELECT ID FROM fx_target)
+  UNION ALL SELECT 'clinical_test', PLT FROM un
+  UNION ALL SELECT 'molecular_train', VAF FROM fx_molecular WHERE ID IN (SELECT ID FROM fx_target)
+  UNION ALL SELECT 'molecular_test', DEPTH FROM mu
+  UNION ALL SELECT 'target_train', OS_YEARS FROM fx_target
+  UNION ALL SELECT 'target_status', OS_STATUS FROM fx_target
+  UNION ALL SELECT 'risk_table', HB FROM un
+  UNION ALL SELECT 'results', n FROM (SELECT CENTER, count(*) AS n FROM fx_clinical GROUP BY CENTER))
+SELECT part, count(*) AS n_rows, count(x) AS n_values, round(sum(x), 6) AS total FROM v GROUP BY part"""
 
 SQL["minmax_pair_sweep"] = f"""WITH {FX}, {HOLDOUT},
 mm AS (SELECT ts.*, coalesce(PLT, 0.0) AS pl FROM ts),

@@ -6,6 +6,9 @@ rounded to 6 places for the value-hash comparison.
 """
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +46,7 @@ HIST_BINS = 30
 RANK_SCORES = ("HB", "BM_BLAST", "PLT")
 SWEEP_WEIGHTS = [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
 TFIDF_VOCAB = 50
-PERM_REPEATS = 3
+PERM_REPEATS = 5
 PERM_COLUMNS = ("HB", "PLT")
 
 
@@ -95,16 +98,23 @@ def _pivot(c, binary):
     return f.select("ID", *[x for x in f.columns if x.startswith(("GENE__", "EFFECT__"))])
 
 
+def _long(df, kind="double"):
+    """(ID, feature, value) of the numeric columns: a table whose columns depend on the data, in a fixed schema."""
+    cols = [f.name for f in df.schema.fields if f.name != "ID" and f.dataType.simpleString() != "string"]
+    return df.select("ID", *[F.col(f"`{c}`").cast(kind).alias(c) for c in cols]).unpivot(
+        ["ID"], [F.col(f"`{c}`") for c in cols], "feature", "value")
+
+
 @query("indicator_pivot_binary")
 def q_pivot_binary(c):
-    """A8/A9 (J3): binary top-k GENE__/EFFECT__ indicators, one groupBy."""
-    return _pivot(c, True)
+    """A8/A9 (J3): binary top-k GENE__/EFFECT__ indicators, one groupBy; long form."""
+    return _long(_pivot(c, True), "long")
 
 
 @query("indicator_pivot_count")
 def q_pivot_count(c):
-    """Count indicators."""
-    return _pivot(c, False)
+    """Count indicators; long form."""
+    return _long(_pivot(c, False), "long")
 
 
 @query("group_sum")
@@ -203,17 +213,52 @@ def q_comutation(c):
 # --------------------------------------------------------------------------- tables
 @query("train_table")
 def q_train_table(c):
-    """Clinical + flags + aggregates + pivots + outcome, filled and cleaned."""
+    """Clinical + flags + aggregates + pivots + outcome, filled and cleaned; numeric columns in long form."""
+    t, _, _ = N.train_table(c.clinical_train, c.molecular_train, c.target, TOP_GENES, TOP_EFFECTS)
+    return _long(t)
+
+
+@query("train_table_text")
+def q_train_table_text(c):
+    """The text columns of the training table, filled with "0"."""
     t, _, _ = N.train_table(c.clinical_train, c.molecular_train, c.target, TOP_GENES, TOP_EFFECTS)
-    return t
+    return t.select("ID", "CENTER", "CYTOGENETICS")
 
 
 @query("aligned_test_table")
 def q_aligned_test(c):
-    """The unlabeled entities with the train lists, aligned to the train columns."""
+    """The unlabeled entities with the train lists, aligned to the train columns; numeric columns in long form."""
     t, genes, effects = N.train_table(c.clinical_train, c.molecular_train, c.target, TOP_GENES, TOP_EFFECTS)
     cols = P.feature_columns(t)
-    return N.scoring_table(c.clinical_unlabeled, c.molecular_unlabeled, cols, genes, effects)
+    return _long(N.scoring_table(c.clinical_unlabeled, c.molecular_unlabeled, cols, genes, effects))
+
+
+@query("csv_roundtrip")
+def q_csv_roundtrip(c):
+    """The five inputs, a risk table and a result table written as CSV and read back by column name."""
+    from ..sources import sinks, tables
+    root = f"{ensure_checkpoint_dir(c.spark)}/csv-{uuid.uuid4().hex}"
+    unlabeled = c.clinical_unlabeled
+    parts = {"clinical_train": c.clinical_train, "clinical_test": unlabeled, "molecular_train": c.molecular_train,
+             "molecular_test": c.molecular_unlabeled, "target_train": c.target}
+    for name, df in parts.items():
+        df.select(*reversed(df.columns)).write.option("header", True).csv(f"{root}/{name}.csv")
+    back = tables.load_all(c.spark, root)
+    sinks.write_risk_table(unlabeled.select("ID", F.col("HB").alias("risk_score")), f"{root}/risk.csv")
+    sinks.write_results(c.clinical.groupBy("CENTER").agg(F.count(F.lit(1)).alias("n")), f"{root}/results.csv")
+    header = c.spark.read.option("header", True)
+
+    def line(name, df, value):
+        total = F.sum(value.cast("double"))
+        return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(value.isNotNull()).alias("n_values"), total.alias("total")) \
+            .select(F.lit(name).alias("part"), "n_rows", "n_values", "total")
+
+    value = {"clinical_train": "BM_BLAST", "clinical_test": "PLT", "molecular_train": "VAF", "molecular_test": "DEPTH", "target_train": "OS_YEARS"}
+    out = [line(n, back[n], F.col(v)) for n, v in value.items()]
+    out.append(line("target_status", back["target_train"], F.col("OS_STATUS")))
+    out.append(line("risk_table", header.csv(f"{root}/risk.csv"), F.col("risk_score")))
+    out.append(line("results", header.csv(f"{root}/results.csv"), F.col("n")))
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 # --------------------------------------------------------------------------- ordered / splits
@@ -377,12 +422,13 @@ def q_impute_scale(c):
 
 @query("onehot")
 def q_onehot(c):
-    """M3 + M5: most-frequent imputation and one-hot of CENTER with train categories."""
+    """M3 + M5: most-frequent imputation and one-hot of CENTER with train categories; long form."""
     lab = _labeled_with_clinical(c).withColumn("is_test", c.is_test())
     tr = lab.where(~F.col("is_test"))
     cats = E.fit_categories(tr, "CENTER")
     mode = E.fit_modes(tr, ["CENTER"])["CENTER"]
-    return E.onehot(c.clinical_unlabeled.select("ID", "CENTER"), "CENTER", cats, "CENTER_", fill=mode).drop("CENTER")
+    wide = E.onehot(c.clinical_unlabeled.select("ID", "CENTER"), "CENTER", cats, "CENTER_", fill=mode).drop("CENTER")
+    return _long(wide, "int")
 
 
 @query("char_ngram_tfidf")
@@ -400,7 +446,6 @@ def registry() -> dict:
 # --------------------------------------------------------------------------- small report operators
 # Fixed value: the challenge winner's score, the reference point of the score-gap report.
 REFERENCE_SCORE = 0.7744
-PAIR_WEIGHTS = [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
 
 
 @query("mae")
@@ -446,8 +491,10 @@ def q_preview(c):
 
 @query("gene_column_sums")
 def q_gene_sums(c):
-    """Sums of the GENE__ indicator columns of the training pivot."""
-    return P.prefix_column_sums(_pivot(c, True), "GENE__")
+    """Sums of the GENE__ indicator columns of the training pivot, one row each."""
+    sums = P.prefix_column_sums(_pivot(c, True), "GENE__")
+    cols = [F.col(f"`{x}`").cast("long").alias(x) for x in sums.columns]
+    return sums.select(F.lit(0).alias("k"), *cols).unpivot(["k"], [F.col(f"`{x}`") for x in sums.columns], "feature", "total").drop("k")
 
 
 @query("minmax_pair_sweep")
@@ -456,7 +503,7 @@ def q_minmax_sweep(c):
     tr, te = _holdout_frames(c)
     t = O.minmax_scale(O.minmax_scale(te.withColumn("__pl", F.coalesce("PLT", F.lit(0.0))), "HB", "mm_a"),
                        "__pl", "mm_b")
-    ws = c.spark.createDataFrame([(float(w),) for w in PAIR_WEIGHTS], "weight double")
+    ws = c.spark.createDataFrame([(float(w),) for w in SWEEP_WEIGHTS], "weight double")
     sw = t.join(F.broadcast(ws), how="cross")  # one copy per weight (7 rows)
     sw = sw.withColumn("ens", F.col("weight") * F.col("mm_a") + (1 - F.col("weight")) * F.col("mm_b"))
     return S.ipcw_cindex(tr, sw, "ens", TAU, "time", "event", group_cols=["weight"]).select("weight", "cindex")

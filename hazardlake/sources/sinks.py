@@ -20,6 +20,7 @@ def write_risk_table(df: DataFrame, path: str, id_col="ID", score_col="risk_scor
 
 
 def write_results(df: DataFrame, path: str, fmt="csv", mode="overwrite") -> None:
+    """Write an experiment's result table, part files by task."""
     w = df.write.mode(mode)
     if fmt == "csv":
         w.option("header", True).csv(path)

@@ -1,7 +1,8 @@
 """Scans of the three input tables.
 
-Inputs are read with an explicit schema, never inferred.  CSV and parquet are
-both accepted; the format follows the file suffix unless given.  Every double
+Inputs are read with an explicit schema, never inferred, and their columns are
+bound by name: a header may list them in any order.  CSV and parquet are both
+accepted; the format follows the file suffix unless given.  Every double
 column has NaN turned into NULL once, here, so that later aggregates skip it
 (Spark keeps NaN distinct from NULL; ``NaN > 0.3`` would be true).
 """
@@ -59,17 +60,17 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     fmt = fmt or ("csv" if str(path).lower().endswith((".csv", ".csv.gz")) else "parquet")
     reader = spark.read
     if fmt == "csv":
-        reader = reader.option("header", True).option("mode", "PERMISSIVE")
-        if schema is not None:
-            reader = reader.schema(schema)
-        df = reader.csv(str(path))
+        df = reader.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False).csv(str(path))
     else:
         df = reader.parquet(str(path))
-        if schema is not None:
-            present = set(df.columns)
-            df = df.select(*[F.col(f.name).cast(f.dataType) if f.name in present
-                             else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
-    return nan_to_null(df)
+    return nan_to_null(df if schema is None else by_name(df, schema))
+
+
+def by_name(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema``, found by name: extra columns go, missing ones and text that is no number are NULL."""
+    present = {c.strip().lower(): c for c in reversed(df.columns)}
+    return df.select(*[F.col(f"`{present[f.name.lower()]}`").try_cast(f.dataType).alias(f.name) if f.name.lower() in present
+                       else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def load_clinical(spark, train_path, test_path=None, fmt=None):
