@@ -10,15 +10,17 @@ Native DataFrame expressions throughout.
   where it is smaller than at both neighbouring lines (every third line or so).
   Boundaries depend on nearby content only, so equal passages get equal chunks
   wherever they stand.
-* Chunk hashes are counted over all documents (combined before the shuffle).
+* Whole copies of a text are found by digest and need no chunks.
+* Chunk hashes are counted over all other documents (combined before the shuffle).
   The first occurrence, in order of (doc_id, text hash, position), stays.
-* Every other occurrence is compared byte by byte with the first one and the
+* Every other occurrence (not one short chunk far from any other, which no
+  passage of 50 words consists of) is compared byte by byte with the first one and the
   match is followed word by word into the ``REACH`` chunks before and after.  Matches
   that touch are joined to runs; a run of ``min_words`` words or more (and
   more than one line) is cut out.
 
 What is removed therefore still stands, byte by byte (line breaks and spaces
-count alike), at an earlier place.  NULL texts stay NULL, empty ones empty.
+count alike), at a place before, by the order above.  NULL texts stay NULL, empty ones empty.
 Rows with the same id and text are one document and are treated alike.  Other
 columns, whatever their names, pass through; the added ones replace columns of
 the same name.
@@ -29,23 +31,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hazardlake.llm.common import let, materialise
 
-LINE_END = r"(?<=[.!?,;:a-e] |\n)"
+LINE_END = r"(?<=[.!?,;:a-e]) |\n"      # one byte, taken off
 WINDOW = 2
 REACH = 4                    # chunks on either side into which a match is followed
 MIN_WORDS = 50
 BLOCK = 128                  # elements of a block of prefix sums
 MIN_CHUNK_BYTES = 24         # shorter chunks are too common to start a match; a match still runs through them
-BROADCAST_ROWS = 200_000     # edited documents; beyond it the edits are joined by shuffling
+ALONE_BYTES = 120            # a repeated chunk counts if it is that long, or another follows within that distance
+BROADCAST_ROWS = 200_000     # keys or edits of documents; beyond it they are joined by shuffling
+BROADCAST_HASHES = 3_000_000  # repeated chunk hashes, 24 MB; the same
 
 
 def lines(text: Column) -> Column:
     return F.split(text, LINE_END)
 
 
-def bare(line: Column) -> Column:
-    return F.rtrim(line, F.lit(" \n"))
-
-
 def offsets(sizes: Column) -> Column:
     """Sums of the elements before each element, in blocks so that long arrays are not copied for each."""
     def append(acc, x):
@@ -80,7 +80,7 @@ def chunk_array(text: Column, window: int) -> Column:
     def of_ends(units, h, ends):
         def size(e, j):
             start = F.coalesce(F.get(ends, j - 1) + 1, F.lit(0))
-            return F.aggregate(F.slice(units, start + 1, e + 1 - start), F.lit(0), lambda a, u: a + F.octet_length(u))
+            return F.aggregate(F.slice(units, start + 1, e + 1 - start), F.lit(0), lambda a, u: a + F.octet_length(u) + 1)
         return let(F.transform(ends, size), lambda z: let(offsets(z), lambda at: of_sizes(units, h, ends, z, at)))
 
     def of_rolling(units, h, r):
@@ -90,10 +90,13 @@ def chunk_array(text: Column, window: int) -> Column:
         return let(ends, lambda e: of_ends(units, h, e))
 
     def of_hashes(units, h):
-        rolling = F.transform(h, lambda x, i: F.xxhash64(*[F.get(h, i - k) for k in reversed(range(1, window))], x))
-        return let(rolling, lambda r: of_rolling(units, h, r))
+        def rolling(x, i):
+            for k in range(1, window):
+                x = x.bitwiseXOR(F.coalesce(F.get(h, i - k), F.lit(0)))
+            return x
+        return let(F.transform(h, rolling), lambda r: of_rolling(units, h, r))
 
-    return let(lines(text), lambda u: let(F.transform(u, lambda x: F.xxhash64(bare(x))), lambda h: of_hashes(u, h)))
+    return let(lines(text), lambda u: let(F.transform(u, lambda x: F.xxhash64(x)), lambda h: of_hashes(u, h)))
 
 
 def _piece(raw: Column, at: Column, size: Column) -> Column:
@@ -140,10 +143,10 @@ def chained(found: Column, raw: Column, other: Column) -> Column:
 def matches(raw: Column, other: Column, found: Column) -> Column:
     """Byte intervals of the matches that equal their first occurrence, followed to both sides."""
     def interval(x):
-        equal = F.rtrim(_piece(raw, x["at"], x["len"])) == F.rtrim(_piece(other, x["f_at"], x["f_len"]))
+        equal = _piece(raw, x["at"], x["len"] - 1) == _piece(other, x["f_at"], x["f_len"] - 1)
         back = _shared_bytes(_piece(raw, x["at"] - x["back"], x["back"]), _piece(other, x["f_at"] - x["f_back"], x["f_back"]), True)
         ahead = _shared_bytes(_piece(raw, x["at"] + x["len"], x["ahead"]), _piece(other, x["f_at"] + x["f_len"], x["f_ahead"]), False)
-        return F.when(equal, F.struct((x["at"] - back).alias("s"), (x["at"] + x["len"] + ahead).alias("e")))
+        return F.when(equal, F.struct((x["at"] - back).alias("s"), F.least(x["at"] + x["len"] + ahead, F.octet_length(raw)).alias("e")))
 
     return F.filter(F.transform(chained(found, raw, other), interval), lambda i: i.isNotNull())
 
@@ -181,39 +184,55 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     text in UTF-8) and ``removed_words``.
     """
     keyed = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).where("text <> ''")
-    place = ["id", "h", "at", "len", "back", "ahead"]
 
-    # 1. chunks, and those whose hash occurs more than once
+    def beside(left, right, on, how, limit=BROADCAST_ROWS):
+        """A join whose right side is broadcast while it is small."""
+        return left.join(F.broadcast(right) if right.count() <= limit else right, on, how)
+
+    # 1. whole copies of a text (equal SHA-256 and length) need no chunks
+    digests = materialise(keyed.select("id", "h", F.sha2("text", 256).alias("d"), F.octet_length("text").alias("size")), "digests")
+    same = digests.groupBy("d", "size").agg(F.min("id").alias("f_id"), F.count("*").alias("n")).where("n > 1")
+    copies = materialise(digests.join(same, ["d", "size"]).where(~F.col("id").eqNullSafe(F.col("f_id"))).select(
+        F.col("id").alias("c_id"), F.col("h").alias("c_h"), "size").distinct(), "copies")
+    firsts = beside(keyed, copies, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")), "left_anti")
+
+    # 2. chunks, and those whose hash occurs more than once
     chunks = materialise(
-        keyed.select("id", "h", F.explode(chunk_array(F.col("text"), window)).alias("c")).select("c.hash", "id", "h", "c.at", "c.len", "c.back", "c.ahead")
+        firsts.select("id", "h", F.explode(chunk_array(F.col("text"), window)).alias("c")).select("c.hash", "id", "h", "c.at", "c.len", "c.back", "c.ahead")
         .where(F.col("len") >= min_chunk_bytes), "chunks")
-    often = chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    again = materialise(chunks.join(often, "hash"), "repeated")
+    often = materialise(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "often")
+    again = materialise(beside(chunks, often, "hash", "left_semi", BROADCAST_HASHES), "repeated")
 
-    # 2. all but the first occurrence, by document and document of the first occurrence
+    # 3. all but the first occurrence; those with a neighbour nearby, or long ones, by document and document of the first
+    place = ["id", "h", "at", "len", "back", "ahead"]
     first = again.groupBy("hash").agg(F.min(F.struct(*place)).alias("f")).select("hash", *[F.col(f"f.{c}").alias(f"f_{c}") for c in place])
     later = again.join(first, "hash").where(~(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")) & (F.col("at") == F.col("f_at"))))
     spans = ["at", "len", "back", "ahead", "f_at", "f_len", "f_back", "f_ahead"]
-    pairs = materialise(later.groupBy("id", "h", "f_id", "f_h").agg(F.sort_array(F.collect_set(F.struct(*spans))).alias("found")), "pairs")
-
-    # 3. texts of these documents, once each; byte comparison
-    wanted = materialise(pairs.select("id", "h").union(pairs.select("f_id", "f_h")).distinct(), "wanted")
-    n = wanted.count()
-    keys = wanted.select(F.col("id").alias("w_id"), F.col("h").alias("w_h"))
-    texts = keyed.join(F.broadcast(keys) if n <= 5 * BROADCAST_ROWS else keys,
-                       F.col("id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h")), "left_semi")
-    texts = materialise(texts.dropDuplicates(["id", "h"]).withColumn("text", F.col("text").cast("binary")), "texts")
+    found = later.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct(*spans, "f_id", "f_h"))).alias("all"))
+    near = F.filter("all", lambda x, i: (x["len"] >= ALONE_BYTES)
+                    | F.coalesce(x["at"] - F.get("all", i - 1)["at"] <= F.get("all", i - 1)["len"] + ALONE_BYTES, F.lit(False))
+                    | F.coalesce(F.get("all", i + 1)["at"] - x["at"] <= x["len"] + ALONE_BYTES, F.lit(False)))
+    one = found.select("id", "h", F.explode(near).alias("x")).select("id", "h", "x.f_id", "x.f_h", F.struct(*[f"x.{c}" for c in spans]).alias("x"))
+    pairs = materialise(one.groupBy("id", "h", "f_id", "f_h").agg(F.sort_array(F.collect_list("x")).alias("found")), "pairs")
+
+    # 4. texts of these documents, once each; byte comparison
+    wanted = materialise(pairs.select("id", "h").union(pairs.select("f_id", "f_h")).distinct().select(
+        F.col("id").alias("w_id"), F.col("h").alias("w_h")), "wanted")
+    texts = materialise(beside(keyed, wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h")), "left_semi",
+                               5 * BROADCAST_ROWS).withColumn("text", F.col("text").cast("binary")), "texts")
+    if texts.count() > wanted.count():            # some rows repeat an id and its text
+        texts = texts.dropDuplicates(["id", "h"])
     own = texts.select(F.col("id").alias("t_id"), F.col("h").alias("t_h"), F.col("text").alias("own"))
     other = texts.select(F.col("id").alias("o_id"), F.col("h").alias("o_h"), F.col("text").alias("other"))
     both = (pairs.join(own, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")))
             .join(other, F.col("f_id").eqNullSafe(F.col("o_id")) & (F.col("f_h") == F.col("o_h"))))
     edits = (both.select("id", "h", matches(F.col("own"), F.col("other"), F.col("found")).alias("found")).where("size(found) > 0")
              .groupBy("id", "h").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
-             .select(F.col("id").alias("e_id"), F.col("h").alias("e_h"), runs(F.col("found")).alias("runs"))
-             .where(F.exists("runs", lambda r: r["e"] - r["s"] >= 2 * min_words - 1)))
-    edits = materialise(edits, "edits")
+             .select(F.col("id").alias("e_id"), F.col("h").alias("e_h"), runs(F.col("found")).alias("runs")))
+    whole = copies.select("c_id", "c_h", F.array(F.struct(F.lit(0).alias("s"), F.col("size").alias("e"))).alias("runs"))
+    edits = materialise(edits.union(whole).where(F.exists("runs", lambda r: r["e"] - r["s"] >= 2 * min_words - 1)), "edits")
 
-    # 4. cut the runs that are long enough
+    # 5. cut the runs that are long enough
     n = edits.count()
     text, raw = F.col(text_col), F.col(text_col).cast("binary")
     cuts = F.filter(F.coalesce(F.col("runs"), F.array().cast("array<struct<s:int,e:int>>")),
