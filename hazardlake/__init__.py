@@ -7,7 +7,6 @@ Sub-packages:
              encoders, text vectors and model fits
   plans      end-to-end jobs built from the operators (training table,
              scoring job, registered queries and their SQL oracles)
-  streaming  intentionally empty: the workload has no streams
 """
 
 __version__ = "0.1.0"

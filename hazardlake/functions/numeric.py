@@ -20,14 +20,3 @@ def to_number(c) -> Column:
               .when(lowered.rlike(_INF_RE),
                     F.when(F.trim(s).startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))))
     return F.when(F.isnan(parsed), F.lit(None).cast("double")).otherwise(parsed)
-
-
-def to_event(c) -> Column:
-    """OS_STATUS -> boolean event flag (1 = event)."""
-    c = F.col(c) if isinstance(c, str) else c
-    return c.cast("double").cast("int") == 1
-
-
-def to_time(c) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return c.cast("double")

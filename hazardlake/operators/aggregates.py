@@ -49,16 +49,15 @@ def indicator_aggs(col: str, values, prefix: str, binary: bool = True) -> list:
 
 
 def entity_features(mol: DataFrame, id_col="ID", gene_col="GENE", effect_col="EFFECT", vaf_col="VAF",
-                    depth_col="DEPTH", gene_list=None, effect_list=None, binary=True,
-                    approx_p90: bool = False) -> DataFrame:
+                    depth_col="DEPTH", gene_list=None, effect_list=None, binary=True) -> DataFrame:
     """A1: one row per entity: 12 aggregates + GENE__/EFFECT__ indicators, NULLs -> 0.
 
     VAF/DEPTH are coerced leniently (text, NaN -> NULL) before aggregation.
     ``vaf_std`` is the sample deviation, 0 for one-row entities; ``vaf_p90``
-    is exact with linear interpolation unless ``approx_p90``.
+    is exact with linear interpolation, from ranges of values and not from one
+    entity's values held together.
     """
     m = mol.withColumns({"__vaf": _numeric(mol, vaf_col), "__depth": _numeric(mol, depth_col)})
-    p90 = (F.percentile_approx("__vaf", 0.9, 10000) if approx_p90 else F.percentile("__vaf", F.lit(0.9)))
     aggs = [
         F.count(F.lit(1)).alias("n_mut"),
         # distinct values per entity are few (a gene / effect vocabulary): a set per group, no Expand
@@ -67,7 +66,6 @@ def entity_features(mol: DataFrame, id_col="ID", gene_col="GENE", effect_col="EF
         F.avg("__vaf").alias("vaf_mean"),
         F.stddev_samp("__vaf").alias("vaf_std"),
         F.max("__vaf").alias("vaf_max"),
-        p90.cast("double").alias("vaf_p90"),
         F.sum("__vaf").alias("vaf_sum"),
         F.count_if(F.col("__vaf") > 0.30).alias("n_vaf_gt_30"),
         F.count_if(F.col("__vaf") < 0.10).alias("n_vaf_lt_10"),
@@ -76,19 +74,16 @@ def entity_features(mol: DataFrame, id_col="ID", gene_col="GENE", effect_col="EF
     ]
     aggs += indicator_aggs(gene_col, gene_list or [], "GENE__", binary)
     aggs += indicator_aggs(effect_col, effect_list or [], "EFFECT__", binary)
-    out = m.groupBy(id_col).agg(*aggs)
+    p90 = exact_quantiles(m.select(id_col, "__vaf"), "__vaf", [0.9], partition_cols=[id_col]).select(
+        id_col, F.col("value").alias("vaf_p90"))
+    cols = [id_col, *ENTITY_NUMERIC]
+    out = m.groupBy(id_col).agg(*aggs).join(p90, on=id_col, how="left")
+    out = out.select(*cols, *[f"`{c}`" for c in out.columns if c not in cols])
     fills = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in
              ["vaf_mean", "vaf_std", "vaf_max", "vaf_p90", "vaf_sum", "depth_mean", "depth_max"]}
     return out.withColumns(fills)
 
 
-def indicator_long(mol: DataFrame, id_col: str, col: str, values, prefix: str, binary=True) -> DataFrame:
-    """Sparse long form (ID, feature, value) of the indicator pivot: only non-zero cells."""
-    g = (mol.where(F.col(col).isin(list(values))).groupBy(id_col, col).agg(F.count(F.lit(1)).alias("__n")))
-    val = F.lit(1).cast("long") if binary else F.col("__n").cast("long")
-    return g.select(id_col, F.concat(F.lit(prefix), F.col(col)).alias("feature"), val.alias("value"))
-
-
 def group_sum(df: DataFrame, key: str, value: str, keys: DataFrame | None = None, out="sum") -> DataFrame:
     """A10: sum per key; keys listed in ``keys`` without rows get 0."""
     s = df.groupBy(key).agg(F.sum(value).alias(out))
@@ -159,17 +154,21 @@ def describe(df: DataFrame, cols) -> DataFrame:
                                                           "min", "p25", "p50", "p75", "max")
 
 
+def _medians(df: DataFrame, label_col: str, value_col: str, out: str) -> DataFrame:
+    return exact_quantiles(df, value_col, [0.5], partition_cols=[label_col]).select(label_col, F.col("value").alias(out))
+
+
 def cluster_summary(df: DataFrame, label_col: str, time_col="OS_YEARS", event_col="OS_STATUS") -> DataFrame:
     """Size, event rate, median and mean time per cluster."""
-    return df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"),
-                                     F.avg(F.col(event_col).cast("double")).alias("event_rate"),
-                                     F.median(F.col(time_col)).alias("median_time"),
+    base = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(event_col).cast("double")).alias("event_rate"),
                                      F.avg(F.col(time_col)).alias("mean_time"))
+    return base.join(_medians(df, label_col, time_col, "median_time"), on=label_col, how="left").select(
+        label_col, "n", "event_rate", "median_time", "mean_time")
 
 
 def group_median_risk(df: DataFrame, label_col: str, time_col="OS_YEARS", out="risk") -> DataFrame:
     """Risk of a group = minus its median time."""
-    return df.groupBy(label_col).agg((-F.median(F.col(time_col))).alias(out))
+    return _medians(df, label_col, time_col, "__m").select(label_col, (-F.col("__m")).alias(out))
 
 
 def fold_summary(results: DataFrame, metric_col="metric", value_col="value") -> DataFrame:

@@ -148,35 +148,34 @@ def exact_quantiles(df: DataFrame, col: str, probs, partition_cols=(), n_buckets
     """Exact linearly interpolated quantiles (numpy/pandas default) at scale.
 
     Returns (partition_cols..., p, value).  Distinct values with counts are
-    ranked by ``prefix_sums``; the two order statistics around p·(n-1) are
-    found by a range join against a table of len(probs) rows per partition.
+    ranked by ``prefix_sums`` and meet their partition's total by an equi-join;
+    the two order statistics around p·(n-1) are conditional aggregates, so no
+    partition's values are ever held together.
     """
     partition_cols = list(partition_cols)
     spark = df.sparkSession
     vals = df.where(F.col(col).isNotNull()).groupBy(*partition_cols, col).agg(F.count(F.lit(1)).alias("__n"))
     ranked = prefix_sums(vals, [col], ["__n"], partition_cols, inclusive=False, prefix="__lo_",
                          n_buckets=n_buckets)
-    ranked = ranked.withColumn("__hi", F.col("__lo___n") + F.col("__n"))  # rows [lo, hi) hold this value
     n = vals.groupBy(*partition_cols).agg(F.sum("__n").alias("__total"))
-    pt = spark.createDataFrame([(float(p),) for p in probs], "p double")
-    targets = attach(n, pt)  # (#partitions x #probs) rows
-    targets = targets.withColumn("__pos", F.col("p") * (F.col("__total") - 1)) \
-        .withColumn("__i0", F.floor("__pos").cast("long")).withColumn("__i1", F.ceil("__pos").cast("long"))
-    # targets: (#partitions × #probs) rows; ranked rows are matched by range
-    t0 = targets.select(*partition_cols, "p", "__pos", "__i0", "__i1")
-    lo = ranked.alias("r").join(F.broadcast(t0.alias("t")), on=[
-        *(F.col(f"r.{c}") == F.col(f"t.{c}") for c in partition_cols),
-        F.col("t.__i0") >= F.col("r.__lo___n"), F.col("t.__i0") < F.col("r.__hi")], how="inner") \
-        .select(*[F.col(f"t.{c}").alias(c) for c in partition_cols], F.col("t.p").alias("p"),
-                F.col("t.__pos").alias("__pos"), F.col("t.__i0").alias("__i0"), F.col(f"r.{col}").alias("__v0"))
-    hi = ranked.alias("r").join(F.broadcast(t0.alias("t")), on=[
-        *(F.col(f"r.{c}") == F.col(f"t.{c}") for c in partition_cols),
-        F.col("t.__i1") >= F.col("r.__lo___n"), F.col("t.__i1") < F.col("r.__hi")], how="inner") \
-        .select(*[F.col(f"t.{c}").alias(c) for c in partition_cols], F.col("t.p").alias("p"),
-                F.col(f"r.{col}").alias("__v1"))
-    res = lo.join(hi, on=[*partition_cols, "p"], how="inner")
-    frac = F.col("__pos") - F.col("__i0")
-    return res.select(*partition_cols, "p", (F.col("__v0") + (F.col("__v1") - F.col("__v0")) * frac).alias("value"))
+    r = attach(ranked, n, partition_cols)
+    first, after = F.col("__lo___n"), F.col("__lo___n") + F.col("__n")      # rows [first, after) hold this value
+
+    def at(row):
+        return F.max(F.when((row >= first) & (row < after), F.col(col).cast("double")))
+
+    aggs = [F.first("__total").alias("__total")]
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("__total") - 1)
+        aggs += [at(F.floor(pos)).alias(f"__a{i}"), at(F.ceil(pos)).alias(f"__b{i}")]
+    found = r.groupBy(*partition_cols).agg(*aggs)
+    rows = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("__total") - 1)
+        value = F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * (pos - F.floor(pos))
+        rows.append(F.struct(F.lit(float(p)).alias("p"), value.alias("value")))
+    out = found.select(*partition_cols, F.explode(F.array(*rows)).alias("__q")).select(*partition_cols, "__q.*")
+    return out.where(F.col("value").isNotNull())
 
 
 def histogram(df: DataFrame, col: str, bins: int, by=None) -> DataFrame:

@@ -61,7 +61,7 @@ def make_strata(df: DataFrame, time_col="OS_YEARS", status_col="OS_STATUS", n_bi
                                          F.col("__tbin").cast("string"))).drop("__tbin")
 
 
-def poisson_weight(id_col, seed: int, tree, lam: float = 1.0, kmax: int = 12) -> Column:
+def poisson_weight(id_col, seed: int, tree, lam: float = 1.0) -> Column:
     """Bootstrap multiplicity ~ Poisson(lam) from a hash of (seed, tree, ID).
 
     Inverse CDF on a hash uniform: the same row gets the same weight when a
@@ -71,10 +71,11 @@ def poisson_weight(id_col, seed: int, tree, lam: float = 1.0, kmax: int = 12) ->
     t = F.lit(tree) if not isinstance(tree, Column) else tree
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), t.cast("string"), c.cast("string"))), 1, 8),
                16, 10).cast("bigint") / F.lit(4294967296.0)
-    cdf, p, expr = 0.0, math.exp(-lam), None
-    for k in range(kmax + 1):
+    cdf, p, k, expr = 0.0, math.exp(-lam), 0, None
+    while True:                     # until no hash value lies beyond
         cdf += p
         cond = u < F.lit(cdf)
         expr = F.when(cond, F.lit(k)) if expr is None else expr.when(cond, F.lit(k))
-        p = p * lam / (k + 1)
-    return expr.otherwise(F.lit(kmax + 1)).cast("double")
+        p, k = p * lam / (k + 1), k + 1
+        if 1.0 - cdf < 2.0 ** -33 and k > lam:
+            return expr.otherwise(F.lit(k)).cast("double")

@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import assign_bucket, attach, default_buckets, prefix_sums, quantile_edges
+from ..session import cut_lineage
+from .ordered import assign_bucket, default_buckets, prefix_sums, quantile_edges
 
 TIED_TOL = 1e-8
 
@@ -161,7 +162,8 @@ def dominated_weight(pa, pb, pw, qa, qb) -> np.ndarray:
     return res
 
 
-def _strip_counts(group_cols, out_fields):
+def _strip_counts(group_cols, out_fields, whole: bool):
+    """Sums over the queries of one strip or cell; integers stay integers (``whole``)."""
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         kind = int(pdf["kind"].iloc[0])
         pts = pdf[~pdf["is_q"]]
@@ -186,140 +188,126 @@ def _strip_counts(group_cols, out_fields):
                 pb, qb = pts["eb"].to_numpy(float), qs["eb"].to_numpy(float)
             else:           # same cell: exact risk comparison
                 pb, qb = pts["v"].to_numpy(float), qx
-        cnt = dominated_weight(pa, pb, pts["w"].to_numpy(float), qa, qb)
-        contrib = qs["w"].to_numpy(float) * cnt
+        cnt = dominated_weight(pa, pb, pts["n"].to_numpy(float), qa, qb)
+        w = qs["w"].to_numpy(float)
+        contrib = np.rint(w).astype(np.int64) * np.rint(cnt).astype(np.int64) if whole else w * cnt
         sums = pd.Series(contrib).groupby(qs["target"].to_numpy()).sum()
         first = pdf.iloc[0]
-        rows = [[first[g] for g in group_cols] + [t, float(v)] for t, v in sums.items()]
-        return pd.DataFrame(rows, columns=out_fields)
+        return pd.DataFrame([[first[g] for g in group_cols] + [t, v] for t, v in sums.items()], columns=out_fields)
     return fn
 
 
+POINTS_PER_BUCKET = 500_000
+
+
+def grid_edges(qs) -> list:
+    """Interior edges from quantiles; a repeated quantile is a hot value and gets a bucket of its own."""
+    qs = [float(q) for q in qs or [] if q is not None]
+    hot = {a for a, b in zip(qs, qs[1:]) if a == b}
+    return sorted(set(qs) | {math.nextafter(v, math.inf) for v in hot})
+
+
+def usable(rows: DataFrame) -> DataFrame:
+    """Rows that can be in a pair: time, event and risk known, and no NaN."""
+    t, r = F.col("time").cast("double"), F.col("risk").cast("double")
+    return rows.where(t.isNotNull() & ~F.isnan(t) & r.isNotNull() & ~F.isnan(r) & F.col("event").isNotNull())
+
+
 def concordance_sums(rows: DataFrame, group_cols=(), tol: float = TIED_TOL, censored_ties: bool = True,
-                     n_buckets: int | None = None) -> DataFrame:
+                     n_buckets: int | None = None, whole: bool = False) -> DataFrame:
     """(group..., lt, le, all) for rows (group..., time, event, risk, w).
 
     ``w`` > 0 marks the weighted events (the i of a pair); every row is a
-    potential j.  Exact for any ties; no group holds more than one bucket
-    (about n / n_buckets rows) and hot time or risk values never form a
-    group of their own — single-valued buckets are counted from the grid.
+    potential j.  Rows without a time, event or risk (NULL or NaN) take no
+    part.  ``whole``: weights are whole numbers and the sums exact decimals.
+
+    ``all`` needs no risk: it is a sum over the at-risk counts by time.  For
+    ``lt`` and ``le`` the points are cut into a time x risk grid whose bucket
+    numbers grow with the data; prefix sums over the grid are windows over its
+    rows and columns, and only strips of one bucket reach ``applyInPandas``.
+    A hot time or risk is a bucket of its own and counted from the grid.
     """
-    spark = rows.sparkSession
     g = list(group_cols)
-    cflag = F.when(~F.col("event"), F.lit(1)).otherwise(F.lit(0)) if censored_ties else F.lit(0)
-    base = rows.select(*g, F.col("time").cast("double").alias("time"), F.col("event").cast("boolean").alias("event"),
-                       F.col("risk").cast("double").alias("risk"), F.col("w").cast("double").alias("w"))
-    pts = base.groupBy(*g, "time", cflag.alias("cflag"), "risk").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
-    pts = pts.persist()
-    # one pass: point count and fine quantiles of both axes; the grid edges are picked from them
-    fine = 1024
-    probs = [i / fine for i in range(1, fine)]
-    st = pts.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("time", probs, 4 * fine).alias("qt"),
-                 F.percentile_approx("risk", probs, 4 * fine).alias("qr")).collect()[0]
+    number = T.LongType() if whole else T.DoubleType()
+    exact_sum = (lambda c: F.sum(c.cast("decimal(38,0)"))) if whole else F.sum
+    base = cut_lineage(usable(rows).select(
+        *g, F.col("time").cast("double").alias("time"), F.col("event").cast("boolean").alias("event"),
+        F.col("risk").cast("double").alias("risk"), F.coalesce(F.col("w").cast(number), F.lit(0).cast(number)).alias("w")))
+    censored = ~F.col("event") if censored_ties else F.lit(False)
+    counts = base.groupBy(*g, "time", censored.cast("int").alias("cflag"), "risk").agg(F.count(F.lit(1)).alias("n"))
+
+    n_points = base.count()
     if n_buckets is None:
-        n_buckets = int(min(fine, max(4, math.ceil((st["n"] or 0) / 500_000))))
-
-    def pick(qs):
-        if not qs:
-            return []
-        return sorted({float(qs[min(len(qs) - 1, (i * fine) // n_buckets - 1)]) for i in range(1, n_buckets)})
-    t_edges, e_edges = pick(st["qt"]), pick(st["qr"])
-    P, R = len(t_edges) + 1, len(e_edges) + 1
-    pts = assign_bucket(assign_bucket(pts, "time", t_edges, "tb"), "risk", e_edges, "eb")
-
-    q0 = base.where(F.col("event") & (F.col("w") > 0)).groupBy(*g, "time", "risk").agg(F.sum("w").alias("w"))
+        n_buckets = max(4, math.ceil(n_points / POINTS_PER_BUCKET))
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    st = counts.agg(F.percentile_approx("time", probs, 4 * n_buckets).alias("qt"),
+                    F.percentile_approx("risk", probs, 4 * n_buckets).alias("qr")).first()
+    t_edges, e_edges = grid_edges(st["qt"]), grid_edges(st["qr"])
+    last = len(e_edges)
+    pts = cut_lineage(assign_bucket(assign_bucket(counts, "time", t_edges, "tb"), "risk", e_edges, "eb"))
+
+    # ---- all comparable pairs: at-risk counts by time
+    weighted = F.when(F.col("event") & (F.col("w") > 0), F.col("w"))
+    by_time = base.groupBy(*g, "time").agg(F.sum(weighted).alias("__w"), F.count(F.lit(1)).alias("__n"),
+                                           F.count_if(censored).alias("__c"))
+    after = prefix_sums(by_time, ["time"], ["__n"], g, descending=True, edges=t_edges, inclusive=False, prefix="__after")
+    comparable = after.where(F.col("__w").isNotNull()).groupBy(*g).agg(
+        exact_sum(F.col("__w") * (F.col("__after__n") + F.col("__c"))).alias("value")).select(*g, F.lit("all").alias("target"), "value")
+
+    q0 = base.where(weighted.isNotNull()).groupBy(*g, "time", "risk").agg(F.sum("w").alias("w"))
     targets = F.array(
         F.struct(F.lit("lt").alias("target"), (F.col("risk") - F.lit(tol)).alias("x"), F.lit(True).alias("strict")),
-        F.struct(F.lit("le").alias("target"), (F.col("risk") + F.lit(tol)).alias("x"), F.lit(False).alias("strict")),
-        F.struct(F.lit("all").alias("target"), F.lit(math.inf).alias("x"), F.lit(True).alias("strict")))
+        F.struct(F.lit("le").alias("target"), (F.col("risk") + F.lit(tol)).alias("x"), F.lit(False).alias("strict")))
     q = q0.select(*g, "time", "w", F.explode(targets).alias("__t")).select(*g, "time", "w", "__t.*")
-    q = assign_bucket(assign_bucket(q, "time", t_edges, "tb"), "x", e_edges, "ebx")
-    q = q.withColumn("ebx", F.when(F.col("target") == "all", F.lit(R)).otherwise(F.col("ebx")))
-
-    # ---- grid summary: at most groups x P x R x 2 rows -------------------------------------------
-    grid = pts.groupBy(*g, "tb", "eb", "cflag").agg(
-        F.sum("cnt").alias("cnt"), F.min("time").alias("tmin"), F.max("time").alias("tmax"),
-        F.min("risk").alias("emin"), F.max("risk").alias("emax")).collect()
-    per_group: dict = {}
-    for r in grid:
-        key = tuple(r[c] for c in g)
-        d = per_group.setdefault(key, {"cnt": np.zeros((P, R, 2)), "tmin": np.full(P, np.inf),
-                                       "tmax": np.full(P, -np.inf), "emin": np.full(R, np.inf),
-                                       "emax": np.full(R, -np.inf)})
-        d["cnt"][r["tb"], r["eb"], r["cflag"]] += r["cnt"]
-        d["tmin"][r["tb"]] = min(d["tmin"][r["tb"]], r["tmin"]); d["tmax"][r["tb"]] = max(d["tmax"][r["tb"]], r["tmax"])
-        d["emin"][r["eb"]] = min(d["emin"][r["eb"]], r["emin"]); d["emax"][r["eb"]] = max(d["emax"][r["eb"]], r["emax"])
-    look_rows, ht_rows, he_rows = [], [], []
-    for key, d in per_group.items():
-        C = d["cnt"].sum(axis=2)
-        CE = np.concatenate([np.zeros((P, 1)), np.cumsum(C, axis=1)], axis=1)          # sum over eb < b
-        G1 = np.concatenate([np.cumsum(CE[::-1], axis=0)[::-1][1:], np.zeros((1, R + 1))], axis=0)  # tb > a
-        CR = np.concatenate([C, np.zeros((P, 1))], axis=1)
-        RS = np.concatenate([np.cumsum(CR[::-1], axis=0)[::-1][1:], np.zeros((1, R + 1))], axis=0)
-        CS = np.concatenate([np.zeros((P, 1)), np.cumsum(d["cnt"][:, :, 1], axis=1)], axis=1)
-        heavy_t = d["tmin"] == d["tmax"]
-        heavy_e = np.concatenate([d["emin"] == d["emax"], [False]])
-        ev = np.concatenate([np.where(np.isfinite(d["emin"]), d["emin"], 0.0), [0.0]])
-        A, B = np.meshgrid(np.arange(P), np.arange(R + 1), indexing="ij")
-        keep = (G1 != 0) | (heavy_e[None, :] & (RS != 0)) | (heavy_t[:, None] & (CS != 0))
-        for a, b in zip(A[keep].tolist(), B[keep].tolist()):
-            look_rows.append(list(key) + [a, b, float(G1[a, b]), float(RS[a, b]), bool(heavy_e[b]),
-                                          float(ev[b]), float(CS[a, b]), bool(heavy_t[a])])
-        ht_rows += [list(key) + [a, bool(heavy_t[a])] for a in range(P)]
-        he_rows += [list(key) + [b, bool(heavy_e[b])] for b in range(R)]
-    gfields = [f for f in rows.schema.fields if f.name in g]
-    gschema = [T.StructField(f.name, f.dataType) for f in gfields]
-    look_schema = T.StructType(gschema + [T.StructField("tb", T.IntegerType()), T.StructField("ebx", T.IntegerType()),
-                                          T.StructField("G1", T.DoubleType()), T.StructField("RS", T.DoubleType()),
-                                          T.StructField("heavy_e", T.BooleanType()), T.StructField("ev", T.DoubleType()),
-                                          T.StructField("CS", T.DoubleType()), T.StructField("heavy_t", T.BooleanType())])
-    look = spark.createDataFrame(look_rows, look_schema)
-    ht = spark.createDataFrame(ht_rows, T.StructType(gschema + [T.StructField("tb", T.IntegerType()),
-                                                                T.StructField("heavy_t", T.BooleanType())]))
-    he = spark.createDataFrame(he_rows, T.StructType(gschema + [T.StructField("eb", T.IntegerType()),
-                                                                T.StructField("heavy_e", T.BooleanType())]))
-    small = len(look_rows) <= 200_000
-
-    cmp = F.when(F.col("strict"), F.col("ev") < F.col("x")).otherwise(F.col("ev") <= F.col("x")).cast("double")
-    contrib = (F.col("G1") + F.when(F.col("heavy_e"), F.col("RS") * cmp).otherwise(F.lit(0.0))
-               + F.when(F.col("heavy_t"), F.col("CS")).otherwise(F.lit(0.0)))
-    analytic = q.join(F.broadcast(look) if small else look, on=[*g, "tb", "ebx"], how="inner") \
-        .groupBy(*g, "target").agg(F.sum(F.col("w") * contrib).alias("value"))
-
-    # ---- exact strips and cells -------------------------------------------------------------------
-    pts_m = pts.join(F.broadcast(ht), on=[*g, "tb"], how="left").join(F.broadcast(he), on=[*g, "eb"], how="left")
-    pm = pts_m.select(*g, F.lit(False).alias("is_q"), "time", "cflag", F.col("risk").alias("v"),
-                      F.lit(True).alias("strict"), "tb", "eb", F.col("cnt").alias("w"),
-                      F.lit(None).cast("string").alias("target"),
-                      F.explode(F.filter(F.array(
-                          F.when(~F.col("heavy_e"), F.struct(F.lit(1).alias("kind"), F.col("eb").alias("k1"),
-                                                             F.lit(-1).alias("k2"))),
-                          F.when(~F.col("heavy_t"), F.struct(F.lit(2).alias("kind"), F.col("tb").alias("k1"),
-                                                             F.lit(-1).alias("k2"))),
-                          F.struct(F.lit(3).alias("kind"), F.col("tb").alias("k1"), F.col("eb").alias("k2"))),
-                          lambda m: m.isNotNull())).alias("m"))
-    q_m = q.join(F.broadcast(ht), on=[*g, "tb"], how="left") \
-        .join(F.broadcast(he.withColumnRenamed("eb", "ebx")), on=[*g, "ebx"], how="left")
-    qm = q_m.select(*g, F.lit(True).alias("is_q"), "time", F.lit(0).alias("cflag"), F.col("x").alias("v"), "strict",
-                    "tb", F.col("ebx").alias("eb"), "w", "target",
-                    F.explode(F.filter(F.array(
-                        F.when((F.col("ebx") < R) & ~F.coalesce(F.col("heavy_e"), F.lit(True)),
-                               F.struct(F.lit(1).alias("kind"), F.col("ebx").alias("k1"), F.lit(-1).alias("k2"))),
-                        F.when(~F.col("heavy_t"), F.struct(F.lit(2).alias("kind"), F.col("tb").alias("k1"),
-                                                           F.lit(-1).alias("k2"))),
-                        F.when(F.col("ebx") < R, F.struct(F.lit(3).alias("kind"), F.col("tb").alias("k1"),
-                                                          F.col("ebx").alias("k2")))),
-                        lambda m: m.isNotNull())).alias("m"))
+    q = assign_bucket(assign_bucket(q, "time", t_edges, "tb"), "x", e_edges, "eb")
+
+    # ---- the grid, dense by row, with its prefix sums
+    cells = pts.groupBy(*g, "tb", "eb").agg(F.sum("n").alias("__c0"), F.sum(F.col("n") * F.col("cflag")).alias("__c1"),
+                                            F.min("time").alias("t0"), F.max("time").alias("t1"),
+                                            F.min("risk").alias("e0"), F.max("risk").alias("e1"))
+    row_of = cells.groupBy(*g, "tb").agg((F.min("t0") == F.max("t1")).alias("hot_t"))
+    col_of = cells.groupBy(*g, "eb").agg((F.min("e0") == F.max("e1")).alias("hot_e"), F.min("e0").alias("ev"))
+    dense = (row_of.select(*g, "tb", "hot_t", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("eb"))
+             .join(cells.select(*g, "tb", "eb", "__c0", "__c1"), on=[*g, "tb", "eb"], how="left").fillna(0, subset=["__c0", "__c1"]))
+    before = Window.partitionBy(*g, "tb").orderBy("eb").rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(*g, "eb").orderBy(F.col("tb").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    dense = dense.withColumns({"__left": F.coalesce(F.sum("__c0").over(before), zero), "__left1": F.coalesce(F.sum("__c1").over(before), zero)})
+    dense = dense.withColumns({"__corner": F.coalesce(F.sum("__left").over(above), zero), "__column": F.coalesce(F.sum("__c0").over(above), zero)})
+    look = dense.join(col_of, on=[*g, "eb"], how="left").select(
+        *g, "tb", "eb", "__corner", "__column", "__left1", "hot_t", F.coalesce("hot_e", F.lit(True)).alias("hot_e"), "ev")
+    j = cut_lineage(q.join(look, on=[*g, "tb", "eb"], how="inner"))
+    beats = F.coalesce(F.when(F.col("strict"), F.col("ev") < F.col("x")).otherwise(F.col("ev") <= F.col("x")), F.lit(False))
+    whole_cells = (F.col("__corner") + F.when(F.col("hot_e") & beats, F.col("__column")).otherwise(zero)
+                   + F.when(F.col("hot_t"), F.col("__left1")).otherwise(zero))
+    analytic = j.groupBy(*g, "target").agg(exact_sum(F.col("w") * whole_cells).alias("value"))
+
+    # ---- exact strips and cells
+    def strips(row_strip, column_strip, cell):
+        def one(cond, kind, k1, k2):
+            return F.when(cond, F.struct(F.lit(kind).alias("kind"), k1.alias("k1"), k2.alias("k2")))
+        none = F.lit(-1)
+        return F.explode(F.filter(F.array(one(row_strip, 1, F.col("eb"), none), one(column_strip, 2, F.col("tb"), none),
+                                          one(cell, 3, F.col("tb"), F.col("eb"))), lambda m: m.isNotNull())).alias("m")
+
+    pts_m = pts.join(row_of, on=[*g, "tb"]).join(col_of, on=[*g, "eb"])
+    pm = pts_m.select(*g, F.lit(False).alias("is_q"), "time", "cflag", F.col("risk").alias("v"), F.lit(True).alias("strict"),
+                      "tb", "eb", "n", F.lit(None).cast(number).alias("w"), F.lit(None).cast("string").alias("target"),
+                      strips(~F.col("hot_e"), ~F.col("hot_t"), F.lit(True)))
+    qm = j.select(*g, F.lit(True).alias("is_q"), "time", F.lit(0).alias("cflag"), F.col("x").alias("v"), "strict",
+                  "tb", "eb", F.lit(None).cast("long").alias("n"), "w", "target",
+                  strips(~F.col("hot_e"), ~F.col("hot_t"), F.col("ev").isNotNull()))
     members = pm.unionByName(qm).select("*", "m.kind", "m.k1", "m.k2").drop("m")
     out_fields = [*g, "target", "value"]
-    out_schema = T.StructType(gschema + [T.StructField("target", T.StringType()),
-                                         T.StructField("value", T.DoubleType())])
-    exact = members.groupBy(*g, "kind", "k1", "k2").applyInPandas(_strip_counts(g, out_fields), out_schema)
+    gschema = [T.StructField(f.name, f.dataType) for f in rows.schema.fields if f.name in g]
+    gschema.sort(key=lambda f: g.index(f.name))
+    out_schema = T.StructType([*gschema, T.StructField("target", T.StringType()), T.StructField("value", number)])
+    exact = members.groupBy(*g, "kind", "k1", "k2").applyInPandas(_strip_counts(g, out_fields, whole), out_schema)
 
-    tot = analytic.unionByName(exact).groupBy(*g).agg(
-        *[F.coalesce(F.sum(F.when(F.col("target") == t, F.col("value"))), F.lit(0.0)).alias(t)
-          for t in ("lt", "le", "all")])
-    return tot
+    parts = comparable.unionByName(analytic).unionByName(exact.withColumn("value", F.col("value").cast("decimal(38,0)" if whole else "double")))
+    none = F.lit(0).cast("decimal(38,0)" if whole else "double")
+    return parts.groupBy(*g).agg(*[F.coalesce(F.sum(F.when(F.col("target") == t, F.col("value"))), none)
+                                   .cast("decimal(38,0)" if whole else "double").alias(t) for t in ("lt", "le", "all")])
 
 
 def concordance_sums_pairs(rows: DataFrame, group_cols=(), tol: float = TIED_TOL, censored_ties=True) -> DataFrame:
@@ -338,29 +326,26 @@ def concordance_sums_pairs(rows: DataFrame, group_cols=(), tol: float = TIED_TOL
         F.sum(F.col("i.w")).alias("all"))
 
 
-def _sums(rows, group_cols, tol, censored_ties, method, n_buckets):
+def _sums(rows, group_cols, tol, censored_ties, n_buckets, whole=False):
     """Sums for every group of ``rows``; a group without comparable pairs gets zeros."""
     g = list(group_cols)
-    if method == "pairs":
-        s = concordance_sums_pairs(rows, g, tol, censored_ties)
-    else:
-        s = concordance_sums(rows, g, tol, censored_ties, n_buckets)
+    s = concordance_sums(rows, g, tol, censored_ties, n_buckets, whole)
     keys = rows.select(*g).distinct() if g else rows.sparkSession.range(1).select()
     out = keys.join(s, on=g, how="left") if g else keys.join(s, how="left")
-    return out.fillna(0.0, subset=["lt", "le", "all"])
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(s.schema[c].dataType)) for c in ("lt", "le", "all")})
 
 
 # ---------------------------------------------------------------------------
 # IPCW concordance index (Uno et al. 2011), truncated at tau
 # ---------------------------------------------------------------------------
 def ipcw_cindex(train: DataFrame, test: DataFrame, risk_col: str, tau: float | None = 7.0, time_col="time",
-                event_col="event", group_cols=(), tol=TIED_TOL, method="grid", n_buckets=None) -> DataFrame:
+                event_col="event", group_cols=(), tol=TIED_TOL, n_buckets=None) -> DataFrame:
     """(group..., cindex, concordant_w, comparable_w).  ``cindex`` is NULL without comparable pairs."""
     g = list(group_cols)
     w = ipcw_weights(train, test, tau, time_col, event_col, g, n_buckets)
     rows = w.select(*g, F.col(time_col).alias("time"), F.col(event_col).alias("event"),
                     F.col(risk_col).alias("risk"), "w")
-    s = _sums(rows, g, tol, True, method, n_buckets)
+    s = _sums(rows, g, tol, True, n_buckets)
     num = 0.5 * (F.col("lt") + F.col("le"))
     return s.select(*g, F.when(F.col("all") > 0, num / F.col("all")).alias("cindex"),
                     num.alias("concordant_w"), F.col("all").alias("comparable_w"))
@@ -370,17 +355,18 @@ def ipcw_cindex(train: DataFrame, test: DataFrame, risk_col: str, tau: float | N
 # Harrell's concordance (strictly ordered times, exact risk ties)
 # ---------------------------------------------------------------------------
 def harrell_pairs(df: DataFrame, risk_col: str, time_col="time", event_col="event", group_cols=(),
-                  method="grid", n_buckets=None) -> DataFrame:
+                  n_buckets=None) -> DataFrame:
     """(group..., concordant, discordant, tied, cindex); cindex 0.5 without pairs."""
     g = list(group_cols)
     rows = df.select(*g, F.col(time_col).alias("time"), F.col(event_col).cast("boolean").alias("event"),
                      F.col(risk_col).alias("risk"),
-                     F.when(F.col(event_col).cast("boolean"), F.lit(1.0)).otherwise(F.lit(0.0)).alias("w"))
-    s = _sums(rows, g, 0.0, False, method, n_buckets)
-    conc = F.col("lt").cast("long")
-    tied = (F.col("le") - F.col("lt")).cast("long")
-    disc = (F.col("all") - F.col("le")).cast("long")
+                     F.when(F.col(event_col).cast("boolean"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("w"))
+    s = _sums(rows, g, 0.0, False, n_buckets, whole=True)
+    kind = "decimal(38,0)"
+    conc = F.col("lt").cast(kind)
+    tied = (F.col("le") - F.col("lt")).cast(kind)
+    disc = (F.col("all") - F.col("le")).cast(kind)
     out = s.select(*g, conc.alias("concordant"), disc.alias("discordant"), tied.alias("tied"))
     tot = F.col("concordant") + F.col("discordant") + F.col("tied")
-    return out.withColumn("cindex", F.when(tot == 0, F.lit(0.5))
-                          .otherwise((F.col("concordant") + 0.5 * F.col("tied")) / tot))
+    return out.withColumn("cindex", F.when(tot == 0, F.lit(0.5)).otherwise(
+        (F.col("concordant").cast("double") + 0.5 * F.col("tied").cast("double")) / tot.cast("double")))

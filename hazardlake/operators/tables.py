@@ -73,11 +73,6 @@ def prefix_column_sums(df: DataFrame, prefix: str) -> DataFrame:
     return df.agg(*[F.sum(F.col(c)).cast("long").alias(c) for c in cols])
 
 
-def left_fill_join(left: DataFrame, right: DataFrame, on=ID_COL) -> DataFrame:
-    """Left outer join, then fill everything."""
-    return fill_all(left.join(right, on=on, how="left"))
-
-
 def lookup_with_default(df: DataFrame, mapping: DataFrame, key: str, value: str, default, out=None) -> DataFrame:
     """Dictionary lookup with a default.
 

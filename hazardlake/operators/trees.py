@@ -43,7 +43,7 @@ class BoostedCox:
 
 
 def fit_boosted_cox(df: DataFrame, features_col="features", time_col="time", event_col="event",
-                    n_estimators=100, learning_rate=0.1, max_depth=3, min_samples_leaf=5,
+                    n_estimators=300, learning_rate=0.1, max_depth=3, min_samples_leaf=5,
                     checkpoint_every=10, seed=42, trace=None) -> BoostedCox:
     """Gradient boosting with the Cox partial-likelihood loss (plain gradient leaves)."""
     ensure_checkpoint_dir(df.sparkSession)

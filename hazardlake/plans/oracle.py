@@ -347,12 +347,13 @@ rk AS ({RANKS('ts', ['HB', 'BM_BLAST', 'PLT'])}),
 sw AS (SELECT rk.*, w.weight, w.weight * r_HB + (1 - w.weight) * (r_BM_BLAST + r_PLT) / 2.0 AS ens
        FROM rk CROSS JOIN (SELECT unnest([0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]::DOUBLE[]) AS weight) w),
 {CINDEX_SQL('sw', 'te.ens', (), ['weight'])}
-SELECT round(weight, 6) AS weight, round(cindex, 6) AS cindex FROM cidx"""
+SELECT round(weight, 6) AS weight, round(cindex, 6) AS cindex,
+  row_number() OVER (ORDER BY round(cindex, 6) DESC, weight) = 1 AS is_best FROM cidx"""
 
 SQL["permutation_importance"] = f"""WITH {FX}, {HOLDOUT},
 base AS (SELECT ID, time, event, coalesce(HB, 0.0) AS HB, coalesce(PLT, 0.0) AS PLT FROM ts),
 plan AS (SELECT c.col AS "column", r.rep AS "repeat" FROM (SELECT unnest(['HB', 'PLT']) AS col) c,
-         (SELECT unnest([0, 1, 2]) AS rep) r),
+         (SELECT unnest([0, 1, 2, 3, 4]) AS rep) r),
 copies AS (SELECT b.*, p."column", p."repeat", CASE p."column" WHEN 'HB' THEN b.HB ELSE b.PLT END AS v,
            {H("concat_ws('|', p.\"column\", CAST(p.\"repeat\" AS VARCHAR), CAST(b.ID AS VARCHAR))")} AS h
            FROM base b, plan p),
@@ -456,7 +457,8 @@ sc AS (SELECT mm.*, CASE WHEN a1 - a0 = 0 THEN 0.0 ELSE (HB - a0) / (a1 - a0) EN
 sw AS (SELECT sc.*, w.weight, w.weight * mm_a + (1 - w.weight) * mm_b AS ens
        FROM sc CROSS JOIN (SELECT unnest([0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]::DOUBLE[]) AS weight) w),
 {CINDEX_SQL('sw', 'te.ens', (), ['weight'])}
-SELECT round(weight, 6) AS weight, round(cindex, 6) AS cindex FROM cidx"""
+SELECT round(weight, 6) AS weight, round(cindex, 6) AS cindex,
+  row_number() OVER (ORDER BY round(cindex, 6) DESC, weight) = 1 AS is_best FROM cidx"""
 
 
 SQL["cv_fixed_scores"] = f"""WITH {FX},

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text_rules import aml_rule_flags, cyto_features
@@ -22,7 +22,7 @@ from ..operators import tables as P
 from ..operators import textvec as X
 from . import train_table as N
 from ..session import cut_lineage, ensure_checkpoint_dir, ship_package
-from .context import SEED, TAU, TOP_EFFECTS, TOP_GENES, make_ctx, round_doubles
+from .context import ROUND, SEED, TAU, TOP_EFFECTS, TOP_GENES, make_ctx, round_doubles
 
 REGISTRY: dict = {}
 
@@ -351,15 +351,23 @@ def q_ipcw(c):
 def q_harrell(c):
     """Harrell's concordance counts of risk = HB on the hold-out."""
     _, te = _holdout_frames(c)
-    return S.harrell_pairs(te, "HB", "time", "event").select("concordant", "discordant", "tied", "cindex")
+    h = S.harrell_pairs(te, "HB", "time", "event")
+    return h.select(*[F.col(x).cast("long").alias(x) for x in ("concordant", "discordant", "tied")], "cindex")
 
 
 def _ranked_scores(c, df):
-    out = df
-    for s in RANK_SCORES:
-        out = O.rank01(out.withColumn(f"__{s}", F.coalesce(F.col(s), F.lit(0.0))), f"__{s}", f"r_{s}") \
-            .drop(f"__{s}")
-    return out
+    """``df`` with r_<score> for every rank score: all scores are ranked in one long pass."""
+    scores = F.array(*[F.struct(F.lit(s).alias("score"), F.coalesce(F.col(s), F.lit(0.0)).alias("__x")) for s in RANK_SCORES])
+    long = cut_lineage(df.select("ID", F.explode(scores).alias("__s")).select("ID", "__s.*"))
+    ranked = O.rank01(long, "__x", "rank", partition_cols=["score"])
+    wide = ranked.groupBy("ID").agg(*[F.max(F.when(F.col("score") == s, F.col("rank"))).alias(f"r_{s}") for s in RANK_SCORES])
+    return df.join(wide, on="ID")
+
+
+def _with_best(sweep):
+    """O3: marks the winner of a sweep (highest index, then lowest weight); a sweep has a row for each weight."""
+    order = Window.orderBy(F.round("cindex", ROUND).desc(), "weight")
+    return sweep.withColumn("is_best", F.row_number().over(order) == 1)
 
 
 @query("rank_ensemble")
@@ -379,7 +387,7 @@ def q_weight_sweep(c):
     a, b, d = (F.col(f"r_{s}") for s in RANK_SCORES)
     sw = r.join(F.broadcast(ws), how="cross")  # one copy per weight (7 rows)
     sw = sw.withColumn("ens", F.col("w") * a + (1 - F.col("w")) * (b + d) / 2.0).withColumnRenamed("w", "weight")
-    return S.ipcw_cindex(tr, sw, "ens", TAU, "time", "event", group_cols=["weight"]).select("weight", "cindex")
+    return _with_best(S.ipcw_cindex(tr, sw, "ens", TAU, "time", "event", group_cols=["weight"]).select("weight", "cindex"))
 
 
 @query("permutation_importance")
@@ -506,7 +514,7 @@ def q_minmax_sweep(c):
     ws = c.spark.createDataFrame([(float(w),) for w in SWEEP_WEIGHTS], "weight double")
     sw = t.join(F.broadcast(ws), how="cross")  # one copy per weight (7 rows)
     sw = sw.withColumn("ens", F.col("weight") * F.col("mm_a") + (1 - F.col("weight")) * F.col("mm_b"))
-    return S.ipcw_cindex(tr, sw, "ens", TAU, "time", "event", group_cols=["weight"]).select("weight", "cindex")
+    return _with_best(S.ipcw_cindex(tr, sw, "ens", TAU, "time", "event", group_cols=["weight"]).select("weight", "cindex"))
 
 
 @query("cv_fixed_scores")

@@ -158,8 +158,9 @@ def cox_stacking(oof: DataFrame, other: DataFrame, score_cols, alpha=1e-4):
     return linear_risk(te, beta).drop("features"), beta
 
 
-def fit_eval_all(train_X: DataFrame, valid_X: DataFrame, tau=7.0, n_trees=20, boost_rounds=30, seed=42):
-    """Forest + Cox boosting + their rank mean, scored on the validation rows in one grouped job."""
+def fit_eval_all(train_X: DataFrame, valid_X: DataFrame, tau=7.0, n_trees=300, boost_rounds=300, l1_ratio=0.9, seed=42):
+    """Forest, Cox boosting, Coxnet and their rank mean, scored on the validation rows in one grouped job."""
+    from ..operators.linear import fit_coxnet, linear_risk
     from ..operators.forest import fit_survival_forest
     from ..operators.ordered import rank01
     from ..operators.survival import ipcw_cindex
@@ -169,7 +170,9 @@ def fit_eval_all(train_X: DataFrame, valid_X: DataFrame, tau=7.0, n_trees=20, bo
     gb = fit_boosted_cox(train_X, n_estimators=boost_rounds, seed=seed)
     a = rf.predict(valid_X).select("ID", "time", "event", "risk").withColumn("model", F.lit("forest"))
     b = gb.predict(valid_X).select("ID", "time", "event", "risk").withColumn("model", F.lit("boost"))
-    both = a.unionByName(b)
+    beta, _, _ = fit_coxnet(train_X, l1_ratio=l1_ratio)
+    d = linear_risk(valid_X, beta).select("ID", "time", "event", "risk").withColumn("model", F.lit("coxnet"))
+    both = a.unionByName(b).unionByName(d)
     r = rank01(both, "risk", "r", partition_cols=["model"])
     ens = r.groupBy("ID", "time", "event").agg(F.avg("r").alias("risk")).withColumn("model", F.lit("rank_mean"))
     allp = both.unionByName(ens.select("ID", "time", "event", "risk", "model"))

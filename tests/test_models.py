@@ -128,3 +128,30 @@ def test_ridge_matches_closed_form(spark):
     assert np.allclose(w, w_np) and abs(b - (t.mean() - X2.mean(0) @ w_np)) < 1e-9
     r = ridge_risk((w, b), df2).select(F.col("risk")).toPandas()["risk"].to_numpy()
     assert np.allclose(r, -(X2 @ w_np + b))
+
+
+def test_cox_terms_with_many_ranges_and_a_hot_time(spark):
+    rng = np.random.default_rng(9)
+    n, p = 700, 3
+    X = rng.normal(size=(n, p))
+    t = np.round(rng.exponential(2, n), 1)
+    t[:250] = 1.5                                     # a third at one time
+    e = rng.random(n) < 0.5
+    df = spark.createDataFrame([(Vectors.dense(X[i].tolist()), float(t[i]), bool(e[i])) for i in range(n)],
+                               ["features", "time", "event"])
+    b = np.array([0.3, -0.2, 5.0])                     # large predictors: sums are scaled
+    for beta in (np.zeros(p), np.array([0.3, -0.2, 0.1]), b):
+        eta = X @ beta
+        ll, g, h = 0.0, np.zeros(p), np.zeros((p, p))
+        for s in np.unique(t[e]):
+            ev, rs = (t == s) & e, t >= s
+            top = eta[rs].max()
+            w = np.exp(eta[rs] - top)
+            m = w @ X[rs] / w.sum()
+            ll += eta[ev].sum() - ev.sum() * (np.log(w.sum()) + top)
+            g += X[ev].sum(0) - ev.sum() * m
+            h += ev.sum() * ((X[rs] * w[:, None]).T @ X[rs] / w.sum() - np.outer(m, m))
+        for buckets in (1, 6):
+            prob = CoxProblem(df, n_buckets=buckets)
+            got = prob.terms(beta)
+            assert np.allclose(got[0], ll) and np.allclose(got[1], g) and np.allclose(got[2], h, atol=1e-8)

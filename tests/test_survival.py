@@ -39,6 +39,48 @@ def test_grid_dominance_equals_pairs_with_hot_values(spark, cens, tol):
     assert np.allclose([got["lt"], got["le"], got["all"]], want)
 
 
+def test_hot_time_among_continuous_times_keeps_groups_small(spark, monkeypatch, tmp_path):
+    import uuid
+
+    import hazardlake.operators.survival as S
+    rng = np.random.default_rng(3)
+    n, nb = 6000, 30
+    t = rng.random(n) * 10
+    t[:2000] = 4.0                                   # a third at one time, the rest continuous
+    r = rng.normal(size=n)
+    e = rng.random(n) < 0.6
+    pdf = pd.DataFrame({"time": t, "event": e, "risk": r, "w": np.where(e, 1.0, 0.0)})
+    out, strip = str(tmp_path), S._strip_counts
+
+    def counted(*a):
+        fn = strip(*a)
+
+        def run(group):
+            with open(f"{out}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(int((~group["is_q"]).sum())))
+            return fn(group)
+        return run
+
+    monkeypatch.setattr(S, "_strip_counts", counted)
+    got = S.concordance_sums(spark.createDataFrame(pdf), (), 0.0, False, n_buckets=nb, whole=True).collect()[0]
+    assert tuple(int(got[c]) for c in ("lt", "le", "all")) == tuple(int(x) for x in _brute(t, e, r, pdf["w"].to_numpy(), 0.0, False))
+    largest = max(int(f.read_text()) for f in tmp_path.iterdir())
+    assert 0 < largest <= 2 * n / nb * 1.25           # quantiles are approximate
+
+
+def test_rows_without_time_event_or_risk_take_no_part(spark):
+    rng = np.random.default_rng(4)
+    n = 200
+    rows = [(float(a), bool(b), float(c), 1.0) for a, b, c in zip(rng.integers(0, 20, n), rng.random(n) < 0.5, rng.normal(size=n))]
+    odd = [(1.0, True, None, 1.0), (1.0, True, float("nan"), 1.0), (None, True, 0.0, 1.0), (float("nan"), True, 0.0, 1.0), (2.0, None, 0.1, 1.0)]
+    schema = "time double, event boolean, risk double, w double"
+    a = concordance_sums(spark.createDataFrame(rows, schema), n_buckets=4).collect()[0]
+    b = concordance_sums(spark.createDataFrame(rows + odd, schema), n_buckets=4).collect()[0]
+    assert a == b
+    none = concordance_sums(spark.createDataFrame(odd, schema)).collect()
+    assert none == [] or none[0]["all"] == 0
+
+
 def _km_censoring_np(t, e):
     times = np.unique(t)
     G, out = 1.0, []
