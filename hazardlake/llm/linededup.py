@@ -15,7 +15,7 @@ Native DataFrame expressions throughout.
   The first occurrence, in order of (doc_id, text hash, position), stays.
 * Every other occurrence (not one short chunk far from any other, which no
   passage of 50 words consists of) is compared byte by byte with the first one and the
-  match is followed word by word into the ``REACH`` chunks before and after.  Matches
+  match is followed word by word to both sides (``REACH_BYTES``).  Matches
   that touch are joined to runs; a run of ``min_words`` words or more (and
   more than one line) is cut out.
 
@@ -31,11 +31,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hazardlake.llm.common import let, materialise
 
-LINE_END = r"(?<=[.!?,;:a-e]) |\n"      # one byte, taken off
+LINE_END = r"[ \n](?<=\n|[.!?,;:a-e] )"   # one byte, taken off
 WINDOW = 2
-REACH = 4                    # chunks on either side into which a match is followed
+REACH_BYTES = 400            # on either side of a match into which it is followed
 MIN_WORDS = 50
-BLOCK = 128                  # elements of a block of prefix sums
+BLOCK = 16                   # elements of a block of prefix sums
 MIN_CHUNK_BYTES = 24         # shorter chunks are too common to start a match; a match still runs through them
 ALONE_BYTES = 120            # a repeated chunk counts if it is that long, or another follows within that distance
 BROADCAST_ROWS = 200_000     # keys or edits of documents; beyond it they are joined by shuffling
@@ -64,24 +64,18 @@ def offsets(sizes: Column) -> Column:
 
 
 def chunk_array(text: Column, window: int) -> Column:
-    """Array of (hash, at, len, back, ahead) in bytes; back and ahead reach over the ``REACH`` chunks on either side."""
-    def of_sizes(units, h, ends, sizes, at):
-        n = F.size(ends)
-
+    """Array of (hash, at, len); places and lengths in bytes."""
+    def of_sizes(h, ends, sizes, at):
         def chunk(e, j):
             start = F.coalesce(F.get(ends, j - 1) + 1, F.lit(0))
-            far = F.least(j + REACH, n - 1)
-            return F.struct(
-                F.xxhash64(F.slice(h, start + 1, e + 1 - start)).alias("hash"), F.get(at, j).alias("at"), F.get(sizes, j).alias("len"),
-                (F.get(at, j) - F.get(at, F.greatest(j - REACH, F.lit(0)))).alias("back"),
-                (F.get(at, far) + F.get(sizes, far) - F.get(at, j) - F.get(sizes, j)).alias("ahead"))
+            return F.struct(F.xxhash64(F.slice(h, start + 1, e + 1 - start)).alias("hash"), F.get(at, j).alias("at"), F.get(sizes, j).alias("len"))
         return F.transform(ends, chunk)
 
     def of_ends(units, h, ends):
         def size(e, j):
             start = F.coalesce(F.get(ends, j - 1) + 1, F.lit(0))
             return F.aggregate(F.slice(units, start + 1, e + 1 - start), F.lit(0), lambda a, u: a + F.octet_length(u) + 1)
-        return let(F.transform(ends, size), lambda z: let(offsets(z), lambda at: of_sizes(units, h, ends, z, at)))
+        return let(F.transform(ends, size), lambda z: let(offsets(z), lambda at: of_sizes(h, ends, z, at)))
 
     def of_rolling(units, h, r):
         last = F.size(h) - 1
@@ -120,7 +114,7 @@ def _shared_bytes(a: Column, b: Column, backward: bool) -> Column:
     return let(words(a), lambda w: let(_common(w, words(b)), lambda k: F.octet_length(F.array_join(F.slice(w, 1, k), " "))))
 
 
-MATCH = "struct<at:int,len:int,back:int,ahead:int,f_at:int,f_len:int,f_back:int,f_ahead:int>"
+MATCH = "struct<at:int,len:int,f_at:int,f_len:int>"
 
 
 def chained(found: Column, raw: Column, other: Column) -> Column:
@@ -131,9 +125,8 @@ def chained(found: Column, raw: Column, other: Column) -> Column:
             f_gap = x["f_at"] - last["f_at"] - last["f_len"]
             follows = (gap == f_gap) & (gap >= 0) & (gap <= 4 * MIN_CHUNK_BYTES) & (
                 (gap == 0) | (F.substring(raw, last["at"] + last["len"] + 1, gap) == F.substring(other, last["f_at"] + last["f_len"] + 1, gap)))
-            both = F.struct(last["at"].alias("at"), (x["at"] + x["len"] - last["at"]).alias("len"), last["back"].alias("back"),
-                            x["ahead"].alias("ahead"), last["f_at"].alias("f_at"), (x["f_at"] + x["f_len"] - last["f_at"]).alias("f_len"),
-                            last["f_back"].alias("f_back"), x["f_ahead"].alias("f_ahead"))
+            both = F.struct(last["at"].alias("at"), (x["at"] + x["len"] - last["at"]).alias("len"),
+                            last["f_at"].alias("f_at"), (x["f_at"] + x["f_len"] - last["f_at"]).alias("f_len"))
             return F.when(follows, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both))).otherwise(F.concat(acc, F.array(x)))
         return let(F.get(acc, F.size(acc) - 1), joined)
 
@@ -144,8 +137,11 @@ def matches(raw: Column, other: Column, found: Column) -> Column:
     """Byte intervals of the matches that equal their first occurrence, followed to both sides."""
     def interval(x):
         equal = _piece(raw, x["at"], x["len"] - 1) == _piece(other, x["f_at"], x["f_len"] - 1)
-        back = _shared_bytes(_piece(raw, x["at"] - x["back"], x["back"]), _piece(other, x["f_at"] - x["f_back"], x["f_back"]), True)
-        ahead = _shared_bytes(_piece(raw, x["at"] + x["len"], x["ahead"]), _piece(other, x["f_at"] + x["f_len"], x["f_ahead"]), False)
+        near = F.least(x["at"], x["f_at"], F.lit(REACH_BYTES))
+        end, f_end = x["at"] + x["len"], x["f_at"] + x["f_len"]
+        far = F.greatest(F.least(F.octet_length(raw) - end, F.octet_length(other) - f_end, F.lit(REACH_BYTES)), F.lit(0))
+        back = _shared_bytes(_piece(raw, x["at"] - near, near), _piece(other, x["f_at"] - near, near), True)
+        ahead = _shared_bytes(_piece(raw, end, far), _piece(other, f_end, far), False)
         return F.when(equal, F.struct((x["at"] - back).alias("s"), F.least(x["at"] + x["len"] + ahead, F.octet_length(raw)).alias("e")))
 
     return F.filter(F.transform(chained(found, raw, other), interval), lambda i: i.isNotNull())
@@ -198,16 +194,16 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     # 2. chunks, and those whose hash occurs more than once
     chunks = materialise(
-        firsts.select("id", "h", F.explode(chunk_array(F.col("text"), window)).alias("c")).select("c.hash", "id", "h", "c.at", "c.len", "c.back", "c.ahead")
+        firsts.select("id", "h", F.explode(chunk_array(F.col("text"), window)).alias("c")).select("c.hash", "id", "h", "c.at", "c.len")
         .where(F.col("len") >= min_chunk_bytes), "chunks")
     often = materialise(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "often")
     again = materialise(beside(chunks, often, "hash", "left_semi", BROADCAST_HASHES), "repeated")
 
     # 3. all but the first occurrence; those with a neighbour nearby, or long ones, by document and document of the first
-    place = ["id", "h", "at", "len", "back", "ahead"]
+    place = ["id", "h", "at", "len"]
     first = again.groupBy("hash").agg(F.min(F.struct(*place)).alias("f")).select("hash", *[F.col(f"f.{c}").alias(f"f_{c}") for c in place])
     later = again.join(first, "hash").where(~(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")) & (F.col("at") == F.col("f_at"))))
-    spans = ["at", "len", "back", "ahead", "f_at", "f_len", "f_back", "f_ahead"]
+    spans = ["at", "len", "f_at", "f_len"]
     found = later.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct(*spans, "f_id", "f_h"))).alias("all"))
     near = F.filter("all", lambda x, i: (x["len"] >= ALONE_BYTES)
                     | F.coalesce(x["at"] - F.get("all", i - 1)["at"] <= F.get("all", i - 1)["len"] + ALONE_BYTES, F.lit(False))
