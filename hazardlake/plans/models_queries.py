@@ -206,3 +206,54 @@ def q_risk_table(c):
         allp = allp.unionByName(p.select("ID", "risk", "model"))
     r = rank01(allp, "risk", "r", partition_cols=["model"])
     return r.groupBy("ID").agg(F.avg("r").alias("risk_score"))
+
+
+# --------------------------------------------------------------------------- model parts with a closed form
+TERMS_BETA = (0.05, -0.02, 0.03)
+TERMS_X = ("HB / 10.0", "coalesce(BM_BLAST, 0.0) / 100.0", "coalesce(PLT, 0.0) / 400.0")
+
+
+def _small_design(c):
+    """Labeled rows with three scaled columns as features."""
+    from pyspark.ml.functions import array_to_vector
+    lab = P.to_survival(c.labeled.join(c.clinical, on="ID"))
+    return lab.select("ID", "time", "event", array_to_vector(F.array(*[F.expr(x).cast("double") for x in TERMS_X])).alias("features"))
+
+
+def _rows(c, named):
+    return c.spark.createDataFrame([(k, float(v)) for k, v in named], "term string, value double")
+
+
+@query("cox_terms")
+def q_cox_terms(c):
+    """Log-likelihood, gradient and information at a fixed beta, by row, divided by the number of rows."""
+    prob = Lm.CoxProblem(_small_design(c))
+    ll, g, h = prob.terms(TERMS_BETA)
+    named = [("loglik", ll), *[(f"g{i + 1}", g[i]) for i in range(3)],
+             *[(f"h{i + 1}{j + 1}", h[i, j]) for i in range(3) for j in range(i, 3)]]
+    return _rows(c, [(k, v / prob.n) for k, v in named])
+
+
+@query("boost_first_residuals")
+def q_boost_residuals(c):
+    """Martingale residuals of the first boosting round (event minus Nelson-Aalen hazard)."""
+    rows, _ = Lm.cox_residuals(_small_design(c).withColumn("__F", F.lit(0.0)), "__F")
+    return rows.select("ID", F.col("__r").alias("residual"))
+
+
+@query("rf_weights")
+def q_rf_weights(c):
+    """Poisson bootstrap weights of four trees."""
+    from ..operators.splits import poisson_weight
+    trees = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("tree")
+    return c.labeled.select("ID", trees).select("ID", "tree", poisson_weight("ID", 42, F.col("tree")).cast("int").alias("weight"))
+
+
+@query("ridge_small")
+def q_ridge_small(c):
+    """G1: ridge on time with two columns (closed form in the oracle): weights and intercept."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    d = _small_design(c).withColumn("__a", vector_to_array("features"))
+    d = d.select("time", array_to_vector(F.slice("__a", 1, 2)).alias("features"))
+    w, b = Lm.fit_ridge_time(d, alpha=RIDGE_ALPHA)
+    return _rows(c, [("w1", w[0]), ("w2", w[1]), ("intercept", b)])

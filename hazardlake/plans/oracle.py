@@ -6,6 +6,8 @@ indices, window functions for ranks and positions).
 """
 from __future__ import annotations
 
+import math
+
 from .context import TAU
 
 FX = """fx_clinical AS (
@@ -472,5 +474,55 @@ te AS (SELECT ID, time, event, fold, 'HB' AS model, HB AS rsk FROM j
 SELECT fold, model, round(cindex, 6) AS cindex FROM cidx"""
 
 
+SMALL = """sm AS (SELECT l.ID, l.OS_YEARS AS time, l.OS_STATUS AS d, c.HB / 10.0 AS x1, coalesce(c.BM_BLAST, 0.0) / 100.0 AS x2,
+  coalesce(c.PLT, 0.0) / 400.0 AS x3 FROM lab l JOIN fx_clinical c USING (ID))"""
+
+_PAIRS = [(i, j) for i in (1, 2, 3) for j in (1, 2, 3) if i <= j]
+_NL = ",\n  "
+SQL["cox_terms"] = f"""WITH {FX}, {SMALL},
+e AS (SELECT *, 0.05 * x1 - 0.02 * x2 + 0.03 * x3 AS eta, exp(0.05 * x1 - 0.02 * x2 + 0.03 * x3) AS e FROM sm),
+g AS (SELECT time, sum(d) AS d, sum(d * eta) AS de, {', '.join(f'sum(d * x{i}) AS dx{i}' for i in (1, 2, 3))}, sum(e) AS e0,
+  {', '.join(f'sum(e * x{i}) AS e{i}' for i in (1, 2, 3))}, {', '.join(f'sum(e * x{i} * x{j}) AS e{i}{j}' for i, j in _PAIRS)}
+  FROM e GROUP BY time),
+s AS (SELECT *, {', '.join(f'sum(e{k}) OVER w AS s{k}' for k in ['0', '1', '2', '3', *[f'{i}{j}' for i, j in _PAIRS]])}
+  FROM g WINDOW w AS (ORDER BY time DESC ROWS UNBOUNDED PRECEDING)),
+n AS (SELECT count(*) AS n FROM sm),
+v AS (SELECT 'loglik' AS term, sum(de - d * ln(s0)) AS value FROM s
+  {' '.join(f"UNION ALL SELECT 'g{i}', sum(dx{i} - d * s{i} / s0) FROM s" for i in (1, 2, 3))}
+  {' '.join(f"UNION ALL SELECT 'h{i}{j}', sum(d * (s{i}{j} / s0 - s{i} * s{j} / (s0 * s0))) FROM s" for i, j in _PAIRS)})
+SELECT term, round(value / n, 6) AS value FROM v, n"""
+
+SQL["boost_first_residuals"] = f"""WITH {FX}, {SMALL},
+g AS (SELECT time, count(*) AS n, sum(d) AS d FROM sm GROUP BY time),
+r AS (SELECT time, d, sum(n) OVER (ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS at_risk FROM g),
+h AS (SELECT time, sum(CASE WHEN d > 0 THEN CAST(d AS DOUBLE) / at_risk ELSE 0.0 END) OVER (ORDER BY time ROWS UNBOUNDED PRECEDING) AS hz FROM r)
+SELECT ID, round(d - hz, 6) AS residual FROM sm JOIN h USING (time)"""
+
+
+def _poisson_case(u: str, lam: float = 1.0) -> str:
+    cdf, p, k, out = 0.0, math.exp(-lam), 0, []
+    while True:
+        cdf += p
+        out.append(f"WHEN {u} < CAST({cdf!r} AS DOUBLE) THEN {k}")
+        p, k = p * lam / (k + 1), k + 1
+        if 1.0 - cdf < 2.0 ** -33 and k > lam:
+            return f"CASE {' '.join(out)} ELSE {k} END"
+
+
+SQL["rf_weights"] = f"""WITH {FX},
+u AS (SELECT ID, CAST(tree AS INTEGER) AS tree,
+  CAST(('0x' || substr(md5('42|' || CAST(tree AS VARCHAR) || '|' || CAST(ID AS VARCHAR)), 1, 8))::BIGINT AS DOUBLE) / CAST(4294967296.0 AS DOUBLE) AS u
+  FROM lab, (SELECT unnest([0, 1, 2, 3]) AS tree) t)
+SELECT ID, tree, CAST({_poisson_case('u')} AS INTEGER) AS weight FROM u"""
+
+SQL["ridge_small"] = f"""WITH {FX}, {SMALL},
+m AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(time) AS my FROM sm),
+c AS (SELECT x1 - m1 AS a, x2 - m2 AS b, time - my AS y FROM sm, m),
+q AS (SELECT sum(a * a) + 1.0 AS aa, sum(a * b) AS ab, sum(b * b) + 1.0 AS bb, sum(a * y) AS ay, sum(b * y) AS yb FROM c),
+w AS (SELECT (bb * ay - ab * yb) / (aa * bb - ab * ab) AS w1, (aa * yb - ab * ay) / (aa * bb - ab * ab) AS w2 FROM q)
+SELECT 'w1' AS term, round(w1, 6) AS value FROM w UNION ALL SELECT 'w2', round(w2, 6) FROM w
+UNION ALL SELECT 'intercept', round(my - w1 * m1 - w2 * m2, 6) FROM w, m"""
+
+
 def oracle_sql() -> dict:
     return dict(SQL)
