@@ -3,13 +3,15 @@
 1. One pass turns every text into its set of word shingles, the set's digest
    (the node) and ``bands x rows`` minima of universal hashes.  Equal sets are
    one node, so copies cost one row each and are never compared.
-2. Nodes that share a band are compared with the bucket's smallest node: a
-   star, not all pairs.  Pairs whose signatures could not come from similar
-   sets are left out, the others are confirmed on their full sets.
+2. Nodes that share a band are compared with the bucket's most central node
+   (the one whose bands are shared most): a star, not all pairs.  Pairs whose
+   signatures could not come from similar sets are left out, the others are
+   confirmed on their full sets.
 3. Components come from alternating large-star and small-star rounds.
-4. A link may join two members of a bucket neither of which is like the
-   smallest one.  So members of one bucket that are still in different
-   components (and of comparable size) are compared as well, and the
+4. A link may join two members of a bucket neither of which is like its
+   centre.  So in every star that holds several components, the nodes outside
+   its largest one meet all others, in blocks of bounded size and on full sets;
+   tasks hand on one link for each node and component, not pairs.  Then the
    components are formed again.  After that every pair that shares a band is
    confirmed, rejected, or in one component.
 
@@ -36,6 +38,7 @@ from hazardlake.session import ship_package
 BANDS, ROWS = 28, 5
 SHINGLE, MIN_PERCENT = 5, 80
 MAYBE = 0.62             # signatures that agree less cannot come from sets of similarity 0.8 (over 5 deviations)
+MINOR_BLOCK, STAR_BLOCK = 512, 16_384    # nodes of a block
 BROADCAST_IDS = 1_000_000    # ids, 8 MB: beyond it the texts are joined by shuffling
 ASCII_FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -107,6 +110,99 @@ def signatures(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
         run, f"doc_id {kind}, n_shingles long, node binary, sig binary, bands array<long>")
 
 
+def full_sets(wanted: DataFrame, nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(node, full): the shingle sets of the wanted nodes, read again from one text each."""
+    ids = materialise(wanted.join(nodes.select("node", "lo"), "node").select(F.col("lo").alias("__id")).distinct(), "wanted")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(
+        ids, "__id", "left_semi").select("text")
+
+    def sets(batches):
+        for batch in batches:
+            found = [shingles(t, size) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            found = {xxh3_128_digest(raw): raw for raw in (s.tobytes() for s in found if len(s))}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())],
+                                             names=["node", "full"])
+
+    return materialise(texts.mapInArrow(sets, "node binary, full binary").join(wanted, "node", "left_semi"), "sets")
+
+
+class Minors:
+    """Nodes of a block, with an index from shingles to nodes."""
+
+    def __init__(self, rows: list):
+        self.nodes, self.labels = [r[0] for r in rows], np.array([r[1] for r in rows], object)
+        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner = values[order], owner[order]
+        self.done: set = set()
+
+    def links(self, node, label, raw, min_percent):
+        """(minor, node) for similar minors of other components: the first of each minor and component."""
+        x = np.frombuffer(raw, np.uint64)
+        low, high = np.searchsorted(self.values, x, "left"), np.searchsorted(self.values, x, "right")
+        n = high - low
+        at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
+        both = np.bincount(self.owner[at], minlength=len(self.sizes))
+        hit = np.flatnonzero((100 * both >= min_percent * (self.sizes + len(x) - both)) & (self.labels != label))
+        for i in hit.tolist():
+            if (i, label) not in self.done:
+                self.done.add((i, label))
+                yield self.nodes[i], node
+
+
+def across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, df: DataFrame, id_col: str, text_col: str,
+           size: int, min_percent: int) -> DataFrame:
+    """Links between different components of a star: its nodes outside the largest one against all of it."""
+    star = shared.where("members > 2").select("center", "node").distinct().join(labels, "node", "left").select(
+        "center", "node", F.coalesce("label", "node").alias("label"))
+    star = materialise(star, "stars")
+    sizes = star.groupBy("center", "label").agg(F.count("*").alias("n"))
+    head = sizes.groupBy("center").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    blocks = head.select("center", F.col("top.label").alias("main"),
+                         F.ceil((F.col("n") - F.col("top.n")) / MINOR_BLOCK).cast("int").alias("ni"),
+                         F.ceil(F.col("n") / STAR_BLOCK).cast("int").alias("nj"))
+    mixed = materialise(star.join(blocks, "center"), "mixed")
+    if mixed.isEmpty():
+        return shared.select(F.col("center").alias("a"), F.col("node").alias("b")).limit(0)
+
+    def part(n, seed):
+        return F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    minors = mixed.where("label <> main").select("center", part("ni", 1).alias("i"), every("nj").alias("j"), F.lit(0).alias("role"), "node", "label")
+    others = mixed.select("center", every("ni").alias("i"), part("nj", 2).alias("j"), F.lit(1).alias("role"), "node", "label")
+    full = full_sets(mixed.select("node").distinct(), nodes, df, id_col, text_col, size)
+    rows = minors.union(others).join(full, "node").select("center", "i", "j", "role", "label", "node", "full")
+
+    def compare(batches):
+        key, held, block = None, [], None
+        for batch in batches:
+            out = []
+            cols = [c.to_pylist() for c in batch.columns]
+            for center, i, j, role, label, node, raw in zip(*cols):
+                if (center, i, j) != key:
+                    key, held, block = (center, i, j), [], None
+                if role == 0:
+                    held.append((node, label, raw))
+                    continue
+                if block is None:
+                    block = Minors(held)
+                    held = []
+                out += block.links(node, label, raw, min_percent)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    links = (rows.repartition("center", "i", "j").sortWithinPartitions("center", "i", "j", "role")
+             .mapInArrow(compare, "a binary, b binary"))
+    return materialise(links.distinct(), "across")
+
+
 def confirm(pairs: DataFrame, nodes: DataFrame, df: DataFrame, id_col: str, text_col: str,
             size: int, min_percent: int) -> DataFrame:
     """The pairs (a, b) whose signatures allow it and whose full sets confirm it."""
@@ -121,21 +217,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, df: DataFrame, id_col: str, text
             .join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
             .select("a", "b", "sa", "sb").mapInArrow(likely, "a binary, b binary"))
     kept = materialise(kept, "likely")
-    wanted = kept.select(F.col("a").alias("node")).union(kept.select("b")).distinct()
-    ids = materialise(wanted.join(nodes.select("node", "lo"), "node").select(F.col("lo").alias("__id")).distinct(), "wanted")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(
-        ids, "__id", "left_semi").select("text")
-
-    def sets(batches):
-        for batch in batches:
-            found = [shingles(t, size) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            found = {xxh3_128_digest(raw): raw for raw in (s.tobytes() for s in found if len(s))}
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())],
-                                             names=["node", "full"])
-
-    full = materialise(texts.mapInArrow(sets, "node binary, full binary").join(wanted, "node", "left_semi"), "sets")
+    full = full_sets(kept.select(F.col("a").alias("node")).union(kept.select("b")).distinct(), nodes, df, id_col, text_col, size)
 
     def similar(batches):
         for batch in batches:
@@ -188,23 +270,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.min("doc_id").alias("lo"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"),
         F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
     rows = classes.select("node", F.explode("bands").alias("band"))
-    stars = rows.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("members")).where("members > 1")
-    shared = materialise(rows.join(stars, "band").select("band", "members", "center", "node"), "buckets")
+    often = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    inside = materialise(rows.join(often, "band").select("band", "members", "node"), "buckets")
+    central = inside.groupBy("node").agg(F.sum("members").alias("score"))
+    centers = (inside.join(central, "node").groupBy("band").agg(F.max(F.struct("score", "node")).alias("top"))
+               .select("band", F.col("top.node").alias("center")))
+    shared = materialise(inside.join(centers, "band").select("members", "center", "node").distinct(), "stars")
     pairs = shared.where("center <> node").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     links = confirm(pairs, classes, df, id_col, text_col, shingle, min_percent)
     labels = materialise(components(links), "labels")
-
-    # members of one bucket in different components, neither of them its centre
-    size = classes.select("node", "n")
-    left = (shared.where("members > 2 and center <> node").join(size, "node").join(labels, "node", "left")
-            .select("band", "node", "n", F.coalesce("label", "node").alias("label")))
-    mixed = left.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    left = materialise(left.join(mixed, "band", "left_semi"), "mixed")
-    x, y = (left.select("band", *(F.col(c).alias(f"{p}_{c}") for c in ("node", "n", "label"))) for p in "xy")
-    rest = (x.join(y, "band").where("x_label <> y_label and (x_n < y_n or x_n = y_n and x_node < y_node)")
-            .where(f"100 * x_n >= {min_percent} * y_n")
-            .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
-    more = confirm(rest, classes, df, id_col, text_col, shingle, min_percent)
+    more = across(shared, labels, classes, df, id_col, text_col, shingle, min_percent)
     if not more.isEmpty():
         labels = materialise(components(links.union(more)), "labels")
 
