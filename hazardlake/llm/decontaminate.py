@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from hazardlake.llm.common import add_columns
+from hazardlake.llm.common import ASCII_LOWER, add_columns
 from hazardlake.session import ship_package
 
 WINDOW = 13
@@ -197,7 +197,7 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
 
 def cut(text: str, spans: list[list[int]]) -> str:
     """The text without the words of ``spans`` and what stands between them."""
-    places = [m.span() for m in WORD.finditer(text)]
+    places = [m.span() for m in WORD.finditer(text.translate(ASCII_LOWER))]
     out, end = [], 0
     for a, b in spans:
         out.append(text[end:places[a][0]])
