@@ -17,7 +17,7 @@ HEADLINE = [
     "entity_features", "indicator_pivot_binary", "train_table", "aligned_test_table", "text_flags",
     "rule_flags", "char_ngram_tfidf", "describe", "kfold", "stratified_split", "rank_ensemble",
     "km_censoring", "ipcw_weights", "ipcw_cindex", "harrell_cindex", "weight_sweep", "permutation_importance",
-    "impute_scale", "target_encode", "cox_ph",
+    "impute_scale", "target_encode", "cox_ph", "cox_terms", "boost_first_residuals", "csv_roundtrip", "cv_fixed_scores",
 ]
 
 
