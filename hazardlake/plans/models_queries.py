@@ -257,3 +257,38 @@ def q_ridge_small(c):
     d = d.select("time", array_to_vector(F.slice("__a", 1, 2)).alias("features"))
     w, b = Lm.fit_ridge_time(d, alpha=RIDGE_ALPHA)
     return _rows(c, [("w1", w[0]), ("w2", w[1]), ("intercept", b)])
+
+
+# --------------------------------------------------------------------------- selection and stacking on three columns
+def _small_parts(c):
+    """Training and hold-out part of the three-column design."""
+    d = cut_lineage(_small_design(c).withColumn("is_test", c.is_test()))
+    return d.where(~F.col("is_test")).drop("is_test"), d.where(F.col("is_test")).drop("is_test")
+
+
+@query("l1_ratio_selection")
+def q_l1_ratio(c):
+    """Hold-out IPCW C of a Coxnet by l1_ratio, the first best flagged (3 points of the 100-alpha path)."""
+    tr, te = _small_parts(c)
+    res, best, _ = Sel.select_l1_ratio(tr, te, (0.1, 0.5, 0.9), TAU, path_steps=COXNET_STEPS)
+    return res.withColumn("is_best", F.col("l1_ratio") == F.lit(best))
+
+
+@query("cox_stacking")
+def q_stacking(c):
+    """Cox model on out-of-fold ridge and Cox scores of the training part, applied to the hold-out."""
+    from ..operators.splits import kfold
+    tr, te = _small_parts(c)
+    folds = cut_lineage(kfold(tr, CV_FOLDS, out="fold"))
+    scores = ("ridge", "cox")
+
+    def scored(fit_on, rows):
+        r = Lm.ridge_risk(Lm.fit_ridge_time(fit_on, alpha=RIDGE_ALPHA), rows, "ridge")
+        return Lm.linear_risk(r, Lm.fit_cox(fit_on, alpha=1e-4), out="cox").select("ID", "time", "event", *scores)
+
+    oof = None
+    for k in range(CV_FOLDS):
+        part = scored(folds.where(F.col("fold") != k), folds.where(F.col("fold") == k))
+        oof = part if oof is None else oof.unionByName(part)
+    out, _ = Sel.cox_stacking(cut_lineage(oof), scored(tr, te), scores)
+    return out.select("ID", "risk")

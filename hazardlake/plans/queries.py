@@ -295,9 +295,9 @@ def q_holdout(c):
 @query("kfold")
 def q_kfold(c):
     """L3 + L4 + L5: shuffled 3-fold, stratified 3-fold and (event x time bin) 3-fold ids."""
-    lab = L.make_strata(c.labeled, n_bins=3)
-    a = L.kfold(lab, 3, seed=SEED, out="fold")
-    b = L.kfold(a, 3, seed=SEED, strata="OS_STATUS", out="fold_event")
+    lab = cut_lineage(L.make_strata(cut_lineage(c.labeled), n_bins=3).select("ID", "OS_STATUS", "stratum"))
+    a = cut_lineage(L.kfold(lab, 3, seed=SEED, out="fold"))
+    b = cut_lineage(L.kfold(a, 3, seed=SEED, strata="OS_STATUS", out="fold_event"))
     d = L.kfold(b, 3, seed=SEED, strata="stratum", out="fold_strata")
     return d.select("ID", "fold", "fold_event", "fold_strata")
 
@@ -315,28 +315,28 @@ def q_random(c):
 
 
 # --------------------------------------------------------------------------- survival metrics
-def _holdout_frames(c):
+def _holdout_frames(c, cols=("HB", "BM_BLAST", "PLT")):
     """Train / evaluation parts of the labeled rows.
 
     The metric jobs run several small actions over these rows, so the
     lineage (fixture scans and joins) is cut once with a reliable checkpoint.
     """
     lab = _labeled_with_clinical(c).withColumn("is_test", c.is_test())
-    s = cut_lineage(P.to_survival(lab))
+    s = cut_lineage(P.to_survival(lab).select("ID", "time", "event", "is_test", *cols))
     return s.where(~F.col("is_test")), s.where(F.col("is_test"))
 
 
 @query("km_censoring")
 def q_km(c):
     """Kaplan-Meier curve of the censoring distribution on the training part."""
-    tr, _ = _holdout_frames(c)
+    tr, _ = _holdout_frames(c, ())
     return S.km_censoring(tr, "time", "event")
 
 
 @query("ipcw_weights")
 def q_ipcw_w(c):
     """1/G(t) for test events before tau (as-of lookup of the step curve)."""
-    tr, te = _holdout_frames(c)
+    tr, te = _holdout_frames(c, ())
     return S.ipcw_weights(tr, te, TAU, "time", "event").select("ID", "time", "event", "ipcw")
 
 
