@@ -33,7 +33,7 @@ from hazardlake.llm.common import let, materialise
 
 LINE_END = r"[ \n](?<=\n|[.!?,;:a-e] )"   # one byte, taken off
 WINDOW = 2
-REACH_BYTES = 400            # on either side of a match into which it is followed
+REACH_BYTES = 240            # on either side of a match into which it is followed
 MIN_WORDS = 50
 BLOCK = 16                   # elements of a block of prefix sums
 MIN_CHUNK_BYTES = 24         # shorter chunks are too common to start a match; a match still runs through them
