@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from math import log10
 from zlib import crc32
 
 import numpy as np
@@ -46,8 +47,8 @@ CLASSES = 64
 FREQUENT_CLASSES = 24        # frequent words with a class of their own
 SUFFIX_CLASSES = 35
 END = CLASSES - 1
-HASHED = 8192                # rows of the trigram feature
-LEXICON = 100_000            # words that tasks hold with their counts
+HASHED = 4096                # rows of the trigram feature
+LEXICON = 50_000             # words that tasks hold with their counts
 MEMO_WORDS = 500_000
 COUNT_WORDS = 300_000
 STEPS = 15
@@ -225,7 +226,7 @@ def _cells(cells):
 def feature_rows(ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of the weight table: bigram, skip and (hashed) trigram feature of each context."""
     one, two = ctx // BUCKETS, ctx % BUCKETS
-    both = ((ctx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 13)).astype(np.int64)
+    both = ((ctx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 12)).astype(np.int64)
     return one, BUCKETS + two, 2 * BUCKETS + both
 
 
@@ -247,7 +248,7 @@ def train(cells: DataFrame, steps: int = STEPS) -> np.ndarray:
     """Weights by damped diagonal Newton steps; tasks sum over their contexts, the driver over the tasks."""
     spark = cells.sparkSession
     rows = materialise(cells.groupBy("ctx").agg(F.collect_list("cls").alias("cls"), F.collect_list("n").alias("n"))
-                       .coalesce(8), "contexts")      # BUCKETS ** 2 contexts of CLASSES counts at most, whatever the input
+                       .coalesce(4), "contexts")      # BUCKETS ** 2 contexts of CLASSES counts at most, whatever the input
     weights = np.zeros((N_ROWS, CLASSES), np.float32)
     loss, rate = np.inf, 0.5
     best = weights
@@ -279,15 +280,17 @@ def train(cells: DataFrame, steps: int = STEPS) -> np.ndarray:
                                               pa.array([curve.tobytes()], pa.binary())], names=["loss", "grad", "curve"])
 
         found = rows.mapInArrow(run, "loss double, grad binary, curve binary").collect()
-        shared.unpersist()
+        shared.destroy()
         now = sum(r.loss for r in found) + 0.5 * RIDGE * float((weights.astype(np.float64) ** 2).sum())
         if now > loss:                   # too long a step: go back half of it
             rate *= 0.5
             weights = best + 0.5 * (weights - best)
             continue
         loss, best = now, weights
-        grad = sum(np.frombuffer(r.grad, np.float32).reshape(N_ROWS, CLASSES).astype(np.float64) for r in found) + RIDGE * best
-        curve = sum(np.frombuffer(r.curve, np.float32).reshape(N_ROWS, CLASSES).astype(np.float64) for r in found) + RIDGE
+        grad, curve = RIDGE * best.astype(np.float64), np.full(best.shape, RIDGE)
+        for r in found:
+            grad += np.frombuffer(r.grad, np.float32).reshape(best.shape)
+            curve += np.frombuffer(r.curve, np.float32).reshape(best.shape)
         weights = (best - rate * np.clip(grad / curve, -2, 2)).astype(np.float32)
     return best
 
@@ -319,7 +322,8 @@ def fit(texts: DataFrame, lexicon: int = LEXICON) -> tuple[Model, DataFrame]:
     counts = materialise(word_counts(texts), "words")
     n_texts = texts.count()
     n_words, n_kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = {bytes(r.word): r.n for r in most_frequent(counts, "n", lexicon).collect()}
+    found = most_frequent(counts, "n", lexicon).select("word", "n").toArrow()
+    top = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
     frequent = sorted(top, key=lambda w: (-top[w], w))[:FREQUENT_BUCKETS]
     by_suffix: Counter = Counter()
     for w, c in top.items():
@@ -333,7 +337,7 @@ def fit(texts: DataFrame, lexicon: int = LEXICON) -> tuple[Model, DataFrame]:
     total, distinct = n_words + n_texts, n_kinds + (n_texts > 0)
     denominator = total + distinct + 1
     in_class = tokens + kinds + 1
-    table = {w: (np.log10((c + 1) / denominator), np.log10((c + 1) / in_class[layout.of(w)[1]])) for w, c in top.items()}
+    table = {w: (log10((c + 1) / denominator), log10((c + 1) / float(in_class[layout.of(w)[1]]))) for w, c in top.items()}
     return Model(layout, weights, norm, table, denominator, in_class, n_texts, total), counts
 
 
