@@ -49,7 +49,7 @@ SUFFIX_CLASSES = 35
 END = CLASSES - 1
 HASHED = 4096                # rows of the trigram feature
 LEXICON = 50_000             # words that tasks hold with their counts
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 COUNT_WORDS = 300_000
 STEPS = 15
 RIDGE = 1.0
@@ -164,12 +164,12 @@ class Reader:
         return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
 
     def batch(self, texts: list):
-        """Groups of texts as (texts' words, ids, contexts, classes, places of the ends); at most a million words each."""
+        """Groups of texts as (texts' words, ids, contexts, classes, places of the ends); some 200,000 words each."""
         group, held = [], 0
         for text in texts:
             group.append(words_of(text))
             held += len(group[-1])
-            if held > 500_000:
+            if held > 200_000:
                 yield self._arrays(group)
                 group, held = [], 0
         if group:
@@ -347,10 +347,23 @@ PARTS = [T.StructField("__rid", T.LongType()), T.StructField("n_tokens", T.LongT
          T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("__rare", RARE)]
 
 
-def score_batch(model: Model, texts: list) -> tuple[list, list, list, list, list]:
-    """n_tokens, and the known tokens, base and model scores without the rare words, which come last."""
+def rare_column(reader: Reader, group: list, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """By text, the words outside the lexicon with class and frequency; built by column, without an object for each."""
+    words, tf, sizes = [], [], []
+    for ws, miss in zip(group, np.split(~reader.listed[flat], np.cumsum(ends - starts)[:-1])):
+        found = Counter([ws[i] for i in np.flatnonzero(miss).tolist()])
+        words += found
+        tf += found.values()
+        sizes.append(len(found))
+    cls = reader.cls[np.fromiter(map(reader.index.__getitem__, words), np.int64, len(words))]
+    rows = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(cls, pa.int32()), pa.array(tf, pa.int64())],
+                                      names=["word", "cls", "tf"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), rows)
+
+
+def score_groups(model: Model, texts: list):
+    """By group of texts: n_tokens; known tokens, base and model scores without the rare words; the rare words."""
     reader = model.reader()
-    out: tuple = ([], [], [], [], [])
     w, end_base = model.weights, np.log10((model.end + 1) / model.denominator)
     for group, flat, inside, ctx, cls, starts, ends in reader.batch(texts):
         a, b, c = feature_rows(ctx)
@@ -360,13 +373,8 @@ def score_batch(model: Model, texts: list) -> tuple[list, list, list, list, list
         base[inside] = reader.base[flat]
         token[inside] += reader.own[flat]
         listed[inside] = reader.listed[flat]
-        out[0].extend((ends - starts + 1).tolist())
-        for col, values in zip(out[1:4], (listed, base, token)):
-            col.extend(np.add.reduceat(values, starts).tolist())
-        for words, miss in zip(group, np.split(~reader.listed[flat], np.cumsum(ends - starts)[:-1])):
-            tf = Counter(words[i] for i in np.flatnonzero(miss).tolist())
-            out[4].append([{"word": x, "cls": int(reader.cls[reader.index[x]]), "tf": k} for x, k in tf.items()])
-    return out
+        yield (ends - starts + 1, *(np.add.reduceat(x, starts) for x in (listed, base, token)),
+               rare_column(reader, group, flat, starts, ends))
 
 
 def score(df: DataFrame, model: Model, counts: DataFrame, column: str = "text") -> DataFrame:
@@ -382,11 +390,13 @@ def score(df: DataFrame, model: Model, counts: DataFrame, column: str = "text")
     def run(batches):
         row = TaskContext.get().partitionId() << 40      # numbers rows; fixed once the table is written
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
-            parts = (range(row, row + len(texts)), *score_batch(shared.value, texts))
-            row += len(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] +
-                                             [pa.array(list(v), k) for v, k in zip(parts, kinds)], names=schema.names)
+            texts, at = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist(), 0
+            for n_tokens, *sums, rare in score_groups(shared.value, texts):
+                n = len(n_tokens)
+                parts = (np.arange(row, row + n), n_tokens, *sums)
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(at, n) for i in range(len(keep))] +
+                                                 [pa.array(v, k) for v, k in zip(parts, kinds)] + [rare], names=schema.names)
+                at, row = at + n, row + n
 
     parts = materialise(df.select(*[f.name for f in keep], F.col(column).cast("string").alias("__text")).mapInArrow(run, schema), "scores")
     # the words outside the lexicon, with their documents, meet the counts by word
