@@ -308,12 +308,14 @@ class Model:
     end: int                     # training texts
     n: int                       # training tokens
 
-    reader_: Reader | None = None
-
     def reader(self) -> Reader:
-        if self.reader_ is None:
-            self.reader_ = Reader(self.layout, self.lexicon)
-        return self.reader_
+        """The worker's reader of this model; that of an earlier model goes."""
+        if _reader[0] is not self:
+            _reader[:] = [self, Reader(self.layout, self.lexicon)]
+        return _reader[1]
+
+
+_reader: list = [None, None]
 
 
 def fit(texts: DataFrame, lexicon: int = LEXICON) -> tuple[Model, DataFrame]:

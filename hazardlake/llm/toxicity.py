@@ -112,7 +112,6 @@ class KneserNey:
             self.levels.insert(0, Level.of(seen, kinds.astype(np.float64)))
             mask >>= BITS
         self.classes = [Level.of(grams, c.astype(np.float64), CLASS_DISCOUNT) for c in (toxic, ordinary)]
-        self.memo: dict[str, float] = {}
 
     def ratios(self, words: list[str]) -> np.ndarray:
         if not words:
@@ -131,7 +130,9 @@ class KneserNey:
         pieces = list(dict.fromkeys(text.lower().split())) if text else []
         if not pieces:
             return 0.0, 0.0, 0.0
-        memo = self.memo
+        if _memo[0] is not self:                               # a worker remembers the words of one model
+            _memo[:] = [self, {}]
+        memo = _memo[1]
         if len(memo) > MEMO_WORDS:
             memo.clear()
         new = list({p for p in pieces if p not in memo})
@@ -148,6 +149,9 @@ class KneserNey:
         return float(v.mean()), float((run[STRETCH:] - run[:-STRETCH]).max() / STRETCH), top
 
 
+_memo: list = [None, {}]
+
+
 def inputs(whole: float, stretch: float, top: float) -> np.ndarray:
     return np.array([1.0, whole, stretch, top])
 
