@@ -34,11 +34,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from hazardlake.llm.common import add_columns, materialise, most_frequent
+from hazardlake.llm.common import add_columns, materialise, most_frequent, worker_memory
 from hazardlake.session import ship_package
 
 LEXICON_WORDS = 50_000       # frequent pieces compiled into the automaton
-MEMO_PIECES = 500_000        # pieces a worker remembers before it starts anew (some 150 MB)
+MEMO_PIECES = 300_000        # pieces a worker remembers before it starts anew (some 100 MB)
 COUNT_PIECES = 200_000       # distinct pieces a counting task holds before it hands them on
 NEVER = np.int32(2**31 - 1)
 SPACES = regex.compile(r"\s+")
@@ -347,7 +347,7 @@ def ship_lexicon(spark: SparkSession, flat: np.ndarray) -> str:
     return name
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
@@ -356,7 +356,6 @@ class Encoder:
     """Encodes and decodes batches of texts; holds a bounded memory of pieces."""
 
     def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None = None, memo_pieces: int = MEMO_PIECES):
-        gc.disable()        # millions of small lists, none of them cyclic
         self.vocab, self.lexicon, self.limit = vocab, lexicon, memo_pieces
         self.memo: dict[str, list[int]] = {"": []}
 
@@ -390,6 +389,13 @@ class Encoder:
 
     def encode(self, texts: list[str | None]):
         """Yields the ids of each text.  Pieces are learnt for some texts at a time, to bound memory."""
+        gc.disable()        # millions of small lists, none of them cyclic
+        try:
+            yield from self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts):
         group, held = [], 0
         for text in texts:
             group.append(self._pieces(text))
@@ -415,10 +421,10 @@ class Encoder:
         return " ".join(map(self.vocab.tokens.__getitem__, ids or ()))
 
 
-@lru_cache(maxsize=1)
 def encoder(vocab_path: str, lexicon_name: str) -> Encoder:
     """The encoder of a worker, kept for its later tasks; the automaton stays a memory map of the fetched file."""
-    return Encoder(vocabulary(vocab_path), Lexicon(np.load(SparkFiles.get(lexicon_name), mmap_mode="r")))
+    return worker_memory(("bpe", vocab_path, lexicon_name), lambda: Encoder(
+        vocabulary(vocab_path), Lexicon(np.load(SparkFiles.get(lexicon_name), mmap_mode="r"))))
 
 
 def encode(df: DataFrame, vocab_path: str, column: str = "text", out: str = "ids",

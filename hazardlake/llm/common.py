@@ -16,6 +16,21 @@ WORD_RE = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+_held: list = [None, None]
+
+
+def worker_memory(owner, make):
+    """What a Python worker remembers between tasks: the ``make()`` of one owner; another owner's takes its place.
+
+    Workers are reused by stage after stage, so that what several operators
+    remember would add up otherwise.
+    """
+    if _held[0] is None or _held[0] != owner:
+        _held[:] = [None, None]            # the memory goes before the new one grows
+        _held[:] = [owner, make()]
+    return _held[1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

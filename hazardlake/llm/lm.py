@@ -25,6 +25,7 @@ uniform over classes.
 """
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 from math import log10
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from hazardlake.llm.common import materialise, most_frequent
+from hazardlake.llm.common import materialise, most_frequent, worker_memory
 from hazardlake.session import ship_package
 
 BUCKETS = 256
@@ -307,15 +308,11 @@ class Model:
     in_class: np.ndarray         # N_c + V_c + 1
     end: int                     # training texts
     n: int                       # training tokens
+    token: str = field(default_factory=lambda: uuid.uuid4().hex)   # names the model in a worker
 
     def reader(self) -> Reader:
         """The worker's reader of this model; that of an earlier model goes."""
-        if _reader[0] is not self:
-            _reader[:] = [self, Reader(self.layout, self.lexicon)]
-        return _reader[1]
-
-
-_reader: list = [None, None]
+        return worker_memory(("lm", self.token), lambda: Reader(self.layout, self.lexicon))
 
 
 def fit(texts: DataFrame, lexicon: int = LEXICON) -> tuple[Model, DataFrame]:

@@ -21,6 +21,7 @@ if one of them says so.  With no labelled rows of a class every score is 0.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from hazardlake.llm.common import add_columns, materialise, most_frequent
+from hazardlake.llm.common import add_columns, materialise, most_frequent, worker_memory
 from hazardlake.session import ship_package
 
 ORDER = 6                 # characters of a gram
@@ -40,7 +41,7 @@ SAMPLE = 8_000            # labelled documents of each class that the counts and
 MAX_GRAMS = 2_000_000
 STRETCH = 30
 TOP = 3
-MEMO_WORDS = 600_000
+MEMO_WORDS = 400_000
 EDGES = ".,;:!?%$&*#\"'()[]|<>-"
 START, END = 0, 1
 
@@ -102,6 +103,7 @@ class KneserNey:
     """The pair of models; ``ratio`` gives each word's log-likelihood under toxic minus that under ordinary."""
 
     def __init__(self, grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
+        self.token = uuid.uuid4().hex                          # names the model in a worker
         order = np.argsort(grams)
         grams, toxic, ordinary = grams[order], toxic[order], ordinary[order]
         self.levels = []                                       # shared, from the shortest grams on
@@ -130,9 +132,7 @@ class KneserNey:
         pieces = list(dict.fromkeys(text.lower().split())) if text else []
         if not pieces:
             return 0.0, 0.0, 0.0
-        if _memo[0] is not self:                               # a worker remembers the words of one model
-            _memo[:] = [self, {}]
-        memo = _memo[1]
+        memo = worker_memory(("toxicity", self.token), dict)
         if len(memo) > MEMO_WORDS:
             memo.clear()
         new = list({p for p in pieces if p not in memo})
@@ -149,9 +149,6 @@ class KneserNey:
         return float(v.mean()), float((run[STRETCH:] - run[:-STRETCH]).max() / STRETCH), top
 
 
-_memo: list = [None, {}]
-
-
 def inputs(whole: float, stretch: float, top: float) -> np.ndarray:
     return np.array([1.0, whole, stretch, top])
 
