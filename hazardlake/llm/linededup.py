@@ -1,26 +1,28 @@
-"""Line dedup: content-defined chunks of lines that repeat anywhere in the corpus are removed.
+"""Line dedup: passages of ``min_words`` words or more that repeat anywhere in the corpus are removed.
 
 Native DataFrame expressions throughout.
 
-* A line ends after a line break, and paragraphs are wrapped by their content:
-  after a clause mark or a word that ends in a to e (about a quarter of the
-  words of European languages), so a passage pasted into a paragraph has lines
-  of its own.
-* Each line is hashed; a rolling hash over ``WINDOW`` line hashes ends a chunk
-  where it is smaller than at both neighbouring lines (every third line or so).
-  Boundaries depend on nearby content only, so equal passages get equal chunks
-  wherever they stand.
-* Whole copies of a text are found by digest and need no chunks.
-* Chunk hashes are counted over all other documents (combined before the shuffle).
+* A text is split at every white space character.  Of any ``WINDOW`` neighbouring
+  words the one with the smallest hash (the first of equal ones) is an anchor,
+  in whatever script; the words from an anchor on, ``min_words - WINDOW + 1`` of
+  them, are hashed in order.  Anchors depend on the words of their window only,
+  so equal passages have equal anchors wherever they stand, and each passage
+  of ``min_words`` words has an anchor whose hashed words lie inside it.
+* In a text that repeats a few words over and over neighbouring anchors have equal
+  hashes; they become one row, or two, so that the first ``min_words`` words
+  are the passage that the rest repeats.
+* Whole copies of a text are found by digest and need no anchors.
+* Hashes are counted over all other documents (combined before the shuffle).
   The first occurrence, in order of (doc_id, text hash, position), stays.
-* Every other occurrence (not one short chunk far from any other, which no
-  passage of 50 words consists of) is compared byte by byte with the first one and the
-  match is followed word by word to both sides (``REACH_BYTES``).  Matches
-  that touch are joined to runs; a run of ``min_words`` words or more (and
-  more than one line) is cut out.
-
-What is removed therefore still stands, byte by byte (line breaks and spaces
-count alike), at a place before, by the order above.  NULL texts stay NULL, empty ones empty.
+* Every other occurrence is compared word by word with the first one and the
+  match is followed to both sides (``min_words`` words; a longer match has more
+  anchors).  Matches that touch are joined to runs; a run of ``min_words`` words
+  or more (and more than one line) is cut out.
+
+What is removed therefore still stands, byte by byte (white space characters
+count alike), at a place before, by the order above.  A passage is compared with
+the first place of its hashed words; where only a later place shares more words
+with it, these are not looked at.  NULL texts stay NULL, empty ones empty.
 Rows with the same id and text are one document and are treated alike.  Other
 columns, whatever their names, pass through; the added ones replace columns of
 the same name.
@@ -31,19 +33,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hazardlake.llm.common import let, materialise
 
-LINE_END = r"[ \n](?<=\n|[.!?,;:a-e] )"   # one byte, taken off
-WINDOW = 2
-REACH_BYTES = 240            # on either side of a match into which it is followed
+SPACE = r"[ \t-\r]"           # one byte, taken off
 MIN_WORDS = 50
+WINDOW = 16                  # neighbouring words of which one at least is an anchor
+PLACE_BITS = 28              # of an anchor's place in a text, below its hash
 BLOCK = 16                   # elements of a block of prefix sums
-MIN_CHUNK_BYTES = 24         # shorter chunks are too common to start a match; a match still runs through them
-ALONE_BYTES = 120            # a repeated chunk counts if it is that long, or another follows within that distance
 BROADCAST_ROWS = 200_000     # keys or edits of documents; beyond it they are joined by shuffling
-BROADCAST_HASHES = 3_000_000  # repeated chunk hashes, 24 MB; the same
+BROADCAST_HASHES = 3_000_000  # repeated hashes, 24 MB; the same
 
 
-def lines(text: Column) -> Column:
-    return F.split(text, LINE_END)
+def words(text: Column) -> Column:
+    """The words of a text, with empty ones between neighbouring white space characters."""
+    return F.split(text, SPACE)
 
 
 def offsets(sizes: Column) -> Column:
@@ -63,97 +64,104 @@ def offsets(sizes: Column) -> Column:
     return let(F.aggregate(totals, F.array(F.lit(0)), append), lambda t: inside(F.slice(t, 1, F.size(t) - 1)))
 
 
-def chunk_array(text: Column, window: int) -> Column:
-    """Array of (hash, at, len); places and lengths in bytes."""
-    def of_sizes(h, ends, sizes, at):
-        def chunk(e, j):
-            start = F.coalesce(F.get(ends, j - 1) + 1, F.lit(0))
-            return F.struct(F.xxhash64(F.slice(h, start + 1, e + 1 - start)).alias("hash"), F.get(at, j).alias("at"), F.get(sizes, j).alias("len"))
-        return F.transform(ends, chunk)
+def hashed_words(window: int, min_words: int) -> int:
+    """So many words from an anchor on that a passage of ``min_words`` words holds those of one anchor."""
+    return max(min_words - window + 1, 1)
 
-    def of_ends(units, h, ends):
-        def size(e, j):
-            start = F.coalesce(F.get(ends, j - 1) + 1, F.lit(0))
-            return F.aggregate(F.slice(units, start + 1, e + 1 - start), F.lit(0), lambda a, u: a + F.octet_length(u) + 1)
-        return let(F.transform(ends, size), lambda z: let(offsets(z), lambda at: of_sizes(h, ends, z, at)))
 
-    def of_rolling(units, h, r):
-        last = F.size(h) - 1
-        ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (
-            (F.get(r, i) < F.get(r, i - 1)) & (F.get(r, i) <= F.get(r, i + 1))))
-        return let(ends, lambda e: of_ends(units, h, e))
+def chunk_array(text: Column, window: int = WINDOW, min_words: int = MIN_WORDS) -> Column:
+    """Array of (hash, at, last, gap): the hashed words of the anchor ``at``, and of all anchors up to ``last`` in steps of ``gap``."""
+    size = hashed_words(window, min_words)
+    low = (1 << PLACE_BITS) - 1
 
-    def of_hashes(units, h):
-        def rolling(x, i):
-            for k in range(1, window):
-                x = x.bitwiseXOR(F.coalesce(F.get(h, i - k), F.lit(0)))
-            return x
-        return let(F.transform(h, rolling), lambda r: of_rolling(units, h, r))
+    def least(keys, reach):
+        """The smallest key of each ``window`` neighbours."""
+        step = min(reach, window - reach)
+        if step <= 0:
+            return keys
+        return let(F.zip_with(keys, F.slice(keys, step + 1, F.size(keys)), lambda x, y: F.least(x, y)), lambda k: least(k, reach + step))
 
-    return let(lines(text), lambda u: let(F.transform(u, lambda x: F.xxhash64(x)), lambda h: of_hashes(u, h)))
+    def of_anchors(w, places):
+        hashes = F.transform(places, lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(size))))
+        return let(hashes, lambda h: let(
+            F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda j: (j == 0) | (F.get(h, j) != F.get(h, j - 1))),
+            lambda starts: F.flatten(F.transform(starts, lambda j, k: rows(h, places, j, F.coalesce(F.get(starts, k + 1), F.size(h)) - 1)))))
 
+    def rows(h, places, j, end):
+        def row(a, b, gap):
+            return F.struct(F.get(h, j).alias("hash"), F.get(places, a).alias("at"), F.get(places, b).alias("last"), gap.alias("gap"))
 
-def _piece(raw: Column, at: Column, size: Column) -> Column:
-    """Bytes of a text as a string on one line."""
-    return F.translate(F.substring(raw, at + 1, size).cast("string"), "\n", " ")
+        def split(gap):
+            own = j + F.ceil(F.lit(min_words) / gap).cast("int")            # the anchor that is min_words words on
+            return F.when(own <= end, F.array(row(j, own - 1, gap), row(own, end, gap))).otherwise(F.array(row(j, end, gap)))
 
+        return F.when(j == end, F.array(row(j, j, F.lit(0)))).otherwise(let(F.get(places, j + 1) - F.get(places, j), split))
 
-def _common(a: Column, b: Column) -> Column:
-    """Number of leading elements that two arrays share."""
-    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
-    return let(F.struct(F.array_position(same, F.lit(False)).cast("int").alias("p"), F.size(same).alias("n")),
-               lambda r: F.when(r["p"] == 0, r["n"]).otherwise(r["p"] - 1))
+    def of_words(w):
+        keys = F.transform(w, lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
+        picked = let(keys, lambda k: F.array_distinct(F.slice(least(k, 1), F.lit(1), F.size(w) - (min_words - 1))))
+        return F.when(F.size(w) >= min_words, let(
+            F.transform(picked, lambda k: k.bitwiseAND(F.lit(low)).cast("int")), lambda places: of_anchors(w, places)))
 
+    return let(words(text), of_words)
 
-def _shared_bytes(a: Column, b: Column, backward: bool) -> Column:
-    """Bytes of ``a`` in the words that its end (start) has in common with that of ``b``."""
-    def words(t):
-        w = F.split(t, " ")
-        return F.reverse(w) if backward else w
 
-    return let(words(a), lambda w: let(_common(w, words(b)), lambda k: F.octet_length(F.array_join(F.slice(w, 1, k), " "))))
+def chained(found: Column, size: int) -> Column:
+    """(at, last, gap, f_at) of matches; those of neighbouring anchors that overlap alike in both texts are one."""
+    def follows(i):
+        x, before = F.get(found, i), F.get(found, i - 1)
+        return ((x["at"] - before["at"] == x["f_at"] - before["f_at"]) & (x["at"] <= before["at"] + size)
+                & (x["gap"] == 0) & (before["gap"] == 0))
 
+    def joined(starts):
+        return F.transform(starts, lambda i, k: let(F.get(found, F.coalesce(F.get(starts, k + 1), F.size(found)) - 1), lambda end: F.struct(
+            F.get(found, i)["at"].alias("at"), end["last"].alias("last"), end["gap"].alias("gap"), F.get(found, i)["f_at"].alias("f_at"))))
 
-MATCH = "struct<at:int,len:int,f_at:int,f_len:int>"
+    return let(F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: (i == 0) | ~follows(i)), joined)
 
 
-def chained(found: Column, raw: Column, other: Column) -> Column:
-    """Matches of neighbouring chunks with the same neighbours in the other text, joined; so are those with an equal gap."""
-    def add(acc, x):
-        def joined(last):
-            gap = x["at"] - last["at"] - last["len"]
-            f_gap = x["f_at"] - last["f_at"] - last["f_len"]
-            follows = (gap == f_gap) & (gap >= 0) & (gap <= 4 * MIN_CHUNK_BYTES) & (
-                (gap == 0) | (F.substring(raw, last["at"] + last["len"] + 1, gap) == F.substring(other, last["f_at"] + last["f_len"] + 1, gap)))
-            both = F.struct(last["at"].alias("at"), (x["at"] + x["len"] - last["at"]).alias("len"),
-                            last["f_at"].alias("f_at"), (x["f_at"] + x["f_len"] - last["f_at"]).alias("f_len"))
-            return F.when(follows, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both))).otherwise(F.concat(acc, F.array(x)))
-        return let(F.get(acc, F.size(acc) - 1), joined)
+def _common(a: Column, b: Column) -> Column:
+    """Number of leading elements that two arrays share."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    return let(F.struct(F.array_position(same, F.lit(False)).cast("int").alias("p"), F.size(same).alias("n")),
+               lambda r: F.when(r["p"] == 0, r["n"]).otherwise(r["p"] - 1))
 
-    return F.aggregate(found, F.array().cast(f"array<{MATCH}>"), add)
 
+def matches(own: Column, other: Column, found: Column, same: Column, size: int, min_words: int) -> Column:
+    """Intervals of words that equal their first occurrence, followed to both sides; ``same``: both texts are one.
+
+    Within one text an interval starts where it repeats words that stand ``min_words`` or more before it.
+    """
+    def piece(w, at, n):
+        return F.slice(w, at + 1, F.greatest(n, F.lit(0)))
 
-def matches(raw: Column, other: Column, found: Column) -> Column:
-    """Byte intervals of the matches that equal their first occurrence, followed to both sides."""
     def interval(x):
-        equal = _piece(raw, x["at"], x["len"] - 1) == _piece(other, x["f_at"], x["f_len"] - 1)
-        near = F.least(x["at"], x["f_at"], F.lit(REACH_BYTES))
-        end, f_end = x["at"] + x["len"], x["f_at"] + x["f_len"]
-        far = F.greatest(F.least(F.octet_length(raw) - end, F.octet_length(other) - f_end, F.lit(REACH_BYTES)), F.lit(0))
-        back = _shared_bytes(_piece(raw, x["at"] - near, near), _piece(other, x["f_at"] - near, near), True)
-        ahead = _shared_bytes(_piece(raw, end, far), _piece(other, f_end, far), False)
-        return F.when(equal, F.struct((x["at"] - back).alias("s"), F.least(x["at"] + x["len"] + ahead, F.octet_length(raw)).alias("e")))
+        n = x["last"] - x["at"] + size
+        equal = F.when(x["gap"] == 0, piece(own, x["at"], n) == piece(other, x["f_at"], n)).otherwise(
+            (piece(own, x["at"], F.lit(size)) == piece(other, x["f_at"], F.lit(size)))
+            & (piece(own, x["at"], n - x["gap"]) == piece(own, x["at"] + x["gap"], n - x["gap"])))
+        end, f_end = x["at"] + n, x["f_at"] + F.when(x["gap"] == 0, n).otherwise(F.lit(size))
+        near = F.least(x["at"], x["f_at"], F.lit(min_words))
+        far = F.least(F.size(own) - end, F.size(other) - f_end, F.lit(min_words))
+        back = _common(F.reverse(piece(own, x["at"] - near, near)), F.reverse(piece(other, x["f_at"] - near, near)))
+        ahead = _common(piece(own, end, far), piece(other, f_end, far))
+        shift = x["at"] - x["f_at"]
+
+        def moved(s):
+            return F.when(same & (shift < min_words), s - shift + F.ceil(F.lit(min_words) / shift).cast("int") * shift).otherwise(s)
 
-    return F.filter(F.transform(chained(found, raw, other), interval), lambda i: i.isNotNull())
+        return F.when(equal, F.struct(moved(x["at"] - back).alias("s"), (end + ahead).alias("e")))
+
+    return F.filter(F.transform(chained(found, size), interval), lambda i: i["s"] < i["e"])
 
 
 def runs(intervals: Column) -> Column:
-    """Sorted intervals joined where they touch or leave one character between."""
+    """Sorted intervals joined where they touch."""
     kind = "array<struct<s:int,e:int>>"
 
     def add(acc, x):
         return let(F.get(acc, F.size(acc) - 1), lambda last: F.when(
-            x["s"] <= last["e"] + 1,
+            x["s"] <= last["e"],
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
         ).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))))
 
@@ -174,70 +182,94 @@ def _cut(raw: Column, cuts: Column) -> Column:
     return F.concat(F.array_join(F.transform(cuts, before), ""), rest)
 
 
+def byte_spans(w: Column, cuts: Column, n_bytes: Column) -> Column:
+    """(s, e, n): bytes and number of words of intervals of words; a word takes the white space after it along."""
+    def size(start, end):
+        return F.when(end > start, F.octet_length(F.array_join(F.slice(w, start + 1, end - start), " ")) + 1).otherwise(0)
+
+    def pieces(r, k):
+        return F.array(size(F.coalesce(F.get(cuts, k - 1)["e"], F.lit(0)), r["s"]), size(r["s"], r["e"]))
+
+    def spans(sizes, at):
+        return F.transform(cuts, lambda r, k: F.struct(
+            F.get(at, 2 * k + 1).alias("s"), F.least(F.get(at, 2 * k + 1) + F.get(sizes, 2 * k + 1), n_bytes).alias("e"),
+            F.size(F.filter(F.slice(w, r["s"] + 1, r["e"] - r["s"]), lambda x: x != "")).alias("n")))
+
+    return let(F.flatten(F.transform(cuts, pieces)), lambda z: let(offsets(z), lambda at: spans(z, at)))
+
+
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-                window: int = WINDOW, min_chunk_bytes: int = MIN_CHUNK_BYTES) -> DataFrame:
+                window: int = WINDOW) -> DataFrame:
     """``df`` with repeated passages cut from the text, plus ``removed_spans`` (byte spans of the original
     text in UTF-8) and ``removed_words``.
     """
+    window = min(window, max(min_words // 2, 1))
+    size = hashed_words(window, min_words)
     keyed = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).where("text <> ''")
 
     def beside(left, right, on, how, limit=BROADCAST_ROWS):
         """A join whose right side is broadcast while it is small."""
         return left.join(F.broadcast(right) if right.count() <= limit else right, on, how)
 
-    # 1. whole copies of a text (equal SHA-256 and length) need no chunks
+    # 1. whole copies of a text (equal SHA-256 and length) need no anchors
     digests = materialise(keyed.select("id", "h", F.sha2("text", 256).alias("d"), F.octet_length("text").alias("size")), "digests")
     same = digests.groupBy("d", "size").agg(F.min("id").alias("f_id"), F.count("*").alias("n")).where("n > 1")
     copies = materialise(digests.join(same, ["d", "size"]).where(~F.col("id").eqNullSafe(F.col("f_id"))).select(
         F.col("id").alias("c_id"), F.col("h").alias("c_h"), "size").distinct(), "copies")
     firsts = beside(keyed, copies, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")), "left_anti")
 
-    # 2. chunks, and those whose hash occurs more than once
+    # 2. anchors, and those whose hash occurs more than once
+    place = ["id", "h", "at", "last", "gap"]
     chunks = materialise(
-        firsts.select("id", "h", F.explode(chunk_array(F.col("text"), window)).alias("c")).select("c.hash", "id", "h", "c.at", "c.len")
-        .where(F.col("len") >= min_chunk_bytes), "chunks")
+        firsts.select("id", "h", F.explode(chunk_array(F.col("text"), window, min_words)).alias("c"))
+        .select("c.hash", "id", "h", "c.at", "c.last", "c.gap"), "chunks")
     often = materialise(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "often")
     again = materialise(beside(chunks, often, "hash", "left_semi", BROADCAST_HASHES), "repeated")
 
-    # 3. all but the first occurrence; those with a neighbour nearby, or long ones, by document and document of the first
-    place = ["id", "h", "at", "len"]
-    first = again.groupBy("hash").agg(F.min(F.struct(*place)).alias("f")).select("hash", *[F.col(f"f.{c}").alias(f"f_{c}") for c in place])
+    # 3. all but the first occurrence, by document and document of the first
+    first = again.groupBy("hash").agg(F.min(F.struct("id", "h", "at")).alias("f")).select("hash", *[F.col(f"f.{c}").alias(f"f_{c}") for c in ("id", "h", "at")])
     later = again.join(first, "hash").where(~(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")) & (F.col("at") == F.col("f_at"))))
-    spans = ["at", "len", "f_at", "f_len"]
-    found = later.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct(*spans, "f_id", "f_h"))).alias("all"))
-    near = F.filter("all", lambda x, i: (x["len"] >= ALONE_BYTES)
-                    | F.coalesce(x["at"] - F.get("all", i - 1)["at"] <= F.get("all", i - 1)["len"] + ALONE_BYTES, F.lit(False))
-                    | F.coalesce(F.get("all", i + 1)["at"] - x["at"] <= x["len"] + ALONE_BYTES, F.lit(False)))
-    one = found.select("id", "h", F.explode(near).alias("x")).select("id", "h", "x.f_id", "x.f_h", F.struct(*[f"x.{c}" for c in spans]).alias("x"))
-    pairs = materialise(one.groupBy("id", "h", "f_id", "f_h").agg(F.sort_array(F.collect_list("x")).alias("found")), "pairs")
-
-    # 4. texts of these documents, once each; byte comparison
+    pairs = materialise(later.groupBy("id", "h", "f_id", "f_h").agg(
+        F.sort_array(F.collect_set(F.struct(*place[2:], "f_at"))).alias("found")), "pairs")
+
+    # 4. texts of these documents, once each; comparison
     wanted = materialise(pairs.select("id", "h").union(pairs.select("f_id", "f_h")).distinct().select(
         F.col("id").alias("w_id"), F.col("h").alias("w_h")), "wanted")
     texts = materialise(beside(keyed, wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h")), "left_semi",
-                               5 * BROADCAST_ROWS).withColumn("text", F.col("text").cast("binary")), "texts")
+                               5 * BROADCAST_ROWS), "texts")
     if texts.count() > wanted.count():            # some rows repeat an id and its text
         texts = texts.dropDuplicates(["id", "h"])
     own = texts.select(F.col("id").alias("t_id"), F.col("h").alias("t_h"), F.col("text").alias("own"))
     other = texts.select(F.col("id").alias("o_id"), F.col("h").alias("o_h"), F.col("text").alias("other"))
     both = (pairs.join(own, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")))
             .join(other, F.col("f_id").eqNullSafe(F.col("o_id")) & (F.col("f_h") == F.col("o_h"))))
-    edits = (both.select("id", "h", matches(F.col("own"), F.col("other"), F.col("found")).alias("found")).where("size(found) > 0")
-             .groupBy("id", "h").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
-             .select(F.col("id").alias("e_id"), F.col("h").alias("e_h"), runs(F.col("found")).alias("runs")))
-    whole = copies.select("c_id", "c_h", F.array(F.struct(F.lit(0).alias("s"), F.col("size").alias("e"))).alias("runs"))
-    edits = materialise(edits.union(whole).where(F.exists("runs", lambda r: r["e"] - r["s"] >= 2 * min_words - 1)), "edits")
+    one_text = F.col("id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h"))
+    compared = let(words(F.col("own")), lambda w: let(words(F.col("other")), lambda o: runs(
+        matches(w, o, F.col("found"), one_text, size, min_words))))
+    joined = (both.select("id", "h", compared.alias("found")).where("size(found) > 0")
+              .groupBy("id", "h").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+              .select(F.col("id").alias("e_id"), F.col("h").alias("e_h"), F.filter(
+                  runs(F.col("found")), lambda r: r["e"] - r["s"] >= min_words).alias("runs")))
+    joined = materialise(joined.where("size(runs) > 0"), "runs")
+    spans = let(words(F.col("own")), lambda w: byte_spans(w, F.col("runs"), F.octet_length("own")))
+    cut_out = (beside(own, joined, F.col("t_id").eqNullSafe(F.col("e_id")) & (F.col("t_h") == F.col("e_h")), "inner")
+               .select("e_id", "e_h", spans.alias("runs")))
+    whole = (beside(keyed, copies, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")), "inner")
+             .select("c_id", "c_h", F.array(F.struct(F.lit(0).alias("s"), F.col("size").alias("e"), n_words(F.col("text")).alias("n"))).alias("runs"))
+             .distinct())
+    edits = materialise(cut_out.union(whole), "spans")
+    edits = materialise(edits.select("e_id", "e_h", F.filter("runs", lambda r: r["n"] >= min_words).alias("runs")).where("size(runs) > 0"), "edits")
 
     # 5. cut the runs that are long enough
     n = edits.count()
     text, raw = F.col(text_col), F.col(text_col).cast("binary")
-    cuts = F.filter(F.coalesce(F.col("runs"), F.array().cast("array<struct<s:int,e:int>>")),
-                    lambda r: n_words(_piece(raw, r["s"], r["e"] - r["s"])) >= min_words)
+    cuts = F.coalesce(F.col("runs"), F.array().cast("array<struct<s:int,e:int,n:int>>"))
     keep = [F.col(c) for c in df.columns if c not in (text_col, "removed_spans", "removed_words")]
-    joined = df.join(F.broadcast(edits) if n <= BROADCAST_ROWS else edits,
+    found = df.join(F.broadcast(edits) if n <= BROADCAST_ROWS else edits,
                      F.col(id_col).eqNullSafe(F.col("e_id")) & (F.xxhash64(text_col) == F.col("e_h")), "left")
-    out = joined.select(*keep, let(cuts, lambda r: F.struct(
-        F.when(F.size(r) > 0, _cut(raw, r)).otherwise(text).alias("text"), r.alias("spans"),
-        F.aggregate(r, F.lit(0), lambda a, x: a + n_words(_piece(raw, x["s"], x["e"] - x["s"]))).alias("words"))).alias("__cut"))
+    out = found.select(*keep, let(cuts, lambda r: F.struct(
+        F.when(F.size(r) > 0, _cut(raw, r)).otherwise(text).alias("text"),
+        F.transform(r, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("spans"),
+        F.aggregate(r, F.lit(0), lambda a, x: a + x["n"]).alias("words"))).alias("__cut"))
     return out.select(*keep, F.col("__cut.text").alias(text_col), F.col("__cut.spans").alias("removed_spans"),
                       F.col("__cut.words").alias("removed_words"))

@@ -74,3 +74,32 @@ def test_offsets_are_prefix_sums(spark):
     rows = [([rng.randint(0, 9) for _ in range(n)],) for n in (1, 2, L.BLOCK - 1, L.BLOCK, L.BLOCK + 1, 3 * L.BLOCK + 5, 2000)]
     for r in spark.createDataFrame(rows, "z array<int>").select("z", L.offsets(L.F.col("z")).alias("p")).collect():
         assert r.p == [sum(r.z[:i]) for i in range(len(r.z))]
+
+
+def between(rng, passages):
+    """Each passage twice, between different words."""
+    return [(2 * i + k, prose(rng, 45) + " " + p + " " + prose(rng, 45)) for i, p in enumerate(passages) for k in (0, 1)]
+
+
+def left_standing(spark, docs, n=50):
+    rows = L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(rows) == len(docs)
+    kept = [w for r in rows for w in windows(r.text, n)]
+    return len(kept) - len(set(kept))
+
+
+def test_passages_of_any_script(spark):
+    rng = random.Random(11)
+    letters = ["АБВГДЕЖЗИКЛМН", "ابتثجحخدذرزس", "ABCDEFGHIJKLM", "0123456789", "%#@$&*+=", "漢字仮名交文"]
+    passages = [" ".join("".join(rng.choice(some) for _ in range(6)) for _ in range(51)) for some in letters for _ in range(4)]
+    assert left_standing(spark, between(rng, passages)) == 0
+
+
+def test_runs_of_equal_words_and_lines(spark):
+    rng = random.Random(12)
+    junk = ["word%%% word###\n" * 40, "word " * 51, "\n".join(["one and the same line."] * 12), "x y z " * 20]
+    docs = between(rng, junk)
+    assert left_standing(spark, docs) == 0
+    alone = [(1, "start " + "word " * 1000 + "end"), (2, "other words")]
+    out = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(alone, "doc_id long, text string")).collect()}
+    assert 50 <= len(out[1].split()) < 120 and out[1].startswith("start ") and out[1].endswith("end") and out[2] == "other words"
