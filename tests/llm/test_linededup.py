@@ -103,3 +103,9 @@ def test_runs_of_equal_words_and_lines(spark):
     alone = [(1, "start " + "word " * 1000 + "end"), (2, "other words")]
     out = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(alone, "doc_id long, text string")).collect()}
     assert 50 <= len(out[1].split()) < 120 and out[1].startswith("start ") and out[1].endswith("end") and out[2] == "other words"
+
+
+def test_short_passages_between_other_words(spark):
+    rng = random.Random(13)
+    passages = [prose(rng, rng.choice([50, 51, 53, 55, 60])) for _ in range(300)]
+    assert left_standing(spark, between(rng, passages)) == 0
