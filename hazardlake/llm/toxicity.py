@@ -34,7 +34,8 @@ from hazardlake.llm.common import add_columns, materialise, most_frequent, worke
 from hazardlake.session import ship_package
 
 ORDER = 6                 # characters of a gram
-BITS = 10                 # of a character's code; code points beyond 1000 share the last codes
+BITS = 10                 # of a character's code; code points from 1000 on share the codes from WIDE on
+WIDE = 256                # any 768 neighbouring code points from 1000 on have codes of their own, so those of an alphabet do
 DISCOUNT = 0.75           # of the shared lower orders
 CLASS_DISCOUNT = 1.0      # of the counts by class: what a class showed only once is left to the shared orders
 SAMPLE = 8_000            # labelled documents of each class that the counts and the calibration use
@@ -50,7 +51,7 @@ def gram_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all grams of all words (each character and the end once), and the word of each."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
-    points = np.where(points < 1000, points, 1000 + points % 24)
+    points = np.where(points < 1000, points, WIDE + (points - 1000) % ((1 << BITS) - WIDE))
     slots = sizes + 1 + (ORDER - 1)                        # pads, characters, end
     ends = np.cumsum(slots)
     flat = np.zeros(int(ends[-1]) if len(words) else 0, np.int64)
@@ -128,21 +129,21 @@ class KneserNey:
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """Length-normalised log-likelihood ratio of the whole text, of its most toxic stretch and of its ``TOP`` most
-        toxic words; a word counts where it first stands."""
-        pieces = list(dict.fromkeys(text.lower().split())) if text else []
+        toxic words; a word counts wherever it stands."""
+        pieces = text.lower().split() if text else []
         if not pieces:
             return 0.0, 0.0, 0.0
         memo = worker_memory(("toxicity", self.token), dict)
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        new = list({p for p in pieces if p not in memo})
+        new = [p for p in set(pieces) if p not in memo]
         if new:
             words = [clean(p) for p in new]
             known = list(dict.fromkeys(words))
             ratio = dict(zip(known, self.ratios(known).tolist()))
             memo.update(zip(new, map(ratio.__getitem__, words)))
         v = np.fromiter(map(memo.__getitem__, pieces), np.float64, len(pieces))
-        top = float(np.sort(v)[-TOP:].sum() / TOP)
+        top = float((np.partition(v, -TOP)[-TOP:] if len(v) > TOP else v).sum() / TOP)
         if len(v) <= STRETCH:
             return float(v.mean()), float(v.sum() / STRETCH), top
         run = np.concatenate([[0.0], np.cumsum(v)])

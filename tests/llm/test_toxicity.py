@@ -75,3 +75,25 @@ def test_query_shape(spark):
     rows = op4_toxicity(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 200
     assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) for r in rows)
+
+
+def test_every_token_counts():
+    rng = random.Random(3)
+    plain, vile = ["anthe", "ingou", "stre", "blend", "toner"], ["zorgix", "zorgul", "zorgen"]
+    grams, n = np.unique(X.gram_codes(plain + vile)[0], return_counts=True)
+    toxic = np.isin(grams, X.gram_codes(vile)[0])
+    kn = X.KneserNey(grams, np.where(toxic, 50 * n, 1), np.where(toxic, 1, 50 * n))
+    words = vile + [rng.choice(plain) for _ in range(400)] + [vile[0]] * 50 + [rng.choice(plain) for _ in range(100)]
+    v = kn.ratios(words)
+    whole, stretch, top = kn.features(" ".join(words))
+    assert abs(whole - v.mean()) < 1e-9
+    assert abs(stretch - max(v[i:i + X.STRETCH].mean() for i in range(len(v) - X.STRETCH + 1))) < 1e-9
+    assert abs(top - np.sort(v)[-3:].mean()) < 1e-9
+    assert stretch > 0 and abs(stretch - kn.ratios([vile[0]])[0]) < 1e-9
+
+
+def test_letters_of_an_alphabet_have_codes_of_their_own():
+    for first, last in ((0x410, 0x44F), (0x5D0, 0x5EA), (0x621, 0x64A), (0x904, 0x939), (0x3041, 0x30FF)):
+        letters = [chr(c) for c in range(first, last + 1)]
+        codes = [int(X.gram_codes([c])[0][0]) for c in letters]
+        assert len(set(codes)) == len(letters) and 1 < min(codes) and max(codes) < 1 << X.BITS
