@@ -12,8 +12,6 @@ from hazardlake.llm.common import materialise, table
 from hazardlake.llm.op2 import vocab_path
 from hazardlake.llm.op4 import fitted
 
-COPIED_SHARE = 0.8      # a document that loses this share of its words to passages that stand elsewhere is a copy
-
 
 def toxicity_stage(spark, docs, sf_dir):
     """Documents that the toxicity model rejects go; it is fitted on labelled rows that are not held out."""
@@ -21,10 +19,9 @@ def toxicity_stage(spark, docs, sf_dir):
 
 
 def line_dedup_stage(spark, docs, sf_dir):
-    """Repeated passages go; documents that consist of them (``COPIED_SHARE`` of the words) go whole."""
+    """Repeated passages go; a document goes only if no word of its own is left."""
     cut = linededup.dedup_lines(docs)
-    left = linededup.n_words(F.col("text"))
-    keep = (F.col("removed_words") == 0) | (F.col("removed_words") < COPIED_SHARE * (F.col("removed_words") + left))
+    keep = (F.col("removed_words") == 0) | (linededup.n_words(F.col("text")) > 0)
     return cut.where(keep).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

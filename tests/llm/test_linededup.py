@@ -109,3 +109,14 @@ def test_short_passages_between_other_words(spark):
     rng = random.Random(13)
     passages = [prose(rng, rng.choice([50, 51, 53, 55, 60])) for _ in range(300)]
     assert left_standing(spark, between(rng, passages)) == 0
+
+
+def test_pipeline_keeps_documents_with_words_of_their_own(spark):
+    import corpus_pipeline
+    rng = random.Random(14)
+    shared, own = prose(rng, 300), prose(rng, 70)
+    docs = [(1, shared, None), (2, own + "\n" + shared, None), (3, shared, None), (4, "", None), (5, None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_chars long")
+    rows = {r.doc_id: r for r in corpus_pipeline.line_dedup_stage(spark, df, None).collect()}
+    assert set(rows) == {1, 2, 4, 5}                           # 3 is a whole copy of 1
+    assert rows[1].text == shared and rows[2].text.split() == own.split() and rows[2].n_chars == len(rows[2].text)
