@@ -21,16 +21,16 @@ from . import train_table as N
 from .context import TAU, TOP_EFFECTS, TOP_GENES
 from .queries import query
 
-# Fixed parameters of the registered model queries.  The library's defaults are 300 boosting rounds, 300 trees, all
-# 100 alphas and 10 KMeans starts; the registered queries pass smaller values, so that one model stays a short check.
+# Fixed parameters of the registered model queries.  Boosting rounds, trees, alphas of a path and KMeans starts are the
+# library's defaults (300, 300, 100 and 10).
 TFIDF_MAX, SVD_K = 5000, 120
 RIDGE_ALPHA = 1.0
 GBT_ITERS = 100
 KMEANS_K, KMEANS_CANDIDATES = 4, (2, 3, 4, 5)
-BOOST_ROUNDS, BOOST_LR = 30, 0.1
-COXNET_L1, COXNET_STEPS = 0.9, 3
+BOOST_LR = 0.1
+COXNET_L1 = 0.9
 CV_FOLDS = 3
-FOREST_TREES, FOREST_DEPTH, FOREST_LEAF = 20, 6, 10
+FOREST_DEPTH, FOREST_LEAF = 6, 10
 
 
 def _design(c, with_text=True):
@@ -88,7 +88,7 @@ def q_kmeans(c):
 def q_kmeans_tune(c):
     """Silhouette per candidate k (squared Euclidean), best flagged."""
     _, _, _, Xtr, _ = _design(c)
-    rows, best = C.tune_k(Xtr, KMEANS_CANDIDATES, n_init=3)
+    rows, best = C.tune_k(Xtr, KMEANS_CANDIDATES)
     return c.spark.createDataFrame([(k, s, k == best) for k, s in rows], "k int, silhouette double, best boolean")
 
 
@@ -104,7 +104,7 @@ def q_cox(c):
 def q_coxnet(c):
     """Elastic-net Cox (l1_ratio 0.9, last alpha of a 100-alpha path at ratio 0.01)."""
     _, _, _, Xtr, Xte = _design(c, with_text=False)
-    beta, _, _ = Lm.fit_coxnet(Xtr, l1_ratio=COXNET_L1, path_steps=COXNET_STEPS)
+    beta, _, _ = Lm.fit_coxnet(Xtr, l1_ratio=COXNET_L1)
     return Lm.linear_risk(Xte, beta).select("ID", "risk")
 
 
@@ -112,7 +112,7 @@ def q_coxnet(c):
 def q_boost(c):
     """Cox-loss gradient boosting (depth 3, leaf >= 5, lr 0.1)."""
     _, _, _, Xtr, Xte = _design(c)
-    m = Tr.fit_boosted_cox(Xtr, n_estimators=BOOST_ROUNDS, learning_rate=BOOST_LR)
+    m = Tr.fit_boosted_cox(Xtr, learning_rate=BOOST_LR)
     return m.predict(Xte).select("ID", "risk")
 
 
@@ -120,7 +120,7 @@ def q_boost(c):
 def q_forest(c):
     """Random survival forest (log-rank splits, sqrt features, Poisson bootstrap)."""
     _, _, _, Xtr, Xte = _design(c)
-    f = Fo.fit_survival_forest(Xtr, n_trees=FOREST_TREES, max_depth=FOREST_DEPTH, min_samples_leaf=FOREST_LEAF)
+    f = Fo.fit_survival_forest(Xtr, max_depth=FOREST_DEPTH, min_samples_leaf=FOREST_LEAF)
     return f.predict(Xte).select("ID", "risk")
 
 
@@ -133,7 +133,7 @@ def q_models(c):
     preds.append(Lm.ridge_risk(m1, Xte).withColumn("model", F.lit("ridge")))
     beta = Lm.fit_cox(Xtr, alpha=1e-4)
     preds.append(Lm.linear_risk(Xte, beta).withColumn("model", F.lit("cox")))
-    bm = Tr.fit_boosted_cox(Xtr, n_estimators=BOOST_ROUNDS // 3, learning_rate=BOOST_LR)
+    bm = Tr.fit_boosted_cox(Xtr, learning_rate=BOOST_LR)
     preds.append(bm.predict(Xte).withColumn("model", F.lit("boost")))
     allp = None
     for p in preds:
@@ -194,10 +194,9 @@ def q_risk_table(c):
     fp = fit_preprocessor(t, num, ["CENTER"], "CYTOGENETICS", TFIDF_MAX, SVD_K)
     Xtr = cut_lineage(fp.transform(t).select("ID", "features", "time", "event"))
     Xte = cut_lineage(fp.transform(test).select("ID", "features"))
-    beta, _, _ = Lm.fit_coxnet(Xtr, l1_ratio=COXNET_L1, path_steps=COXNET_STEPS)
-    bm = Tr.fit_boosted_cox(Xtr, n_estimators=BOOST_ROUNDS // 3, learning_rate=BOOST_LR)
-    rf = Fo.fit_survival_forest(Xtr, n_trees=FOREST_TREES // 2, max_depth=FOREST_DEPTH,
-                                min_samples_leaf=FOREST_LEAF)
+    beta, _, _ = Lm.fit_coxnet(Xtr, l1_ratio=COXNET_L1)
+    bm = Tr.fit_boosted_cox(Xtr, learning_rate=BOOST_LR)
+    rf = Fo.fit_survival_forest(Xtr, max_depth=FOREST_DEPTH, min_samples_leaf=FOREST_LEAF)
     parts = [Lm.linear_risk(Xte, beta).withColumn("model", F.lit("coxnet")),
              bm.predict(Xte).withColumn("model", F.lit("boost")),
              rf.predict(Xte).withColumn("model", F.lit("forest"))]
@@ -259,18 +258,12 @@ def q_ridge_small(c):
     return _rows(c, [("w1", w[0]), ("w2", w[1]), ("intercept", b)])
 
 
-# --------------------------------------------------------------------------- selection and stacking on three columns
-def _small_parts(c):
-    """Training and hold-out part of the three-column design."""
-    d = cut_lineage(_small_design(c).withColumn("is_test", c.is_test()))
-    return d.where(~F.col("is_test")).drop("is_test"), d.where(F.col("is_test")).drop("is_test")
-
-
+# --------------------------------------------------------------------------- selection and stacking
 @query("l1_ratio_selection")
 def q_l1_ratio(c):
-    """Hold-out IPCW C of a Coxnet by l1_ratio, the first best flagged (3 points of the 100-alpha path)."""
-    tr, te = _small_parts(c)
-    res, best, _ = Sel.select_l1_ratio(tr, te, (0.1, 0.5, 0.9), TAU, path_steps=COXNET_STEPS)
+    """Hold-out IPCW C of a Coxnet by l1_ratio, the first best flagged."""
+    _, _, _, tr, te = _design(c, with_text=False)
+    res, best, _ = Sel.select_l1_ratio(tr, te, (0.1, 0.5, 0.9), TAU)
     return res.withColumn("is_best", F.col("l1_ratio") == F.lit(best))
 
 
@@ -278,7 +271,7 @@ def q_l1_ratio(c):
 def q_stacking(c):
     """Cox model on out-of-fold ridge and Cox scores of the training part, applied to the hold-out."""
     from ..operators.splits import kfold
-    tr, te = _small_parts(c)
+    _, _, _, tr, te = _design(c, with_text=False)
     folds = cut_lineage(kfold(tr, CV_FOLDS, out="fold"))
     scores = ("ridge", "cox")
 
