@@ -14,12 +14,15 @@ from hazardlake.llm.op7 import op7_quality_rules
 from hazardlake.llm.op8 import op8_html_extraction
 from hazardlake.llm.op9 import op9_decontamination
 from hazardlake.llm.op10 import op10_minhash
+from hazardlake.llm.op11 import op11_prefix_trie
+from hazardlake.llm.op12 import op12_mixing
 from hazardlake.llm.op13 import op13_spelling
 
 
 def registry() -> dict[str, Callable]:
     found = [op1_line_dedup, op2_bpe, op3_chat, op4_toxicity, op5_language_model, op6_sharding, op7_quality_rules,
-             op8_html_extraction, op9_decontamination, op10_minhash, op13_spelling]
+             op8_html_extraction, op9_decontamination, op10_minhash, op11_prefix_trie,
+             op12_mixing, op13_spelling]
     return {f.__name__: f for f in found}
 
 
