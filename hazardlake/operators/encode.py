@@ -61,9 +61,16 @@ def impute_scale(df: DataFrame, cols, medians: dict, stats: dict, suffix: str =
     return df.withColumns(new)
 
 
-def fit_categories(df: DataFrame, col: str) -> list:
-    """Sorted distinct non-NULL categories (a small list per categorical column)."""
-    return sorted(r[col] for r in df.where(F.col(col).isNotNull()).select(col).distinct().collect())
+#: Categories that a column may have; a column with more is no category (target encoding has no such limit).
+MOST_CATEGORIES = 10_000
+
+
+def fit_categories(df: DataFrame, col: str, most: int = MOST_CATEGORIES) -> list:
+    """Sorted distinct non-NULL categories; raises ValueError if there are more than ``most``."""
+    found = df.where(F.col(col).isNotNull()).select(col).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"column {col} has more than {most} categories")
+    return sorted(r[col] for r in found)
 
 
 def onehot(df: DataFrame, col: str, categories, prefix: str | None = None, fill=None) -> DataFrame:

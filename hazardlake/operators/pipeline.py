@@ -1,26 +1,24 @@
-"""Feature preprocessing fitted on train, applied anywhere (M1, M9).
+"""Feature preprocessing fitted on train, applied anywhere (M1).
 
 numeric: exact median imputation + standardisation (population std)
 categorical: most-frequent imputation + one-hot on train categories
 text: char n-gram TF-IDF with the train vocabulary and idf, projected on the
-      top-k right singular vectors of the train TF-IDF matrix (no centring)
+      top-k right singular vectors of the train TF-IDF matrix (no centring, ``svd``)
 
-``transform`` is relational: text weights are joined to the long (term,
-component, value) form of V and summed per document, so nothing row-level
-passes through the driver.  Fitted state (medians, means, categories,
-vocabulary, idf, V) is bounded by the parameters, not by the row count.
+``transform`` is a projection and, for the text, a join on the distinct texts'
+components.  Fitted state (medians, means, categories, vocabulary, idf, V)
+is bounded by the parameters, not by the row count.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import numpy as np
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import encode as E
-from .textvec import char_ngrams
+from .svd import TextCorpus, TextSVD
 
 
 @dataclass
@@ -28,127 +26,74 @@ class FittedPreprocessor:
     num_cols: list
     cat_cols: list
     text_col: str | None
-    id_col: str
     medians: dict = field(default_factory=dict)
     stats: dict = field(default_factory=dict)
     categories: dict = field(default_factory=dict)
     modes: dict = field(default_factory=dict)
-    vocab_idf: DataFrame | None = None
-    v_long: DataFrame | None = None
-    k: int = 0
-    singular_values: list = field(default_factory=list)
+    text: TextSVD | None = None
+
+    @property
+    def k(self) -> int:
+        return self.text.k if self.text else 0
+
+    @property
+    def singular_values(self) -> list:
+        return self.text.singular_values if self.text else []
 
     @property
     def output_cols(self) -> list:
+        """Names of the features, in the order of the vector."""
         out = [f"{c}__z" for c in self.num_cols]
         for c in self.cat_cols:
             out += [f"{c}__{v}" for v in self.categories[c]]
-        out += [f"svd_{i}" for i in range(self.k)]
-        return out
+        return out + [f"svd_{i}" for i in range(self.k)]
 
-    def _text_key(self, df: DataFrame):
-        return F.coalesce(F.col(self.text_col).cast("string"), F.lit(self.modes.get(self.text_col, "0")))
-
-    def _text_weights(self, texts: DataFrame) -> DataFrame:
-        """(__txt, term, weight) for distinct texts, train vocabulary and idf, L2 rows."""
-        tf = char_ngrams(texts, "__txt", "__txt")
-        w = tf.join(F.broadcast(self.vocab_idf), on="term").withColumn("__w", F.col("tf") * F.col("__idf"))
-        norm = w.groupBy("__txt").agg(F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__norm"))
-        return w.join(norm, on="__txt").select("__txt", "term", (F.col("__w") / F.col("__norm")).alias("weight"))
+    def text_key(self, df: DataFrame):
+        return F.coalesce(F.col(self.text_col).cast("string"), F.lit(self.modes.get(self.text_col) or "0"))
 
     def transform(self, df: DataFrame, features_col: str = "features") -> DataFrame:
         out = E.impute_scale(df, self.num_cols, self.medians, self.stats, suffix="__z")
         for c in self.cat_cols:
             out = E.onehot(out, c, self.categories[c], f"{c}__", fill=self.modes.get(c))
-        if self.text_col and self.k:
+        nan = F.lit(float("nan"))                       # a column without any value in training
+        parts = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), nan) for c in self.output_cols[:len(self.output_cols) - self.k]])
+        parts = parts.cast("array<double>")
+        if self.k:
             # projections are computed once per distinct text and joined back on the text
-            texts = df.select(self._text_key(df).alias("__txt")).distinct()
-            w = self._text_weights(texts)
-            proj = (w.join(self.v_long, on="term")
-                    .groupBy("__txt").pivot("comp", list(range(self.k)))
-                    .agg(F.sum(F.col("weight") * F.col("v"))))
-            proj = proj.select("__txt", *[F.coalesce(F.col(str(i)), F.lit(0.0)).alias(f"svd_{i}")
-                                          for i in range(self.k)])
-            out = out.withColumn("__txt", self._text_key(out)).join(proj, on="__txt", how="left") \
-                .fillna(0.0, subset=[f"svd_{i}" for i in range(self.k)]).drop("__txt")
-        va = VectorAssembler(inputCols=self.output_cols, outputCol=features_col, handleInvalid="keep")
-        return va.transform(out)
-
-
-def fit_preprocessor(df: DataFrame, num_cols, cat_cols=(), text_col=None, tfidf_max_features=5000,
-                     svd_components=120, id_col="ID", seed=42) -> FittedPreprocessor:
+            proj = self.text.project(df.select(self.text_key(df).alias("__txt")).distinct())
+            out = out.withColumn("__txt", self.text_key(out)).join(proj, on="__txt", how="left").drop("__txt")
+            parts = F.concat(parts, F.col("__svd"))
+        return out.withColumn(features_col, array_to_vector(parts)).drop("__svd")
+
+    def state(self) -> dict:
+        return {"num_cols": self.num_cols, "cat_cols": self.cat_cols, "text_col": self.text_col, "medians": self.medians,
+                "stats": {k: list(v) for k, v in self.stats.items()}, "categories": self.categories, "modes": self.modes,
+                "text": self.text.state() if self.text else None}
+
+    @classmethod
+    def from_state(cls, s: dict) -> "FittedPreprocessor":
+        return cls(s["num_cols"], s["cat_cols"], s["text_col"], s["medians"], {k: tuple(v) for k, v in s["stats"].items()},
+                   s["categories"], s["modes"], TextSVD.from_state(s["text"]) if s["text"] else None)
+
+
+def text_corpus(df: DataFrame, text_col: str, max_features: int) -> TextCorpus:
+    """N-gram counts of a text column, for one or several vocabulary sizes (NULL: the most frequent text)."""
+    mode = E.fit_modes(df, [text_col])[text_col]
+    return TextCorpus(df.select(F.coalesce(F.col(text_col).cast("string"), F.lit(mode or "0")).alias("__txt")), max_features)
+
+
+def fit_preprocessor(df: DataFrame, num_cols, cat_cols=(), text_col=None, tfidf_max_features=5000, svd_components=120, seed=42,
+                     corpus: TextCorpus | None = None, text: TextSVD | None = None) -> FittedPreprocessor:
+    """``corpus`` (counts) or ``text`` (components) of the same rows, if known, save the work on the text."""
     num_cols, cat_cols = list(num_cols), list(cat_cols)
+    if not svd_components and text is None:
+        text_col = None
     med = E.fit_medians(df, num_cols)
-    stats = E.fit_scaler(df, num_cols, med)
-    cats = {c: E.fit_categories(df, c) for c in cat_cols}
-    modes = E.fit_modes(df, cat_cols + ([text_col] if text_col else []))
-    fp = FittedPreprocessor(num_cols, cat_cols, text_col, id_col, med, stats, cats, modes)
-    if text_col and svd_components:
-        spark = df.sparkSession
-        # one row per distinct text with its multiplicity: the corpus statistics,
-        # the vocabulary and X'X are the same as over the rows
-        texts = df.select(fp._text_key(df).alias("__txt")).groupBy("__txt").agg(F.count(F.lit(1)).alias("__cnt"))
-        texts = texts.persist()
-        tf = char_ngrams(texts, "__txt", "__txt").join(texts, on="__txt")
-        vocab = (tf.groupBy("term").agg(F.sum(F.col("tf") * F.col("__cnt")).alias("__ctf"))
-                 .orderBy(F.col("__ctf").desc(), F.col("term").asc()).limit(tfidf_max_features).select("term"))
-        tf = tf.join(F.broadcast(vocab), on="term", how="left_semi")
-        n_docs = texts.agg(F.sum("__cnt")).collect()[0][0]
-        vocab_idf = tf.groupBy("term").agg(F.sum("__cnt").alias("__df")) \
-            .select("term", (F.log((1.0 + F.lit(float(n_docs))) / (1.0 + F.col("__df"))) + 1.0).alias("__idf"))
-        vocab_idf = spark.createDataFrame(vocab_idf.collect(), "term string, __idf double")  # <= max_features rows
-        fp.vocab_idf = vocab_idf
-        w = fp._text_weights(texts.select("__txt")).join(texts, on="__txt") \
-            .withColumn("weight", F.col("weight") * F.sqrt(F.col("__cnt")))
-        terms = [r["term"] for r in vocab_idf.orderBy("term").collect()]
-        V, s = _truncated_svd(w, "__txt", terms, svd_components, seed)
-        texts.unpersist()
-        fp.k = V.shape[1]
-        fp.singular_values = s
-        rows = [(t, j, float(V[i, j])) for i, t in enumerate(terms) for j in range(fp.k)]
-        fp.v_long = spark.createDataFrame(rows, "term string, comp int, v double")
+    fp = FittedPreprocessor(num_cols, cat_cols, text_col, med, E.fit_scaler(df, num_cols, med), {c: E.fit_categories(df, c) for c in cat_cols},
+                            E.fit_modes(df, cat_cols + ([text_col] if text_col else [])))
+    if text_col:
+        if text is None:
+            corpus = corpus or text_corpus(df, text_col, tfidf_max_features)
+            text = corpus.svd(tfidf_max_features, svd_components, seed)
+        fp.text = text
     return fp
-
-
-def _truncated_svd(weights: DataFrame, id_col: str, terms: list, k: int, seed: int, n_oversamples: int = 10,
-                   n_iter: int = 5):
-    """Top-k right singular vectors of the doc x term matrix (randomized SVD, Halko et al. 2011).
-
-    The matrix stays a long (doc, term index, weight) DataFrame; each pass is
-    two joins + sums: B = X Q (per doc) and Z = X' B (per term).  The driver
-    keeps only dim x l matrices (dim = vocabulary size <= max_features,
-    l = k + oversampling), orthonormalises them and solves the l x l eigen
-    problem of Q' X'X Q.  With dim <= l the range is the full space and the
-    result is exact.
-    """
-    spark = weights.sparkSession
-    dim = len(terms)
-    if dim == 0:
-        return np.zeros((0, 0)), []
-    k = max(1, min(k, dim))
-    l_ = min(dim, k + n_oversamples)
-    tidx = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, ti int")
-    X = weights.join(F.broadcast(tidx), on="term").select(F.col(id_col).alias("doc"), "ti", "weight").persist()
-    rng = np.random.default_rng(seed)
-    Q, _ = np.linalg.qr(rng.normal(size=(dim, l_)))
-
-    def xtx(Qm):
-        qdf = spark.createDataFrame([(i, j, float(Qm[i, j])) for i in range(dim) for j in range(l_)],
-                                    "ti int, comp int, q double")  # dim x l numbers
-        B = X.join(qdf, on="ti").groupBy("doc", "comp").agg(F.sum(F.col("weight") * F.col("q")).alias("b"))
-        Z = X.join(B, on="doc").groupBy("ti", "comp").agg(F.sum(F.col("weight") * F.col("b")).alias("z"))
-        out = np.zeros((dim, l_))
-        for r in Z.collect():
-            out[r["ti"], r["comp"]] = r["z"]
-        return out
-
-    for _ in range(n_iter):
-        Q, _ = np.linalg.qr(xtx(Q))
-    Z = xtx(Q)
-    M = Q.T @ Z
-    M = 0.5 * (M + M.T)
-    vals, vecs = np.linalg.eigh(M)
-    order = np.argsort(vals)[::-1][:k]
-    V = Q @ vecs[:, order]
-    X.unpersist()
-    return V, [float(np.sqrt(max(v, 0.0))) for v in vals[order]]

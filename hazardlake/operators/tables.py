@@ -83,3 +83,23 @@ def lookup_with_default(df: DataFrame, mapping: DataFrame, key: str, value: str,
     j = df.join(mapping.select(key, F.col(value).alias("__m")), on=key, how="left")
     d = default if hasattr(default, "_jc") else F.lit(default)
     return j.withColumn(out, F.coalesce(F.col("__m"), d).cast("double")).drop("__m")
+
+
+#: Values of a list that become literals; longer lists and tables are joined.
+MOST_LITERALS = 1000
+
+
+def filter_values(df: DataFrame, col: str, values) -> DataFrame:
+    """Rows whose ``col`` is one of ``values``, a list or a one-column table; NULL is never one of them.
+
+    A short list becomes an ``isin`` that reaches the scan; a table is a left semi join, which the planner broadcasts if it is small.
+    """
+    if isinstance(values, DataFrame):
+        keys = values.select(F.col(values.columns[0]).alias("__value")).where("__value is not null").distinct()
+        return df.join(keys, on=F.col(col) == F.col("__value"), how="left_semi")
+    values = [v for v in values if v is not None]
+    if not values:
+        return df.limit(0)
+    if len(values) > MOST_LITERALS:
+        return filter_values(df, col, df.sparkSession.createDataFrame([(v,) for v in values], df.select(col).schema))
+    return df.where(F.col(col).isin(values))

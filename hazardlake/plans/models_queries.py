@@ -7,47 +7,66 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster as C
-from ..operators import forest as Fo
+from .. import estimators as Es
 from ..operators import linear as Lm
 from ..operators import survival as S
 from ..operators import tables as P
-from ..operators import trees as Tr
-from ..operators.ordered import rank01
 from ..operators.pipeline import fit_preprocessor
 from ..session import cut_lineage
 from . import select as Sel
 from . import train_table as N
 from .context import TAU, TOP_EFFECTS, TOP_GENES
 from .queries import query
+from .together import together
 
-# Fixed parameters of the registered model queries.  Boosting rounds, trees, alphas of a path and KMeans starts are the
-# library's defaults (300, 300, 100 and 10).
+# Parameters of the reference's runs.  Trees, rounds, alphas and starts are the library's defaults
+# (300, 300, 100 and 10), those of the final risk table as given here.
 TFIDF_MAX, SVD_K = 5000, 120
 RIDGE_ALPHA = 1.0
-GBT_ITERS = 100
-KMEANS_K, KMEANS_CANDIDATES = 4, (2, 3, 4, 5)
-BOOST_LR = 0.1
-COXNET_L1 = 0.9
+KMEANS_K, KMEANS_CANDIDATES = 4, (3, 4, 5, 6, 7, 8, 10)
+COXNET_L1, L1_RATIOS = 0.9, (0.1, 0.3, 0.5, 0.7, 0.9)
 CV_FOLDS = 3
-FOREST_DEPTH, FOREST_LEAF = 6, 10
+FINAL_FOREST = {"nEstimators": 150, "maxSamples": 0.7}
+BOOST_GRID = {"nEstimators": [100, 200, 300], "learningRate": [0.05, 0.1], "maxDepth": [2, 3, 4]}
+FOREST_GRID = {"nEstimators": [200, 400], "minSamplesLeaf": [10, 20], "minSamplesSplit": [10], "maxFeatures": ["sqrt", 0.5]}
+GRID_FOLDS = 2
+SWEEP = ((5000, 80), (5000, 120), (10000, 100), (10000, 150), (20000, 150), (20000, 200))
+IMPORTANCE_COLUMNS = ("BM_BLAST", "HB", "PLT", "CENTER", "CYTOGENETICS")
+KEEP = ("ID", "features", "time", "event")
+
+
+def _numeric(t):
+    return [f.name for f in t.schema.fields if f.name not in ("ID", "OS_YEARS", "OS_STATUS", "time", "is_test", "fold")
+            and f.dataType.typeName() in ("integer", "long", "double")]
+
+
+def _table(c):
+    """The whole training table with outcomes."""
+    t, genes, effects = N.train_table(c.clinical_train, c.molecular_train, c.target, TOP_GENES, TOP_EFFECTS)
+    return cut_lineage(P.to_survival(t)), genes, effects
+
+
+def _split(c):
+    """Training and evaluation rows of the hold-out."""
+    t = _table(c)[0].withColumn("is_test", c.is_test())
+    return t.where(~F.col("is_test")), t.where(F.col("is_test"))
+
+
+def _preprocessor(t, **params):
+    return Es.Preprocessor(numCols=_numeric(t), catCols=["CENTER"], textCol="CYTOGENETICS", tfidfMax=TFIDF_MAX, svdComponents=SVD_K).set_all(**params)
 
 
 def _design(c, with_text=True):
     """Hold-out design matrices, fitted preprocessing on the training part."""
-    t, genes, effects = N.train_table(c.clinical_train, c.molecular_train, c.target, TOP_GENES, TOP_EFFECTS)
-    t = cut_lineage(P.to_survival(t).withColumn("is_test", c.is_test()))
-    num = [f.name for f in t.schema.fields if f.name not in ("ID", "OS_YEARS", "OS_STATUS", "time", "is_test")
-           and f.dataType.typeName() in ("integer", "long", "double")]
-    tr, te = t.where(~F.col("is_test")), t.where(F.col("is_test"))
-    fp = fit_preprocessor(tr, num, ["CENTER"], "CYTOGENETICS" if with_text else None, TFIDF_MAX,
-                          SVD_K if with_text else 0)
-    keep = ["ID", "features", "time", "event"]
-    return tr, te, fp, cut_lineage(fp.transform(tr).select(*keep)), cut_lineage(fp.transform(te).select(*keep))
+    tr, te = _split(c)
+    fp = fit_preprocessor(tr, _numeric(tr), ["CENTER"], "CYTOGENETICS" if with_text else None, TFIDF_MAX, SVD_K if with_text else 0)
+    return tr, te, fp, cut_lineage(fp.transform(tr).select(*KEEP)), cut_lineage(fp.transform(te).select(*KEEP))
 
 
-def _scored(tr, te_pred):
-    return S.ipcw_cindex(tr, te_pred, "risk", TAU, "time", "event").select("cindex")
+def _prepare(a, b):
+    """Preprocessing of a fold, fitted on its training rows."""
+    fp = fit_preprocessor(a, _numeric(a), ["CENTER"], "CYTOGENETICS", TFIDF_MAX, SVD_K)
+    return fp.transform(a).select(*KEEP), fp.transform(b).select(*KEEP)
 
 
 @query("svd_text")
@@ -62,33 +81,31 @@ def q_svd(c):
 
 @query("ridge_risk")
 def q_ridge(c):
-    """G1: ridge on time, risk = -prediction."""
+    """Ridge on time, risk = -prediction."""
     _, _, _, Xtr, Xte = _design(c)
-    m = Lm.fit_ridge_time(Xtr, alpha=RIDGE_ALPHA)
-    return Lm.ridge_risk(m, Xte).select("ID", "risk")
+    return Es.RidgeTime(alpha=RIDGE_ALPHA).fit(Xtr).transform(Xte).select("ID", "risk")
 
 
 @query("gbt_time_risk")
 def q_gbt(c):
-    """Boosted regression trees on time (depth 3, lr 0.05), risk = -prediction."""
+    """Boosted regression trees on time (depth 3, lr 0.05, 100 rounds), risk = -prediction."""
     _, _, _, Xtr, Xte = _design(c)
-    m = Tr.fit_gbt_time(Xtr, max_iter=GBT_ITERS)
-    return Tr.gbt_time_risk(m, Xte).select("ID", "risk")
+    return Es.BoostedTime().fit(Xtr).transform(Xte).select("ID", "risk")
 
 
 @query("kmeans_risk")
 def q_kmeans(c):
     """Cluster risk = -median time of the cluster."""
     _, _, _, Xtr, Xte = _design(c)
-    model, rmap = C.fit_kmeans_risk(Xtr, KMEANS_K)
-    return C.kmeans_risk(model, rmap, Xte).select("ID", "cluster", "risk")
+    return Es.KMeansRisk(k=KMEANS_K).fit(Xtr).transform(Xte).select("ID", "cluster", "risk")
 
 
 @query("kmeans_tune")
 def q_kmeans_tune(c):
     """Silhouette per candidate k (squared Euclidean), best flagged."""
+    from ..operators.cluster import tune_k
     _, _, _, Xtr, _ = _design(c)
-    rows, best = C.tune_k(Xtr, KMEANS_CANDIDATES)
+    rows, best = tune_k(Xtr, KMEANS_CANDIDATES)
     return c.spark.createDataFrame([(k, s, k == best) for k, s in rows], "k int, silhouette double, best boolean")
 
 
@@ -96,115 +113,119 @@ def q_kmeans_tune(c):
 def q_cox(c):
     """Cox proportional hazards (ridge 1e-4 for separable columns), risk = linear predictor."""
     _, _, _, Xtr, Xte = _design(c, with_text=False)
-    beta = Lm.fit_cox(Xtr, alpha=1e-4)
-    return Lm.linear_risk(Xte, beta).select("ID", "risk")
+    return Es.CoxPH(alpha=1e-4).fit(Xtr).transform(Xte).select("ID", "risk")
 
 
 @query("coxnet")
 def q_coxnet(c):
     """Elastic-net Cox (l1_ratio 0.9, last alpha of a 100-alpha path at ratio 0.01)."""
-    _, _, _, Xtr, Xte = _design(c, with_text=False)
-    beta, _, _ = Lm.fit_coxnet(Xtr, l1_ratio=COXNET_L1)
-    return Lm.linear_risk(Xte, beta).select("ID", "risk")
+    _, _, _, Xtr, Xte = _design(c)
+    return Es.Coxnet(l1Ratio=COXNET_L1).fit(Xtr).transform(Xte).select("ID", "risk")
+
+
+@query("coxnet_path")
+def q_coxnet_path(c):
+    """The whole path: alpha, active features, log-likelihood and how far the optimality conditions are from holding."""
+    _, _, _, Xtr, _ = _design(c)
+    return Lm.path_summary(c.spark, Lm.coxnet_path(Xtr, l1_ratio=COXNET_L1))
 
 
 @query("boosted_survival")
 def q_boost(c):
-    """Cox-loss gradient boosting (depth 3, leaf >= 5, lr 0.1)."""
+    """Cox-loss gradient boosting (300 rounds, depth 3, leaf >= 5, lr 0.1)."""
     _, _, _, Xtr, Xte = _design(c)
-    m = Tr.fit_boosted_cox(Xtr, learning_rate=BOOST_LR)
-    return m.predict(Xte).select("ID", "risk")
+    return Es.BoostedCox().fit(Xtr).transform(Xte).select("ID", "risk")
 
 
 @query("survival_forest")
 def q_forest(c):
-    """Random survival forest (log-rank splits, sqrt features, Poisson bootstrap)."""
+    """Random survival forest (300 trees, log-rank splits, sqrt features, Poisson bootstrap, grown to the leaf limit)."""
     _, _, _, Xtr, Xte = _design(c)
-    f = Fo.fit_survival_forest(Xtr, max_depth=FOREST_DEPTH, min_samples_leaf=FOREST_LEAF)
-    return f.predict(Xte).select("ID", "risk")
+    return Es.ForestRisk().fit(Xtr).transform(Xte).select("ID", "risk")
 
 
 @query("model_comparison")
 def q_models(c):
-    """Hold-out IPCW C of several models and of their rank mean, one grouped job."""
-    tr, te, _, Xtr, Xte = _design(c, with_text=False)
-    preds = []
-    m1 = Lm.fit_ridge_time(Xtr, alpha=RIDGE_ALPHA)
-    preds.append(Lm.ridge_risk(m1, Xte).withColumn("model", F.lit("ridge")))
-    beta = Lm.fit_cox(Xtr, alpha=1e-4)
-    preds.append(Lm.linear_risk(Xte, beta).withColumn("model", F.lit("cox")))
-    bm = Tr.fit_boosted_cox(Xtr, learning_rate=BOOST_LR)
-    preds.append(bm.predict(Xte).withColumn("model", F.lit("boost")))
+    """Hold-out IPCW C of ridge, Cox, Coxnet and their rank mean, one grouped job."""
+    tr, _, _, Xtr, Xte = _design(c)
+    fits = {"ridge": Es.RidgeTime(alpha=RIDGE_ALPHA), "cox": Es.CoxPH(alpha=1e-4), "coxnet": Es.Coxnet(l1Ratio=COXNET_L1)}
+    models = together(c.spark, {n: (lambda e=e: e.fit(Xtr)) for n, e in fits.items()})
     allp = None
-    for p in preds:
-        p = p.select("ID", "time", "event", "risk", "model")
+    for name, m in models.items():
+        p = m.transform(Xte).select("ID", "time", "event", "risk").withColumn("model", F.lit(name))
         allp = p if allp is None else allp.unionByName(p)
-    r = rank01(allp, "risk", "r", partition_cols=["model"])
-    ens = r.groupBy("ID", "time", "event").agg(F.avg("r").alias("risk")).withColumn("model", F.lit("rank_mean"))
-    scored = allp.unionByName(ens.select("ID", "time", "event", "risk", "model"))
-    return S.ipcw_cindex(tr, scored, "risk", TAU, "time", "event", group_cols=["model"]).select("model", "cindex")
+    return S.ipcw_cindex(tr, Sel.with_rank_mean(allp), "risk", TAU, "time", "event", group_cols=["model"]).select("model", "cindex")
+
+
+@query("fit_eval_all")
+def q_fit_eval_all(c):
+    """Hold-out IPCW C of the forest, boosting after 200 and 300 rounds, and their rank mean."""
+    _, _, _, Xtr, Xte = _design(c)
+    return Sel.fit_eval_all(Xtr, Xte, TAU)
+
+
+@query("preprocessing_sweep")
+def q_sweep(c):
+    """Vocabulary and rank x target encoding, 12 configurations, all models of fit_eval_all."""
+    tr, te = _split(c)
+    return Sel.preprocessing_sweep(tr, te, _numeric(tr), SWEEP, tau=TAU)
 
 
 @query("cross_validate")
 def q_cv(c):
     """Stratified 3-fold IPCW C of the ridge-on-time model (preprocessing refitted per fold)."""
-    t, _, _ = N.train_table(c.clinical_train, c.molecular_train, c.target, TOP_GENES, TOP_EFFECTS)
-    t = cut_lineage(P.to_survival(t))
-    num = [f.name for f in t.schema.fields if f.name not in ("ID", "OS_YEARS", "OS_STATUS", "time")
-           and f.dataType.typeName() in ("integer", "long", "double")]
-
-    def prepare(a, b):
-        fp = fit_preprocessor(a, num, ["CENTER"], None, 0, 0)
-        keep = ["ID", "features", "time", "event"]
-        return fp.transform(a).select(*keep), fp.transform(b).select(*keep)
-
     def fit_predict(a, b):
-        return Lm.ridge_risk(Lm.fit_ridge_time(a, alpha=RIDGE_ALPHA), b)
-    return Sel.cross_validate(t, fit_predict, CV_FOLDS, TAU, strata="OS_STATUS", prepare=prepare)
+        return Es.RidgeTime(alpha=RIDGE_ALPHA).fit(a).transform(b)
+    return Sel.cross_validate(_table(c)[0], fit_predict, CV_FOLDS, TAU, strata="OS_STATUS", prepare=_prepare)
 
 
 @query("grid_search")
 def q_grid(c):
-    """Grid over ridge alpha x 3 folds; mean and std per configuration."""
-    t, _, _ = N.train_table(c.clinical_train, c.molecular_train, c.target, TOP_GENES, TOP_EFFECTS)
-    t = cut_lineage(P.to_survival(t))
-    num = [f.name for f in t.schema.fields if f.name not in ("ID", "OS_YEARS", "OS_STATUS", "time")
-           and f.dataType.typeName() in ("integer", "long", "double")]
+    """The forest's grid over stratified folds; mean and std per configuration, winner flagged."""
+    _, summ = Sel.grid_search(_table(c)[0], Es.ForestRisk(), FOREST_GRID, GRID_FOLDS, TAU, strata="OS_STATUS", prepare=_prepare)
+    return summ.drop("position")
+
+
+@query("boosting_grid")
+def q_boosting_grid(c):
+    """18 boosting configurations on the hold-out, from six fits with staged scores."""
+    _, _, _, Xtr, Xte = _design(c)
+    return Sel.grid_holdout(Xtr, Xte, Es.BoostedCox(), BOOST_GRID, TAU, most=6).drop("position")
 
-    def prepare(a, b):
-        fp = fit_preprocessor(a, num, ["CENTER"], None, 0, 0)
-        keep = ["ID", "features", "time", "event"]
-        return fp.transform(a).select(*keep), fp.transform(b).select(*keep)
 
-    def make(cfg):
-        return lambda a, b: Lm.ridge_risk(Lm.fit_ridge_time(a, alpha=cfg["alpha"]), b)
-    _, summ, best = Sel.grid_search(t, make, {"alpha": [0.1, 1.0, 10.0]}, CV_FOLDS, TAU, prepare=prepare)
-    return summ.withColumn("best", F.col("config") == F.lit(__import__("json").dumps(best, sort_keys=True)))
+@query("model_importance")
+def q_importance(c):
+    """Permutation importance of raw columns through a fitted PipelineModel (preprocessing and Coxnet), five repeats."""
+    from pyspark.ml import Pipeline
+    tr, te = _split(c)
+    model = Pipeline(stages=[_preprocessor(tr), Es.Coxnet(l1Ratio=COXNET_L1)]).fit(tr)
+    return Sel.permutation_importance(model, te, tr, IMPORTANCE_COLUMNS, 5, TAU)
+
+
+def final_pipeline(t):
+    """Preprocessing, Coxnet, boosting and forest side by side, and the mean of their ranks."""
+    return [_preprocessor(t)], {
+        "coxnet": Es.Coxnet(l1Ratio=COXNET_L1, riskCol="coxnet"), "boost": Es.BoostedCox(riskCol="boost"),
+        "forest": Es.ForestRisk(riskCol="forest", **FINAL_FOREST)}, Es.RankMean(inputCols=["coxnet", "boost", "forest"], riskCol="risk_score")
+
+
+def fit_final(t):
+    """The PipelineModel of all labelled rows; its models are fitted side by side."""
+    from pyspark.ml import PipelineModel
+    (pre,), estimators, ranks = final_pipeline(t)
+    prepared = pre.fit(t)
+    X = cut_lineage(prepared.transform(t).select(*KEEP))
+    models = together(t.sparkSession, {n: (lambda e=e: e.fit(X)) for n, e in estimators.items()})
+    return PipelineModel([prepared, *models.values(), ranks])
 
 
 @query("risk_table")
 def q_risk_table(c):
     """Fit on all labeled rows, score the unlabeled entities, rank mean of forest, boosting, Coxnet."""
-    t, genes, effects = N.train_table(c.clinical_train, c.molecular_train, c.target, TOP_GENES, TOP_EFFECTS)
-    cols = P.feature_columns(t)
-    t = cut_lineage(P.to_survival(t))
+    t, genes, effects = _table(c)
+    cols = P.feature_columns(t.drop("time", "event"))
     test = cut_lineage(N.scoring_table(c.clinical_unlabeled, c.molecular_unlabeled, cols, genes, effects))
-    num = [f.name for f in t.schema.fields if f.name not in ("ID", "OS_YEARS", "OS_STATUS", "time")
-           and f.dataType.typeName() in ("integer", "long", "double")]
-    fp = fit_preprocessor(t, num, ["CENTER"], "CYTOGENETICS", TFIDF_MAX, SVD_K)
-    Xtr = cut_lineage(fp.transform(t).select("ID", "features", "time", "event"))
-    Xte = cut_lineage(fp.transform(test).select("ID", "features"))
-    beta, _, _ = Lm.fit_coxnet(Xtr, l1_ratio=COXNET_L1)
-    bm = Tr.fit_boosted_cox(Xtr, learning_rate=BOOST_LR)
-    rf = Fo.fit_survival_forest(Xtr, max_depth=FOREST_DEPTH, min_samples_leaf=FOREST_LEAF)
-    parts = [Lm.linear_risk(Xte, beta).withColumn("model", F.lit("coxnet")),
-             bm.predict(Xte).withColumn("model", F.lit("boost")),
-             rf.predict(Xte).withColumn("model", F.lit("forest"))]
-    allp = parts[0].select("ID", "risk", "model")
-    for p in parts[1:]:
-        allp = allp.unionByName(p.select("ID", "risk", "model"))
-    r = rank01(allp, "risk", "r", partition_cols=["model"])
-    return r.groupBy("ID").agg(F.avg("r").alias("risk_score"))
+    return fit_final(t).transform(test).select("ID", "risk_score")
 
 
 # --------------------------------------------------------------------------- model parts with a closed form
@@ -262,26 +283,22 @@ def q_ridge_small(c):
 @query("l1_ratio_selection")
 def q_l1_ratio(c):
     """Hold-out IPCW C of a Coxnet by l1_ratio, the first best flagged."""
-    _, _, _, tr, te = _design(c, with_text=False)
-    res, best, _ = Sel.select_l1_ratio(tr, te, (0.1, 0.5, 0.9), TAU)
+    _, _, _, tr, te = _design(c)
+    res, best, _ = Sel.select_l1_ratio(tr, te, L1_RATIOS, TAU)
     return res.withColumn("is_best", F.col("l1_ratio") == F.lit(best))
 
 
 @query("cox_stacking")
 def q_stacking(c):
-    """Cox model on out-of-fold ridge and Cox scores of the training part, applied to the hold-out."""
+    """Cox model on out-of-fold forest, boosting and Coxnet scores of the training part, applied to the hold-out."""
+    import uuid
+
     from ..operators.splits import kfold
-    _, _, _, tr, te = _design(c, with_text=False)
+    from ..session import ensure_checkpoint_dir
+    from .store import ScoreStore
+    _, _, _, tr, te = _design(c)
     folds = cut_lineage(kfold(tr, CV_FOLDS, out="fold"))
-    scores = ("ridge", "cox")
-
-    def scored(fit_on, rows):
-        r = Lm.ridge_risk(Lm.fit_ridge_time(fit_on, alpha=RIDGE_ALPHA), rows, "ridge")
-        return Lm.linear_risk(r, Lm.fit_cox(fit_on, alpha=1e-4), out="cox").select("ID", "time", "event", *scores)
-
-    oof = None
-    for k in range(CV_FOLDS):
-        part = scored(folds.where(F.col("fold") != k), folds.where(F.col("fold") == k))
-        oof = part if oof is None else oof.unionByName(part)
-    out, _ = Sel.cox_stacking(cut_lineage(oof), scored(tr, te), scores)
+    fits = {"forest": Es.ForestRisk(**FINAL_FOREST), "boost": Es.BoostedCox(), "coxnet": Es.Coxnet(l1Ratio=COXNET_L1)}
+    store = ScoreStore(c.spark, f"{ensure_checkpoint_dir(c.spark)}/scores-{uuid.uuid4().hex}")
+    out, _ = Sel.stacked(store, folds, (tr, te), {n: (lambda a, b, e=e: e.copy().fit(a).transform(b)) for n, e in fits.items()}, CV_FOLDS)
     return out.select("ID", "risk")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.ordered import prefix_sums
 from ..operators.splits import hash_u32
@@ -24,10 +25,13 @@ def permuted_copies(df: DataFrame, id_col: str, cols, repeats: int, seed: int =
     spark = df.sparkSession
     plan = spark.createDataFrame([(c, r) for c in cols for r in range(repeats)], "column string, repeat int")
     copies = df.join(F.broadcast(plan), how="cross").withColumn("__one", F.lit(1))  # cols x repeats copies
+    types = {c: df.schema[c].dataType for c in cols}
+    numeric = all(isinstance(t, T.NumericType) for t in types.values())
+    kind = "double" if numeric else "string"             # values of several types travel as text
     val = None
     for c in cols:
-        val = F.when(F.col("column") == c, F.col(c).cast("double")) if val is None else \
-            val.when(F.col("column") == c, F.col(c).cast("double"))
+        val = F.when(F.col("column") == c, F.col(c).cast(kind)) if val is None else \
+            val.when(F.col("column") == c, F.col(c).cast(kind))
     copies = copies.withColumn("__v", val)
     copies = copies.withColumn("__h", hash_u32(F.concat_ws("|", F.col("column"), F.col("repeat").cast("string"),
                                                            F.col(id_col).cast("string")), seed))
@@ -37,7 +41,8 @@ def permuted_copies(df: DataFrame, id_col: str, cols, repeats: int, seed: int =
     donor = by_h.select("column", "repeat", F.col("__ph__one").alias("__pos"), F.col("__v").alias("__perm"))
     recv = by_id.withColumnRenamed("__pid__one", "__pos")
     j = recv.join(donor, on=["column", "repeat", "__pos"], how="inner")
-    return j.withColumns({c: F.when(F.col("column") == c, F.col("__perm")).otherwise(F.col(c).cast("double"))
+    return j.withColumns({c: F.when(F.col("column") == c, F.col("__perm").cast("double" if numeric else types[c]))
+                          .otherwise(F.col(c).cast("double") if numeric else F.col(c))
                           for c in cols}).drop("__pos", "__perm", "__v", "__h", "__one")
 
 
@@ -88,29 +93,128 @@ def cross_validate(df: DataFrame, fit_predict, n_splits=3, tau=7.0, seed=42, str
     return score_folds(f, prepared, fit_predict, tau, id_col, time_col, event_col)
 
 
-def grid_search(df: DataFrame, make_fit_predict, grid: dict, n_splits=3, tau=7.0, seed=42, strata=(),
-                prepare=None):
-    """Cartesian product of the grid (J11) x folds; mean C per config; first best wins (O3).
+def param_grid(grid: dict) -> list[dict]:
+    """Cartesian product of parameter lists, the last name varying fastest."""
+    import itertools
+
+    return [dict(zip(grid, vals)) for vals in itertools.product(*grid.values())]
+
+
+def staged_fits(configs: list[dict], stage: str = "nEstimators") -> dict:
+    """Configurations that differ in the number of trees only share the largest fit: {fit's params as JSON: [(position, config)]}."""
+    import json
+
+    found: dict = {}
+    for i, cfg in enumerate(configs):
+        rest = json.dumps({k: v for k, v in cfg.items() if k != stage}, sort_keys=True)
+        found.setdefault(rest, []).append((i, cfg))
+    return found
+
 
-    Folds and their preprocessing are built once and shared by all
-    configurations.  Returns (results (position, config, fold, cindex),
-    summary (config, mean, std), best config dict).
+def grid_scores(estimator, configs: list[dict], train: DataFrame, valid: DataFrame, design=None, keep=("ID", "time", "event"),
+                most=4) -> DataFrame:
+    """Risks of the validation rows under every configuration: (keep..., risk, position).
+
+    ``estimator`` is an Estimator of ``hazardlake.estimators``; each configuration sets its params.  Fits run side by
+    side; those of one packed design share it, and a number of trees is a stage of the largest fit with the
+    other params.
     """
-    import itertools
+    from ..session import cut_lineage
+    from .together import together
+
+    groups = staged_fits(configs) if hasattr(estimator, "fit_design") else {str(i): [(i, c)] for i, c in enumerate(configs)}
+    if hasattr(estimator, "fit_design") and design is None:
+        design = estimator.design(train)
+
+    def scored(members):
+        def run():
+            est = estimator.copy()
+            rest = {k: v for k, v in members[0][1].items() if k != "nEstimators"}
+            est.set_all(**rest)
+            if not hasattr(est, "fit_design"):
+                found = est.fit(train).transform(valid)
+                return cut_lineage(found.select(*keep, F.col(est.get("riskCol")).alias("risk"), F.lit(members[0][0]).alias("position")))
+            stages = sorted({c.get("nEstimators", est.get("nEstimators")) for _, c in members})
+            est.set_all(nEstimators=stages[-1])
+            # another number of bins is another design
+            model = est.fit_design(design if "maxBins" not in rest else est.design(train))
+            found = model.staged(valid, stages)
+            each = F.array(*[F.struct(F.col(f"{est.get('riskCol')}_{c.get('nEstimators', est.get('nEstimators'))}").alias("risk"),
+                                      F.lit(i).alias("position")) for i, c in members])
+            return cut_lineage(found.select(*keep, F.explode(each).alias("__s")).select(*keep, "__s.*"))
+        return run
+
+    parts = together(train.sparkSession, {k: scored(m) for k, m in groups.items()}, most)
+    out = None
+    for p in parts.values():
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def config_table(spark, configs: list[dict]) -> DataFrame:
     import json
 
-    keys = list(grid)
-    configs = [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
-    spark = df.sparkSession
+    return spark.createDataFrame([(i, json.dumps(c, sort_keys=True)) for i, c in enumerate(configs)], "position int, config string")
+
+
+def best_first(scores: DataFrame, score="mean") -> DataFrame:
+    """Adds ``is_best``: the largest score, of equal ones the first position (O3); NULL and NaN scores never win."""
+    usable = scores.where(F.col(score).isNotNull() & ~F.isnan(score))
+    top = usable.orderBy(F.col(score).desc(), F.col("position").asc()).limit(1).select(F.col("position").alias("__best"))
+    return scores.join(F.broadcast(top), how="left", on=F.col("position") == F.col("__best")) \
+        .withColumn("is_best", F.col("__best").isNotNull()).drop("__best")
+
+
+def grid_search(df: DataFrame, estimator, grid: dict, n_splits=3, tau=7.0, seed=42, strata=(), prepare=None, most=4):
+    """Cartesian product of the grid (J11) x folds; mean and std of the IPCW C by configuration, first best flagged (O3).
+
+    Folds and their preprocessing are built once and shared by all configurations, fits run side by side, and the out-of-fold risks of all
+    (configuration, fold) pairs are scored by one grouped job.  Returns (per fold: position, config, fold, cindex;
+    summary: position, config, mean, std, is_best).
+    """
+    from ..operators.survival import ipcw_cindex
+
+    configs, spark = param_grid(grid), df.sparkSession
     f, prepared = prepare_folds(df, prepare or (lambda a, b: (a, b)), n_splits, seed, strata)
-    rows = []
-    for i, cfg in enumerate(configs):
-        r = score_folds(f, prepared, make_fit_predict(cfg), tau).collect()
-        rows += [(i, json.dumps(cfg, sort_keys=True), int(x["fold"]), x["cindex"]) for x in r]
-    res = spark.createDataFrame(rows, "position int, config string, fold int, cindex double")
+    preds = None
+    for k, (a, b) in enumerate(prepared):
+        p = grid_scores(estimator, configs, a, b, most=most).withColumn("fold", F.lit(k))
+        preds = p if preds is None else preds.unionByName(p)
+    folds = spark.createDataFrame([(k,) for k in range(n_splits)], "fold int")
+    train_rows = f.join(F.broadcast(folds), F.col("__fold") != F.col("fold"))  # each row trains k-1 folds
+    scored = ipcw_cindex(train_rows.select("fold", "time", "event"), preds, "risk", tau, "time", "event", group_cols=["fold", "position"])
+    res = scored.select("position", "fold", "cindex").join(F.broadcast(config_table(spark, configs)), on="position")
     summ = res.groupBy("position", "config").agg(F.avg("cindex").alias("mean"), F.stddev_samp("cindex").alias("std"))
-    best = summ.orderBy(F.col("mean").desc(), F.col("position").asc()).limit(1).collect()[0]
-    return res, summ.drop("position"), json.loads(best["config"])
+    return res, best_first(summ)
+
+
+def grid_holdout(train: DataFrame, valid: DataFrame, estimator, grid: dict, tau=7.0, design=None, most=4) -> DataFrame:
+    """The grid on one split: (position, config, cindex, is_best), scored by one grouped job."""
+    from ..operators.survival import ipcw_cindex
+
+    configs = param_grid(grid)
+    preds = grid_scores(estimator, configs, train, valid, design, most=most)
+    scored = ipcw_cindex(train, preds, "risk", tau, "time", "event", group_cols=["position"]).select("position", "cindex")
+    return best_first(scored.join(F.broadcast(config_table(train.sparkSession, configs)), on="position"), "cindex")
+
+
+def permutation_importance(model, valid: DataFrame, train: DataFrame, cols, repeats=5, tau=7.0, seed=42, id_col="ID", risk_col="risk") -> DataFrame:
+    """Drop of the IPCW C when a raw column is permuted, of any fitted Model or PipelineModel.
+
+    ``cols`` are columns of ``valid`` of any type.  All (column, repeat) copies pass the model as one table and are scored by one grouped job.
+    Returns (column, importance, std, base), the mean and sample deviation over ``repeats``.
+    """
+    from ..operators.survival import ipcw_cindex
+    from ..session import cut_lineage
+
+    cols = list(cols)
+    base = ipcw_cindex(train, model.transform(valid), risk_col, tau).select(F.col("cindex").alias("base"))
+    copies = cut_lineage(permuted_copies(valid, id_col, cols, repeats, seed))
+    risks = model.transform(copies).select("column", "repeat", "time", "event", risk_col)
+    scored = ipcw_cindex(train, risks, risk_col, tau, group_cols=["column", "repeat"]).select("column", "repeat", "cindex")
+    drop = scored.join(F.broadcast(base), how="cross")       # one row
+    return drop.groupBy("column").agg(F.avg(F.col("base") - F.col("cindex")).alias("importance"),
+                                      F.stddev_samp(F.col("base") - F.col("cindex")).alias("std"), F.first("base").alias("base"))
 
 
 def select_l1_ratio(train_X: DataFrame, valid_X: DataFrame, ratios=(0.1, 0.3, 0.5, 0.7, 0.9), tau=7.0,
@@ -122,11 +226,12 @@ def select_l1_ratio(train_X: DataFrame, valid_X: DataFrame, ratios=(0.1, 0.3, 0.
     from ..operators.linear import fit_coxnet, linear_risk
     from ..operators.survival import ipcw_cindex
 
-    preds, betas = None, {}
+    from .together import together
+
+    fits = together(train_X.sparkSession, {r: (lambda r=r: fit_coxnet(train_X, l1_ratio=r, **coxnet_kw)[0]) for r in ratios})
+    preds, betas = None, fits
     for r in ratios:
-        beta, _, _ = fit_coxnet(train_X, l1_ratio=r, **coxnet_kw)
-        betas[r] = beta
-        p = linear_risk(valid_X, beta).select("time", "event", "risk").withColumn("l1_ratio", F.lit(float(r)))
+        p = linear_risk(valid_X, betas[r]).select("time", "event", "risk").withColumn("l1_ratio", F.lit(float(r)))
         preds = p if preds is None else preds.unionByName(p)
     res = ipcw_cindex(train_X, preds, "risk", tau, group_cols=["l1_ratio"]).select("l1_ratio", "cindex")
     got = {r["l1_ratio"]: r["cindex"] for r in res.collect()}
@@ -158,53 +263,122 @@ def cox_stacking(oof: DataFrame, other: DataFrame, score_cols, alpha=1e-4):
     return linear_risk(te, beta).drop("features"), beta
 
 
-def fit_eval_all(train_X: DataFrame, valid_X: DataFrame, tau=7.0, n_trees=300, boost_rounds=300, l1_ratio=0.9, seed=42):
-    """Forest, Cox boosting, Coxnet and their rank mean, scored on the validation rows in one grouped job."""
-    from ..operators.linear import fit_coxnet, linear_risk
-    from ..operators.forest import fit_survival_forest
-    from ..operators.ordered import rank01
+def fit_eval_all(train_X: DataFrame, valid_X: DataFrame, tau=7.0, n_trees=300, boost_rounds=(200, 300), seed=42):
+    """Forest, Cox boosting after fewer and more rounds and the mean of their ranks: (model, cindex).
+
+    The two boosted models are stages of one fit, forest and boosting are fitted side by side, and all risks are scored in one grouped job.
+    """
     from ..operators.survival import ipcw_cindex
-    from ..operators.trees import fit_boosted_cox
-
-    rf = fit_survival_forest(train_X, n_trees=n_trees, seed=seed)
-    gb = fit_boosted_cox(train_X, n_estimators=boost_rounds, seed=seed)
-    a = rf.predict(valid_X).select("ID", "time", "event", "risk").withColumn("model", F.lit("forest"))
-    b = gb.predict(valid_X).select("ID", "time", "event", "risk").withColumn("model", F.lit("boost"))
-    beta, _, _ = fit_coxnet(train_X, l1_ratio=l1_ratio)
-    d = linear_risk(valid_X, beta).select("ID", "time", "event", "risk").withColumn("model", F.lit("coxnet"))
-    both = a.unionByName(b).unionByName(d)
-    r = rank01(both, "risk", "r", partition_cols=["model"])
-    ens = r.groupBy("ID", "time", "event").agg(F.avg("r").alias("risk")).withColumn("model", F.lit("rank_mean"))
-    allp = both.unionByName(ens.select("ID", "time", "event", "risk", "model"))
-    return ipcw_cindex(train_X, allp, "risk", tau, group_cols=["model"]).select("model", "cindex")
-
-
-def preprocessing_sweep(train: DataFrame, valid: DataFrame, num_cols, grid: dict, cat_cols=("CENTER",),
-                        text_col="CYTOGENETICS", tau=7.0, evaluate=fit_eval_all):
-    """Cartesian product of preprocessing parameters (tfidf_max, svd_k, target encoding) ->
-    one row per configuration and model with its IPCW C (long form, ready for ``write_results``)."""
-    import itertools
 
+    risks = model_risks(train_X, valid_X, n_trees, boost_rounds, seed)
+    return ipcw_cindex(train_X, with_rank_mean(risks), "risk", tau, group_cols=["model"]).select("model", "cindex")
+
+
+def model_risks(train_X: DataFrame, valid_X: DataFrame, n_trees=300, boost_rounds=(200, 300), seed=42) -> DataFrame:
+    """(ID, time, event, risk, model) of ``forest`` and ``boost_<rounds>``."""
+    from ..estimators import BoostedCox, ForestRisk
+    from ..session import cut_lineage
+    from .together import together
+
+    def forest():
+        found = ForestRisk(nEstimators=n_trees, seed=seed).fit(train_X).transform(valid_X)
+        return cut_lineage(found.select("ID", "time", "event", "risk", F.lit("forest").alias("model")))
+
+    def boost():
+        found = BoostedCox(nEstimators=max(boost_rounds)).fit(train_X).staged(valid_X, boost_rounds)
+        each = F.array(*[F.struct(F.col(f"risk_{r}").alias("risk"), F.lit(f"boost_{r}").alias("model")) for r in sorted(boost_rounds)])
+        return cut_lineage(found.select("ID", "time", "event", F.explode(each).alias("__s")).select("ID", "time", "event", "__s.*"))
+
+    parts = together(train_X.sparkSession, {"forest": forest, "boost": boost})
+    return parts["forest"].unionByName(parts["boost"])
+
+
+def with_rank_mean(risks: DataFrame, name="rank_mean", by=()) -> DataFrame:
+    """Adds the model ``name``: the mean over the models of the scaled ranks of their risks, within ``by``."""
+    from ..operators.ordered import rank01
+
+    keep = ["ID", "time", "event", *by]
+    ens = rank01(risks, "risk", "__r", partition_cols=["model", *by]).groupBy(*keep).agg(F.avg("__r").alias("risk"))
+    return risks.unionByName(ens.withColumn("model", F.lit(name)).select(risks.columns))
+
+
+def preprocessing_sweep(train: DataFrame, valid: DataFrame, num_cols, sweep, cat_cols=("CENTER",), text_col="CYTOGENETICS", tau=7.0,
+                        target_encoding=(False, True), risks=model_risks):
+    """(tfidf_max, svd_k) x target encoding: one row per configuration and model with its IPCW C.
+
+    The n-grams are counted once; every vocabulary is a prefix of the ranked terms, and all ranks of a vocabulary
+    come from one SVD.  Configurations that end with the same features (a vocabulary smaller than the cap, a rank
+    below k) share their fits.  All risks are scored in one grouped job.
+    """
+    from ..estimators import Preprocessor
     from ..operators.encode import target_encode
-    from ..operators.pipeline import fit_preprocessor
+    from ..operators.pipeline import fit_preprocessor, text_corpus
+    from ..operators.survival import ipcw_cindex
     from ..session import cut_lineage
 
-    keys = list(grid)
-    out = None
-    for vals in itertools.product(*[grid[k] for k in keys]):
-        cfg = dict(zip(keys, vals))
-        tr, va = train, valid
-        nums = list(num_cols)
-        if cfg.get("center_te"):
-            tr, va = target_encode(tr, va, "CENTER", "OS_STATUS", "CENTER_TE")
+    corpus = text_corpus(train, text_col, max(t for t, _ in sweep))
+    largest: dict = {}
+    for terms, k in sweep:
+        terms = min(terms, len(corpus.terms))
+        largest[terms] = max(k, largest.get(terms, 0))
+    svds = {terms: corpus.svd(terms, k) for terms, k in largest.items()}
+    scored, rows = {}, []
+    for te in target_encoding:
+        tr, va, nums = train, valid, list(num_cols)
+        if te:
+            tr, va = (cut_lineage(d) for d in target_encode(train, valid, "CENTER", "OS_STATUS", "CENTER_TE"))
             nums.append("CENTER_TE")
-        fp = fit_preprocessor(tr, nums, list(cat_cols), text_col, cfg.get("tfidf_max", 5000), cfg.get("svd_k", 120))
-        keep = ["ID", "features", "time", "event"]
-        res = evaluate(cut_lineage(fp.transform(tr).select(*keep)), cut_lineage(fp.transform(va).select(*keep)), tau)
-        for k, v in cfg.items():
-            res = res.withColumn(k, F.lit(v))
-        out = res if out is None else out.unionByName(res)
-    return out
+        for terms, k in sweep:
+            text = svds[min(terms, len(corpus.terms))].first(k)
+            key = (len(text.terms), text.k, te)
+            if key not in scored:
+                fp = fit_preprocessor(tr, nums, list(cat_cols), text_col, text=text)
+                keep = ["ID", "features", "time", "event"]
+                found = risks(*(cut_lineage(fp.transform(d).select(*keep)) for d in (tr, va)))
+                scored[key] = (len(scored), found, len(fp.output_cols))
+            rows.append((terms, k, te, scored[key][2], scored[key][0]))
+    allp = None
+    for number, found, _ in scored.values():
+        found = found.withColumn("design", F.lit(number))
+        allp = found if allp is None else allp.unionByName(found)
+    res = ipcw_cindex(train, with_rank_mean(allp, by=["design"]), "risk", tau, group_cols=["design", "model"]).select("design", "model", "cindex")
+    table = train.sparkSession.createDataFrame(rows, "tfidf_max int, svd_k int, center_te boolean, x_dim int, design int")
+    return table.join(res, on="design").drop("design")
+
+
+def stacked(store, folds: DataFrame, holdout: tuple, fits: dict, n_splits: int, alpha=1e-4):
+    """Cox model on out-of-fold scores of several models; restarts where a run stopped.
+
+    ``folds`` holds (ID, features, time, event, fold), ``holdout`` a (fit on, score) pair for the final scores,
+    ``fits`` name -> function (fit on, rows) -> rows with ``risk``.  Every (fold, model) score table goes through ``store``.
+    Returns (hold-out rows with risk and the models' scores, coefficients by model).
+    """
+    from .together import together
+
+    names = list(fits)
+    work = {}
+    for name in names:
+        for k in range(n_splits):
+            work[k, name] = (folds.where(F.col("fold") != k), folds.where(F.col("fold") == k))
+        work["all", name] = holdout
+
+    def run(k, name, fit_on, rows):
+        return lambda: store.scores(k, name, None, lambda: fits[name](fit_on, rows).select("ID", "time", "event", "risk"))
+
+    got = together(folds.sparkSession, {key: run(*key, *parts) for key, parts in work.items()})
+
+    def wide(keys):
+        out = None
+        for name in names:
+            part = None
+            for k in keys:
+                p = got[k, name].select("ID", "time", "event", F.col("risk").alias(name))
+                part = p if part is None else part.unionByName(p)
+            out = part if out is None else out.join(part.select("ID", name), on="ID")
+        return out
+
+    out, beta = cox_stacking(wide(range(n_splits)), wide(["all"]), names, alpha)
+    return out, dict(zip(names, (float(b) for b in beta)))
 
 
 def cross_validate_models(df: DataFrame, models: dict, n_splits=3, tau=7.0, seed=42, strata=(), prepare=None,

@@ -1,31 +1,17 @@
-"""Registered model queries fit what the library's defaults fit, on the whole design."""
-import inspect
-
-import pytest
-
+"""Registered model queries fit what the reference's runs fit, on the whole design."""
+from hazardlake import estimators as Es
 from hazardlake.plans import models_queries as M
+from hazardlake.plans import select as Sel
 
 
-class Seen(Exception):
-    pass
-
-
-@pytest.mark.parametrize("query, module, fit, name, full", [
-    (M.q_boost, M.Tr, "fit_boosted_cox", "n_estimators", 300),
-    (M.q_forest, M.Fo, "fit_survival_forest", "n_trees", 300),
-    (M.q_coxnet, M.Lm, "fit_coxnet", "path_steps", None),
-    (M.q_kmeans_tune, M.C, "tune_k", "n_init", 10),
-    (M.q_l1_ratio, M.Sel, "select_l1_ratio", "path_steps", None),
-])
-def test_registered_sizes(monkeypatch, query, module, fit, name, full):
-    real = inspect.signature(getattr(module, fit))
+def test_defaults_are_the_full_sizes():
+    assert Es.BoostedCox().get("nEstimators") == 300 and Es.ForestRisk().get("nEstimators") == 300
+    assert Es.Coxnet().get("nAlphas") == 100 and Es.KMeansRisk().get("nInit") == 10 and Es.BoostedTime().get("nEstimators") == 100
+    assert len(M.L1_RATIOS) == 5 and len(M.KMEANS_CANDIDATES) == 7 and len(M.SWEEP) == 6
 
-    def stop(*args, **kw):
-        default = real.parameters[name].default if name in real.parameters else None
-        raise Seen(kw.get(name, default), args[0])
 
-    monkeypatch.setattr(M, "_design", lambda c, with_text=True: (None, None, None, "whole", "rest"))
-    monkeypatch.setattr(module, fit, stop)
-    with pytest.raises(Seen) as seen:
-        query(None)
-    assert seen.value.args == (full, "whole")
+def test_grids_share_the_fits_that_differ_in_trees_only():
+    boost, forest = Sel.param_grid(M.BOOST_GRID), Sel.param_grid(M.FOREST_GRID)
+    assert len(boost) == 18 and len(Sel.staged_fits(boost)) == 6
+    assert len(forest) == 8 and len(Sel.staged_fits(forest)) == 4
+    assert sorted(i for m in Sel.staged_fits(boost).values() for i, _ in m) == list(range(18))

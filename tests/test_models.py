@@ -1,9 +1,8 @@
-"""Cox fits (gradient zero, KKT) and boosting (likelihood rises) on small data."""
+"""Cox fits (gradient zero, KKT), wide paths, stacking and ridge on small data."""
 import numpy as np
 from pyspark.ml.linalg import Vectors
 
 from hazardlake.operators.linear import CoxProblem, fit_cox, fit_coxnet
-from hazardlake.operators.trees import fit_boosted_cox
 
 
 def _data(spark, n=300, seed=1):
@@ -46,13 +45,6 @@ def test_coxnet_kkt(spark):
             assert abs(g[j]) <= l1 + 1e-6
 
 
-def test_boosting_likelihood_rises(spark):
-    df, _, _, _ = _data(spark, seed=9)
-    trace = []
-    fit_boosted_cox(df, n_estimators=5, learning_rate=0.1, trace=trace)
-    assert all(b >= a - 1e-9 for a, b in zip(trace, trace[1:]))
-
-
 def test_cox_problem_matches_numpy_gradient(spark):
     df, X, t, e = _data(spark, seed=11)
     b = np.array([0.2, -0.1, 0.3])
@@ -60,51 +52,6 @@ def test_cox_problem_matches_numpy_gradient(spark):
     assert np.allclose(g, _np_grad(X, t, e, b))
 
 
-def test_logrank_split_matches_direct_statistic():
-    from hazardlake.operators.forest import logrank_best_split
-    rng = np.random.default_rng(0)
-    n = 400
-    x = rng.integers(0, 8, n)                 # feature bins
-    k = rng.integers(0, 6, n)                 # time bins
-    d = (rng.random(n) < 0.6).astype(float)
-    H = np.zeros((1, 8, 6, 2))
-    np.add.at(H, (0, x, k, 0), d)
-    np.add.at(H, (0, x, k, 1), 1.0)
-    f, b, score = logrank_best_split(H, 10.0)
-    best = None
-    for thr in range(7):
-        left = x <= thr
-        if left.sum() < 10 or (~left).sum() < 10:
-            continue
-        U = V = 0.0
-        for kk in range(6):
-            Y, YL = np.sum(k >= kk), np.sum(left & (k >= kk))
-            D, DL = np.sum(d[k == kk]), np.sum(d[(k == kk) & left])
-            U += DL - YL * D / Y
-            if Y > 1:
-                V += YL / Y * (1 - YL / Y) * (Y - D) / (Y - 1) * D
-        s = abs(U) / np.sqrt(V)
-        if best is None or s > best[1]:
-            best = (thr, s)
-    assert b == best[0] and abs(score - best[1]) < 1e-9
-
-
-def test_forest_learns_signal(spark):
-    from hazardlake.operators.forest import fit_survival_forest
-    from hazardlake.operators.survival import harrell_pairs
-    rng = np.random.default_rng(1)
-    n = 600
-    X = rng.normal(size=(n, 4))
-    t = rng.exponential(np.exp(-1.2 * X[:, 0]))
-    e = rng.random(n) < 0.8
-    df = spark.createDataFrame([(i, Vectors.dense(X[i].tolist()), float(t[i]), bool(e[i])) for i in range(n)],
-                               ["ID", "features", "time", "event"])
-    f = fit_survival_forest(df, n_trees=4, max_depth=3, min_samples_leaf=10, n_bins=16, n_time_bins=16,
-                             tree_batch=2)
-    c = harrell_pairs(f.predict(df), "risk").collect()[0]["cindex"]
-    assert c > 0.65
-
-
 def test_stacking_and_l1_selection(spark):
     import pandas as pd
     from hazardlake.plans.select import cox_stacking, select_l1_ratio
@@ -155,3 +102,50 @@ def test_cox_terms_with_many_ranges_and_a_hot_time(spark):
             prob = CoxProblem(df, n_buckets=buckets)
             got = prob.terms(beta)
             assert np.allclose(got[0], ll) and np.allclose(got[1], g) and np.allclose(got[2], h, atol=1e-8)
+
+
+def test_wide_path_is_screened_and_meets_its_conditions(spark, monkeypatch):
+    """More features than MOST_CURVATURE, mostly zero: strong rules, checks on the full gradient, quasi-Newton steps."""
+    from hazardlake.operators import linear as L
+    rng = np.random.default_rng(6)
+    n, p = 250, 120
+    X = rng.normal(size=(n, p)) * (rng.random((n, p)) < 0.15)
+    t = np.round(rng.exponential(np.exp(-X[:, :4].sum(axis=1))), 2) + 0.01
+    e = rng.random(n) < 0.7
+    df = spark.createDataFrame([(Vectors.dense(X[i].tolist()), float(t[i]), bool(e[i])) for i in range(n)], ["features", "time", "event"])
+    exact = L.coxnet_path(df, l1_ratio=0.7, n_alphas=8, alpha_min_ratio=0.1)
+    monkeypatch.setattr(L, "RANGE_CELLS", 6_000)
+    for most in (60, 5):                                # Newton on the active set; quasi-Newton beyond five features
+        monkeypatch.setattr(L, "MOST_CURVATURE", most)
+        points = L.coxnet_path(df, l1_ratio=0.7, n_alphas=8, alpha_min_ratio=0.1)
+        assert len(points) == 8 and points[0]["n_active"] == 0 and points[-1]["n_active"] > 10
+        for pt, ref in zip(points, exact):
+            assert np.allclose(pt["beta"], ref["beta"], atol=2e-3 if most == 5 else 1e-5)
+            g = -_np_grad(X, t, e, pt["beta"]) / n + pt["alpha"] * 0.3 * pt["beta"]
+            l1 = pt["alpha"] * 0.7
+            gap = np.where(pt["beta"] != 0, np.abs(g + l1 * np.sign(pt["beta"])), np.maximum(np.abs(g) - l1, 0))
+            assert gap.max() < 2e-3 * l1 + 1e-6 and pt["kkt"] < 2e-3 * l1 + 1e-6
+    table = L.path_table(spark, points, [f"f{j}" for j in range(p)])
+    assert table.count() == sum(pt["n_active"] for pt in points)
+    assert L.path_summary(spark, points).count() == 8
+
+
+def test_sparse_blocks_hold_the_same_terms(spark, monkeypatch):
+    from hazardlake.operators import linear as L
+    rng = np.random.default_rng(8)
+    X = rng.normal(size=(90, 7)) * (rng.random((90, 7)) < 0.2)
+    t, e = np.round(rng.exponential(1, 90), 1), rng.random(90) < 0.6
+    df = spark.createDataFrame([(Vectors.dense(X[i].tolist()), float(t[i]), bool(e[i])) for i in range(90)], ["features", "time", "event"])
+    b = rng.normal(size=7)
+    got = {}
+    for share in (0.0, 1.0):
+        monkeypatch.setattr(L, "SPARSE_SHARE", share)
+        prob = L.CoxProblem(df, n_buckets=3)
+        got[share] = prob.terms(b)
+        some = np.array([1, 4, 5])
+        ll, g, h = prob.terms(b[some], columns=some)
+        only = np.zeros(7)
+        only[some] = b[some]
+        full = prob.terms(only)
+        assert np.allclose(ll, full[0]) and np.allclose(g, full[1][some]) and np.allclose(h, full[2][np.ix_(some, some)])
+    assert all(np.allclose(x, y) for x, y in zip(got[0.0], got[1.0])) and np.allclose(got[0.0][1], _np_grad(X, t, e, b))

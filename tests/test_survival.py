@@ -104,7 +104,7 @@ def test_km_censoring_matches_numpy(spark):
 
 def test_ipcw_reference_value_on_fixture(spark):
     """FIXTURES.md: risk = HB, tau = 5, hash hold-out -> 0.488447 at sf0.01."""
-    from conftest import SF01
+    from paths import SF01
     from hazardlake.plans.queries import REGISTRY, registry
     registry()
     got = REGISTRY["ipcw_cindex"](spark, SF01).collect()[0]["cindex"]
