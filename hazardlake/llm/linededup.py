@@ -16,13 +16,16 @@ Native DataFrame expressions throughout.
   The first occurrence, in order of (doc_id, text hash, position), stays.
 * Every other occurrence is compared word by word with the first one and the
   match is followed to both sides (``min_words`` words; a longer match has more
-  anchors).  Matches that touch are joined to runs; a run of ``min_words`` words
-  or more (and more than one line) is cut out.
-
-What is removed therefore still stands, byte by byte (white space characters
-count alike), at a place before, by the order above.  A passage is compared with
-the first place of its hashed words; where only a later place shares more words
-with it, these are not looked at.  NULL texts stay NULL, empty ones empty.
+  anchors).  Matches of ``min_words`` words or more are cut out, joined where they
+  touch.
+* Occurrences that share fewer words with the first place are held against each
+  other: all passages of ``min_words`` words around them are grouped by their
+  bytes, and of each group the first stays.
+
+So of every passage of ``min_words`` words that stands at several places only the
+first stays whole.  White space characters count alike.  What is removed stood,
+byte by byte, at a place before, by the order above (of passages that overlap
+there, each at its own).  NULL texts stay NULL, empty ones empty.
 Rows with the same id and text are one document and are treated alike.  Other
 columns, whatever their names, pass through; the added ones replace columns of
 the same name.
@@ -75,17 +78,24 @@ def chunk_array(text: Column, window: int = WINDOW, min_words: int = MIN_WORDS)
     low = (1 << PLACE_BITS) - 1
 
     def least(keys, reach):
-        """The smallest key of each ``window`` neighbours."""
-        step = min(reach, window - reach)
-        if step <= 0:
+        """The smallest key of each ``window`` neighbours; a pass looks at four at a time."""
+        if reach >= window:
             return keys
-        return let(F.zip_with(keys, F.slice(keys, step + 1, F.size(keys)), lambda x, y: F.least(x, y)), lambda k: least(k, reach + step))
-
-    def of_anchors(w, places):
-        hashes = F.transform(places, lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(size))))
-        return let(hashes, lambda h: let(
-            F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda j: (j == 0) | (F.get(h, j) != F.get(h, j - 1))),
-            lambda starts: F.flatten(F.transform(starts, lambda j, k: rows(h, places, j, F.coalesce(F.get(starts, k + 1), F.size(h)) - 1)))))
+        steps = [i * reach for i in range(1, 4) if i * reach < window]
+        steps[-1] = min(steps[-1], window - reach)
+        grown = steps[-1] + reach
+        return let(F.transform(keys, lambda x, i: F.least(x, *[F.get(keys, i + k) for k in steps])), lambda k: least(k, grown))
+
+    def of_anchors(hashed, places):
+        hashes = F.transform(places, lambda i: F.xxhash64(F.slice(hashed, i + 1, F.lit(size))))
+        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.transform(h, lambda x, j: F.struct(
+            x.alias("hash"), F.get(places, j).alias("at"), F.get(places, j).alias("last"), F.lit(0).alias("gap"))))
+            .otherwise(of_equal(h, places)))
+
+    def of_equal(h, places):
+        """Neighbouring anchors with equal hashes become one row, or two."""
+        return let(F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda j: (j == 0) | (F.get(h, j) != F.get(h, j - 1))),
+                   lambda starts: F.flatten(F.transform(starts, lambda j, k: rows(h, places, j, F.coalesce(F.get(starts, k + 1), F.size(h)) - 1))))
 
     def rows(h, places, j, end):
         def row(a, b, gap):
@@ -98,10 +108,12 @@ def chunk_array(text: Column, window: int = WINDOW, min_words: int = MIN_WORDS)
         return F.when(j == end, F.array(row(j, j, F.lit(0)))).otherwise(let(F.get(places, j + 1) - F.get(places, j), split))
 
     def of_words(w):
-        keys = F.transform(w, lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
-        picked = let(keys, lambda k: F.array_distinct(F.slice(least(k, 1), F.lit(1), F.size(w) - (min_words - 1))))
-        return F.when(F.size(w) >= min_words, let(
-            F.transform(picked, lambda k: k.bitwiseAND(F.lit(low)).cast("int")), lambda places: of_anchors(w, places)))
+        return F.when(F.size(w) >= min_words, let(F.transform(w, lambda x: F.xxhash64(x)), of_hashes))
+
+    def of_hashes(hashed):
+        keys = F.transform(hashed, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
+        picked = let(keys, lambda k: F.array_distinct(F.slice(least(k, 1), F.lit(1), F.size(hashed) - (min_words - 1))))
+        return let(F.transform(picked, lambda k: k.bitwiseAND(F.lit(low)).cast("int")), lambda places: of_anchors(hashed, places))
 
     return let(words(text), of_words)
 
@@ -152,7 +164,15 @@ def matches(own: Column, other: Column, found: Column, same: Column, size: int,
 
         return F.when(equal, F.struct(moved(x["at"] - back).alias("s"), (end + ahead).alias("e")))
 
-    return F.filter(F.transform(chained(found, size), interval), lambda i: i["s"] < i["e"])
+    least = F.when(same, F.lit(1)).otherwise(F.lit(min_words))     # parts of two places do not add up to a passage
+    return F.filter(F.transform(chained(found, size), interval), lambda i: i["e"] - i["s"] >= least)
+
+
+def around(w: Column, at: Column, size: int, min_words: int) -> Column:
+    """(s, bytes): all passages of ``min_words`` words that hold the ``size`` words from ``at`` on, by the SHA-256 of their words."""
+    first, last = F.greatest(at - (min_words - size), F.lit(0)), F.least(at, F.size(w) - min_words)
+    return F.when(first <= last, F.transform(F.sequence(first, last), lambda s: F.struct(
+        s.cast("int").alias("s"), F.sha2(F.array_join(F.slice(w, s + 1, F.lit(min_words)), " "), 256).alias("bytes"))))
 
 
 def runs(intervals: Column) -> Column:
@@ -251,6 +271,23 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
               .select(F.col("id").alias("e_id"), F.col("h").alias("e_h"), F.filter(
                   runs(F.col("found")), lambda r: r["e"] - r["s"] >= min_words).alias("runs")))
     joined = materialise(joined.where("size(runs) > 0"), "runs")
+
+    # 5. places that share fewer words with the first one: the passages around them, by their bytes
+    met = F.exists(F.coalesce("runs", F.array().cast("array<struct<s:int,e:int>>")), lambda r: (r["s"] <= F.col("at")) & (r["e"] >= F.col("at") + size))
+    alone = later.join(joined, F.col("id").eqNullSafe(F.col("e_id")) & (F.col("h") == F.col("e_h")), "left").where(~met).select("hash", "id", "h", "at")
+    alone = materialise(alone, "alone")
+    several = alone.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    places = materialise(alone.join(several, "hash", "left_semi").select("id", "h", "at").distinct(), "places")
+    passages = places.join(own, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h"))).select(
+        "id", "h", F.explode(let(words(F.col("own")), lambda w: around(w, F.col("at"), size, min_words))).alias("x")).select("id", "h", "x.*").distinct()
+    passages = materialise(passages, "passages")
+    twice = passages.groupBy("bytes").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "s")).alias("f")).where("n > 1")
+    is_first = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("h") == F.col("f.h")) & (F.col("s") - F.col("f.s") < min_words)
+    repeated = passages.join(twice, "bytes").where(~is_first).groupBy("id", "h").agg(
+        F.collect_set(F.struct("s", (F.col("s") + min_words).alias("e"))).alias("found"))
+    repeated = repeated.select(F.col("id").alias("e_id"), F.col("h").alias("e_h"), runs(F.col("found")).alias("runs"))
+    joined = materialise(joined.union(repeated).groupBy("e_id", "e_h").agg(F.flatten(F.collect_list("runs")).alias("found")).select(
+        "e_id", "e_h", runs(F.col("found")).alias("runs")), "runs")
     spans = let(words(F.col("own")), lambda w: byte_spans(w, F.col("runs"), F.octet_length("own")))
     cut_out = (beside(own, joined, F.col("t_id").eqNullSafe(F.col("e_id")) & (F.col("t_h") == F.col("e_h")), "inner")
                .select("e_id", "e_h", spans.alias("runs")))
@@ -260,7 +297,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     edits = materialise(cut_out.union(whole), "spans")
     edits = materialise(edits.select("e_id", "e_h", F.filter("runs", lambda r: r["n"] >= min_words).alias("runs")).where("size(runs) > 0"), "edits")
 
-    # 5. cut the runs that are long enough
+    # 6. cut the runs that are long enough
     n = edits.count()
     text, raw = F.col(text_col), F.col(text_col).cast("binary")
     cuts = F.coalesce(F.col("runs"), F.array().cast("array<struct<s:int,e:int,n:int>>"))

@@ -120,3 +120,57 @@ def test_pipeline_keeps_documents_with_words_of_their_own(spark):
     rows = {r.doc_id: r for r in corpus_pipeline.line_dedup_stage(spark, df, None).collect()}
     assert set(rows) == {1, 2, 4, 5}                           # 3 is a whole copy of 1
     assert rows[1].text == shared and rows[2].text.split() == own.split() and rows[2].n_chars == len(rows[2].text)
+
+
+def test_passages_that_share_only_part_with_the_first_place(spark):
+    """40 words stand in A; B and C share them and ten more, before or after."""
+    rng = random.Random(15)
+    docs = []
+    for i in range(200):
+        part, more = prose(rng, 40), prose(rng, 10)
+        both = part + " " + more if i % 2 else more + " " + part
+        docs += [(10 * i + k, prose(rng, 45) + " " + p + " " + prose(rng, 45)) for k, p in enumerate([part, both, both])]
+    assert left_standing(spark, docs) == 0
+    rows = {r.doc_id: r for r in L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(rows[10 * i].removed_words == rows[10 * i + 1].removed_words == 0 for i in range(200))
+    assert all(50 <= rows[10 * i + 2].removed_words <= 52 for i in range(200))
+
+
+def brute(docs, n=50):
+    """Passages of n words that an earlier place holds, by document: covered word numbers (whole texts: no self-overlap)."""
+    seen, out = {}, {}
+    for i, text in sorted(docs):
+        w = text.split()
+        hit = set()
+        for s in range(len(w) - n + 1):
+            key = tuple(w[s:s + n])
+            if key in seen and (seen[key][0] != i or s - seen[key][1] >= n):
+                hit |= set(range(s, s + n))
+            seen.setdefault(key, (i, s))
+        out[i] = hit
+    return out
+
+
+def test_query_cuts_what_brute_force_finds(spark, tmp_path):
+    """Every word of a passage that stands before goes, and no other word."""
+    from hazardlake.llm.op1 import op1_line_dedup
+    rng = random.Random(16)
+    pool = [prose(rng, rng.choice([30, 44, 49, 50, 51, 64, 90])) for _ in range(25)]
+    docs = []
+    for i in range(150):
+        parts = [prose(rng, rng.randint(1, 60)) for _ in range(rng.randint(1, 4))]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            p = rng.choice(pool).split()
+            cut = rng.choice([0, 0, 0, 8])
+            parts.insert(rng.randint(0, len(parts)), " ".join(p[cut:] if rng.random() < .5 else p[:len(p) - cut]))
+        docs.append((i, " ".join(parts)))
+    docs.append((500, docs[7][1]))                       # a whole copy
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op1_line_dedup(spark, str(tmp_path)).collect()}
+    want = brute(docs)
+    assert sum(map(bool, want.values())) > 20
+    for i, text in docs:
+        w = text.split()
+        kept = " ".join(x for k, x in enumerate(w) if k not in want[i])
+        assert " ".join(got[i].text.split()) == kept, i
+        assert got[i].removed_words == len(want[i]) and got[i].n_chars == len(got[i].text)
