@@ -23,6 +23,7 @@ import json
 import os
 import tempfile
 import unicodedata
+from array import array
 from collections import Counter
 from functools import lru_cache
 from itertools import chain
@@ -38,7 +39,9 @@ from hazardlake.llm.common import add_columns, materialise, most_frequent, worke
 from hazardlake.session import ship_package
 
 LEXICON_WORDS = 50_000       # frequent pieces compiled into the automaton
-MEMO_PIECES = 300_000        # pieces a worker remembers before it starts anew (some 100 MB)
+MEMO_PIECES = 300_000        # pieces a worker remembers before it starts anew
+MEMO_BYTES = 48 << 20        # and their bytes, about
+GROUP_PIECES = 50_000        # pieces of the texts that are learnt together
 COUNT_PIECES = 200_000       # distinct pieces a counting task holds before it hands them on
 NEVER = np.int32(2**31 - 1)
 SPACES = regex.compile(r"\s+")
@@ -79,6 +82,7 @@ class Vocabulary:
         keys = np.array([self.ids[a] << 20 | self.ids[b] for a, b in pairs], np.int64)
         made = np.array([self.ids[a + b] for a, b in pairs], np.int32)
         self.pairs = PairTable(keys, np.arange(len(keys), dtype=np.int32), made)
+        self.hint = os.path.commonprefix(list(self.special))           # what every special token holds, perhaps nothing
         self.marker = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
 
     def pieces(self, text: str) -> list[str]:
@@ -94,7 +98,7 @@ class PairTable:
     """Hash table from a pair of symbols to (rank, merged symbol), probed for whole arrays."""
 
     def __init__(self, keys, ranks, made):
-        self.bits = 18
+        self.bits = max(10, (2 * len(keys)).bit_length())          # at most half full
         size = 1 << self.bits
         self.keys = np.full(size, -1, np.int64)
         self.ranks = np.full(size, NEVER, np.int32)
@@ -353,14 +357,32 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes and decodes batches of texts; holds a bounded memory of pieces."""
+    """Encodes and decodes batches of texts; holds a bounded memory of pieces.
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None = None, memo_pieces: int = MEMO_PIECES):
-        self.vocab, self.lexicon, self.limit = vocab, lexicon, memo_pieces
-        self.memo: dict[str, list[int]] = {"": []}
+    The ids of all pieces lie in one array, beside where each piece's begin; only the piece itself is a Python
+    object.  The memory starts anew beyond ``memo_bytes`` or ``memo_pieces``.
+    """
+
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None = None, memo_pieces: int = MEMO_PIECES, memo_bytes: int = MEMO_BYTES):
+        self.vocab, self.lexicon, self.limit, self.most = vocab, lexicon, memo_pieces, memo_bytes
+        self._forget()
+
+    def _forget(self):
+        self.index: dict = {"": 0}             # special tokens are in it by their id
+        self.flat, self.starts, self.bytes = array("i"), array("q", [0, 0]), 0
+
+    def _remember(self, piece, ids):
+        self.index[piece] = len(self.starts) - 1
+        self.flat.extend(ids)
+        self.starts.append(len(self.flat))
+        self.bytes += 4 * len(ids) + 8 + 150 + (len(piece) if piece.__class__ is str else 0)
 
     def _learn(self, pieces):
-        new = [p for p in pieces if p not in self.memo]
+        fresh = [p for p in pieces if p not in self.index]
+        new = [p for p in fresh if p.__class__ is str]
+        for token in fresh:
+            if token.__class__ is int:
+                self._remember(token, [token])
         if not new:
             return
         split = [[p] if p.isascii() and p.isalpha() else self.vocab.words.findall(p) for p in new]
@@ -372,13 +394,13 @@ class Encoder:
         for i, merged in zip(unseen, merge_words(self.vocab, [raw[i] for i in unseen])):
             ids[words[i]] = merged
         for p, ws in zip(new, split):
-            self.memo[p] = ids[ws[0]] if len(ws) == 1 else [t for w in ws for t in ids[w]]
+            self._remember(p, ids[ws[0]] if len(ws) == 1 else [t for w in ws for t in ids[w]])
 
     def _pieces(self, text):
         """Pieces of a text between white space; a special token is given as its id."""
         if not text:
             return []
-        if "<|" in text and self.vocab.marker.search(text):
+        if self.vocab.special and self.vocab.hint in text and self.vocab.marker.search(text):
             out, end = [], 0
             for m in self.vocab.marker.finditer(text):
                 out += self.vocab.pieces(text[end:m.start()])
@@ -388,33 +410,39 @@ class Encoder:
         return self.vocab.pieces(text)
 
     def encode(self, texts: list[str | None]):
-        """Yields the ids of each text.  Pieces are learnt for some texts at a time, to bound memory."""
-        gc.disable()        # millions of small lists, none of them cyclic
-        try:
-            yield from self._encode(texts)
-        finally:
-            gc.enable()
+        """Yields the ids of each text, as a list."""
+        for ids in self.arrays(texts):
+            yield ids.tolist()
 
-    def _encode(self, texts):
+    def arrays(self, texts):
+        """Yields the ids of each text, as an array.  Pieces are learnt for some texts at a time, to bound memory."""
         group, held = [], 0
         for text in texts:
             group.append(self._pieces(text))
             held += len(group[-1])
-            if held > 200_000:
+            if held > GROUP_PIECES:
                 yield from self._flush(group)
                 group, held = [], 0
         yield from self._flush(group)
 
     def _flush(self, group):
-        if len(self.memo) > self.limit:
-            self.memo = {"": []}
-        self._learn({p for pieces in group for p in pieces if p.__class__ is str})
-        get = self.memo.__getitem__
+        if len(self.index) > self.limit or self.bytes > self.most:
+            self._forget()
+        gc.disable()        # many small lists, none of them cyclic
+        try:
+            self._learn(set(chain.from_iterable(group)))
+        finally:
+            gc.enable()
+        out = []
+        flat, starts = np.frombuffer(self.flat, np.int32), np.frombuffer(self.starts, np.int64)
+        get = self.index.__getitem__
         for pieces in group:
-            try:
-                yield list(chain.from_iterable(map(get, pieces)))
-            except KeyError:                      # special tokens among the pieces
-                yield [t for p in pieces for t in ([p] if isinstance(p, int) else get(p))]
+            k = np.fromiter(map(get, pieces), np.int64, len(pieces))
+            begin, sizes = starts[k], starts[k + 1] - starts[k]
+            ends = np.cumsum(sizes)
+            out.append(flat[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)])
+        del flat, starts    # views would keep the arrays from growing
+        return out
 
     def decode(self, ids: list[int] | None) -> str:
         """Tokens joined by one space: the vocabulary file names no decoder."""
@@ -434,11 +462,16 @@ def encode(df: DataFrame, vocab_path: str, column: str = "text", out: str = "ids
 
     def make():
         enc = encoder(vocab_path, lexicon)
-        return lambda texts: [list(enc.encode(texts))]
+        return lambda texts: [_lists(list(enc.arrays(texts)))]
 
     return add_columns(df, [column], [T.StructField(out, T.ArrayType(T.IntegerType()))], make)
 
 
+def _lists(rows: list) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0), pa.int32()))
+
+
 def decode(df: DataFrame, vocab_path: str, column: str = "ids", out: str = "decoded") -> DataFrame:
     """Append the decoded text of an array of ids (NULL: empty text)."""
     def make():

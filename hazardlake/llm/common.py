@@ -1,6 +1,9 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import uuid
 
@@ -27,6 +30,9 @@ def worker_memory(owner, make):
     """
     if _held[0] is None or _held[0] != owner:
         _held[:] = [None, None]            # the memory goes before the new one grows
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):         # glibc only: freed pages go back to the system
+            ctypes.CDLL(None).malloc_trim(0)
         _held[:] = [owner, make()]
     return _held[1]
 
