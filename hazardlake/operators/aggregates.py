@@ -48,16 +48,35 @@ def indicator_aggs(col: str, values, prefix: str, binary: bool = True) -> list:
     return out
 
 
+#: Rows of an entity beyond which its quantile comes from ranges of values instead of one aggregation buffer.
+HOT_ROWS = 100_000
+
+
+def _p90(m: DataFrame, id_col: str, hot_rows: int):
+    """(rows with ``__cool``: the value unless its entity is hot, hot entities' exact 0.9 quantiles or None)."""
+    hot = m.groupBy(id_col).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > hot_rows).select(id_col)
+    if not hot.take(1):
+        return m.withColumn("__cool", F.col("__vaf")), None
+    few = hot.limit(hot_rows + 1).count() <= hot_rows
+    marked = m.join(F.broadcast(hot.withColumn("__hot", F.lit(1))) if few else hot.withColumn("__hot", F.lit(1)), on=id_col, how="left")
+    found = exact_quantiles(marked.where("__hot = 1").select(id_col, "__vaf"), "__vaf", [0.9], partition_cols=[id_col])
+    return marked.withColumn("__cool", F.when(F.col("__hot").isNull(), F.col("__vaf"))).drop("__hot"), \
+        found.select(id_col, F.col("value").alias("__p90"))
+
+
 def entity_features(mol: DataFrame, id_col="ID", gene_col="GENE", effect_col="EFFECT", vaf_col="VAF",
-                    depth_col="DEPTH", gene_list=None, effect_list=None, binary=True) -> DataFrame:
-    """A1: one row per entity: 12 aggregates + GENE__/EFFECT__ indicators, NULLs -> 0.
+                    depth_col="DEPTH", gene_list=None, effect_list=None, binary=True, p90=True, hot_rows=HOT_ROWS) -> DataFrame:
+    """A1: one row per entity: 12 aggregates + GENE__/EFFECT__ indicators, NULLs -> 0, in one groupBy.
 
     VAF/DEPTH are coerced leniently (text, NaN -> NULL) before aggregation.
     ``vaf_std`` is the sample deviation, 0 for one-row entities; ``vaf_p90``
-    is exact with linear interpolation, from ranges of values and not from one
-    entity's values held together.
+    is exact with linear interpolation: an aggregate of the same groupBy, but for entities of more than ``hot_rows``
+    rows, whose values are never held together.  Without ``p90`` the column is left out, and the pass that looks for such entities.
     """
     m = mol.withColumns({"__vaf": _numeric(mol, vaf_col), "__depth": _numeric(mol, depth_col)})
+    hot = None
+    if p90:
+        m, hot = _p90(m, id_col, hot_rows)
     aggs = [
         F.count(F.lit(1)).alias("n_mut"),
         # distinct values per entity are few (a gene / effect vocabulary): a set per group, no Expand
@@ -66,6 +85,7 @@ def entity_features(mol: DataFrame, id_col="ID", gene_col="GENE", effect_col="EF
         F.avg("__vaf").alias("vaf_mean"),
         F.stddev_samp("__vaf").alias("vaf_std"),
         F.max("__vaf").alias("vaf_max"),
+        *([F.percentile("__cool", 0.9).alias("vaf_p90")] if p90 else []),
         F.sum("__vaf").alias("vaf_sum"),
         F.count_if(F.col("__vaf") > 0.30).alias("n_vaf_gt_30"),
         F.count_if(F.col("__vaf") < 0.10).alias("n_vaf_lt_10"),
@@ -74,16 +94,41 @@ def entity_features(mol: DataFrame, id_col="ID", gene_col="GENE", effect_col="EF
     ]
     aggs += indicator_aggs(gene_col, gene_list or [], "GENE__", binary)
     aggs += indicator_aggs(effect_col, effect_list or [], "EFFECT__", binary)
-    p90 = exact_quantiles(m.select(id_col, "__vaf"), "__vaf", [0.9], partition_cols=[id_col]).select(
-        id_col, F.col("value").alias("vaf_p90"))
-    cols = [id_col, *ENTITY_NUMERIC]
-    out = m.groupBy(id_col).agg(*aggs).join(p90, on=id_col, how="left")
-    out = out.select(*cols, *[f"`{c}`" for c in out.columns if c not in cols])
+    out = m.groupBy(id_col).agg(*aggs)
+    if hot is not None:
+        out = out.join(hot, on=id_col, how="left").withColumn("vaf_p90", F.coalesce("vaf_p90", "__p90")).drop("__p90")
     fills = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in
-             ["vaf_mean", "vaf_std", "vaf_max", "vaf_p90", "vaf_sum", "depth_mean", "depth_max"]}
+             ["vaf_mean", "vaf_std", "vaf_max", "vaf_p90", "vaf_sum", "depth_mean", "depth_max"] if p90 or c != "vaf_p90"}
     return out.withColumns(fills)
 
 
+def entity_sketches(mol: DataFrame, by, gene_col="GENE", effect_col="EFFECT", vaf_col="VAF", lg_k=12, k=200) -> DataFrame:
+    """A3 / A5 opt-in: mergeable sketches by ``by`` (an entity, and perhaps a day or source).
+
+    HyperLogLog sketches of the distinct genes and effects (standard error about 1.04 / sqrt(2^lg_k), 1.6 %) and a KLL sketch
+    of VAF (rank error about 1.3 % at k = 200, exact up to about k values).  Tables of sketches are kept, appended to
+    and merged by ``merge_sketches``, without the events.
+    """
+    m = mol.withColumn("__vaf", _numeric(mol, vaf_col))
+    return m.groupBy(*by).agg(F.hll_sketch_agg(gene_col, lg_k).alias("genes_hll"), F.hll_sketch_agg(effect_col, lg_k).alias("effects_hll"),
+                              F.kll_sketch_agg_double("__vaf", k).alias("vaf_kll"), F.count(F.lit(1)).alias("n_mut"), F.count("__vaf").alias("n_vaf"))
+
+
+def merge_sketches(sketches: DataFrame, by) -> DataFrame:
+    """Sketches of coarser groups, from those of finer ones."""
+    return sketches.groupBy(*by).agg(
+        F.hll_union_agg("genes_hll").alias("genes_hll"), F.hll_union_agg("effects_hll").alias("effects_hll"),
+        F.kll_merge_agg_double("vaf_kll").alias("vaf_kll"), F.sum("n_mut").alias("n_mut"), F.sum("n_vaf").alias("n_vaf"))
+
+
+def sketch_estimates(sketches: DataFrame) -> DataFrame:
+    """(..., n_mut, n_unique_genes, n_unique_effects, vaf_p90): estimates; a group without a VAF has 0."""
+    keep = [c for c in sketches.columns if c not in ("genes_hll", "effects_hll", "vaf_kll", "n_vaf")]
+    p90 = F.when(F.col("n_vaf") > 0, F.kll_sketch_get_quantile_double("vaf_kll", F.lit(0.9)))
+    return sketches.select(*keep, F.hll_sketch_estimate("genes_hll").alias("n_unique_genes"),
+                           F.hll_sketch_estimate("effects_hll").alias("n_unique_effects"), F.coalesce(p90, F.lit(0.0)).alias("vaf_p90"))
+
+
 def group_sum(df: DataFrame, key: str, value: str, keys: DataFrame | None = None, out="sum") -> DataFrame:
     """A10: sum per key; keys listed in ``keys`` without rows get 0."""
     s = df.groupBy(key).agg(F.sum(value).alias(out))

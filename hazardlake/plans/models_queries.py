@@ -261,6 +261,26 @@ def q_boost_residuals(c):
     return rows.select("ID", F.col("__r").alias("residual"))
 
 
+@query("boost_first_tree")
+def q_boost_first_tree(c):
+    """The first tree of a fit by one split on three coarse columns: where it cuts, its leaves, and the log-likelihood before."""
+    from pyspark.ml.functions import array_to_vector
+    cols = [F.floor("HB"), F.floor(F.coalesce("BM_BLAST", F.lit(0.0)) / 10), F.floor(F.coalesce("PLT", F.lit(0.0)) / 10)]
+    lab = P.to_survival(c.labeled.join(c.clinical, on="ID")).select(
+        "ID", "time", "event", array_to_vector(F.array(*[x.cast("double") for x in cols])).alias("features"))
+    model = Es.BoostedCox(nEstimators=1, maxDepth=1).fit(lab).state
+    tree = model.trees[0]
+    return _rows(c, [("feature", tree.feature[0]), ("cut", model.cut_value(tree.feature[0], tree.cut[0])), ("left", tree.value[1]),
+                     ("right", tree.value[2]), ("loglik", model.loglik[0] / 1000.0)])
+
+
+@query("svd_trace")
+def q_svd_trace(c):
+    """M9: the squared singular values of the training texts add up to the number of texts with a term (their rows have length one)."""
+    _, _, fp, _, _ = _design(c)
+    return _rows(c, [("trace", sum(s * s for s in fp.singular_values))])
+
+
 @query("rf_weights")
 def q_rf_weights(c):
     """Poisson bootstrap weights of four trees."""

@@ -499,6 +499,48 @@ h AS (SELECT time, sum(CASE WHEN d > 0 THEN CAST(d AS DOUBLE) / at_risk ELSE 0.0
 SELECT ID, round(d - hz, 6) AS residual FROM sm JOIN h USING (time)"""
 
 
+_COARSE = ("floor(HB)", "floor(coalesce(BM_BLAST, 0.0) / 10)", "floor(coalesce(PLT, 0.0) / 10)")
+SQL["boost_first_tree"] = f"""WITH {FX},
+sm AS (SELECT l.ID, l.OS_YEARS AS time, l.OS_STATUS AS d, {', '.join(f'{x} AS f{i}' for i, x in enumerate(_COARSE))} FROM lab l JOIN fx_clinical c USING (ID)),
+g AS (SELECT time, count(*) AS n, sum(d) AS d FROM sm GROUP BY time),
+r AS (SELECT time, d, sum(n) OVER (ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS at_risk FROM g),
+h AS (SELECT time, sum(CASE WHEN d > 0 THEN CAST(d AS DOUBLE) / at_risk ELSE 0.0 END) OVER (ORDER BY time ROWS UNBOUNDED PRECEDING) AS hz FROM r),
+x AS (SELECT sm.*, sm.d - hz AS res FROM sm JOIN h USING (time)),
+v AS (SELECT unnest([0, 1, 2]) AS f, unnest([f0, f1, f2]) AS v, res FROM x),
+b AS (SELECT f, v, sum(res) AS s, count(*) AS n FROM v GROUP BY f, v),
+c AS (SELECT f, v, lead(v) OVER w AS nxt, sum(s) OVER (PARTITION BY f ORDER BY v ROWS UNBOUNDED PRECEDING) AS sl,
+  sum(n) OVER (PARTITION BY f ORDER BY v ROWS UNBOUNDED PRECEDING) AS nl, sum(s) OVER (PARTITION BY f) AS st, sum(n) OVER (PARTITION BY f) AS nt
+  FROM b WINDOW w AS (PARTITION BY f ORDER BY v)),
+best AS (SELECT *, sl / nl AS lv, (st - sl) / (nt - nl) AS rv FROM c WHERE nxt IS NOT NULL AND nl >= 5 AND nt - nl >= 5
+  ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) DESC, f, v LIMIT 1)
+SELECT 'feature' AS term, CAST(f AS DOUBLE) AS value FROM best UNION ALL SELECT 'cut', (v + nxt) / 2.0 FROM best
+UNION ALL SELECT 'left', round(lv, 6) FROM best UNION ALL SELECT 'right', round(rv, 6) FROM best
+UNION ALL SELECT 'loglik', round(-sum(d * ln(at_risk)) / 1000.0, 6) FROM r"""
+
+SQL["svd_trace"] = f"""WITH {FX}
+SELECT 'trace' AS term, CAST(count(*) AS DOUBLE) AS value FROM lab JOIN fx_clinical USING (ID) WHERE NOT {TEST()}
+AND length(coalesce(CYTOGENETICS, '0')) >= 3"""
+
+SQL["gene_filter"] = f"""WITH {FX},
+top AS (SELECT GENE FROM fx_molecular WHERE GENE IS NOT NULL GROUP BY GENE ORDER BY count(*) DESC, GENE ASC LIMIT 3)
+SELECT GENE, EFFECT, count(*) AS n_list, count(*) AS n_table FROM fx_molecular WHERE GENE IN (SELECT GENE FROM top) GROUP BY GENE, EFFECT"""
+
+_NUMBER = r"\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*"
+SQL["lenient_numbers"] = f"""WITH {FX},
+t AS (SELECT ID, CASE ID % 9 WHEN 0 THEN 'abc' WHEN 1 THEN CAST(VAF AS VARCHAR) || 'd' WHEN 2 THEN ' +' || CAST(VAF AS VARCHAR) || ' ' WHEN 3 THEN ''
+  WHEN 4 THEN 'nan' WHEN 5 THEN '1e-2' WHEN 6 THEN '.5' ELSE CAST(VAF AS VARCHAR) END AS vt,
+  CASE ID % 9 WHEN 7 THEN 'n/a' ELSE CAST(DEPTH AS VARCHAR) END AS dt FROM fx_molecular),
+n AS (SELECT ID, CASE WHEN regexp_full_match(vt, '{_NUMBER}') THEN TRY_CAST(ltrim(trim(vt), '+') AS DOUBLE) END AS VAF,
+  CASE WHEN regexp_full_match(dt, '{_NUMBER}') THEN TRY_CAST(trim(dt) AS DOUBLE) END AS DEPTH FROM t)
+SELECT ID, count(*) AS n_mut, round(coalesce(avg(VAF), 0), 6) AS vaf_mean, round(coalesce(max(VAF), 0), 6) AS vaf_max,
+  round(coalesce(quantile_cont(VAF, 0.9), 0), 6) AS vaf_p90, round(coalesce(sum(VAF), 0), 6) AS vaf_sum,
+  count(*) FILTER (WHERE VAF > 0.3) AS n_vaf_gt_30, round(coalesce(avg(DEPTH), 0), 6) AS depth_mean, round(coalesce(max(DEPTH), 0), 6) AS depth_max
+FROM n GROUP BY ID"""
+
+SQL["entity_sketches"] = f"""WITH {FX} SELECT ID, count(*) AS n_mut, count(DISTINCT GENE) AS n_unique_genes, count(DISTINCT EFFECT) AS n_unique_effects,
+  round(coalesce(quantile_disc(VAF, 0.9), 0), 6) AS vaf_p90 FROM fx_molecular GROUP BY ID"""
+
+
 def _poisson_case(u: str, lam: float = 1.0) -> str:
     cdf, p, k, out = 0.0, math.exp(-lam), 0, []
     while True:

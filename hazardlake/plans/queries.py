@@ -94,7 +94,7 @@ def _pivot(c, binary):
     mt = c.molecular_train
     genes = A.top_list(mt, "GENE", TOP_GENES)
     effects = A.top_list(mt, "EFFECT", TOP_EFFECTS)
-    f = A.entity_features(mt, gene_list=genes, effect_list=effects, binary=binary)
+    f = A.entity_features(mt, gene_list=genes, effect_list=effects, binary=binary, p90=False)
     return f.select("ID", *[x for x in f.columns if x.startswith(("GENE__", "EFFECT__"))])
 
 
@@ -117,6 +117,32 @@ def q_pivot_count(c):
     return _long(_pivot(c, False), "long")
 
 
+@query("gene_filter")
+def q_gene_filter(c):
+    """Events of the three most frequent genes, by a value list and, the same, by a table of values; counted by effect."""
+    by_list = P.filter_values(c.molecular, "GENE", A.top_list(c.molecular, "GENE", 3)).groupBy("GENE", "EFFECT").agg(F.count("*").alias("n_list"))
+    by_table = P.filter_values(c.molecular, "GENE", A.top_values(c.molecular, "GENE", 3)).groupBy("GENE", "EFFECT").agg(F.count("*").alias("n_table"))
+    return by_list.join(by_table, on=["GENE", "EFFECT"], how="full")
+
+
+@query("lenient_numbers")
+def q_lenient_numbers(c):
+    """P5: VAF and DEPTH that arrive as text, with signs, blanks, exponents, suffixes and words among them; sums by entity."""
+    text = F.col("VAF").cast("string")
+    kind = F.col("ID") % 9
+    vaf = F.when(kind == 0, "abc").when(kind == 1, F.concat(text, F.lit("d"))).when(kind == 2, F.concat(F.lit(" +"), text, F.lit(" "))) \
+        .when(kind == 3, "").when(kind == 4, "nan").when(kind == 5, "1e-2").when(kind == 6, ".5").otherwise(text)
+    mol = c.molecular.withColumns({"VAF": vaf, "DEPTH": F.when(kind == 7, "n/a").otherwise(F.col("DEPTH").cast("string"))})
+    return A.entity_features(mol).select("ID", "n_mut", "vaf_mean", "vaf_max", "vaf_p90", "vaf_sum", "n_vaf_gt_30", "depth_mean", "depth_max")
+
+
+@query("entity_sketches")
+def q_entity_sketches(c):
+    """A3 / A5 opt-in: sketches by entity and depth class, merged by entity; exact here, where an entity has few events."""
+    parts = A.entity_sketches(c.molecular.withColumn("deep", F.col("DEPTH") > 30000), ["ID", "deep"])
+    return A.sketch_estimates(A.merge_sketches(parts, ["ID"]))
+
+
 @query("group_sum")
 def q_group_sum(c):
     """A10: VAF sum per entity; entities without events get 0."""
@@ -205,7 +231,7 @@ def q_rule_flags(c):
 def q_comutation(c):
     """P10: co-mutation flags for fixed gene pairs."""
     genes = sorted({g for p in COMUT_PAIRS for g in p})
-    f = A.entity_features(c.molecular, gene_list=genes, effect_list=[])
+    f = A.entity_features(c.molecular, gene_list=genes, effect_list=[], p90=False)
     f = P.add_comutations(f, COMUT_PAIRS)
     return f.select("ID", *[x for x in f.columns if x.startswith("COMUT__")])
 

@@ -43,3 +43,25 @@ def test_histogram_counts_everything(spark):
     df = spark.createDataFrame([(float(x),) for x in range(101)], "x double")
     h = histogram(df, "x", 10).collect()
     assert sum(r["count"] for r in h) == 101 and max(r["bin"] for r in h) == 9
+
+
+def test_hot_entities_take_their_quantile_from_ranges(spark):
+    import random
+
+    from hazardlake.operators.aggregates import entity_sketches, merge_sketches, sketch_estimates
+    rng = random.Random(3)
+    rows = [(1, "G", "E", rng.random(), 1.0) for _ in range(200)] + [(i, "G", "E", rng.choice([None, rng.random()]), 2.0) for i in range(2, 40) for _ in range(5)]
+    df = spark.createDataFrame(rows, "ID long, GENE string, EFFECT string, VAF double, DEPTH double").repartition(4)
+    plain = {r["ID"]: r for r in entity_features(df).collect()}
+    hot = {r["ID"]: r for r in entity_features(df, hot_rows=50).collect()}
+    assert set(plain) == set(hot) and all(abs(plain[i]["vaf_p90"] - hot[i]["vaf_p90"]) < 1e-12 and plain[i]["n_mut"] == hot[i]["n_mut"] for i in plain)
+    assert list(entity_features(df).columns) == list(entity_features(df, hot_rows=50).columns)
+    assert "vaf_p90" not in entity_features(df, p90=False).columns
+    # sketches of parts, merged, say what sketches of the whole say
+    whole = {r["ID"]: r for r in sketch_estimates(entity_sketches(df, ["ID"])).collect()}
+    parts = entity_sketches(df.selectExpr("*", "hash(VAF) % 3 as day"), ["ID", "day"])
+    merged = {r["ID"]: r for r in sketch_estimates(merge_sketches(parts, ["ID"])).collect()}
+    assert all(whole[i]["n_unique_genes"] == merged[i]["n_unique_genes"] == 1 and whole[i]["n_mut"] == merged[i]["n_mut"] for i in whole)
+    v = sorted(x[3] for x in rows if x[0] == 1)
+    rank = sum(x <= merged[1]["vaf_p90"] for x in v) / len(v)
+    assert abs(rank - 0.9) < 0.03
