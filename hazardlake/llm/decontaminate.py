@@ -211,8 +211,8 @@ FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongT
 
 
 def find_contamination(df: DataFrame, benchmark: DataFrame, column: str = "text", window: int = WINDOW,
-                       min_percent: int = 5, max_span: int | None = None, want_text: bool = True) -> DataFrame:
-    """Append n_words, n_hit, item_ids (sorted), hit_spans (start, end, ... in words), contaminated, clean_text.
+                       min_percent: int = 5, max_span: int | None = None, want_text: bool = True, prefix: str = "") -> DataFrame:
+    """Append (each name after ``prefix``) n_words, n_hit, item_ids (sorted), hit_spans (start, end, ... in words), contaminated, clean_text.
 
     ``contaminated``: hit words are ``min_percent`` of the words or more, or a
     span is longer than ``max_span``.  ``clean_text`` is the text without its
@@ -244,14 +244,17 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, column: str = "text"
             return cols
         return run
 
-    return add_columns(df, [column], FIELDS, make)
+    return add_columns(df, [column], [T.StructField(prefix + f.name, f.dataType) for f in FIELDS], make)
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, column: str = "text", mode: str = "documents", **limits) -> DataFrame:
-    """Remove contaminated documents (``mode="documents"``) or the hit spans of contaminated ones (``"spans"``)."""
-    marked = find_contamination(df, benchmark, column, want_text=mode == "spans", **limits)
+    """Remove contaminated documents (``mode="documents"``) or the hit spans of contaminated ones (``"spans"``).
+
+    All columns of ``df`` stay as they are, those named like the operator's measures too.
+    """
+    marked = find_contamination(df, benchmark, column, want_text=mode == "spans", prefix="__found_", **limits)
     if mode == "spans":
-        marked = marked.withColumn(column, F.when(F.col("contaminated"), F.col("clean_text")).otherwise(F.col(column)))
+        marked = marked.withColumn(column, F.when(F.col("__found_contaminated"), F.col("__found_clean_text")).otherwise(F.col(column)))
     else:
-        marked = marked.where(~F.col("contaminated"))
+        marked = marked.where(~F.col("__found_contaminated"))
     return marked.select(*df.columns)

@@ -102,21 +102,22 @@ def signatures(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                     sigs.append(None)
                     keys.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sigs, pa.binary()),
-                 pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "sig", "bands"])
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sigs, pa.binary()),
+                 pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_shingles", "node", "sig", "bands"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_shingles long, node binary, sig binary, bands array<long>")
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key")).mapInArrow(
+        run, f"doc_id {kind}, text_key long, n_shingles long, node binary, sig binary, bands array<long>")
 
 
 def full_sets(wanted: DataFrame, nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(node, full): the shingle sets of the wanted nodes, read again from one text each."""
-    ids = materialise(wanted.join(nodes.select("node", "lo"), "node").select(F.col("lo").alias("__id")).distinct(), "wanted")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(
-        ids, "__id", "left_semi").select("text")
+    """(node, full): the shingle sets of the wanted nodes, read again from one text each, found by its hash."""
+    keys = materialise(wanted.join(nodes.select("node", "text_key"), "node").select("text_key").distinct(), "wanted")
+    if keys.count() <= BROADCAST_IDS:
+        keys = F.broadcast(keys)
+    text = F.col(text_col).cast("string")
+    texts = df.select(text.alias("text"), F.xxhash64(text).alias("text_key")).join(keys, "text_key", "left_semi").select("text")
 
     def sets(batches):
         for batch in batches:
@@ -264,10 +265,25 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     min_percent: int = MIN_PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``df``."""
+    """(doc_id, n_shingles, component_id, kept) of every row of ``df``.
+
+    Rows without an id are linked as others are; a component of none but such rows has no component_id.
+    """
+    sig, classes, labels = clusters(df, id_col, text_col, shingle, min_percent)
+    grouped = classes.select("node", "lo", "copies").join(labels, "node", "left")
+    lowest = (grouped.where("label is not null").groupBy("label").agg(F.min("lo").alias("component_id")))
+    named = (grouped.where("label is not null").join(lowest, "label").select("node", "component_id")
+             .union(grouped.where("label is null and copies > 1").select("node", F.col("lo").alias("component_id"))))
+    out = sig.select("doc_id", "n_shingles", "node").join(named, "node", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def clusters(df: DataFrame, id_col: str, text_col: str, shingle: int, min_percent: int):
+    """Signatures of the rows, classes of equal shingle sets (node), and the labels of those that are linked."""
     sig = materialise(signatures(df, id_col, text_col, shingle), "signatures")
     classes = materialise(sig.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("lo"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"),
+        F.min("doc_id").alias("lo"), F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"),
         F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
     rows = classes.select("node", F.explode("bands").alias("band"))
     often = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
@@ -282,20 +298,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = across(shared, labels, classes, df, id_col, text_col, shingle, min_percent)
     if not more.isEmpty():
         labels = materialise(components(links.union(more)), "labels")
+    return sig, classes, labels
 
-    grouped = classes.select("node", "lo", "copies").join(labels, "node", "left")
-    lowest = (grouped.where("label is not null").groupBy("label").agg(F.min("lo").alias("component_id")))
-    named = (grouped.where("label is not null").join(lowest, "label").select("node", "component_id")
-             .union(grouped.where("label is null and copies > 1").select("node", F.col("lo").alias("component_id"))))
-    out = sig.select("doc_id", "n_shingles", "node").join(named, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, min_percent: int = MIN_PERCENT) -> DataFrame:
+    """One row of each component of ``df``, with all its columns.
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` whose document is the smallest of its component, with all their columns."""
-    gone = materialise(near_duplicates(df, id_col, text_col, **options).where("not kept")
-                       .select(F.col("doc_id").alias(id_col), "component_id").distinct(), "gone").select(id_col)
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return df.join(gone, id_col, "left_anti")
+    The row with the smallest id stays (no id comes last, then the text's hash decides); rows are judged by their own text, also
+    where an id is repeated, and of rows that repeat id and text one stays.  Rows without shingles all stay.
+    """
+    sig, classes, labels = clusters(df, id_col, text_col, shingle, min_percent)
+    rows = sig.where("node is not null").join(labels, "node", "left").select(
+        "doc_id", "text_key", F.coalesce("label", "node").alias("component"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    first = rows.groupBy("component").agg(F.min(place).alias("f"), F.count("*").alias("members")).where("members > 1")
+    judged = rows.join(first, "component").select("doc_id", "text_key", (F.col("doc_id").eqNullSafe(F.col("f.id")) & (
+        F.col("text_key") == F.col("f.key"))).alias("__stays"))
+    judged = materialise(judged.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__stays").agg(F.count("*").alias("__times"))
+                         .where("not __stays or __times > 1"), "judged")
+    if judged.count() <= BROADCAST_IDS:
+        judged = F.broadcast(judged)
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__key"))
+    marked = df.join(judged, same, "left")
+    once = marked.where("__stays").select(*df.columns).dropDuplicates([id_col, text_col])
+    return marked.where("__stays is null").select(*df.columns).unionByName(once)

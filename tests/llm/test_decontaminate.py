@@ -76,3 +76,14 @@ def test_query_against_brute_force(spark):
         assert (r.n_words, r.n_hit, r.n_items) == (len(words), len(hit), len(found))
         assert r.items_sha256 == sha256(",".join(sorted(found)).encode()).hexdigest()
         assert r.contaminated == (len(hit) > 0 and 20 * len(hit) >= len(words))
+
+
+def test_columns_named_like_the_measures_stay(spark):
+    from hazardlake.llm import decontaminate as D
+    passage = " ".join(f"w{i}" for i in range(13))
+    docs = spark.createDataFrame([(1, passage, 99, True, "mine"), (2, "clean text", 98, None, None)],
+                                 "doc_id long, text string, n_words long, contaminated boolean, clean_text string")
+    bench = spark.createDataFrame([("i", passage)], "item_id string, text string")
+    assert [tuple(r) for r in D.decontaminate(docs, bench).collect()] == [(2, "clean text", 98, None, None)]
+    spans = {r.doc_id: tuple(r) for r in D.decontaminate(docs, bench, mode="spans").collect()}
+    assert spans[1][1].strip() == "" and spans[1][2:] == (99, True, "mine") and spans[2] == (2, "clean text", 98, None, None)

@@ -83,3 +83,17 @@ def test_signatures_estimate_similarity():
     a = rng.integers(0, 2**63, 1000).astype(np.uint64)
     b = np.concatenate([a[:800], rng.integers(0, 2**63, 200).astype(np.uint64)])
     assert abs((N.signature(np.unique(a)) == N.signature(np.unique(b))).mean() - 800 / 1200) < 0.15
+
+
+def test_rows_without_an_id_are_linked_and_repeated_ids_judged_by_their_texts(spark):
+    rng = random.Random(77)
+    base = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for _ in range(4)]
+    near = [b + " tail" for b in base]
+    rows = [(None, base[0], "x"), (6, near[0], "x"), (7, base[1], "first"), (7, base[2], "clean"), (3, near[1], "x"),
+            (1, base[3], "y"), (1, base[3], "y"), (None, "two words", "z"), (None, "two words", "z"), (9, "", "e"), (9, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, stays string").repartition(3)
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(df).collect()}
+    assert {(d, c, k) for d, _, c, k in got} >= {(None, 6, False), (6, 6, True), (7, 3, False), (7, 7, True), (3, 3, True), (1, 1, True), (9, 9, True)}
+    left = sorted((r.doc_id or 0, r.text, r.stays) for r in N.keep_one(df).collect())
+    assert left == sorted([(6, near[0], "x"), (7, base[2], "clean"), (3, near[1], "x"), (1, base[3], "y"), (0, "two words", "z"), (9, "", "e"), (9, "", "e")])
+    assert N.keep_one(df.limit(0)).count() == 0
