@@ -41,7 +41,7 @@ from hazardlake.session import ship_package
 LEXICON_WORDS = 50_000       # frequent pieces compiled into the automaton
 MEMO_PIECES = 300_000        # pieces a worker remembers before it starts anew
 MEMO_BYTES = 48 << 20        # and their bytes, about
-GROUP_PIECES = 50_000        # pieces of the texts that are learnt together
+GROUP_PIECES = 120_000       # pieces of the texts that are learnt together
 COUNT_PIECES = 200_000       # distinct pieces a counting task holds before it hands them on
 NEVER = np.int32(2**31 - 1)
 SPACES = regex.compile(r"\s+")

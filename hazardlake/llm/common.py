@@ -37,6 +37,12 @@ def worker_memory(owner, make):
     return _held[1]
 
 
+def forget():
+    """Lets go of what an operator before remembered in this worker."""
+    if _held[0] is not None:
+        worker_memory(("nothing",), lambda: None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

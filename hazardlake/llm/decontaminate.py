@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from hazardlake.llm.common import ASCII_LOWER, add_columns
+from hazardlake.llm.common import add_columns, ASCII_LOWER, forget
 from hazardlake.session import ship_package
 
 WINDOW = 13
@@ -222,6 +222,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, column: str = "text"
     parts = automata(benchmark, window)
 
     def make():
+        forget()
         found = [p.value for p in parts]
 
         def run(texts):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from hazardlake.llm.common import materialise
+from hazardlake.llm.common import forget, materialise
 from hazardlake.session import ship_package
 
 BANDS, ROWS = 28, 5
@@ -87,6 +87,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
     ship_package(df.sparkSession)
 
     def run(batches):
+        forget()
         for batch in batches:
             n, node, sigs, keys = [], [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
