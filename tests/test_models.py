@@ -149,3 +149,33 @@ def test_sparse_blocks_hold_the_same_terms(spark, monkeypatch):
         full = prob.terms(only)
         assert np.allclose(ll, full[0]) and np.allclose(g, full[1][some]) and np.allclose(h, full[2][np.ix_(some, some)])
     assert all(np.allclose(x, y) for x, y in zip(got[0.0], got[1.0])) and np.allclose(got[0.0][1], _np_grad(X, t, e, b))
+
+
+def test_cox_path_evaluates_points_once_and_ships_small_blocks(spark, monkeypatch):
+    import pandas as pd
+    from pyspark.ml.functions import array_to_vector
+
+    from hazardlake.operators import linear as L
+    rng = np.random.default_rng(2)
+    X = np.c_[rng.integers(0, 4, (600, 5)), rng.normal(size=(600, 3)).round(1)]
+    t, e = rng.exponential(np.exp(-0.4 * X[:, 5])).round(1) + 0.1, rng.random(600) < 0.6
+    df = spark.createDataFrame(pd.DataFrame({"x": list(X), "time": t, "event": e})).select(array_to_vector("x").alias("features"), "time", "event")
+    probs, init = [], L.CoxProblem.__init__
+    monkeypatch.setattr(L.CoxProblem, "__init__", lambda self, *a, **k: (init(self, *a, **k), probs.append(self))[0])
+    monkeypatch.setattr(L, "RANGE_CELLS", 1500)
+    points = L.coxnet_path(df, l1_ratio=0.9, n_alphas=20, alpha_min_ratio=0.05)
+    assert probs[0].n_ranges > 2 and probs[0].evals <= 2 * len(points)      # a point's start is the end of the one before
+    assert all(pt["converged"] and pt["kkt"] < 1e-5 for pt in points)
+    beta = points[-1]["beta"]
+    eta, ll = X @ beta, 0.0
+    info = np.zeros((8, 8))
+    for s in np.unique(t[e]):
+        at, dead = t >= s, e & (t == s)
+        w = np.exp(eta[at])
+        m = w @ X[at] / w.sum()
+        ll += eta[dead].sum() - dead.sum() * np.log(w.sum())
+        info += dead.sum() * ((X[at] * w[:, None]).T @ X[at] / w.sum() - np.outer(m, m))
+    got = probs[0].terms(beta)
+    assert np.isclose(got[0], ll) and np.allclose(got[2], info, rtol=1e-9, atol=1e-8)
+    blocks = probs[0].data.collect()
+    assert sum(len(r["x"]) for r in blocks) < 0.6 * X.nbytes
