@@ -65,3 +65,54 @@ def test_hot_entities_take_their_quantile_from_ranges(spark):
     v = sorted(x[3] for x in rows if x[0] == 1)
     rank = sum(x <= merged[1]["vaf_p90"] for x in v) / len(v)
     assert abs(rank - 0.9) < 0.03
+
+
+def test_rows_of_entities_are_dealt_before_they_are_aggregated_and_masks_tell_many_values(spark):
+    rng = np.random.default_rng(5)
+    n, genes = 600, [f"g{i:03d}" for i in range(130)]    # more values than one mask has bits
+    pdf = pd.DataFrame({"ID": rng.integers(0, 90, n), "GENE": rng.choice(genes + [None], n), "EFFECT": rng.choice(["E1", "E2"], n),
+                        "VAF": np.where(rng.random(n) < 0.2, np.nan, rng.random(n)), "DEPTH": rng.random(n)})
+    out = entity_features(spark.createDataFrame(pdf).repartition(3), gene_list=genes, effect_list=["E1", "none"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(ID") == 1 and plan.index("REPARTITION_BY_COL") > plan.rindex("Aggregate")
+    assert "percentile" not in plan
+    for r in out.collect():
+        mine = pdf[pdf["ID"] == r["ID"]]
+        assert all(r[f"GENE__{g}"] == int((mine["GENE"] == g).any()) for g in genes)
+        assert r["EFFECT__none"] == 0 and r["EFFECT__E1"] == int((mine["EFFECT"] == "E1").any())
+        vaf = mine["VAF"].dropna()
+        assert np.isclose(r["vaf_p90"], np.percentile(vaf, 90) if len(vaf) else 0.0)
+
+
+def test_medians_rank_only_the_middle_bins(spark):
+    from hazardlake.operators import encode as E
+    rng = np.random.default_rng(9)
+    n = 4001
+    pdf = pd.DataFrame({"normal": rng.normal(size=n), "skew": np.exp(8 * rng.normal(size=n)), "flag": rng.integers(0, 2, n), "same": np.full(n, 3.5),
+                        "inf": np.where(np.arange(n) % 3 == 0, np.inf, rng.normal(size=n)), "tiny": np.where(np.arange(n) == 0, 5e-324, 0.0),
+                        "holes": np.where(rng.random(n) < 0.4, np.nan, rng.normal(size=n)), "none": np.full(n, np.nan)})
+    df = spark.createDataFrame(pdf).repartition(3)
+    got = E.fit_medians(df, pdf.columns)
+    for c in pdf.columns:
+        v = pdf[c].dropna()
+        assert got[c] is None if c == "none" else np.isclose(got[c], np.median(v), rtol=1e-15), c
+    even = E.fit_medians(df.limit(0).union(spark.createDataFrame(pdf[:1000])), ["normal"])
+    assert np.isclose(even["normal"], np.median(pdf["normal"][:1000]), rtol=1e-15)
+    ranked = []
+    whole = E.quantiles_of_counts
+    E.quantiles_of_counts = lambda vals, *a, **k: ranked.append(vals.count()) or whole(vals, *a, **k)
+    try:
+        E.fit_medians(df, ["normal"])
+    finally:
+        E.quantiles_of_counts = whole
+    assert ranked[0] < n // 20                           # not all 4,001 distinct values
+
+
+def test_means_and_deviations_of_many_columns(spark):
+    from hazardlake.operators import encode as E
+    pdf = pd.DataFrame({f"c{i}": np.random.default_rng(i).normal(i, 1 + i, 200) for i in range(30)})
+    pdf.loc[:50, "c3"] = None
+    df = spark.createDataFrame(pdf)
+    got = E.fit_scaler(df.selectExpr("*", "cast(null as double) as none"), [*pdf.columns, "none"], {"c3": 7.0, "none": None})
+    want = pdf.fillna({"c3": 7.0})
+    assert all(np.allclose(got[c], (want[c].mean(), want[c].std(ddof=0))) for c in pdf.columns) and got["none"] == (None, None)
