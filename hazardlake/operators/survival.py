@@ -191,13 +191,14 @@ def _strip_counts(group_cols, out_fields, whole: bool):
         cnt = dominated_weight(pa, pb, pts["n"].to_numpy(float), qa, qb)
         w = qs["w"].to_numpy(float)
         contrib = np.rint(w).astype(np.int64) * np.rint(cnt).astype(np.int64) if whole else w * cnt
-        sums = pd.Series(contrib).groupby(qs["target"].to_numpy()).sum()
         first = pdf.iloc[0]
-        return pd.DataFrame([[first[g] for g in group_cols] + [t, v] for t, v in sums.items()], columns=out_fields)
+        return pd.DataFrame([[first[g] for g in group_cols] + [t, contrib[k].sum()] for t, k in (("lt", strict), ("le", ~strict)) if k.any()],
+                            columns=out_fields)
     return fn
 
 
-POINTS_PER_BUCKET = 500_000
+#: Points of a strip; with its queries, at most two a point, a worker holds one.
+POINTS_PER_BUCKET = 200_000
 
 
 def grid_edges(qs) -> list:
@@ -292,10 +293,10 @@ def concordance_sums(rows: DataFrame, group_cols=(), tol: float = TIED_TOL, cens
 
     pts_m = pts.join(row_of, on=[*g, "tb"]).join(col_of, on=[*g, "eb"])
     pm = pts_m.select(*g, F.lit(False).alias("is_q"), "time", "cflag", F.col("risk").alias("v"), F.lit(True).alias("strict"),
-                      "tb", "eb", "n", F.lit(None).cast(number).alias("w"), F.lit(None).cast("string").alias("target"),
+                      "tb", "eb", "n", F.lit(None).cast(number).alias("w"),
                       strips(~F.col("hot_e"), ~F.col("hot_t"), F.lit(True)))
     qm = j.select(*g, F.lit(True).alias("is_q"), "time", F.lit(0).alias("cflag"), F.col("x").alias("v"), "strict",
-                  "tb", "eb", F.lit(None).cast("long").alias("n"), "w", "target",
+                  "tb", "eb", F.lit(None).cast("long").alias("n"), "w",
                   strips(~F.col("hot_e"), ~F.col("hot_t"), F.col("ev").isNotNull()))
     members = pm.unionByName(qm).select("*", "m.kind", "m.k1", "m.k2").drop("m")
     out_fields = [*g, "target", "value"]

@@ -139,3 +139,27 @@ def test_no_events_edge_case(spark):
     assert len(r) == 1 and r[0]["cindex"] == 0.5 and r[0]["concordant"] == 0
     c = ipcw_cindex(df, df, "risk", 5.0).collect()
     assert len(c) == 1 and c[0]["cindex"] is None
+
+
+def test_strips_are_small_enough_for_a_worker(spark, monkeypatch):
+    import tracemalloc
+
+    from hazardlake.operators import survival as S
+    rng = np.random.default_rng(2)
+    n = S.POINTS_PER_BUCKET                               # a column strip with two queries a point, as many as there can be
+    time, v = np.tile(rng.integers(0, 2400, n) / 365.25, 3), np.tile(rng.normal(size=n), 3)
+    pdf = pd.DataFrame({"is_q": np.arange(3 * n) >= n, "time": time, "cflag": 0, "v": v, "strict": np.arange(3 * n) < 2 * n, "tb": 1,
+                        "eb": (v > 0).astype(int), "n": 1.0, "w": 1.0, "kind": 3, "k1": 1, "k2": 1})
+    tracemalloc.start()
+    out = S._strip_counts([], ["target", "value"], False)(pdf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(out["target"]) == {"lt", "le"} and peak < 150e6
+    # the same sums whatever the size of a bucket
+    rows = spark.createDataFrame(pd.DataFrame({"time": np.round(rng.exponential(1, 300), 1), "event": rng.random(300) < 0.6,
+                                               "risk": np.round(rng.normal(size=300), 1), "w": 1.0}))
+    want = S.concordance_sums_pairs(rows).first()
+    for points in (200_000, 40):
+        monkeypatch.setattr(S, "POINTS_PER_BUCKET", points)
+        got = S.concordance_sums(rows).first()
+        assert all(abs(float(got[t]) - float(want[t])) < 1e-6 for t in ("lt", "le", "all"))
