@@ -35,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from hazardlake.llm.common import add_columns, materialise, most_frequent, worker_memory
+from hazardlake.llm.common import add_columns, materialise, most_frequent, slices, worker_memory
 from hazardlake.session import ship_package
 
 LEXICON_WORDS = 50_000       # frequent pieces compiled into the automaton
@@ -312,7 +312,7 @@ def piece_counts(texts: DataFrame, vocab_path: str, column: str = "text") -> Dat
 
     def run(batches):
         vocab, counts = vocabulary(vocab_path), Counter()
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             for text in batch.column(0).to_pylist():
                 if text:
                     counts.update(vocab.pieces(text))

@@ -6,6 +6,7 @@ import ctypes
 import gc
 import re
 import uuid
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,6 +18,7 @@ from hazardlake.session import ensure_checkpoint_dir, ship_package
 ASCII_SPACE = "\x20\x09-\x0d"            # the white space of the word definition
 WORD_RE = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+SLICE_BYTES = 2 << 20                     # of an Arrow batch that are Python objects at a time
 
 
 _held: list = [None, None]
@@ -59,8 +61,16 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES):
+    """The rows of a batch in order, in slices of about ``most`` bytes: Spark cuts batches by rows, however long these are."""
+    rows = batch.num_rows
+    step = max(1, rows * most // max(batch.nbytes, 1))
+    for i in range(0, max(rows, 1), step):
+        yield batch.slice(i, step)
+
+
 def add_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], make) -> DataFrame:
-    """Append columns computed per Arrow batch; every other column passes through untouched.
+    """Append columns computed per slice of an Arrow batch; every other column passes through untouched.
 
     ``make()`` runs once per task and returns ``fn(*lists) -> list of lists``
     (one per field).  A column of ``df`` that has the name of a new field is
@@ -76,7 +86,7 @@ def add_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], m
 
     def run(batches):
         fn = make()
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             at = {n: i for i, n in enumerate(batch.schema.names)}
             out = fn(*(batch.column(at[c]).to_pylist() for c in inputs))
             arrays = [batch.column(at[c]) for c in kept]

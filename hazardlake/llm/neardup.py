@@ -27,12 +27,14 @@ its smallest doc_id (NULL ids count only where there is no other).
 """
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from hazardlake.llm.common import forget, materialise
+from hazardlake.llm.common import forget, materialise, slices
 from hazardlake.session import ship_package
 
 BANDS, ROWS = 28, 5
@@ -88,7 +90,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
 
     def run(batches):
         forget()
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             n, node, sigs, keys = [], [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 s = shingles(text, size)
@@ -121,7 +123,7 @@ def full_sets(wanted: DataFrame, nodes: DataFrame, df: DataFrame, id_col: str, t
     texts = df.select(text.alias("text"), F.xxhash64(text).alias("text_key")).join(keys, "text_key", "left_semi").select("text")
 
     def sets(batches):
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             found = [shingles(t, size) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             found = {xxh3_128_digest(raw): raw for raw in (s.tobytes() for s in found if len(s))}
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())],

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from hazardlake.llm.common import add_columns, materialise, most_frequent, worker_memory
+from hazardlake.llm.common import add_columns, materialise, most_frequent, slices, worker_memory
 from hazardlake.session import ship_package
 
 ORDER = 6                 # characters of a gram
@@ -175,8 +175,9 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             counts = {0: Counter(), 1: Counter()}
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts[y].update(map(clean, (text or "").lower().split()))
+            for part in slices(batch):
+                for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    counts[y].update(map(clean, (text or "").lower().split()))
             for y, c in counts.items():
                 if not c:
                     continue

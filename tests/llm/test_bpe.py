@@ -2,9 +2,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 from hazardlake.llm import bpe
+from hazardlake.llm.common import SLICE_BYTES, add_columns, slices
 from hazardlake.llm.op2 import vocab_path
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -70,3 +73,26 @@ def test_merges_of_blocks_equal_the_heap():
     rng = np.random.default_rng(1)
     words = [bytes(rng.integers(97, 110, rng.integers(1, 48)).astype(np.uint8)) for _ in range(300)]
     assert bpe.merge_words(vocab, words) == [bpe._merge_long(vocab, w) for w in words]
+
+
+def test_slices_hold_all_rows_and_few_bytes():
+    texts = ["x" * (i % 50) * 40 for i in range(3000)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    parts = list(slices(batch, 20_000))
+    assert [t for b in parts for t in b.column(0).to_pylist()] == texts
+    assert max(b.nbytes for b in parts) < 60_000
+    assert [b.num_rows for b in slices(batch.slice(0, 0))] == [0]
+    assert [b.num_rows for b in slices(batch.slice(0, 2), 1)] == [1, 1]
+
+
+def test_columns_are_added_to_a_few_bytes_at_a_time(spark):
+    docs = spark.range(4000).selectExpr("id", "repeat('word ', 500) as text").coalesce(1)      # 10 MB, one batch
+
+    def make():
+        def held(texts):
+            return [[sum(map(len, texts))] * len(texts)]
+        return held
+
+    rows = add_columns(docs, ["text"], [T.StructField("held", T.LongType())], make).select("id", "held").collect()
+    assert [r.id for r in rows] == list(range(4000))
+    assert max(r.held for r in rows) <= SLICE_BYTES
