@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -92,15 +92,20 @@ def fit_scaler(df: DataFrame, cols, medians: dict | None = None) -> dict:
     return {c: got.get(i, (None, None)) for i, c in enumerate(cols)}
 
 
-def impute_scale(df: DataFrame, cols, medians: dict, stats: dict, suffix: str = "") -> DataFrame:
-    """Apply M2 + M4; a zero-variance column is centred but not scaled."""
+def scaled(cols, medians: dict, stats: dict) -> dict:
+    """M2 + M4 as expressions by column; a zero-variance column is centred but not scaled."""
     new = {}
     for c in cols:
         v = F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c)).cast("double"))
         mean, std = stats[c]
         scale = std if std not in (None, 0.0) else 1.0
-        new[f"{c}{suffix}"] = (v - F.lit(mean or 0.0)) / F.lit(scale)
-    return df.withColumns(new)
+        new[c] = (v - F.lit(mean or 0.0)) / F.lit(scale)
+    return new
+
+
+def impute_scale(df: DataFrame, cols, medians: dict, stats: dict, suffix: str = "") -> DataFrame:
+    """Apply M2 + M4."""
+    return df.withColumns({f"{c}{suffix}": v for c, v in scaled(cols, medians, stats).items()})
 
 
 #: Categories that a column may have; a column with more is no category (target encoding has no such limit).
@@ -123,6 +128,17 @@ def onehot(df: DataFrame, col: str, categories, prefix: str | None = None, fill=
                            for c in categories}).fillna(0, subset=[f"{prefix}{c}" for c in categories])
 
 
+def onehot_array(col: str, categories, fill=None) -> Column:
+    """M5 as one array of 0.0 and 1.0 in the order of ``categories``: a comparison in a loop, not an expression for each category.
+
+    A projection with many expressions compiles to one method, which beyond 8,000 bytes of code the JVM does not compile further; one
+    with a loop like this is split into short methods.
+    """
+    v = F.coalesce(F.col(col), F.lit(fill)) if fill is not None else F.col(col)
+    known = F.array(*[F.lit(c) for c in categories])
+    return F.transform(known, lambda c: F.when(c == v, 1.0).otherwise(0.0)) if len(categories) else F.array().cast("array<double>")
+
+
 def target_encode(train: DataFrame, other: DataFrame, col: str, target_col: str, out: str | None = None):
     """Mean of the target per category on train only; the train mean for unseen ones.
 

@@ -6,7 +6,7 @@ text: char n-gram TF-IDF with the train vocabulary and idf, projected on the
       top-k right singular vectors of the train TF-IDF matrix (no centring, ``svd``)
 
 ``transform`` is a projection and, for the text, a join on the distinct texts'
-components.  Fitted state (medians, means, categories, vocabulary, idf, V)
+components, which are computed first and broadcast while they are few.  Fitted state (medians, means, categories, vocabulary, idf, V)
 is bounded by the parameters, not by the row count.
 """
 from __future__ import annotations
@@ -17,9 +17,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import encode as E
 from .svd import TextCorpus, TextSVD
 
+#: Components of distinct texts (texts x k numbers, 32 MB) that are broadcast; more are joined by shuffling.
+BROADCAST_CELLS = 4_000_000
+
 
 @dataclass
 class FittedPreprocessor:
@@ -52,15 +56,16 @@ class FittedPreprocessor:
         return F.coalesce(F.col(self.text_col).cast("string"), F.lit(self.modes.get(self.text_col) or "0"))
 
     def transform(self, df: DataFrame, features_col: str = "features") -> DataFrame:
-        out = E.impute_scale(df, self.num_cols, self.medians, self.stats, suffix="__z")
-        for c in self.cat_cols:
-            out = E.onehot(out, c, self.categories[c], f"{c}__", fill=self.modes.get(c))
         nan = F.lit(float("nan"))                       # a column without any value in training
-        parts = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), nan) for c in self.output_cols[:len(self.output_cols) - self.k]])
-        parts = parts.cast("array<double>")
+        scaled = E.scaled(self.num_cols, self.medians, self.stats)
+        parts = F.array(*[F.coalesce(scaled[c], nan) for c in self.num_cols]).cast("array<double>")
+        if self.cat_cols:
+            parts = F.concat(parts, *[E.onehot_array(c, self.categories[c], self.modes.get(c)) for c in self.cat_cols])
+        out = df
         if self.k:
             # projections are computed once per distinct text and joined back on the text
-            proj = self.text.project(df.select(self.text_key(df).alias("__txt")).distinct())
+            proj = cut_lineage(self.text.project(df.select(self.text_key(df).alias("__txt")).distinct()))
+            proj = F.broadcast(proj) if proj.count() * self.k <= BROADCAST_CELLS else proj
             out = out.withColumn("__txt", self.text_key(out)).join(proj, on="__txt", how="left").drop("__txt")
             parts = F.concat(parts, F.col("__svd"))
         return out.withColumn(features_col, array_to_vector(parts)).drop("__svd")

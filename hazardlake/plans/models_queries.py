@@ -154,7 +154,7 @@ def q_models(c):
     for name, m in models.items():
         p = m.transform(Xte).select("ID", "time", "event", "risk").withColumn("model", F.lit(name))
         allp = p if allp is None else allp.unionByName(p)
-    return S.ipcw_cindex(tr, Sel.with_rank_mean(allp), "risk", TAU, "time", "event", group_cols=["model"]).select("model", "cindex")
+    return S.ipcw_cindex(tr, Sel.with_rank_mean(cut_lineage(allp)), "risk", TAU, "time", "event", group_cols=["model"]).select("model", "cindex")
 
 
 @query("fit_eval_all")

@@ -138,3 +138,19 @@ def test_fit_eval_all_scores_stages_and_their_rank_mean(rows):
     tr, va = (pre.transform(rows.where(c)) for c in ("ID % 3 > 0", "ID % 3 = 0"))
     got = {r["model"]: r["cindex"] for r in Sel.fit_eval_all(tr, va, 2.0, n_trees=4, boost_rounds=(2, 5)).collect()}
     assert set(got) == {"forest", "boost_2", "boost_5", "rank_mean"} and min(got.values()) > 0.55
+
+
+def test_design_of_few_texts_does_not_shuffle_the_rows(rows, monkeypatch):
+    from hazardlake.operators import encode as E
+    from hazardlake.operators import pipeline as P
+    pre = Es.Preprocessor(numCols=["a", "b"], catCols=["CENTER"], textCol="CYTOGENETICS", svdComponents=2).fit(rows)
+    some = rows.checkpoint()
+    got = pre.transform(some).select("ID", "features")
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(P, "BROADCAST_CELLS", 0)
+    shuffled = pre.transform(some).select("ID", "features")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, shuffled.collect()), key=str)
+    cats = pre.state.categories["CENTER"] + ["none has it"]
+    wide = E.onehot(some, "CENTER", cats, "C_", fill=cats[0]).select("ID", *[f"C_{c}" for c in cats])
+    array = some.select("ID", E.onehot_array("CENTER", cats, cats[0]).alias("x"))
+    assert {r[0]: [float(v) for v in r[1:]] for r in wide.collect()} == {r[0]: r[1] for r in array.collect()}
