@@ -39,6 +39,19 @@ def test_permutation_is_a_permutation(spark):
         assert (g["a"] != g["ID"]).any()
 
 
+def test_permutation_copies_values_and_not_rows(spark):
+    df = spark.createDataFrame([(i, float(i), f"c{i % 3}", "wide") for i in range(60)], "ID int, a double, c string, other string")
+    p = permuted_copies(df, "ID", ["a", "c"], 2)
+    assert p.columns == ["column", "repeat", "ID", "a", "c", "other"] and p.schema["a"].dataType == df.schema["a"].dataType
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Window" in line and "column#" in line]
+    rows = p.toPandas()
+    assert len(rows) == 4 * 60
+    for (name, _), g in rows.groupby(["column", "repeat"]):
+        assert sorted(g["a"]) == [float(i) for i in range(60)] and sorted(g["ID"]) == list(range(60))
+        assert (g["a"] == g["ID"]).all() == (name != "a") and (g["c"] == g["ID"].map(lambda i: f"c{i % 3}")).all() == (name != "c")
+
+
 def test_cross_validate_models_and_sink_roundtrip(spark, tmp_path):
     import pandas as pd
     from pyspark.sql import functions as F
