@@ -8,8 +8,10 @@ Native DataFrame expressions throughout.
   them, are hashed in order.  Anchors depend on the words of their window only,
   so equal passages have equal anchors wherever they stand, and each passage
   of ``min_words`` words has an anchor whose hashed words lie inside it.
+* The windows of a text are exploded into rows, so that compiled code and no
+  interpreted function of an array finds the anchors (``anchors``).
 * In a text that repeats a few words over and over neighbouring anchors have equal
-  hashes; they become one row, or two, so that the first ``min_words`` words
+  hashes; it is looked at as a whole (``chunk_array``): they become one row, or two, so that the first ``min_words`` words
   are the passage that the rest repeats.
 * Whole copies of a text are found by digest and need no anchors.
 * Hashes are counted over all other documents (combined before the shuffle).
@@ -118,6 +120,34 @@ def chunk_array(text: Column, window: int = WINDOW, min_words: int = MIN_WORDS)
     return let(words(text), of_words)
 
 
+def anchors(texts: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+    """(hash, id, h, at, again): the anchors of ``texts`` (id, h, text), one row each.
+
+    ``again``: the anchor before has the same hash; rows of such texts are to be taken from ``chunk_array``.  All others
+    are the same there.  The words of a text are hashed in one loop; its windows are rows, which compiled expressions look at.
+    A window names an anchor if the one before does not: the word that left was the smallest, or the one that came is.
+    """
+    size, i = hashed_words(window, min_words), F.col("i")
+
+    def passage(at):
+        return F.xxhash64(F.slice("hashed", at + 1, F.lit(size)))
+
+    hashed = texts.select("id", "h", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("hashed"))
+    starts = F.when(F.size("hashed") >= min_words, F.sequence(F.lit(0), F.size("hashed") - min_words))
+    inner = F.slice("hashed", i + 1, F.lit(window - 1))              # what the window shares with the one before
+    least, left, came = F.array_min(inner), F.get("hashed", i - 1), F.get("hashed", i + (window - 1))
+    named = (hashed.select("id", "h", "hashed", F.explode(starts).alias("i"))
+             .where((i == 0) | (F.least(left, came) <= least))      # most windows end here, with one search
+             .where((i == 0) | (left <= least) | (came < least))
+             .select("id", "h", "hashed", "i", (i + F.array_position(inner, least) - 1).cast("int").alias("inside"),
+                     (came < least).alias("comes"), (left <= least).alias("leaves")))
+    places = named.select("id", "h", "hashed", F.when(F.col("comes"), i + (window - 1)).otherwise(F.col("inside")).alias("at"),
+                          F.when(F.col("leaves"), i - 1).when(i > 0, F.col("inside")).alias("before"))
+    found = places.select("id", "h", "hashed", "at", "before", passage(F.col("at")).alias("hash"))
+    again = F.when(F.get("hashed", F.col("at")) == F.get("hashed", F.col("before")), F.col("hash") == passage(F.col("before"))).otherwise(False)
+    return found.select("hash", "id", "h", "at", again.alias("again"))
+
+
 def chained(found: Column, size: int) -> Column:
     """(at, last, gap, f_at) of matches; those of neighbouring anchors that overlap alike in both texts are one."""
     def follows(i):
@@ -218,6 +248,21 @@ def byte_spans(w: Column, cuts: Column, n_bytes: Column) -> Column:
     return let(F.flatten(F.transform(cuts, pieces)), lambda z: let(offsets(z), lambda at: spans(z, at)))
 
 
+def anchor_rows(firsts: DataFrame, window: int, min_words: int, beside) -> DataFrame:
+    """(hash, id, h, at, last, gap) of all texts; those that repeat a few words over and over are few and meet ``chunk_array``."""
+    def arrays(texts):
+        return (texts.select("id", "h", F.explode(chunk_array(F.col("text"), window, min_words)).alias("c"))
+                .select("c.hash", "id", "h", "c.at", "c.last", "c.gap"))
+
+    if window < 2:
+        return materialise(arrays(firsts), "chunks")
+    found = materialise(anchors(firsts, window, min_words), "anchors")
+    odd = materialise(found.where("again").select(F.col("id").alias("r_id"), F.col("h").alias("r_h")).distinct(), "repeating")
+    of_odd = F.col("id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h"))
+    plain = beside(found, odd, of_odd, "left_anti").select("hash", "id", "h", "at", F.col("at").alias("last"), F.lit(0).alias("gap"))
+    return plain.union(materialise(arrays(beside(firsts, odd, of_odd, "left_semi")), "chunks"))
+
+
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
                 window: int = WINDOW) -> DataFrame:
     """``df`` with repeated passages cut from the text, plus ``removed_spans`` (byte spans of the original
@@ -240,9 +285,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     # 2. anchors, and those whose hash occurs more than once
     place = ["id", "h", "at", "last", "gap"]
-    chunks = materialise(
-        firsts.select("id", "h", F.explode(chunk_array(F.col("text"), window, min_words)).alias("c"))
-        .select("c.hash", "id", "h", "c.at", "c.last", "c.gap"), "chunks")
+    chunks = anchor_rows(firsts, window, min_words, beside)
     often = materialise(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "often")
     again = materialise(beside(chunks, often, "hash", "left_semi", BROADCAST_HASHES), "repeated")
 

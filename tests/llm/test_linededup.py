@@ -174,3 +174,26 @@ def test_query_cuts_what_brute_force_finds(spark, tmp_path):
         kept = " ".join(x for k, x in enumerate(w) if k not in want[i])
         assert " ".join(got[i].text.split()) == kept, i
         assert got[i].removed_words == len(want[i]) and got[i].n_chars == len(got[i].text)
+
+
+def test_anchors_are_those_of_the_arrays_without_a_loop_over_them(spark):
+    """The windows are compiled rows; texts without neighbouring equal hashes have the rows of ``chunk_array``, the others are marked."""
+    from pyspark.sql import functions as F
+    rng = random.Random(17)
+    docs = [prose(rng, rng.choice([3, 49, 50, 51, 60, 200])) for _ in range(60)] + ["a b\n" * 60, prose(rng, 80) + " x" * 90, "of the of and " * 3 + prose(rng, 70), ""]
+    docs += [" ".join(rng.choice("abc") for _ in range(300)) for _ in range(20)]       # many equal words in a window
+    df = spark.createDataFrame(list(enumerate(docs)), "id long, text string").select("id", F.xxhash64("text").alias("h"), "text")
+    for window in (2, 7, 16, 25):
+        found = L.anchors(df, window)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("lambdafunction") <= 2 and "aggregate(" not in plan
+        got, marked = {}, set()
+        for r in found.collect():
+            got.setdefault(r.id, set()).add((r["hash"], r["at"], r["at"], 0))
+            marked |= {r.id} if r.again else set()
+        arrays, merged = {}, set()
+        for r in df.select("id", F.explode(L.chunk_array(F.col("text"), window)).alias("c")).select("id", "c.*").collect():
+            arrays.setdefault(r.id, set()).add((r["hash"], r["at"], r["last"], r["gap"]))
+            merged |= {r.id} if r["gap"] else set()
+        assert merged == marked and marked and set(got) == set(arrays)
+        assert all(got[i] == arrays[i] for i in got if i not in marked)
