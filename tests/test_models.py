@@ -179,3 +179,42 @@ def test_cox_path_evaluates_points_once_and_ships_small_blocks(spark, monkeypatc
     assert np.isclose(got[0], ll) and np.allclose(got[2], info, rtol=1e-9, atol=1e-8)
     blocks = probs[0].data.collect()
     assert sum(len(r["x"]) for r in blocks) < 0.6 * X.nbytes
+
+
+def test_paths_of_several_ratios_share_their_passes(spark, monkeypatch):
+    """The points of all ratios are evaluated together, in a fraction of the passes, and end where fits one by one end."""
+    import pandas as pd
+    from pyspark.ml.functions import array_to_vector
+
+    from hazardlake.operators import linear as L
+    rng = np.random.default_rng(5)
+    X = np.c_[rng.integers(0, 4, (500, 4)), rng.normal(size=(500, 4)).round(1)]
+    t, e = rng.exponential(np.exp(-0.5 * X[:, 5] + 0.2 * X[:, 0])).round(1) + 0.1, rng.random(500) < 0.6
+    df = spark.createDataFrame(pd.DataFrame({"x": list(X), "time": t, "event": e})).select(array_to_vector("x").alias("features"), "time", "event")
+    probs, init = [], L.CoxProblem.__init__
+    monkeypatch.setattr(L.CoxProblem, "__init__", lambda self, *a, **k: (init(self, *a, **k), probs.append(self))[0])
+    monkeypatch.setattr(L, "RANGE_CELLS", 1500)
+    fits = L.fit_coxnets(df, [0.2, 0.9], n_alphas=60, alpha_min_ratio=0.02)
+    assert len(probs) == 1 and probs[0].n_ranges > 2 and probs[0].evals < 60
+    for r, (beta, a, _) in zip((0.2, 0.9), fits):
+        one, found = L._minimise(probs[0], np.zeros(8), None, a * r, a * (1 - r), 1e-12, 50)
+        assert found["done"] and np.allclose(beta, one, atol=1e-6)
+
+
+def test_several_points_have_the_terms_of_each(spark):
+    rng = np.random.default_rng(12)
+    n, p = 400, 4
+    X = rng.normal(size=(n, p))
+    t = np.round(rng.exponential(2, n), 1)
+    t[:150] = 0.7
+    e = rng.random(n) < 0.5
+    df = spark.createDataFrame([(Vectors.dense(X[i].tolist()), float(t[i]), bool(e[i])) for i in range(n)], ["features", "time", "event"])
+    betas = rng.normal(size=(p, 3)) * np.array([0.1, 1.0, 6.0])
+    for buckets in (1, 5):
+        prob = CoxProblem(df, n_buckets=buckets)
+        ll, g, h = prob.many(betas, [2, 0])
+        for j in range(3):
+            one = prob.terms(betas[:, j])
+            assert np.allclose(ll[j], one[0]) and np.allclose(g[:, j], _np_grad(X, t, e, betas[:, j])) and np.allclose(g[:, j], one[1])
+            if j in (0, 2):
+                assert np.allclose(h[[2, 0].index(j)], one[2])
