@@ -218,3 +218,26 @@ def test_several_points_have_the_terms_of_each(spark):
             assert np.allclose(ll[j], one[0]) and np.allclose(g[:, j], _np_grad(X, t, e, betas[:, j])) and np.allclose(g[:, j], one[1])
             if j in (0, 2):
                 assert np.allclose(h[[2, 0].index(j)], one[2])
+
+
+def test_cross_validation_without_kept_designs_writes_risks_only(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from hazardlake import estimators as Es
+    from hazardlake.plans import select as Sel
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(240, 2))
+    rows = [(i, Vectors.dense(x[i]), float(rng.exponential(np.exp(-x[i, 0])) + 0.05), bool(rng.random() < 0.7), i % 2) for i in range(240)]
+    df = spark.createDataFrame(rows, ["ID", "features", "time", "event", "status"])
+    written, cut = [], Sel.cut_lineage
+    monkeypatch.setattr("hazardlake.session.cut_lineage", lambda d: written.append(d.columns) or cut(d))
+    monkeypatch.setattr(Sel, "cut_lineage", lambda d: written.append(d.columns) or cut(d))
+
+    def scores(keep):
+        written.clear()
+        out = Sel.cross_validate(df, lambda a, b: Es.RidgeTime(alpha=1.0).fit(a).transform(b), 3, None, strata="status",
+                                 prepare=lambda a, b: tuple(d.withColumn("design", F.col("features")) for d in (a, b)), keep_designs=keep)
+        return {r["fold"]: r["cindex"] for r in out.collect()}, sum("design" in c for c in written)
+    (kept, copies), (lazy, none) = scores(True), scores(False)
+    assert copies == 6 and none == 0 and kept.keys() == lazy.keys() == {0, 1, 2}
+    assert all(abs(kept[k] - lazy[k]) < 1e-12 for k in kept)
