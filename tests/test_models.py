@@ -196,6 +196,7 @@ def test_paths_of_several_ratios_share_their_passes(spark, monkeypatch):
     monkeypatch.setattr(L, "RANGE_CELLS", 1500)
     fits = L.fit_coxnets(df, [0.2, 0.9], n_alphas=60, alpha_min_ratio=0.02)
     assert len(probs) == 1 and probs[0].n_ranges > 2 and probs[0].evals < 60
+    assert all(points[0]["n_active"] == 0 for points in L.coxnet_paths(probs[0], [0.2, 0.5, 0.9], n_alphas=3))
     for r, (beta, a, _) in zip((0.2, 0.9), fits):
         one, found = L._minimise(probs[0], np.zeros(8), None, a * r, a * (1 - r), 1e-12, 50)
         assert found["done"] and np.allclose(beta, one, atol=1e-6)
